@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, vector_search
+from gridspark.llm import bpe, packing, token_counts, vector_search
 from gridspark.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,5 +40,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op8_exact_topk": op8_exact_topk}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op5_byte_bpe": op5_byte_bpe, "op8_exact_topk": op8_exact_topk}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL}
