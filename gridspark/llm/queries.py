@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, packing, token_counts, vector_search
+from gridspark.llm import bpe, language_id, packing, token_counts, vector_search
 from gridspark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 #: DuckDB. sum(q * x) is taken as a product of integer lists.
 OP8_SQL = """
 WITH v AS (
@@ -40,5 +44,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op5_byte_bpe": op5_byte_bpe, "op8_exact_topk": op8_exact_topk}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op5_byte_bpe": op5_byte_bpe, "op8_exact_topk": op8_exact_topk, "op10_language_id": op10_language_id}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL}
