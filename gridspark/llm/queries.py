@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, language_id, line_rules, packing, quality, token_counts, vector_search
+from gridspark.llm import bpe, language_id, line_rules, lm_scoring, packing, quality, token_counts, vector_search
 from gridspark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +56,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op10_language_id": op10_language_id}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op10_language_id": op10_language_id}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL}
