@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, language_id, line_rules, lm_scoring, packing, quality, token_counts, vector_search
+from gridspark.llm import bpe, language_id, line_rules, lm_scoring, near_duplicates, packing, quality, token_counts, vector_search
 from gridspark.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_components(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op10_language_id": op10_language_id}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_language_id": op10_language_id}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL}
