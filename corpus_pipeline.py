@@ -1,15 +1,67 @@
-"""A pipeline over documents whose stages are the llm operators."""
+"""A pipeline over documents: quality rules, language, near duplicates, repeated passages, packing.
+
+A row without a doc_id cannot be followed through the stages and is rejected by the first one.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridspark.llm import language_id, line_rules, near_duplicates, packing, substring_dedup
+from gridspark.llm.common import save
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and are mostly content lines."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return line_rules.judge_lines(docs.where("doc_id is not null"), labels, carry=True).where("kept").select("row.*")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a determined language that does not contradict the recorded one."""
+    found = language_id.identify_held_out(docs, carry=True)
+    agrees = F.coalesce(F.col("row.lang") == F.col("lang_pred"), F.lit(True))
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & agrees).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and one row of each doc_id."""
+    kept = near_duplicates.near_duplicate_components(docs).where("kept").select("doc_id").distinct()
+    stay = docs.join(kept, "doc_id", "left_semi")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return stay.select(docs.columns)
+    return stay.dropDuplicates(["doc_id"]).select(docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated passages; documents of which nothing is left go."""
+    kept = substring_dedup.remove_repeats(docs, with_text=True).where("kept_text <> ''").select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("bigint").alias("n_chars"))
+    return docs.drop("text", "n_chars").join(kept, "doc_id").select(docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece's place in sequences of 4096 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language),
+    ("near duplicates", near_dedup),
+    ("suffix-array dedup", repeated_passages),
+    ("best-fit packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: No stage but the first's base rules can be said in SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = save(docs, f"stage-{i}")
     return docs

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver's JVM has collected their plans."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def crc_bucket(column: Column, buckets: int) -> Column:
     """crc32 of a column's text form, modulo buckets; null counts as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % buckets
@@ -55,6 +62,14 @@ def block_of(columns: list[Column], blocks: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(blocks)).cast("int")
 
 
+def carried(docs: DataFrame, id_col: str, carry: bool) -> tuple[Column, str]:
+    """The first column of a per-row operator's result and its type: doc_id, or with carry the whole row as `row`."""
+    if not carry:
+        return F.col(id_col).cast("bigint").alias("doc_id"), "doc_id bigint"
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    return row, f"row {docs.select(row).schema[0].dataType.simpleString()}"
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Arrow batches cut into short ones, so that Python objects of a few rows exist at a time."""
     for batch in batches:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.llm.common import arrow_schema, crc_bucket, text_or_empty
+from gridspark.llm.common import arrow_schema, carried, crc_bucket, text_or_empty
 
 #: Bound of the labelled sample: documents of a language, and their characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
@@ -24,7 +24,7 @@ SEGMENT = 2048
 #: Characters parsed at once in a task.
 GROUP_CHARS = 4 << 20
 UNDETERMINED = "und"
-PREDICTED = "doc_id bigint, held_out boolean, lang_pred string, score double"
+PREDICTED = "held_out boolean, lang_pred string, score double"
 
 
 def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list:
@@ -166,8 +166,8 @@ class CrossParser:
 _parsers: dict[int, CrossParser] = {}
 
 
-def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every whole text.
+def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
+    """doc_id (with carry: row, a struct of all columns), held_out, lang_pred and score of every whole text.
 
     learn marks the rows that may be learnt from; of their languages at most SAMPLE_DOCS texts and about SAMPLE_CHARS characters
     each are. Null texts and texts without a letter, and all texts if nothing can be learnt, get `und` and 0. The score is the
@@ -177,7 +177,8 @@ def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "do
     samples: dict[str, list[str]] = {}
     for row in labelled_sample(docs, learn, id_col, text_col, lang_col):
         samples.setdefault(row["lang"], []).append(row["text"])
-    schema, key = arrow_schema(PREDICTED), hash(str(sorted(samples.items())))
+    first, first_ddl = carried(docs, id_col, carry)
+    names, key = arrow_schema(PREDICTED).names, hash(str(sorted(samples.items())))
 
     def run(batches):
         if key not in _parsers:
@@ -189,14 +190,14 @@ def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "do
                 at = np.flatnonzero(sizes == group)
                 part = batch.slice(int(at[0]), len(at))
                 langs, scores = _parsers[key].predict(part.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(scores, pa.float64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(scores, pa.float64())], names=[part.schema.names[0], *names])
 
     text = text_or_empty(F.col(text_col))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text.alias("text"), F.length(text).cast("bigint").alias("n"))
-    return rows.mapInArrow(run, PREDICTED)
+    rows = docs.select(first, held_out.alias("held_out"), text.alias("text"), F.length(text).cast("bigint").alias("n"))
+    return rows.mapInArrow(run, f"{first_ddl}, {PREDICTED}")
 
 
-def identify_held_out(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
+def identify_held_out(docs: DataFrame, folds: int = 4, fold: int = 2, carry: bool = False) -> DataFrame:
     """identify() on documents, learning from all folds of crc32(doc_id) but one."""
     held_out = crc_bucket(F.col("doc_id"), folds) == fold
-    return identify(docs, ~held_out, held_out)
+    return identify(docs, ~held_out, held_out, carry=carry)

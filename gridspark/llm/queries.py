@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, language_id, line_rules, lm_scoring, near_duplicates, packing, quality, token_counts, vector_search
+from gridspark.llm import bpe, language_id, line_rules, lm_scoring, near_duplicates, packing, quality, substring_dedup, token_counts, vector_search
 from gridspark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -60,5 +64,5 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_language_id": op10_language_id}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_language_id": op10_language_id}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL}
