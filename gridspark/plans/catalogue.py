@@ -1,4 +1,13 @@
 """Registered queries of the library's own operators and their DuckDB equivalents."""
 
+from __future__ import annotations
+
+from gridspark.plans import cell_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for module in (cell_queries,):
+    QUERIES |= module.REGISTER.queries
+    ORACLE_SQL |= module.REGISTER.sql
+
+FLAGSHIP = QUERIES["cells_from_table"]
