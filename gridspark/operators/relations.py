@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.functions.addressing import cell_a1, column_letters, column_number
+from gridspark.functions.addressing import cell_a1, column_letters, column_number, let
 from gridspark.functions.lineage import cut
 
 #: A reference outside of text and function names: sheet, column, row; each part may be pinned by $.
 REFERENCE = r"(?:(?:'[^']+'|[A-Za-z0-9_]+)!)?\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?![0-9A-Za-z_(])"
-PIECE = r'"[^"]*"|' + REFERENCE + r'|[A-Za-z_][A-Za-z0-9_.]*|[0-9.]+|[^"A-Za-z0-9_$\']|\$|\''
+PIECE = r'"[^"]*"|' + REFERENCE + r'|[A-Za-z_][A-Za-z0-9_.]*\(?|[0-9.]+|[^"A-Za-z0-9_$\']|\$|\''
 #: Error tokens and what they say. Fixed values.
 ERRORS = {
     "#REF!": ("broken_reference", "Formula refers to a missing cell"), "#DIV/0!": ("division_by_zero", "Formula divides by zero"), "#VALUE!": ("invalid_value", "Formula has a value of the wrong type"),
@@ -36,20 +38,28 @@ def pieces(raw: Column) -> Column:
     return F.regexp_extract_all(raw, F.lit(f"({PIECE})"), F.lit(1))
 
 
-def _parts(piece: Column) -> dict[str, Column]:
-    place = F.regexp_extract(piece, r"([^!]*)$", 1)
-    get = lambda i: F.regexp_extract(place, r"^(\$?)([A-Za-z]{1,3})(\$?)([0-9]+)$", i)
-    return {"sheet": F.regexp_extract(piece, r"^(.*!)", 1), "col_pin": get(1) == "$", "col": column_number(get(2)), "row_pin": get(3) == "$", "row": get(4).try_cast("bigint"), "is": piece.rlike(f"^{REFERENCE}$")}
+def _on_reference(piece: Column, shown: Callable[[dict[str, Column]], Column], other: Column) -> Column:
+    """shown over a reference's sheet prefix, pins, column and row, read by one match; other for pieces that are none."""
+    mark = "\u0001"
+    cut_up = F.split(F.regexp_replace(piece, r"^([^\"]*!)?(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$", mark.join(("$1", "$2", "$3", "$4", "$5"))), mark)
+
+    def parts(a: Column) -> Column:
+        p = {"sheet": a[0], "col_pin": a[1] == "$", "letters": F.upper(a[2]), "col": column_number(a[2]), "row_pin": a[3] == "$", "line": a[4], "row": a[4].try_cast("bigint")}
+        return F.when(F.size(a) == 5, shown(p)).otherwise(other)
+
+    return let(cut_up, parts)
 
 
 def normal_form(raw: Column, row: Column, col: Column) -> Column:
     """A formula with texts kept, and references written by their distance from the cell, or by name where pinned."""
 
+    def reference(p: dict[str, Column]) -> Column:
+        column = F.when(p["col_pin"], F.concat(F.lit("$"), p["letters"])).otherwise(F.concat(F.lit("c"), (p["col"] - col).cast("string")))
+        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["line"])).otherwise(F.concat(F.lit("r"), (p["row"] - row).cast("string")))
+        return F.concat(p["sheet"], F.lit("["), column, F.lit(","), line, F.lit("]"))
+
     def shown(piece: Column) -> Column:
-        p = _parts(piece)
-        column = F.when(p["col_pin"], F.concat(F.lit("$"), column_letters(p["col"]))).otherwise(F.concat(F.lit("c"), (p["col"] - col).cast("string")))
-        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["row"].cast("string"))).otherwise(F.concat(F.lit("r"), (p["row"] - row).cast("string")))
-        return F.when(p["is"], F.concat(p["sheet"], F.lit("["), column, F.lit(","), line, F.lit("]"))).when(piece.startswith('"'), piece).when(piece.rlike(r"^\s$"), F.lit("")).otherwise(F.upper(piece))
+        return _on_reference(piece, reference, F.when(piece.startswith('"'), piece).when(F.trim(piece) == "", F.lit("")).otherwise(F.upper(piece)))
 
     return F.array_join(F.transform(pieces(raw), shown), "")
 
@@ -57,28 +67,28 @@ def normal_form(raw: Column, row: Column, col: Column) -> Column:
 def shifted(raw: Column, rows: Column, cols: Column) -> Column:
     """A formula moved by rows and columns; pinned parts stay. Null where a reference would leave the sheet."""
 
-    def moved(piece: Column) -> Column:
-        p = _parts(piece)
-        column = F.when(p["col_pin"], F.concat(F.lit("$"), column_letters(p["col"]))).otherwise(column_letters(p["col"] + cols))
-        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["row"].cast("string"))).otherwise(F.when(p["row"] + rows >= 1, (p["row"] + rows).cast("string")))
-        return F.when(p["is"], F.concat(p["sheet"], column, line)).otherwise(piece)
+    def reference(p: dict[str, Column]) -> Column:
+        column = F.when(p["col_pin"], F.concat(F.lit("$"), p["letters"])).otherwise(column_letters(p["col"] + cols))
+        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["line"])).otherwise(F.when(p["row"] + rows >= 1, (p["row"] + rows).cast("string")))
+        return F.concat(p["sheet"], column, line)
 
-    out = F.transform(pieces(raw), moved)
-    return F.when(~F.exists(out, lambda x: x.isNull()), F.array_join(out, ""))
+    moved = F.transform(pieces(raw), lambda piece: _on_reference(piece, reference, piece))
+    return let(moved, lambda out: F.when(~F.exists(out, lambda x: x.isNull()), F.array_join(out, "")))
 
 
 def pattern(raw: Column, row: Column, col: Column, by_row: Column) -> Column:
     """Pattern of a run's formula: `C{row} = B{row} * $H$1` for rows, `{col}8 = {col}2 - {col}3` for columns."""
+    step = lambda n: F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).when(n < 0, n.cast("string")).otherwise("")
 
-    def named(piece: Column) -> Column:
-        p = _parts(piece)
+    def reference(p: dict[str, Column]) -> Column:
         pin = lambda x: F.when(p[x], F.lit("$")).otherwise("")
-        letters = column_letters(p["col"])
-        step_row, step_col = p["row"] - row, p["col"] - col
-        step = lambda n: F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).when(n < 0, n.cast("string")).otherwise("")
-        line = F.when(p["row_pin"] | ~by_row, F.concat(pin("row_pin"), p["row"].cast("string"))).otherwise(F.concat(F.lit("{row"), step(step_row), F.lit("}")))
-        column = F.when(p["col_pin"] | by_row, F.concat(pin("col_pin"), letters)).otherwise(F.concat(F.lit("{col"), step(step_col), F.lit("}")))
-        return F.when(p["is"], F.concat(p["sheet"], column, line)).when(piece.rlike(r"^(\+|-|\*|/|\^|&|=|<|>|,)$"), F.when(piece == ",", F.lit(", ")).otherwise(F.concat(F.lit(" "), piece, F.lit(" ")))).otherwise(piece)
+        line = F.when(p["row_pin"] | ~by_row, F.concat(pin("row_pin"), p["line"])).otherwise(F.concat(F.lit("{row"), step(p["row"] - row), F.lit("}")))
+        column = F.when(p["col_pin"] | by_row, F.concat(pin("col_pin"), p["letters"])).otherwise(F.concat(F.lit("{col"), step(p["col"] - col), F.lit("}")))
+        return F.concat(p["sheet"], column, line)
+
+    def named(piece: Column) -> Column:
+        sign = F.when(piece == ",", F.lit(", ")).when(piece.isin("+", "-", "*", "/", "^", "&", "=", "<", ">"), F.concat(F.lit(" "), piece, F.lit(" "))).otherwise(piece)
+        return _on_reference(piece, reference, sign)
 
     body = F.array_join(F.transform(pieces(F.regexp_replace(raw, r"^=\s*", "")), named), "")
     tidy = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\s+", " "), r"([<>]) ([=>])", "$1$2"), r"\( ?- ", "(-"))
@@ -92,7 +102,7 @@ def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
     Returns keys, r1, c1, r2, c2 and shape (rows, columns, single).
     """
     down = W.Window.partitionBy(*keys, "col").orderBy("row")
-    tall = cells.withColumn("island", F.col("row") - F.row_number().over(down))
+    tall = cells.select(*keys, "row", "col").distinct().withColumn("island", F.col("row") - F.row_number().over(down))
     size = F.count("*").over(W.Window.partitionBy(*keys, "col", "island"))
     tall = tall.withColumn("size", size)
     box = [f(x).alias(y) for f, x, y in ((F.min, "row", "r1"), (F.min, "col", "c1"), (F.max, "row", "r2"), (F.max, "col", "c2"))]

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.functions.addressing import BOX, LAST_COLUMN, LAST_ROW, box_a1, contains_box, extend, intersects
+from gridspark.functions.lineage import cut
 from gridspark.functions.text import squeezed
 from gridspark.operators.reads import cell_text
 
@@ -21,8 +22,10 @@ PLACEHOLDER = r"(?i)^\s*(|-|n/?a|none|null|unknown|untitled|header|column|col|fi
 UNCERTAIN = ("", "unknown", "uncertain", "none", "null", "n/a", "tbd", "?")
 
 
-def _finding(df: DataFrame, where: Column, rule: str, severity: str, detail: Column) -> DataFrame:
-    return df.where(where).select(*KEY, F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))
+def _findings(df: DataFrame, *rules: tuple[Column, str, str, Column]) -> DataFrame:
+    """Rows of the rules (condition, name, severity, detail) that hold, in one pass."""
+    each = F.array(*(F.when(where, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))) for where, rule, severity, detail in rules))
+    return df.select(*KEY, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
 
 
 def repaired_data(header: Column, data: Column, by_row: Column) -> Column:
@@ -46,46 +49,49 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
     used = cells.groupBy("wb_id", "sheet").agg(F.struct(F.lit(None).cast("string").alias("sheet"), F.lit(1).cast("bigint").alias("r1"), F.lit(1).cast("bigint").alias("c1"), F.max("row").cast("bigint").alias("r2"), F.max("col").cast("bigint").alias("c2")).alias("used"))
     by_row = F.lower(F.coalesce("orientation", F.lit("column"))) == "row"
     h = headers.join(used, ["wb_id", "sheet"], "left")
-    out = [_finding(h, ~F.lower(F.coalesce("orientation", F.lit("column"))).isin("row", "column"), "orientation", "error", F.col("orientation"))]
+    rules = [(~F.lower(F.coalesce("orientation", F.lit("column"))).isin("row", "column"), "orientation", "error", F.col("orientation"))]
     for which in ("hr", "dr"):
         b = F.col(which)
         beyond = (b["r1"] < 1) | (b["c1"] < 1) | (b["r2"] > LAST_ROW) | (b["c2"] > LAST_COLUMN)
-        out.append(_finding(h, beyond, f"{which}_bounds", "error", box_a1(b)))
-        out.append(_finding(h, ~contains_box(F.col("used"), b), f"{which}_unused", "error", box_a1(b)))
+        rules += [(beyond, f"{which}_bounds", "error", box_a1(b)), (~contains_box(F.col("used"), b), f"{which}_unused", "error", box_a1(b))]
+    out = [_findings(h, *rules)]
     # header boxes grow to the first merge that they touch
     m = merges.select("wb_id", "sheet", F.struct(F.lit(None).cast("string").alias("sheet"), *(F.col(x).cast("bigint").alias(x) for x in ("r1", "c1", "r2", "c2"))).alias("m"))
     touched = h.join(m, ["wb_id", "sheet"]).where(intersects(F.col("hr"), F.col("m"))).groupBy(*KEY).agg(F.min_by("m", F.struct("m.r1", "m.c1")).alias("m"))
     h = h.join(touched, KEY, "left")
     grows = F.col("m").isNotNull() & ((F.col("m.r1") != F.col("hr.r1")) | (F.col("m.c1") != F.col("hr.c1")) | (F.col("m.r2") != F.col("hr.r2")) | (F.col("m.c2") != F.col("hr.c2")))
-    out.append(_finding(h, grows, "header_merged", "action", box_a1(F.col("m"))))
+    out.append(_findings(h, (grows, "header_merged", "action", box_a1(F.col("m")))))
     h = h.withColumn("hr", F.when(grows, F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))).drop("m")
     texts = _texts(h, cells, "hr")
     t = h.join(texts, KEY)
-    out.append(_finding(t, F.size("texts") == 0, "header_blank", "error", box_a1(F.col("hr"))))
-    out.append(_finding(t, F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")))
-    out.append(_finding(t, (F.size("texts") == 1) & (squeezed(F.col("texts")[0]) != squeezed(F.coalesce("label", F.lit("")))), "label_repaired", "action", F.col("texts")[0]))
+    other_label = (F.size("texts") == 1) & (squeezed(F.get("texts", 0)) != squeezed(F.coalesce("label", F.lit(""))))
+    blank = (F.size("texts") == 0, "header_blank", "error", box_a1(F.col("hr")))
+    out.append(_findings(t, blank, (F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")), (other_label, "label_repaired", "action", F.get("texts", 0))))
     # data boxes leave the header and take its band
     both = F.col("hr").isNotNull() & F.col("dr").isNotNull()
     fixed = repaired_data(F.col("hr"), F.col("dr"), by_row)
     overlaps = both & intersects(F.col("hr"), F.col("dr"))
-    out.append(_finding(h, overlaps & contains_box(F.col("used"), fixed), "data_shifted", "action", box_a1(fixed)))
-    out.append(_finding(h, overlaps & ~contains_box(F.col("used"), fixed), "data_overlaps", "error", box_a1(F.col("dr"))))
-    h = h.withColumn("dr", F.when(overlaps & contains_box(F.col("used"), fixed), fixed).otherwise(F.col("dr").cast(BOX)))
+    fits = contains_box(F.col("used"), fixed)
+    out.append(_findings(h, (overlaps & fits, "data_shifted", "action", box_a1(fixed)), (overlaps & ~fits, "data_overlaps", "error", box_a1(F.col("dr")))))
+    h = h.withColumn("dr", F.when(overlaps & fits, fixed).otherwise(F.col("dr").cast(BOX)))
     d, r = F.col("dr"), F.col("hr")
     off_band = both & F.when(by_row, (d["r1"] != r["r1"]) | (d["r2"] != r["r2"])).otherwise((d["c1"] != r["c1"]) | (d["c2"] != r["c2"]))
     along = F.struct(d["sheet"].alias("sheet"), F.when(by_row, r["r1"]).otherwise(d["r1"]).alias("r1"), F.when(by_row, d["c1"]).otherwise(r["c1"]).alias("c1"), F.when(by_row, r["r2"]).otherwise(d["r2"]).alias("r2"), F.when(by_row, d["c2"]).otherwise(r["c2"]).alias("c2")).cast(BOX)
-    out.append(_finding(h, off_band, "data_realigned", "action", box_a1(along)))
+    out.append(_findings(h, (off_band, "data_realigned", "action", box_a1(along))))
     h = h.withColumn("dr", F.when(off_band, along).otherwise(d))
-    out.append(_finding(h.join(_texts(h, cells, "dr"), KEY), F.size("texts") == 0, "data_blank", "error", box_a1(F.col("dr"))))
+    h = cut(h)
+    out.append(_findings(h.join(_texts(h, cells, "dr"), KEY), (F.size("texts") == 0, "data_blank", "error", box_a1(F.col("dr")))))
     # parents and children
     parent = h.select("wb_id", "sheet", "table_id", F.col("header_id").alias("parent_id"), F.col("hr").alias("p_hr"), F.col("dr").alias("p_dr"), by_row.alias("p_row"))
     c = h.join(parent, ["wb_id", "sheet", "table_id", "parent_id"])
-    out.append(_finding(c, F.col("dr").isNull(), "child_data_missing", "error", F.col("header_id")))
-    out.append(_finding(c, intersects(F.col("p_dr"), F.col("hr")), "parent_data_over_child", "action", box_a1(F.col("p_dr"))))
-    out.append(_finding(c, ~contains_box(F.col("p_dr"), F.col("dr")), "child_data_outside", "error", box_a1(F.col("dr"))))
     x, p = F.col("hr"), F.col("p_hr")
     outside = F.when(F.col("p_row"), (x["r1"] < p["r1"]) | (x["r2"] > p["r2"]) | (x["c1"] <= p["c2"])).otherwise((x["c1"] < p["c1"]) | (x["c2"] > p["c2"]) | (x["r1"] <= p["r2"]))
-    out.append(_finding(c, outside, "child_header_outside", "error", box_a1(x)))
+    out.append(
+        _findings(
+            c, (F.col("dr").isNull(), "child_data_missing", "error", F.col("header_id")), (intersects(F.col("p_dr"), F.col("hr")), "parent_data_over_child", "action", box_a1(F.col("p_dr"))),
+            (~contains_box(F.col("p_dr"), F.col("dr")), "child_data_outside", "error", box_a1(F.col("dr"))), (outside, "child_header_outside", "error", box_a1(x)),
+        )
+    )
     out.append(_uncovered(h, cells))
     return reduce(DataFrame.unionByName, out)
 
@@ -101,7 +107,7 @@ def _uncovered(h: DataFrame, cells: DataFrame) -> DataFrame:
     under = F.col("row").between(F.col("d_hr.r1"), F.col("d_hr.r2")) & F.col("col").between(F.col("d_hr.c1"), F.col("d_hr.c2"))
     covered = shown.join(child, KEY).where(under).select(*KEY, "row", "col").distinct()
     gaps = shown.join(covered, [*KEY, "row", "col"], "left_anti").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("row", "col", "t"))).alias("x"))
-    return _finding(gaps, F.lit(True), "children_uncovered", "error", F.array_join(F.slice(F.col("x.t"), 1, 8), ", "))
+    return _findings(gaps, (F.lit(True), "children_uncovered", "error", F.array_join(F.slice(F.col("x.t"), 1, 8), ", ")))
 
 
 def status(sheets: DataFrame, findings: DataFrame) -> DataFrame:
