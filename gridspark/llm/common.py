@@ -16,7 +16,13 @@ BLOCK_BYTES = 8 << 20
 SLICE_ROWS = 256
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of 1,000 rows keep what the JVM and Python hold of them at a time small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
