@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.llm import language_id, line_rules, near_duplicates, packing, substring_dedup
-from gridspark.llm.common import save
+from gridspark.llm.common import save, short_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are mostly content lines."""
+    short_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return line_rules.judge_lines(docs.where("doc_id is not null"), labels, carry=True).where("kept").select("row.*")
 
