@@ -121,7 +121,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 
 def _rarest_shingles(sets: DataFrame, per_cent: int) -> DataFrame:
-    """Of sets: the shingles that any partner must share one of (each set's rarest 100 - per_cent per cent and one more), with the set's size and its number of shingles that no other set has."""
+    """Of sets: the shingles that any partner must share one of (each set's rarest 100 - per_cent per cent and one more), with the set's size and how many rarer shingles it has before each."""
     n = F.octet_length("items") / 8
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("n", pa.int32())])
 
@@ -137,7 +137,7 @@ def _rarest_shingles(sets: DataFrame, per_cent: int) -> DataFrame:
     own = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("c"))
     alone = F.col("n") - F.size("c")
     length = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - alone
-    return own.where(length > 0).select("id", "n", alone.alias("alone"), F.explode(F.slice("c", F.lit(1), length.cast("int"))).alias("x")).select("id", "n", "alone", F.col("x.item").alias("item"))
+    return own.where(length > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("c", F.lit(1), length.cast("int"))).alias("i", "x")).select("id", "n", (F.col("alone") + F.col("i")).alias("before"), F.col("x.item").alias("item"))
 
 
 def near_duplicate_components(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,8 +175,9 @@ def near_duplicate_components(docs: DataFrame, per_cent: int = 85, id_col: str =
     open_lists = labelled.groupBy("k", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "value")
     apart = save(labelled.join(open_lists, ["k", "value"], "left_semi").select("id", "component").distinct(), "near-apart")
     rare = save(_rarest_shingles(sets.join(apart, "id", "left_semi"), per_cent).join(apart, "id"), "near-rare")
-    a, b = (rare.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "alone", "component")), "item") for x in "ab")
-    most = F.least(F.col("n_a") - F.col("alone_a"), F.col("n_b") - F.col("alone_b"))  # shingles that both can have
+    a, b = (rare.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "before", "component")), "item") for x in "ab")
+    # at a pair's first common shingle neither can share the rarer ones before it: that bounds what both can have
+    most = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
     possible = (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b")) & (100 * most >= per_cent * (F.col("n_a") + F.col("n_b") - most))
     late = a.join(b, a["item"].eqNullSafe(b["item"]) & possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
     late_links = save(confirmed(save(late, "near-late"), sets, per_cent), "near-links")
