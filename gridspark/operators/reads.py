@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.lineage import cut
 
+#: Rows of a band in range joins.
+BAND = 1024
 CELL_KEYS = ["wb_id", "sheet", "row", "col"]
 VALUES = ["kind", "s", "n", "b", "ts", "formula"]
 _KINDS = {"string": "text", "boolean": "bool", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}
@@ -45,10 +47,15 @@ def sheet_bounds(cells: DataFrame) -> DataFrame:
 
 
 def read_ranges(cells: DataFrame, ranges: DataFrame, dense: bool = False) -> DataFrame:
-    """Cells of many ranges (range_id, wb_id, sheet, r1, c1, r2, c2) with their row-major place ord; dense adds blank cells."""
+    """Cells of many ranges (range_id, wb_id, sheet, r1, c1, r2, c2) with their row-major place ord; dense adds blank cells.
+
+    Ranges and cells meet by sheet and band of BAND rows, so that one huge sheet is many keys.
+    """
     r = ranges.select("range_id", "wb_id", "sheet", "r1", "c1", "r2", "c2")
     inside = F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1"), F.col("c2"))
-    found = cells.join(r, ["wb_id", "sheet"]).where(inside)
+    band = lambda x: F.floor(F.col(x) / BAND)
+    banded = r.withColumn("band", F.explode(F.sequence(band("r1"), band("r2"))))
+    found = cells.withColumn("band", band("row")).join(banded, ["wb_id", "sheet", "band"]).where(inside)
     place = ((F.col("row") - F.col("r1")) * (F.col("c2") - F.col("c1") + 1) + F.col("col") - F.col("c1")).alias("ord")
     found = found.select("range_id", "wb_id", "sheet", "row", "col", place, *VALUES)
     if not dense:
