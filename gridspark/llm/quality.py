@@ -17,6 +17,8 @@ from gridspark.llm.common import arrow_schema, crc_bucket, save, slices, text_or
 
 #: Share of a class covariance that goes to a multiple of the identity.
 SHRINKAGE = 0.1
+#: Words that a text's own statistics weigh as much as the average text's: short texts say little.
+SHORT_WORDS = 30
 #: Score from which a document is predicted to be good.
 THRESHOLD = 0.3
 SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -56,33 +58,46 @@ def statistics(text: str) -> tuple:
 
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, x: the statistics of every whole text; null texts count as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+    """doc_id, x (the statistics of every whole text) and weight (of its own statistics, from 0 to 1); null texts count as empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64())), ("weight", pa.float64())])
 
     def run(batches):
         for part in slices(batches):
-            x = [statistics(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x, schema.field(1).type)], schema=schema)
+            texts = part.column(1).to_pylist()
+            words = np.array([len(t.split()) for t in texts])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([statistics(t) for t in texts], schema.field(1).type), pa.array(words / (words + SHORT_WORDS))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id bigint, x array<double>")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).mapInArrow(run, "doc_id bigint, x array<double>, weight double")
 
 
-def class_moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
-    """Count, sum and sum of outer products of x by label, over all rows (columns x, label); one small row per task and label."""
+def drawn_in(x: pa.Array, weight: pa.Array, average: np.ndarray) -> np.ndarray:
+    """Statistics drawn to the average by what a text's own don't weigh."""
+    own = x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), N_STATISTICS)
+    return average + (own - average) * weight.to_numpy(zero_copy_only=False)[:, None]
+
+
+def average_statistics(rows: DataFrame) -> np.ndarray:
+    """Weighted average of x over all rows; zeros without any."""
+    sums = rows.agg(F.sum("weight").alias("w"), *(F.sum(F.col("weight") * F.get("x", i)).alias(f"x{i}") for i in range(N_STATISTICS))).first()
+    return np.array(sums[1:], float) / sums["w"] if sums["w"] else np.zeros(N_STATISTICS)
+
+
+def class_moments(rows: DataFrame, average: np.ndarray) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """Count, sum and sum of outer products of the drawn-in x by label, over all rows (columns x, weight, label); one small row per task and label."""
     schema = pa.schema([("label", pa.int32()), ("n", pa.int64()), ("moments", pa.list_(pa.float64()))])
 
     def run(batches):
         total: dict[int, list] = {}
         for batch in batches:
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, N_STATISTICS))
-            labels = batch.column(1).to_numpy(zero_copy_only=False)
+            x = drawn_in(batch.column(0), batch.column(1), average)
+            labels = batch.column(2).to_numpy(zero_copy_only=False)
             for k in np.unique(labels):
                 own = x[labels == k]
                 n, moments = total.get(int(k), (0, 0.0))
                 total[int(k)] = n + len(own), moments + np.concatenate([own.sum(0), (own.T @ own).reshape(-1)])
         yield pa.RecordBatch.from_pylist([{"label": k, "n": n, "moments": m.tolist()} for k, (n, m) in total.items()], schema=schema)
 
-    parts = rows.select("x", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, n bigint, moments array<double>")
+    parts = rows.select("x", "weight", F.col("label").cast("int").alias("label")).mapInArrow(run, "label int, n bigint, moments array<double>")
     summed = parts.select("label", "n", F.posexplode("moments").alias("i", "m")).groupBy("label", "i").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect()
     found = {}
     for k in {r["label"] for r in summed}:
@@ -126,20 +141,21 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: st
     """doc_id, held_out, score and predicted of every whole text, one row per row of docs.
 
     Learns from the labels of all rows that aren't held out, by sums over statistics only; null labels and labels without a
-    document teach nothing. held_out is a column over doc_id. Null and empty texts get the score of all-zero statistics.
+    document teach nothing. held_out is a column over doc_id. Null and empty texts get the score of average statistics.
     """
     rows = save(document_statistics(docs), "quality-statistics")
     marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull()).distinct()
-    model = QuadraticDiscriminant(class_moments(rows.where(~held_out).join(marks, "doc_id")))
+    learnt = rows.where(~held_out).join(marks, "doc_id")
+    average = average_statistics(learnt)
+    model = QuadraticDiscriminant(class_moments(learnt, average))
     schema = arrow_schema(SCORED)
 
     def run(batches):
         for batch in batches:
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, N_STATISTICS)
-            score = model.score(x)
+            score = model.score(drawn_in(batch.column(2), batch.column(3), average))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], schema=schema)
 
-    return rows.select("doc_id", held_out.alias("held_out"), "x").mapInArrow(run, SCORED)
+    return rows.select("doc_id", held_out.alias("held_out"), "x", "weight").mapInArrow(run, SCORED)
 
 
 def classify_held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
