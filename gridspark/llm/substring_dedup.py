@@ -30,6 +30,9 @@ COVER_PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 #: Bytes of text of a block, and of a stretch that is fingerprinted at once.
 BLOCK_BYTES, STRETCH = 6 << 20, 1 << 20
 
+#: Keys as they travel, beside their bucket: 32 bits of a sample, where a false repeat only leaves a tie to be sorted; 64 of a tied suffix.
+WIDTHS = (np.uint32, np.uint64)
+
 PACKED = "block int, ids array<bigint>, lengths array<bigint>, copies array<int>, texts binary"
 KEYS = "bucket int, block int, keys binary"
 BITS = "block int, kind int, bucket int, bits binary"
@@ -107,8 +110,9 @@ class Block:
         borders = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         return distinct[order], borders, np.argsort(order)[place], (count > 1)[order]
 
-    def send(self, block: int, keys: np.ndarray) -> pa.RecordBatch:
+    def send(self, block: int, keys: np.ndarray, kind: int) -> pa.RecordBatch:
         distinct, borders, _, here = self.deal(keys)
+        distinct = distinct.astype(WIDTHS[kind])
         rows = []
         for b in range(self.buckets):
             own = slice(borders[b], borders[b + 1])
@@ -128,9 +132,9 @@ class Block:
 
 def sort_bucket(table: pa.Table, kind: int) -> pa.Table:
     """Sorts one bucket's keys of all blocks; tells each block which of its keys are elsewhere too."""
-    keys = []
+    keys, width = [], WIDTHS[kind]
     for raw in table["keys"].to_pylist():
-        keys.append(np.frombuffer(raw, np.uint64, len(raw) * 8 // 65))  # 8 bytes and a bit for each
+        keys.append(np.frombuffer(raw, width, len(raw) * 8 // (8 * width().itemsize + 1)))  # a key and a bit each
     joined = np.concatenate(keys)
     order = np.argsort(joined, kind="stable")
     same = joined[order][1:] == joined[order][:-1]
@@ -189,7 +193,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False, i
         for batch in batches:
             for row in batch.to_pylist():
                 block = Block(row, width, blocks)
-                yield block.send(row["block"], block.samples()[1])
+                yield block.send(row["block"], block.samples()[1], 0)
 
     ranks = save(packed.mapInArrow(samples, KEYS).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, 0), BITS), "dedup-ranks")
     release(packed)
@@ -206,7 +210,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False, i
         if not left.num_rows:
             return schema["keys"].empty_table()
         number, block, _, names, _ = opened(left, right)
-        return pa.Table.from_batches([block.send(number, names)])
+        return pa.Table.from_batches([block.send(number, names, 1)])
 
     tied = packed.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(ties, KEYS)
     repeats = save(tied.groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, 1), BITS), "dedup-repeats")
