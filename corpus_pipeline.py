@@ -13,6 +13,10 @@ from gridspark.llm import language_id, line_rules, near_duplicates, packing, sub
 from gridspark.llm.common import save, short_batches
 
 
+#: Score from which a predicted language may contradict the recorded one.
+CLEAR = 0.05
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are mostly content lines."""
     short_batches(spark)
@@ -21,10 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a determined language that does not contradict the recorded one."""
+    """Documents with a determined language that does not clearly contradict the recorded one."""
     found = language_id.identify_held_out(docs, carry=True)
-    agrees = F.coalesce(F.col("row.lang") == F.col("lang_pred"), F.lit(True))
-    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & agrees).select("row.*")
+    contradicts = F.coalesce(F.col("row.lang") != F.col("lang_pred"), F.lit(False)) & (F.col("score") >= CLEAR)
+    return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~contradicts).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

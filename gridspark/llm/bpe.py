@@ -8,7 +8,6 @@ pair and remembered. The result equals merging by rank, in time linear in the pi
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 
 import ahocorasick
@@ -17,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_schema, slices, text_or_empty
+from gridspark.llm.common import arrow_schema, kept, no_cycles, slices, text_or_empty
 
 #: Remembered chunks, pairs and pieces of a worker; a full memory is emptied, which costs time only.
 REMEMBERED = 800_000
@@ -168,14 +167,9 @@ class BacktrackingBpe:
         return sum([e[2] for e in entries]), ",".join([e[0] for e in entries]), b"".join([e[1] for e in entries])
 
 
-_encoders: dict[tuple[str, str], BacktrackingBpe] = {}
-
-
 def encoder(path: str, pattern: str) -> BacktrackingBpe:
     """One encoder for a worker process."""
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = BacktrackingBpe(read_ranks(path), pattern)
-    return _encoders[path, pattern]
+    return kept(("bpe", path, pattern), lambda: BacktrackingBpe(read_ranks(path), pattern))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,12 +193,12 @@ def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "
     schema = arrow_schema(ddl)
 
     def run(batches):
-        gc.disable()  # the memories hold no cycles, and walking them again and again takes a fifth of the time
         bpe = encoder(path, pattern)
         for part in slices(batches):
             counts, ids, decoded = [], [], []
-            for text in part.column(1).to_pylist():
-                n, joined, raw = bpe.round_trip(text)
+            with no_cycles():
+                found = [bpe.round_trip(text) for text in part.column(1).to_pylist()]
+            for n, joined, raw in found:
                 counts.append(n)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded.append(hashlib.sha256(raw).hexdigest())

@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.llm.common import arrow_schema, carried, crc_bucket, text_or_empty
+from gridspark.llm.common import arrow_schema, carried, crc_bucket, kept, text_or_empty
 
 #: Bound of the labelled sample: documents of a language, and their characters in all.
-SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
+SAMPLE_DOCS, SAMPLE_CHARS = 80, 40_000
 #: A phrase ends at the latest where a segment of this many symbols ends, so that segments are parsed side by side.
 SEGMENT = 2048
 #: Characters parsed at once in a task.
@@ -89,7 +89,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]])[: 4 * SAMPLE_CHARS] for lang in self.languages}
+        texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]])[: 2 * SAMPLE_CHARS] for lang in self.languages}
         alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
         self.width = len(alphabet) + 1  # the last symbol is any letter that no labelled text has
         self.symbol_of = np.full(0x110000, self.width - 1, np.int32)
@@ -163,9 +163,6 @@ class CrossParser:
         return langs, scores
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
     """doc_id (with carry: row, a struct of all columns), held_out, lang_pred and score of every whole text.
 
@@ -181,15 +178,13 @@ def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "do
     names, key = arrow_schema(PREDICTED).names, hash(str(sorted(samples.items())))
 
     def run(batches):
-        if key not in _parsers:
-            _parsers.clear()
-            _parsers[key] = CrossParser(samples)
+        parser = kept(("languages", key), lambda: CrossParser(samples))
         for batch in batches:
             sizes = np.cumsum(batch.column(3).to_numpy()) // GROUP_CHARS
             for group in np.unique(sizes):
                 at = np.flatnonzero(sizes == group)
                 part = batch.slice(int(at[0]), len(at))
-                langs, scores = _parsers[key].predict(part.column(2).to_pylist())
+                langs, scores = parser.predict(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs), pa.array(scores, pa.float64())], names=[part.schema.names[0], *names])
 
     text = text_or_empty(F.col(text_col))

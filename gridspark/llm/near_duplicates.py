@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import save, slices, text_or_empty
+from gridspark.llm.common import kept, save, slices, text_or_empty
 from gridspark.llm.components import connected_components
 
 #: Words of a shingle, coordinates of a signature, agreeing ones of a candidate. At a similarity of 0.85 fewer than 16 of 32
@@ -26,7 +26,7 @@ SHINGLE, COORDINATES, MATCHES = 5, 32, 16
 #: Texts compared with one central text in a task.
 SALTED = 256
 #: Remembered words of a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _MIX = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) & (2**64 - 1) | 1 for i in range(64)], np.uint64)
 
@@ -41,8 +41,6 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
-
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -54,7 +52,7 @@ def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     words = text.encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    hashes = np.fromiter(map(kept("shingles", _Words).__getitem__, words), np.uint64, len(words))
     span = min(size, len(words))
     n = len(words) - span + 1
     total = np.full(n, span, np.uint64)

@@ -8,7 +8,6 @@ again and their items go, pooled over all shards, through another round.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import unicodedata
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 from tokenizers import Tokenizer
 
-from gridspark.llm.common import arrow_schema, save, slices, text_or_empty
+from gridspark.llm.common import arrow_schema, kept, no_cycles, save, slices, text_or_empty
 
 #: Items of a shard, islands of a shard, epochs with a migration between them.
 SHARD_ITEMS, ISLANDS, EPOCHS = 4096, 2, 2
@@ -34,7 +33,7 @@ POPULATION, GENERATIONS = 3, 5
 #: A sequence filled less than this is opened again in the next round; rounds at most.
 WELL_FILLED, ROUNDS = 0.995, 4
 #: Remembered chunks of a worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -233,13 +232,8 @@ class WordTokens:
         return b"".join([known(x) or chunk(x) for x in text.split()])
 
 
-_tokens: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
-    if path not in _tokens:
-        _tokens[path] = WordTokens(path)
-    return _tokens[path]
+    return kept(("words", path), lambda: WordTokens(path))
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,12 +246,12 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, wit
     schema, closing = arrow_schema(ddl), np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        gc.disable()  # the memory of chunks holds no cycles
         tokens = word_tokens(path)
         for part in slices(batches):
             at, columns = [], [[] for _ in range(5)]
-            for i, text in enumerate(part.column(1).to_pylist()):
-                raw = tokens.encode(text) + closing
+            with no_cycles():
+                encoded = [tokens.encode(text) + closing for text in part.column(1).to_pylist()]
+            for i, raw in enumerate(encoded):
                 for piece, start in enumerate(range(0, len(raw), 4 * capacity)):
                     cut = raw[start : start + 4 * capacity]
                     at.append(i)

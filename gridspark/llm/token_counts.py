@@ -13,23 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.bpe import read_ranks
-from gridspark.llm.common import arrow_schema, slices, text_or_empty
+from gridspark.llm.common import arrow_schema, kept, slices, text_or_empty
 
 RULES = ("largest", "start", "end")
 COUNTS = "doc_id bigint, section int, start bigint, length bigint, n_tokens bigint, n_crossing bigint"
 
-_encodings: dict[tuple[str, str], tuple[tiktoken.Encoding, np.ndarray]] = {}
-
-
 def encoding(path: str, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     """A worker's encoding and the byte length of each of its tokens."""
-    if (path, pattern) not in _encodings:
+
+    def build():
         ranks = read_ranks(path)
         lengths = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
-        _encodings[path, pattern] = tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
-    return _encodings[path, pattern]
+        return tiktoken.Encoding("sections", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), lengths
+
+    return kept(("sections", path, pattern), build)
 
 
 def line_starts(raw: bytes) -> np.ndarray:
