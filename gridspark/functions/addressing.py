@@ -51,9 +51,13 @@ def box(r1: Column, c1: Column, r2: Column, c2: Column, sheet: Column | None = N
 
 def box_a1(b: Column) -> Column:
     """A1 text of a box, one cell without a colon, with the sheet's name in front if there is one."""
-    first, last = cell_a1(b["r1"], b["c1"]), cell_a1(b["r2"], b["c2"])
-    text = F.when((b["r1"] == b["r2"]) & (b["c1"] == b["c2"]), first).otherwise(F.concat(first, F.lit(":"), last))
-    return F.when(b["sheet"].isNull(), text).otherwise(F.concat(b["sheet"], F.lit("!"), text))
+
+    def text(x: Column) -> Column:
+        first, last = cell_a1(x["r1"], x["c1"]), cell_a1(x["r2"], x["c2"])
+        cells = F.when((x["r1"] == x["r2"]) & (x["c1"] == x["c2"]), first).otherwise(F.concat(first, F.lit(":"), last))
+        return F.when(x["sheet"].isNull(), cells).otherwise(F.concat(x["sheet"], F.lit("!"), cells))
+
+    return let(b, text)
 
 
 def parse_box(a1: Column) -> Column:

@@ -61,7 +61,7 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
     h = h.join(touched, KEY, "left")
     grows = F.col("m").isNotNull() & ((F.col("m.r1") != F.col("hr.r1")) | (F.col("m.c1") != F.col("hr.c1")) | (F.col("m.r2") != F.col("hr.r2")) | (F.col("m.c2") != F.col("hr.c2")))
     out.append(_findings(h, (grows, "header_merged", "action", box_a1(F.col("m")))))
-    h = h.withColumn("hr", F.when(grows, F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))).drop("m")
+    h = cut(h.withColumn("hr", F.when(grows, F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))).drop("m"))
     texts = _texts(h, cells, "hr")
     t = h.join(texts, KEY)
     other_label = (F.size("texts") == 1) & (squeezed(F.get("texts", 0)) != squeezed(F.coalesce("label", F.lit(""))))
@@ -73,7 +73,7 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
     overlaps = both & intersects(F.col("hr"), F.col("dr"))
     fits = contains_box(F.col("used"), fixed)
     out.append(_findings(h, (overlaps & fits, "data_shifted", "action", box_a1(fixed)), (overlaps & ~fits, "data_overlaps", "error", box_a1(F.col("dr")))))
-    h = h.withColumn("dr", F.when(overlaps & fits, fixed).otherwise(F.col("dr").cast(BOX)))
+    h = cut(h.withColumn("dr", F.when(overlaps & fits, fixed).otherwise(F.col("dr").cast(BOX))))
     d, r = F.col("dr"), F.col("hr")
     off_band = both & F.when(by_row, (d["r1"] != r["r1"]) | (d["r2"] != r["r2"])).otherwise((d["c1"] != r["c1"]) | (d["c2"] != r["c2"]))
     along = F.struct(d["sheet"].alias("sheet"), F.when(by_row, r["r1"]).otherwise(d["r1"]).alias("r1"), F.when(by_row, d["c1"]).otherwise(r["c1"]).alias("c1"), F.when(by_row, r["r2"]).otherwise(d["r2"]).alias("r2"), F.when(by_row, d["c2"]).otherwise(r["c2"]).alias("c2")).cast(BOX)

@@ -94,7 +94,8 @@ def customer_headers(t: Tables):
     """Header tree of the customer sheet: a group over name and nation, and a wide header over balance and segment."""
     end = t.customer.agg((F.max("c_custkey") + 2).alias("last"))
     rows = [("id", 1, 1, 1), ("who", 2, 2, 3), ("name", 3, 2, 2), ("rest", 4, 4, 5)]
-    headers = t.spark.createDataFrame(rows, "header_id string, ord int, c1 bigint, c2 bigint").join(F.broadcast(end))
+    row = lambda i, ord_, c1, c2: F.struct(F.lit(i).alias("header_id"), F.lit(ord_).alias("ord"), F.lit(c1).cast("bigint").alias("c1"), F.lit(c2).cast("bigint").alias("c2"))
+    headers = end.select("last", F.inline(F.array(*(row(*r) for r in rows))))
     box = lambda r1, r2: F.struct(F.lit(None).cast("string").alias("sheet"), r1.cast("bigint").alias("r1"), F.col("c1"), r2.cast("bigint").alias("r2"), F.col("c2"))
     return headers.select(F.lit("wb").alias("wb_id"), F.lit("customer").alias("sheet"), F.lit("t1").alias("table_id"), "header_id", "ord", box(F.lit(1), F.lit(1)).alias("hr"), box(F.lit(2), F.col("last")).alias("dr"))
 

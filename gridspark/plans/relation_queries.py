@@ -134,7 +134,9 @@ def described(t: Tables):
     headers = ends.select(k.cast("string").alias("wb_id"), F.lit("customer").alias("sheet"), F.lit("t1").alias("table_id"), F.inline(rows))
     cells = reads.cells_from_table(t.customer, "customer", F.col("c_custkey"))
     body = cells.where("row > 1").join(t.customer.select((F.col("c_custkey") + 2).alias("row"), F.col("c_nationkey").cast("string").alias("k")), "row").withColumn("wb_id", F.col("k")).drop("k").select(cells.columns)
-    head = cells.where("row = 1").drop("wb_id").crossJoin(F.broadcast(ends.select(k.cast("string").alias("wb_id")))).select(cells.columns)
+    names = F.posexplode(F.array(*map(F.lit, t.customer.columns))).alias("i", "s")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    head = ends.select(k.cast("string").alias("wb_id"), names).select("wb_id", F.lit("customer").alias("sheet"), F.lit(1).cast("bigint").alias("row"), (F.col("i") + 1).alias("col"), F.lit("text").alias("kind"), "s", none("double", "n"), none("boolean", "b"), none("timestamp", "ts"), none("string", "formula"))
     return headers, body.unionByName(head)
 
 
