@@ -15,6 +15,8 @@ from gridspark.llm.common import save, short_batches
 
 #: Score from which a predicted language may contradict the recorded one.
 CLEAR = 0.05
+#: Least Jaccard similarity of near duplicates' 5-word shingles, in per cent.
+NEAR = 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +35,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and one row of each doc_id."""
-    kept = near_duplicates.near_duplicate_components(docs).where("kept").select("doc_id").distinct()
+    kept = near_duplicates.near_duplicate_components(docs, NEAR).where("kept").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay.select(docs.columns)

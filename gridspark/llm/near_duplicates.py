@@ -1,7 +1,7 @@
 """Near duplicates by a signature-coordinate inverted join.
 
 A text's set of word shingles has a MinHash signature; texts are posted under (coordinate, value) pairs. Two signatures that
-agree in at least MATCHES of COORDINATES coordinates must share one of their COORDINATES - MATCHES + 1 rarest pairs, so that
+agree in at least m of COORDINATES coordinates must share one of their COORDINATES - m + 1 rarest pairs, so that
 only these are posted: long lists are skipped without losing a collision. Texts of a list are first held against the list's
 most central text; what that leaves apart is joined once more by the rarest shingles of the full sets, which is exact. Links
 are confirmed on full sets.
@@ -20,9 +20,8 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import kept, save, slices, text_or_empty
 from gridspark.llm.components import connected_components
 
-#: Words of a shingle, coordinates of a signature, agreeing ones of a candidate. At a similarity of 0.85 fewer than 16 of 32
-#: agree once in about two million.
-SHINGLE, COORDINATES, MATCHES = 5, 32, 16
+#: Words of a shingle, coordinates of a signature, and how rarely a pair at the least similarity may lack agreeing ones.
+SHINGLE, COORDINATES, MISSED = 5, 32, 1e-6
 #: Texts compared with one central text in a task.
 SALTED = 256
 #: Remembered words of a worker.
@@ -68,6 +67,18 @@ def signatures(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.nda
     return np.stack([np.minimum.reduceat(_mixed(joined * m), starts) for m in _MIX[16 : 16 + coordinates]], axis=1)
 
 
+def least_matches(per_cent: int, coordinates: int = COORDINATES) -> int:
+    """Most coordinates that may be asked to agree: a pair at a similarity of per_cent / 100 has fewer with a chance below MISSED (16 at 85, 13 at 80)."""
+    p, fewer = per_cent / 100, 0.0
+    for m in range(coordinates + 1):
+        fewer += math.comb(coordinates, m) * p**m * (1 - p) ** (coordinates - m)
+        if fewer >= MISSED:
+            break
+    if m == 0:
+        raise ValueError(f"{coordinates} coordinates are too few for a similarity of {per_cent} per cent")
+    return m
+
+
 def _features(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("signature", pa.list_(pa.int64()))])
 
@@ -150,12 +161,13 @@ def near_duplicate_components(docs: DataFrame, per_cent: int = 85, id_col: str =
     classes = features.where("doc_id is not null and n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     classes = save(classes, "near-classes")
 
+    matches = least_matches(per_cent)
     # postings: of each class the rarest of its (coordinate, value) pairs, as far as others share them
     pairs = classes.select("id", "n", F.posexplode("signature").alias("k", "value"))
     frequent = pairs.groupBy("k", "value").agg(F.count("*").alias("f")).where("f > 1")
     shared = pairs.join(frequent, ["k", "value"]).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "k", "value"))).alias("c"))
-    prefix = COORDINATES - MATCHES + 1 - (COORDINATES - F.size("c"))
-    posted = shared.where((prefix > 0) & (F.size("c") >= MATCHES)).select("id", "n", F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + x["f"]).alias("centrality"), F.explode(F.slice("c", F.lit(1), prefix)).alias("x"))
+    prefix = COORDINATES - matches + 1 - (COORDINATES - F.size("c"))
+    posted = shared.where((prefix > 0) & (F.size("c") >= matches)).select("id", "n", F.aggregate("c", F.lit(0).cast("bigint"), lambda s, x: s + x["f"]).alias("centrality"), F.explode(F.slice("c", F.lit(1), prefix)).alias("x"))
     posted = save(posted.select("id", "n", "centrality", F.col("x.k").alias("k"), F.col("x.value").alias("value")), "near-posted")
 
     # each list's most central text against the others of like size

@@ -1,6 +1,10 @@
 """Stages of the pipeline on the small corpus."""
 
+import random
+
 import corpus_pipeline
+from gridspark.llm import near_duplicates
+from tests.llm.test_search import components, shingles
 
 
 def test_stages(spark, docs, labels, tmp_path):
@@ -22,3 +26,25 @@ def test_stages(spark, docs, labels, tmp_path):
     assert len(set(ids[2])) == len(ids[2]) and len({40, 41, 42, 43, 44, 45} & set(ids[2])) <= 1 and len({3, 46, 47} & set(ids[2])) <= 1
     run = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted({r.doc_id for r in run.collect()}) == sorted(set(ids[4]))
+
+
+def test_near_dedup_is_brute_force(spark):
+    """Groups by brute force, with pairs planted from 0.78 to 0.87: from 0.80 on one of each goes."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        copy = words[: 204 - (16 + i // 2)] + [f"n{rng.randrange(10**6)}" for _ in range(i % 2)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    sets = {i: shingles(t) for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    planted = [share(2 * i, 2 * i + 1) for i in range(60)]
+    assert sum(0.8 <= s < 0.85 for s in planted) >= 10 and min(planted) < 0.8 and max(planted) >= 0.85
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = sorted(set(components(links, sets).values()))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == want
+
+
+def test_least_matches():
+    assert near_duplicates.least_matches(85) == 16 and near_duplicates.least_matches(80) == 13
