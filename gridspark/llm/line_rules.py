@@ -50,6 +50,17 @@ def repeated_words(words: list[bytes], span: int = 5) -> int:
     return int((np.cumsum(step) > 0).sum())
 
 
+_upper: list[np.ndarray] = []
+
+
+def upper_case(text: str, span: int = 1 << 20) -> int:
+    """Upper-case characters of a whole text, counted by a table of code points, span characters at a time."""
+    if not _upper:
+        _upper.append(np.fromiter((chr(i).isupper() for i in range(0x110000)), bool, 0x110000))
+    codes = (np.frombuffer(text[at : at + span].encode("utf-32-le", "surrogatepass"), np.uint32) for at in range(0, len(text), span))
+    return sum(int(np.count_nonzero(_upper[0][c])) for c in codes)
+
+
 def line_features(lines: list[str]) -> np.ndarray:
     """Statistics of each line, in ranges near 0 to 1; the last is constant."""
     rows = np.zeros((len(lines), N_FEATURES))
@@ -59,13 +70,12 @@ def line_features(lines: list[str]) -> np.ndarray:
         n, size = len(words), max(1, len(line))
         distinct = len(set(words))
         letters = sum(map(len, words)) or 1
-        upper = sum(1 for c in line[:4096:3] if c.isupper()) * 3
         rows[i] = (
             n == 0,
             min(n, 40) / 40,
             n > 0 and line in seen,
             distinct / (n or 1),
-            min(1.0, upper / min(size, 4096)),
+            upper_case(line) / size,
             min(1.0, 4 * sum(map(line.count, SYMBOLS)) / letters),
             min(1.0, 4 * line.count("!") / letters),
             min(1.0, sum(map(line.count, "0123456789")) * 4 / letters),

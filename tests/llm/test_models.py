@@ -94,6 +94,14 @@ def test_viterbi_is_the_best_labelling():
         assert math.isclose(value(line_rules.viterbi(emission, step)), max(map(value, every)))
 
 
+def test_upper_case_of_whole_lines():
+    """Capitals off a stride, behind 4,096 characters, and outside of ASCII count like all others."""
+    lines = ["aBaaBaaBa", "x" * 4096 + "Y" * 4096, "ÄÖü Ⅷ 日本 ß😀", "", "A" * 5000, "plain"]
+    want = [sum(c.isupper() for c in line) / max(1, len(line)) for line in lines]
+    assert line_rules.line_features(lines)[:, 4].tolist() == want
+    assert [line_rules.upper_case(line, 7) for line in lines] == [sum(c.isupper() for c in line) for line in lines]
+
+
 def test_fitted_field_separates():
     good = line_rules.line_features(["The quick brown fox jumps over a lazy dog.", "It runs away from all of them."])
     bad = line_rules.line_features(["BUY!! NOW!! ###", "$$$ *** &&&"])
