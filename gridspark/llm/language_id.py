@@ -19,6 +19,8 @@ from gridspark.llm.common import arrow_schema, carried, crc_bucket, kept, text_o
 
 #: Bound of the labelled sample: documents of a language, and their characters in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 40_000
+#: A text beyond its share of the sample gives up to so many passages of at least so many characters.
+PASSAGES, SHORTEST = 16, 120
 #: A phrase ends at the latest where a segment of this many symbols ends, so that segments are parsed side by side.
 SEGMENT = 2048
 #: Characters parsed at once in a task.
@@ -27,13 +29,45 @@ UNDETERMINED = "und"
 PREDICTED = "held_out boolean, lang_pred string, score double"
 
 
+def shares(lengths: list[int], total: int = SAMPLE_CHARS) -> list[int]:
+    """Characters that each text gives: all have the same bound, the highest one at which they come to at most about total."""
+    left, bound = total, 0
+    for i, n in enumerate(sorted(lengths)):
+        bound = left // (len(lengths) - i)
+        if n > bound:
+            break
+        left -= n
+    else:
+        return lengths
+    return [min(n, max(1, bound)) for n in lengths]
+
+
+def passages(text: Column, length: Column, share: Column) -> Column:
+    """A text of up to share characters as it is; else its share in up to PASSAGES pieces, evenly drawn from start to end."""
+    pieces = F.greatest(F.lit(1), F.least(F.lit(PASSAGES), F.floor(share / SHORTEST))).cast("int")
+    each = F.floor(share / pieces).cast("int")
+    start = lambda i: (F.lit(1) + F.floor(i * (length - each) / F.greatest(F.lit(1), pieces - 1))).cast("int")
+    drawn = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring(text, start(i), each))
+    return F.when(length <= share, text).otherwise(F.array_join(drawn, "\n"))
+
+
 def labelled_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list:
-    """A bounded sample of whole labelled texts: of each language those of the smallest text hash, each distinct text once."""
+    """A bounded sample of labelled texts: of each language the distinct ones of the smallest text hash, by even passages where they are long.
+
+    Texts are chosen by their hashes alone; only the chosen ones' passages travel, copies of a text once.
+    """
     rows = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    by_hash = W.Window.partitionBy("lang").orderBy("h", "text")
-    few = rows.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SAMPLE_DOCS)
-    short = few.withColumn("before", F.coalesce(F.sum(F.length("text")).over(by_hash.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0)))
-    return short.where(F.col("before") < SAMPLE_CHARS).select("lang", "h", "text").distinct().orderBy("lang", "h").collect()
+    distinct = rows.where("text <> ''").groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
+    few = distinct.withColumn("r", F.row_number().over(W.Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS).select("lang", "h", "n").collect()
+    of_lang: dict[str, list] = {}
+    for row in few:
+        of_lang.setdefault(row["lang"], []).append(row)
+    chosen = [(lang, r["h"], share) for lang, found in of_lang.items() for r, share in zip(found, shares([r["n"] for r in found]), strict=True)]
+    if not chosen:
+        return []
+    bound = F.broadcast(docs.sparkSession.createDataFrame(chosen, "lang string, h bigint, share int"))
+    drawn = rows.join(bound, ["lang", "h"]).select("lang", "h", passages(F.col("text"), F.length("text"), F.col("share")).alias("text"))
+    return drawn.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect()
 
 
 _letters: list[np.ndarray] = []
@@ -89,7 +123,7 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]])[: 2 * SAMPLE_CHARS] for lang in self.languages}
+        texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]]) for lang in self.languages}
         alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
         self.width = len(alphabet) + 1  # the last symbol is any letter that no labelled text has
         self.symbol_of = np.full(0x110000, self.width - 1, np.int32)
@@ -166,8 +200,8 @@ class CrossParser:
 def identify(docs: DataFrame, learn: Column, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: bool = False) -> DataFrame:
     """doc_id (with carry: row, a struct of all columns), held_out, lang_pred and score of every whole text.
 
-    learn marks the rows that may be learnt from; of their languages at most SAMPLE_DOCS texts and about SAMPLE_CHARS characters
-    each are. Null texts and texts without a letter, and all texts if nothing can be learnt, get `und` and 0. The score is the
+    learn marks the rows that may be learnt from; of their languages at most SAMPLE_DOCS distinct texts and about SAMPLE_CHARS
+    characters each are, and all of these texts with an equal bound, so that neither copies nor one long text fill a sample. Null texts and texts without a letter, and all texts if nothing can be learnt, get `und` and 0. The score is the
     share by which the second best language's entropy exceeds the best's, 1 if there is one language only; ties go to the
     first language by name. Repeated rows give repeated results.
     """

@@ -36,6 +36,35 @@ def test_language(docs, no_docs, corpus):
     assert language_id.identify_held_out(docs, carry=True).select("row.*").columns == docs.columns
 
 
+def test_language_sample_is_of_many_texts(spark):
+    """Copies count once, and a very long text leaves room for the others and is drawn from its start to its end."""
+    long, copy, few = "".join(f"{chr(97 + i // 9000)} " * 9 for i in range(90_000)), "copied text", [f"other text {i}" for i in range(20)]
+    rows = [(i, t, "en") for i, t in enumerate([long, *[copy] * 300, *few])] + [(900, "uno dos", "es"), (901, "", "es")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    found = language_id.labelled_sample(docs, F.lit(True), "doc_id", "text", "lang")
+    english = [r.text for r in found if r.lang == "en"]
+    assert sorted(t for t in english if len(t) < 100) == sorted([copy, *few]) and [r.text for r in found if r.lang == "es"] == ["uno dos"]
+    drawn = max(english, key=len)
+    assert set("abcdefghij") <= set(drawn) and language_id.SAMPLE_CHARS // 2 < sum(map(len, english)) <= language_id.SAMPLE_CHARS + 100
+    for lengths in ([5, 70_000, 30_000, 9], [90_000] * 200, [10, 20], []):
+        got = language_id.shares(lengths, 40_000)
+        assert sum(got) <= 40_000 and (got == lengths or sum(got) > 39_000) and all(0 < x <= n for x, n in zip(got, lengths, strict=True))
+
+
+@pytest.mark.parametrize("first", ["copies", "long"])
+def test_language_learnt_beside_copies(spark, corpus, first):
+    """A text that comes first by hash and fills the sample by itself, in copies or by its length, doesn't stand for its language."""
+    texts = [t for i, t, lang in corpus if lang == "en" and i < 46]
+    odd = F.repeat(F.lit("zz qq xx jj "), F.lit(2500 if first == "copies" else 5000))
+    ranked = spark.range(3000).select(F.concat(odd, F.col("id").cast("string")).alias("t"), F.xxhash64("t").alias("h")).orderBy("h").first()
+    assert ranked.h < spark.createDataFrame([(t,) for t in texts], "t string").agg(F.min(F.xxhash64("t"))).first()[0]
+    rows = [(i, t, "en") for i, t in enumerate([ranked.t] * (120 if first == "copies" else 1) + texts)]
+    rows += [(1000 + i, t, "es") for i, t, lang in corpus if lang == "es" and i < 46]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language_id.identify(docs, F.lit(True), F.lit(False)).where("doc_id >= 120 and doc_id < 1000" if first == "copies" else "doc_id >= 1 and doc_id < 1000").collect()
+    assert len(found) == len(texts) and {r.lang_pred for r in found} == {"en"}
+
+
 def test_phrases_are_longest_matches():
     parser = language_id.CrossParser({"a": ["banana bandana"], "b": ["cabbage"]})
     text = "bananadanacab"
