@@ -13,7 +13,7 @@ from gridspark.llm import language_id, line_rules, near_duplicates, packing, sub
 from gridspark.llm.common import save, short_batches
 
 
-#: Score from which a predicted language may contradict the recorded one.
+#: Score from which a predicted language may contradict the recorded one; README gives its figures.
 CLEAR = 0.05
 #: Least Jaccard similarity of near duplicates' 5-word shingles, in per cent.
 NEAR = 80

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gridspark.llm.common import arrow_schema, carried, slices, text_or_empty
 
 #: Bound of the labelled sample and of the lines of a document that the field is fitted to; steps of the fit.
-SAMPLE_DOCS, SAMPLE_LINES, STEPS = 2000, 48, 120
+SAMPLE_DOCS, SAMPLE_LINES, STEPS = 3000, 48, 150
 #: A document is kept if at least this share of its characters is in content lines.
 CONTENT_SHARE = 0.4
 #: Fixed values of the base rules: symbols, fewest words, most repeated words in per cent.
@@ -105,20 +105,26 @@ def _forward_backward(emission: np.ndarray, step: np.ndarray, real: np.ndarray):
     return label, np.exp(np.where(real[:, 1:, None, None], pair, -np.inf)).sum((0, 1))
 
 
+def drawn(lines: np.ndarray) -> np.ndarray:
+    """Up to SAMPLE_LINES of a text's lines, evenly from its first to its last."""
+    return lines if len(lines) <= SAMPLE_LINES else lines[np.linspace(0, len(lines) - 1, SAMPLE_LINES).round().astype(int)]
+
+
 def fit(chains: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights (features x labels) and steps (labels x labels) of greatest penalised likelihood; a chain: line features, label of its lines.
 
-    Only the first SAMPLE_LINES lines of a chain are fitted to. Without chains of both labels everything is content.
+    Of a longer chain SAMPLE_LINES lines, drawn evenly, are fitted to. Without chains of both labels everything is content.
     """
     weights, step = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     if len({label for _, label in chains}) < 2:
         weights[-1, 1] = 1.0
         return weights, step
-    lines = max(min(len(x), SAMPLE_LINES) for x, _ in chains)
+    chains = [(drawn(x), label) for x, label in chains]
+    lines = max(len(x) for x, _ in chains)
     features, real = np.zeros((len(chains), lines, N_FEATURES)), np.zeros((len(chains), lines), bool)
     labels = np.array([label for _, label in chains])
     for i, (x, _) in enumerate(chains):
-        features[i, : len(x)] = x[:lines]
+        features[i, : len(x)] = x
         real[i, : len(x)] = True
     seen = np.stack([features[labels == k].sum((0, 1)) for k in (0, 1)], axis=1)
     kept_steps = np.diag([(real[labels == k].sum(1) - 1).sum() for k in (0, 1)]).astype(float)
@@ -149,22 +155,23 @@ def viterbi(emission: np.ndarray, step: np.ndarray) -> np.ndarray:
 
 
 def labelled_chains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
-    """Line features of a bounded sample of labelled documents, those of the smallest id hash.
+    """Line features of a bounded sample of labelled documents, those of the smallest text hash, each distinct text once for a label.
 
-    A document's quality label stands for all of its lines. Features of its first SAMPLE_LINES lines go to the driver.
+    A document's quality label stands for all of its lines. Texts are chosen by ids and hashes alone; features of SAMPLE_LINES
+    lines, drawn evenly from the whole document, go to the driver.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    few = marks.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)
-    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(few), "id")
-    rows = rows.select(F.xxhash64("id").alias("h"), "text", "quality")
+    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    few = texts.select("id", "h").join(marks, "id").groupBy("h", "quality").agg(F.min("id").alias("id")).orderBy("h", "quality").limit(SAMPLE_DOCS)
+    rows = texts.join(F.broadcast(few), ["id", "h"]).select("h", "text", "quality")
     schema = pa.schema([("h", pa.int64()), ("quality", pa.int32()), ("flat", pa.list_(pa.float64()))])
 
     def run(batches):
         for part in slices(batches):
-            flat = [line_features(t.split("\n"))[:SAMPLE_LINES].reshape(-1) for t in part.column(1).to_pylist()]
+            flat = [drawn(line_features(t.split("\n"))).reshape(-1) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(flat, schema.field(2).type)], schema=schema)
 
-    found = rows.mapInArrow(run, "h bigint, quality int, flat array<double>").orderBy("h", "flat").limit(SAMPLE_DOCS).collect()
+    found = rows.mapInArrow(run, "h bigint, quality int, flat array<double>").dropDuplicates(["h", "quality"]).orderBy("h", "quality").collect()
     return [(np.array(r["flat"]).reshape(-1, N_FEATURES), int(r["quality"] > 0)) for r in found]
 
 

@@ -123,6 +123,19 @@ def test_viterbi_is_the_best_labelling():
         assert math.isclose(value(line_rules.viterbi(emission, step)), max(map(value, every)))
 
 
+def test_labelled_lines_are_of_whole_distinct_texts(spark):
+    """Copies give one chain, and a long document's last lines are drawn as well."""
+    long = "\n".join(["a line of words"] * 100 + ["#"] * 100)
+    rows = [*((i, "copy") for i in range(50)), (50, long), (51, "other\ntext")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i != 50), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    chains = line_rules.labelled_chains(docs, labels, "doc_id", "text")
+    assert sorted(len(x) for x, _ in chains) == [1, 2, line_rules.SAMPLE_LINES]
+    drawn = max((x for x, _ in chains), key=len)
+    assert (drawn[:, 5] == 1).sum() == line_rules.SAMPLE_LINES // 2
+    assert (line_rules.SAMPLE_DOCS, line_rules.STEPS) == (3000, 150) and (language_id.SAMPLE_DOCS, language_id.SAMPLE_CHARS) == (96, 60_000)
+
+
 def test_upper_case_of_whole_lines():
     """Capitals off a stride, behind 4,096 characters, and outside of ASCII count like all others."""
     lines = ["aBaaBaaBa", "x" * 4096 + "Y" * 4096, "ÄÖü Ⅷ 日本 ß😀", "", "A" * 5000, "plain"]
