@@ -98,10 +98,14 @@ def logical_rows(cells: DataFrame, headers: DataFrame, merges: DataFrame | None
     return parts.select(*key, "row", "header_id", F.array_join(F.array_distinct(F.col("parts.text")), "\n").alias("value"))
 
 
-def grow_to_merges(areas: DataFrame, merges: DataFrame, most_rounds: int = 20) -> DataFrame:
-    """Areas (wb_id, sheet, r1, c1, r2, c2, one per sheet) grown to every merge that they touch, until none sticks out."""
+def grow_to_merges(areas: DataFrame, merges: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """Areas (wb_id, sheet, r1, c1, r2, c2, one per sheet) grown to every merge that they touch, until none sticks out.
+
+    A round that changes something takes in at least one more merge, so that this ends; more than most_rounds raise, if given.
+    """
     m = merges.select("wb_id", "sheet", *(F.col(x).alias(f"m_{x}") for x in ("r1", "c1", "r2", "c2")))
-    for _ in range(most_rounds):
+    rounds = 0
+    while True:
         touch = (F.col("r1") <= F.col("m_r2")) & (F.col("m_r1") <= F.col("r2")) & (F.col("c1") <= F.col("m_c2")) & (F.col("m_c1") <= F.col("c2"))
         grown = areas.join(m, ["wb_id", "sheet"], "left").groupBy("wb_id", "sheet", "r1", "c1", "r2", "c2").agg(
             *(f(F.when(touch, F.col(f"m_{x}"))).alias(f"g_{x}") for x, f in (("r1", F.min), ("c1", F.min), ("r2", F.max), ("c2", F.max)))
@@ -110,8 +114,10 @@ def grow_to_merges(areas: DataFrame, merges: DataFrame, most_rounds: int = 20) -
         wider = cut(wider)
         areas = wider.drop("changed")
         if wider.where("changed").isEmpty():
-            break
-    return areas
+            return areas
+        rounds += 1
+        if most_rounds is not None and rounds > most_rounds:
+            raise RuntimeError(f"areas still grow after {most_rounds} rounds")
 
 
 def coverage(cells: DataFrame, regions: DataFrame, least: float = 0.4) -> DataFrame:

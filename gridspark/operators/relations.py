@@ -173,22 +173,39 @@ def recalculate_rows(rows: DataFrame, formula: Column, mutations: DataFrame, key
     return overlay.withColumn(out, formula)
 
 
-def recalculate_graph(edges: DataFrame, constants: DataFrame, most_levels: int = 100) -> DataFrame:
-    """Values of cells that are weighted sums of other cells, level by level: scenario, cell, value, state (value or circular).
+def recalculate_graph(edges: DataFrame, constants: DataFrame, most_levels: int | None = None) -> DataFrame:
+    """Values of cells that are weighted sums of other cells: scenario, cell, value, state (value or circular).
 
     edges: scenario, cell, ref, weight; constants: scenario, cell, value. A constant (a mutation) wins over a cell's formula.
     Cells that never resolve, as they depend on themselves or on something blank, are circular with a null value.
+    Each round puts in the values of resolved cells, and in place of a cell with one open reference what it refers to, so that
+    a chain halves. A round resolves at least one cell or none ever will; more than most_levels rounds raise, if given.
     """
     key = ["scenario", "cell"]
     known = cut(constants.select(*key, "value"))
-    waiting = cut(edges.join(known.select(*key), key, "left_anti"))
-    for _ in range(most_levels):
-        found = known.select("scenario", F.col("cell").alias("ref"), "value")
-        ready = waiting.join(found, ["scenario", "ref"], "left").groupBy(*key).agg(F.sum(F.col("weight") * F.col("value")).alias("value"), F.count_if(F.col("value").isNull()).alias("open")).where("open = 0").select(*key, "value")
-        ready = cut(ready)
+    found = known.where("value is not null").select("scenario", F.col("cell").alias("ref"), "value")
+    first = cut(edges.join(known.select(*key), key, "left_anti").join(found, ["scenario", "ref"], "left").select(*key, "ref", "weight", "value"))
+    links = cut(first.where("value is null").groupBy(*key, "ref").agg(F.sum("weight").alias("weight")))
+    own = first.groupBy(*key).agg(F.coalesce(F.sum(F.col("weight") * F.col("value")), F.lit(0.0)).alias("base"))
+    opened = lambda nodes, links: cut(nodes.join(links.groupBy(*key).agg(F.count("*").alias("n")), key, "left").select(*key, "base", F.coalesce("n", F.lit(0)).alias("n")))
+    nodes, solved, rounds = opened(own, links), None, 0
+    while True:
+        ready = nodes.where("n = 0").select(*key, F.col("base").alias("value"))
         if ready.isEmpty():
             break
-        known = cut(known.unionByName(ready))
-        waiting = cut(waiting.join(ready.select(*key), key, "left_anti"))
-    stuck = waiting.select(*key).distinct().select(*key, F.lit(None).cast("double").alias("value"), F.lit("circular").alias("state"))
-    return known.withColumn("state", F.lit("value")).unionByName(stuck)
+        rounds += 1
+        if most_levels is not None and rounds > most_levels:
+            raise RuntimeError(f"cells still resolve after {most_levels} rounds")
+        solved = cut(ready if solved is None else solved.unionByName(ready))
+        # a reference to a resolved cell goes, one to a cell with a single open reference moves on to that; others stay
+        ends = solved.select("scenario", F.col("cell").alias("ref"), F.col("value").alias("base"), F.lit(None).cast(links.schema["ref"].dataType).alias("next"), F.lit(None).cast("double").alias("factor"))
+        passed = nodes.where("n = 1").join(links, key).select("scenario", F.col("cell").alias("ref"), "base", F.col("ref").alias("next"), F.col("weight").alias("factor")).unionByName(ends).withColumn("passes", F.lit(True))
+        moved = links.join(passed, ["scenario", "ref"], "left")
+        target = F.when(F.col("passes"), F.col("next")).otherwise(F.col("ref"))
+        moved = cut(moved.select(*key, target.alias("ref"), (F.col("weight") * F.coalesce("factor", F.lit(1.0))).alias("weight"), F.coalesce(F.col("weight") * F.col("base"), F.lit(0.0)).alias("add")))
+        links = cut(moved.where("ref is not null").groupBy(*key, "ref").agg(F.sum("weight").alias("weight")))
+        added = moved.groupBy(*key).agg(F.sum("add").alias("add"))
+        nodes = opened(nodes.where("n > 0").join(added, key).select(*key, (F.col("base") + F.col("add")).alias("base")), links)
+    stuck = nodes.select(*key, F.lit(None).cast("double").alias("value"), F.lit("circular").alias("state"))
+    values = known if solved is None else known.unionByName(solved)
+    return values.withColumn("state", F.lit("value")).unionByName(stuck)

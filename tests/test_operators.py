@@ -129,6 +129,28 @@ def test_recalculation(spark):
     assert found["F11"][0] == pytest.approx(2_400_000) and found["X"] == found["Y"] == (None, "circular")
 
 
+def test_long_chains_resolve(spark):
+    """A running total down 150 rows, a sum over two of its rows, a self-reference and references to it and to a blank."""
+    rows = [x for i in range(1, 151) for x in ((f"B{i}", f"B{i - 1}", 1.0), (f"B{i}", f"A{i}", 1.0))]
+    rows += [("D", "B120", 2.0), ("D", "B150", -1.0), ("S", "S", 1.0), ("S", "A1", 1.0), ("T", "S", 1.0), ("U", "blank", 1.0), ("U", "B3", 1.0), ("V", "U", 0.0), ("V", "D", 1.0)]
+    edges = spark.createDataFrame([(0, *r) for r in rows], "scenario int, cell string, ref string, weight double")
+    constants = spark.createDataFrame([(0, "B0", 5.0), *((0, f"A{i}", float(i)) for i in range(1, 151))], "scenario int, cell string, value double")
+    found = {r.cell: (r.value, r.state) for r in relations.recalculate_graph(edges, constants).collect()}
+    total = lambda n: 5.0 + n * (n + 1) / 2
+    assert all(found[f"B{i}"] == (total(i), "value") for i in range(151)) and found["D"] == (2 * total(120) - total(150), "value")
+    assert {c for c, (_, state) in found.items() if state == "circular"} == {"S", "T", "U", "V"} and len(found) == 306
+    with pytest.raises(RuntimeError):
+        relations.recalculate_graph(edges, constants, most_levels=2)
+
+
+def test_growing_goes_on(spark):
+    area = spark.createDataFrame([("w", "s", 1, 1, 1, 1)], "wb_id string, sheet string, r1 bigint, c1 bigint, r2 bigint, c2 bigint")
+    stairs = spark.createDataFrame([("w", "s", i, i, i + 1, i + 1) for i in range(1, 26)], area.schema)
+    assert tuple(reads.grow_to_merges(area, stairs).first())[2:] == (1, 1, 26, 26)
+    with pytest.raises(RuntimeError):
+        reads.grow_to_merges(area, stairs, most_rounds=3)
+
+
 def test_merged_cells(spark):
     grid = [("Group", 1, 1), ("Group A", 2, 1), ("Shared", 2, 2), ("B3", 3, 2), ("C3", 3, 3)]
     cells = spark.createDataFrame([("w", "s", r, c, "text", v, None, None, None, None) for v, r, c in grid], "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, ts timestamp, formula string")
