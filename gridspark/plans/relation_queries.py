@@ -162,6 +162,22 @@ def verify_structure(t: Tables):
     return found.where(~named).select("wb_id", "header_id", "rule", "severity")
 
 
+def described_merges(t: Tables):
+    """Merges of the sheets of described(): two rows in column B at every seventh customer, and E1:F1 of every fourth nation."""
+    sheet = [F.col("c_nationkey").cast("string").alias("wb_id"), F.lit("customer").alias("sheet")]
+    box = lambda *x: [c.cast("bigint").alias(n) for n, c in zip(("r1", "c1", "r2", "c2"), x, strict=True)]
+    body = t.customer.where("c_custkey % 7 = 0").select(*sheet, *box(F.col("c_custkey") + 2, F.lit(2), F.col("c_custkey") + 3, F.lit(2)))
+    head = t.customer.where("c_nationkey % 4 = 2").select(*sheet, *box(*map(F.lit, (1, 5, 1, 6)))).distinct()
+    return body.unionByName(head)
+
+
+@query()
+def verify_structure_all(t: Tables):
+    """Every finding of every rule, with merged areas; verify_structure holds the rules that its SQL states."""
+    headers, cells = described(t)
+    return structures.verify(headers, cells, described_merges(t)).select("wb_id", "header_id", "rule", "severity", "detail")
+
+
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS wb_id, h AS header_id, h <> 'who' AS has_header, NOT (h = 'seg' AND c_nationkey % 2 = 0) AND NOT (h = 'kid' AND c_nationkey % 7 = 3) AS has_data FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(['who', 'seg', 'kid']) AS h)")
 def null_fields(t: Tables):
     headers, _ = described(t)

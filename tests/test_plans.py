@@ -35,3 +35,15 @@ def test_entry(spark):
 
 def test_sql_is_of_known_queries():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_all_findings(spark, tmp_path):
+    """Nation 6: a label mended, a header grown to a merge over two texts; nation 7: a blank header below its parent."""
+    rows = [(i, f"name {i}", 6 + i % 2, 1.5, "BUILDING", "note") for i in range(1, 9)]
+    spark.createDataFrame(rows, "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string, c_comment string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = sorted((r.wb_id, r.header_id, r.rule, r.severity) for r in __spark_entry__.queries()["verify_structure_all"](spark, str(tmp_path)).collect())
+    assert found == [
+        ("6", "kid", "child_header_outside", "error"), ("6", "kid", "label_repaired", "action"), ("6", "kid", "parent_data_over_child", "action"),
+        ("6", "seg", "data_realigned", "action"), ("6", "seg", "header_merged", "action"), ("6", "seg", "header_texts", "error"), ("6", "who", "label_repaired", "action"),
+        ("7", "kid", "header_blank", "error"), ("7", "kid", "parent_data_over_child", "action"),
+    ]
