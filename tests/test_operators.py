@@ -187,6 +187,13 @@ def test_sources():
     assert [c[2] for c in tables.json_rows('[{"k": 1}, {"k": "v"}]')] == ["k: 1", "k: v"]
 
 
+def test_long_texts_keep_all_lines(spark):
+    """More lines than the 1,999 that the SQL of text_table_cells enumerates."""
+    docs = spark.createDataFrame([(1, "\n".join(f"| a{i} | b{i} |" for i in range(5000)))], "doc_id bigint, text string")
+    rows = sorted((r.row, r.col, r.s) for r in tables.text_cells(docs).collect())
+    assert rows == [(i + 1, c, f"{x}{i}") for i in range(5000) for c, x in ((1, "a"), (2, "b"))]
+
+
 def test_workbook_file(spark, tmp_path):
     import zipfile
 
