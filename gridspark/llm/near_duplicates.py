@@ -106,10 +106,9 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full sets' Jaccard similarity is at least per_cent / 100; a text with many partners is dealt to several tasks."""
-    salt = F.pmod(F.xxhash64("b"), F.lit(64)).cast("int")
-    wide = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.least(F.lit(64), F.ceil(F.col("n") / SALTED)).cast("int").alias("ways"))
-    dealt = pairs.join(wide, "a").select("a", "b", F.pmod(salt, F.col("ways")).alias("salt"))
+    """Those of the distinct pairs (a, b) whose full sets' Jaccard similarity is at least per_cent / 100; a text with many partners is dealt to tasks of about SALTED of them."""
+    wide = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / SALTED).cast("bigint").alias("ways"))
+    dealt = pairs.join(wide, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("ways")).alias("salt"))
     many = dealt.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "items")
     one = dealt.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select(F.col("a").alias("centre"), F.col("salt").alias("part"), F.col("items").alias("centre_items"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])

@@ -65,6 +65,21 @@ def test_near_duplicates_in_chains(spark):
     check_near(near_duplicates.near_duplicate_components(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect(), rows)
 
 
+def test_partners_are_dealt_without_bound(spark, monkeypatch):
+    """A centre of 400 partners at 2 a task comes to more than 64 groups, each a small one."""
+    monkeypatch.setattr(near_duplicates, "SALTED", 2)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 401)], "a bigint, b bigint")
+    sets = near_duplicates._sets(spark.createDataFrame([(i, "a b c d e f g" if i % 2 == 0 else "h i j k l m n") for i in range(401)], "id bigint, text string"))
+    dealt = []
+    frame = type(pairs)
+    group = frame.groupBy
+    monkeypatch.setattr(frame, "groupBy", lambda df, *by: (dealt.append(df) if by == ("a", "salt") else None) or group(df, *by))
+    found = near_duplicates.confirmed(pairs, sets, 85)
+    assert sorted((r.a, r.b) for r in found.collect()) == [(0, i) for i in range(2, 401, 2)]
+    sizes = [r["count"] for r in group(dealt[0], "a", "salt").count().collect()]
+    assert len(sizes) > 64 and max(sizes) <= 12
+
+
 def test_null_ids(spark):
     rows = near_duplicates.near_duplicate_components(spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "a b c")], "doc_id bigint, text string")).collect()
     assert Counter((r.doc_id, r.component_id, r.kept) for r in rows) == Counter({(None, None, True): 2, (1, 1, True): 1})
