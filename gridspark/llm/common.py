@@ -29,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is named (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is named and all runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -45,10 +47,13 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(df: DataFrame) -> None:
-    """Let Spark delete the shuffle files of finished jobs: it does so when the driver's JVM has collected their plans."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def save_by(df: DataFrame, label: str, key: str) -> DataFrame:
+    """save(), dealt into files by key, so that grouping and joining by it need not shuffle the rows again."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("path", f"{scratch_dir(spark).rstrip('/')}/{name}").bucketBy(buckets, key).format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
 def crc_bucket(column: Column, buckets: int) -> Column:
@@ -110,7 +115,7 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a DDL string with the types used here."""
     kinds = {
         "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
-        "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
+        "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary()),
     }
     pairs = [part.strip().rsplit(" ", 1) for part in ddl.split(",")]
     return pa.schema([(name, kinds[kind]) for name, kind in pairs])

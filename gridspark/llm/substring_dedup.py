@@ -5,38 +5,44 @@ matters, and of that only which suffixes are equal. Positions of a text whose re
 are the sample: for any two positions some shift below v takes both into it. Two suffixes that agree for width bytes
 therefore hold a pair of samples that agree for width - v + 1 bytes, so that
 
-1. sample strings are sorted, bucket by bucket, and named repeated or not (the cover's ranks, as far as ties need them);
+1. sample strings are sorted, bucket by bucket, and ranked repeated or not (the cover's ranks, as far as ties need them);
 2. suffixes without a repeated sample in their first v bytes are unique and drop out;
 3. the others, the long ties, are sorted bucket by bucket to the full depth, and equal neighbours are repeats.
 
-Strings stand in the sorts as 64-bit fingerprints, which keep equality but not the alphabet's order. Texts are kept in blocks;
-a block sends each distinct key once to the key's bucket, so that a string in very many texts does not gather in one task.
+Buckets are ranges of fingerprints, so that one holds about as much as a block of text, whatever the text. A sample's
+fingerprint only sifts: equal strings always have equal ones, and unequal strings that share one are told apart as ties. Ties
+have fingerprints of 61 bits modulo a prime with multipliers drawn for each run, so that two given strings share one with a
+chance below 2^-58, whatever they are. A block sends each distinct key once to the key's bucket, sorted and as differences.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_schema, block_count, block_of, release, save, text_or_empty
+from gridspark.llm.common import arrow_schema, save, save_by, text_or_empty
 
 #: A perfect difference set: every non-zero difference modulo 133 occurs once. Fixed values.
 COVER_PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-#: Bytes of text of a block, and of a stretch that is fingerprinted at once.
-BLOCK_BYTES, STRETCH = 6 << 20, 1 << 20
+#: Bytes of text of a block, and of a stretch that is fingerprinted at once; blocks' worth of text of a bucket.
+BLOCK_BYTES, STRETCH, BLOCKS_OF_A_BUCKET = 6 << 20, 1 << 18, 2
+#: Bits of a tie's key; a sample's has so many more than the samples' number, so that about one in 64 is sifted in wrongly.
+TIE_BITS, SPARE_BITS = 61, 6
 
-#: Keys as they travel, beside their bucket: 32 bits of a sample, where a false repeat only leaves a tie to be sorted; 64 of a tied suffix.
-WIDTHS = (np.uint32, np.uint64)
+PRIME = (1 << 61) - 1
+_M30, _M31, _P = np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1), np.uint64(PRIME)
 
-PACKED = "block int, ids array<bigint>, lengths array<bigint>, copies array<int>, texts binary"
-KEYS = "bucket int, block int, keys binary"
-BITS = "block int, kind int, bucket int, bits binary"
-KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
+PACKED = "block bigint, names array<binary>, lengths array<bigint>, copies array<int>, texts binary"
+KEYS = "bucket int, block bigint, keys binary"
+BITS = "block bigint, kind int, bucket int, bits binary"
+KEPT = "h binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept_text string"
 
 _rng = np.random.Generator(np.random.PCG64(20_24))
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
@@ -52,8 +58,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[n]
 
 
-def fingerprints(data: np.ndarray, width: int) -> np.ndarray:
-    """64-bit fingerprint of the width bytes from each position on; len(data) - width + 1 of them."""
+def sifting_keys(data: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Quick keys of the width bytes from each position on; len(data) - width + 1 of them. Unequal strings may share one."""
     n = max(0, len(data) - width + 1)
     found = np.empty(n, np.uint64)
     up, down = _power_tables(STRETCH + 256)
@@ -62,15 +68,67 @@ def fingerprints(data: np.ndarray, width: int) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)])])
         x = (sums[width:] - sums[:-width]) * down[: len(part) - width + 1]
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        found[at : at + len(x)] = (x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)
+    return found
+
+
+def multipliers() -> list[int]:
+    """Drawn for each run, so that no text can be written to collide."""
+    return [secrets.randbelow(PRIME - 2) + 2 for _ in range(12)]
+
+
+def _joined(high: np.ndarray, multiplier: int, low: np.ndarray) -> np.ndarray:
+    """high * multiplier + low modulo the prime."""
+    r_high, r_low = np.uint64(multiplier >> 31), np.uint64(multiplier & ((1 << 31) - 1))
+    x_high, x_low = high >> np.uint64(31), high & _M31
+    middle = x_high * r_low + x_low * r_high
+    x = ((x_high * r_high) << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _M30) << np.uint64(31)) + x_low * r_low
+    x = (x & _P) + (x >> np.uint64(61)) + low
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def fingerprints(data: np.ndarray, width: int, drawn: list[int]) -> np.ndarray:
+    """61-bit fingerprint of the width bytes from each position on; width is at least 14.
+
+    Seven bytes are a number below the prime; twice as many are joined with another multiplier at each step, and two strings
+    that overlap make up the width.
+    """
+    n = max(0, len(data) - width + 1)
+    found = np.empty(n, np.uint64)
+    for at in range(0, n, STRETCH):
+        x = data[at : at + STRETCH + width - 1].astype(np.uint64)
+        x = x[:-1] << np.uint64(8) | x[1:]
+        x = x[:-2] << np.uint64(16) | x[2:]
+        x = x[:-3] << np.uint64(24) | (x[3:] & np.uint64(0xFFFFFF))
+        size, level = 7, 0
+        while 2 * size <= width:
+            x = _joined(x[:-size], drawn[level], x[size:])
+            size, level = 2 * size, level + 1
+        if size < width:
+            x = _joined(x[: size - width], drawn[level], x[width - size :])
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) & _P  # spreads them over the buckets, one to one
         found[at : at + len(x)] = x ^ (x >> np.uint64(29))
     return found
 
 
+def packed_keys(keys: np.ndarray, here: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of their places, and a bit each."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(keys).to_bytes(4, "little") + zstandard.compress(planes.tobytes() + np.packbits(here).tobytes(), 1)
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(zstandard.decompress(raw[4:]), np.uint8, 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1))
+
+
 class Block:
     """Whole texts side by side, of width bytes at least, and the exchange of their keys with buckets."""
 
     def __init__(self, row: dict, width: int, buckets: int):
-        self.ids, self.copies = row["ids"], row["copies"]
+        self.names, self.copies = row["names"], row["copies"]
         self.lengths = np.array(row["lengths"], np.int64)
         self.data = np.frombuffer(zstandard.decompress(row["texts"]) if row["texts"] else b"", np.uint8)
         self.starts = np.cumsum(self.lengths) - self.lengths
@@ -83,15 +141,15 @@ class Block:
             ok[max(0, end - span + 1) : end] = False
         return ok
 
-    def samples(self) -> tuple[np.ndarray, np.ndarray]:
-        """Cover positions and the fingerprints of their strings."""
+    def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cover positions and the keys of their strings."""
         span = self.width - COVER_PERIOD + 1
         in_text = np.arange(len(self.data)) - np.repeat(self.starts, self.lengths)
         chosen = np.isin(np.arange(COVER_PERIOD), COVER)[in_text % COVER_PERIOD]
         at = np.flatnonzero(chosen[: max(0, len(self.data) - span + 1)] & self._within(span))
-        return at, fingerprints(self.data, span)[at]
+        return at, sifting_keys(self.data, span, bits)[at]
 
-    def ties(self, sample_at: np.ndarray, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ties(self, sample_at: np.ndarray, repeated: np.ndarray, drawn: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes with a repeated sample in their first v bytes, and the fingerprints of their first width bytes."""
         step = np.zeros(len(self.data) + 1, np.int32)
         at = sample_at[repeated]
@@ -100,41 +158,45 @@ class Block:
         np.add.at(step, at + 1, -1)
         n = max(0, len(self.data) - self.width + 1)
         found = np.flatnonzero((np.cumsum(step)[:n] > 0) & self._within(self.width))
-        return found, fingerprints(self.data, self.width)[found]
+        needed = covered(found, self.width, len(self.data))
+        place = np.cumsum(needed) - 1  # only the ties' own bytes are fingerprinted
+        return found, fingerprints(self.data[needed], self.width, drawn)[place[found]] if len(found) else np.zeros(0, np.uint64)
 
-    def deal(self, keys: np.ndarray):
-        """Distinct keys in order of their buckets, the buckets' borders, each key's place and whether it is repeated here."""
+    def deal(self, keys: np.ndarray, bits: int):
+        """Distinct keys in order, the buckets' borders in them, each key's place and whether it is repeated here."""
         distinct, place, count = np.unique(keys, return_inverse=True, return_counts=True)
-        bucket = (distinct >> np.uint64(33)) % np.uint64(self.buckets)
-        order = np.argsort(bucket, kind="stable")
-        borders = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        return distinct[order], borders, np.argsort(order)[place], (count > 1)[order]
-
-    def send(self, block: int, keys: np.ndarray, kind: int) -> pa.RecordBatch:
-        distinct, borders, _, here = self.deal(keys)
-        distinct = distinct.astype(WIDTHS[kind])
+        borders = np.searchsorted(distinct, np.array([-(-(b << bits) // self.buckets) for b in range(self.buckets + 1)], np.uint64))
+        return distinct, borders, place, count > 1
+
+    def send(self, block: int, keys: np.ndarray, bits: int) -> pa.RecordBatch:
+        distinct, borders, _, here = self.deal(keys, bits)
         rows = []
-        for b in range(self.buckets):
+        for b in np.flatnonzero(np.diff(borders)).tolist():
             own = slice(borders[b], borders[b + 1])
-            if own.stop > own.start:
-                rows.append((b, block, distinct[own].tobytes() + np.packbits(here[own]).tobytes()))
+            rows.append((b, block, packed_keys(distinct[own], here[own])))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else ((), (), ()), arrow_schema(KEYS), strict=True)], schema=arrow_schema(KEYS))
 
-    def receive(self, keys: np.ndarray, answers: dict[int, bytes]) -> np.ndarray:
+    def receive(self, keys: np.ndarray, answers: dict[int, bytes], bits: int) -> np.ndarray:
         """Of each key, whether it is repeated anywhere."""
-        distinct, borders, place, here = self.deal(keys)
+        distinct, borders, place, here = self.deal(keys, bits)
         repeated = here.copy()
-        for b, bits in answers.items():
+        for b, raw in answers.items():
             own = slice(borders[b], borders[b + 1])
-            repeated[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=own.stop - own.start).astype(bool)
+            repeated[own] |= np.unpackbits(np.frombuffer(raw, np.uint8), count=own.stop - own.start).astype(bool)
         return repeated[place]
 
 
+def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
+    """Positions below size that a string of width bytes from one of the starts covers."""
+    step = np.zeros(size + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.add.at(step, starts + width, -1)
+    return np.cumsum(step)[:-1] > 0
+
+
 def sort_bucket(table: pa.Table, kind: int) -> pa.Table:
     """Sorts one bucket's keys of all blocks; tells each block which of its keys are elsewhere too."""
-    keys, width = [], WIDTHS[kind]
-    for raw in table["keys"].to_pylist():
-        keys.append(np.frombuffer(raw, width, len(raw) * 8 // (8 * width().itemsize + 1)))  # a key and a bit each
+    keys = [unpacked_keys(raw) for raw in table["keys"].to_pylist()]
     joined = np.concatenate(keys)
     order = np.argsort(joined, kind="stable")
     same = joined[order][1:] == joined[order][:-1]
@@ -143,97 +205,97 @@ def sort_bucket(table: pa.Table, kind: int) -> pa.Table:
     twice[order[:-1][same]] = True
     ends = np.cumsum([len(k) for k in keys])
     bits = [np.packbits(twice[end - len(k) : end]).tobytes() for k, end in zip(keys, ends, strict=True)]
-    n = len(keys)
     schema = arrow_schema(BITS)
-    return pa.Table.from_arrays([table["block"].combine_chunks(), pa.array([kind] * n, pa.int32()), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())], schema=schema)
+    return pa.Table.from_arrays([table["block"].combine_chunks(), pa.array([kind] * len(keys), pa.int32()), table["bucket"].combine_chunks(), pa.array(bits, pa.binary())], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text: one row per row of docs.
+def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False, carry: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id (with carry: row, a struct of all columns but the text), n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept_text: one row per row of docs.
 
     Matches lie within a text; repeats in the same text and overlapping ones count, and all are judged on the input. Texts
-    that occur more than once lose everything if they have width bytes. Null texts count as empty. Nothing of a text shorter
-    than width goes. kept_text is what stays as characters, without bytes of characters that were cut through.
+    that occur more than once lose everything if they have width bytes. Null texts count as empty, null ids are kept. Nothing
+    of a text shorter than width goes. kept_text is what stays as characters, without bytes of characters that were cut through.
     """
     if width < COVER_PERIOD:
         raise ValueError(f"width must be at least {COVER_PERIOD}")
     schema = {name: arrow_schema(ddl) for name, ddl in (("packed", PACKED), ("keys", KEYS), ("kept", KEPT))}
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
-    short = rows.where(F.col("n_bytes") < width).select("doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
-    long = rows.where(F.col("n_bytes") >= width).withColumn("h", F.md5("text"))
-    blocks = block_count(rows, "text", block_bytes)
-    long = long.withColumn("block", block_of([F.col("h"), F.col("doc_id")], blocks))
-
-    # exact copies: one of each stays in the sort as the others' witness
-    keys = long.select("block", "doc_id", "h", "n_bytes")
-    several = keys.groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1")
-    copies = save(keys.join(several, "h").select("block", "doc_id", "h", "n_bytes", F.col("doc_id").eqNullSafe(F.col("first")).alias("witness")), "dedup-copies")
-    gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.lit("").alias("kept_text"))
-
-    def pack(texts: pa.Table, marked: pa.Table) -> pa.Table:
-        witness = {key: w for *key, w in zip(marked["doc_id"].to_pylist(), marked["h"].to_pylist(), marked["witness"].to_pylist(), strict=True) for key in [tuple(key)]}
-        ids, lengths, flags, raws, seen = [], [], [], [], set()
-        for doc_id, h, text in zip(texts["doc_id"].to_pylist(), texts["h"].to_pylist(), texts["text"].cast(pa.binary()).to_pylist(), strict=True):
-            copy = witness.get((doc_id, h))
-            if copy is None or (copy and h not in seen):
-                seen.add(h)
-                ids.append(doc_id)
-                lengths.append(len(text))
-                flags.append(int(copy is not None))
-                raws.append(text)
-        if not ids:
-            return schema["packed"].empty_table()
-        row = {"block": (texts if texts.num_rows else marked)["block"][0].as_py(), "ids": ids, "lengths": lengths, "copies": flags, "texts": zstandard.compress(b"".join(raws), 1)}
-        return pa.Table.from_pylist([row], schema=schema["packed"])
-
-    packed = save(long.groupBy("block").cogroup(copies.groupBy("block")).applyInArrow(pack, PACKED), "dedup-blocks")
-    release(packed)
+    first = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col)).alias("row") if carry else F.col(id_col).cast("bigint").alias("doc_id")
+    rows = docs.select(first, text_or_empty(F.col(text_col)).alias("text")).withColumn("n_bytes", F.octet_length("text").cast("bigint"))
+    key = rows.columns[0]
+    short = rows.where(F.col("n_bytes") < width).select(key, "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.col("text").alias("kept_text"))
+    long = rows.where(F.col("n_bytes") >= width).withColumn("h", F.unhex(F.sha2("text", 256)))
+
+    # one of each text takes part, combined before it travels; a text with copies loses everything
+    texts = long.groupBy("h").agg(F.count("*").alias("n"), F.first("text").alias("text")).select("h", (F.col("n") > 1).cast("int").alias("copy"), "text")
+
+    def pack(batches):
+        block = (TaskContext.get().partitionId() << 32) - 1
+        names, flags, raws, size = [], [], [], 0
+
+        def row():
+            texts = zstandard.compress(b"".join(raws), 3)
+            return pa.RecordBatch.from_pylist([{"block": block, "names": names, "lengths": [len(x) for x in raws], "copies": flags, "texts": texts}], schema=schema["packed"])
+
+        for batch in batches:
+            for name, copy, raw in zip(*(batch.column(i) for i in range(2)), batch.column(2).cast(pa.binary()), strict=True):
+                raw = raw.as_py()
+                if size and size + len(raw) > block_bytes:
+                    block += 1
+                    yield row()
+                    names, flags, raws, size = [], [], [], 0
+                names.append(name.as_py())
+                flags.append(copy.as_py())
+                raws.append(raw)
+                size += len(raw)
+        if raws:
+            block += 1
+            yield row()
+
+    packed = save_by(texts.mapInArrow(pack, PACKED), "dedup-blocks", "block")
+    found = packed.agg(F.count("*").alias("blocks"), F.sum(F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)).alias("bytes")).first()
+    buckets = max(1, -(-(found["bytes"] or 0) // (BLOCKS_OF_A_BUCKET * block_bytes)))
+    bits = min(60, max(20, ((found["bytes"] or 0) * len(COVER) // COVER_PERIOD).bit_length() + SPARE_BITS))
+    drawn = multipliers()
 
     def samples(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                block = Block(row, width, blocks)
-                yield block.send(row["block"], block.samples()[1], 0)
+                block = Block(row, width, buckets)
+                yield block.send(row["block"], block.samples(bits)[1], bits)
 
     ranks = save(packed.mapInArrow(samples, KEYS).groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, 0), BITS), "dedup-ranks")
-    release(packed)
 
     def opened(left: pa.Table, right: pa.Table):
         row = left.to_pylist()[0]
-        block, answers = Block(row, width, blocks), ({}, {})
-        for kind, bucket, bits in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True):
-            answers[kind][bucket] = bits
-        at, names = block.samples()
-        return (row["block"], block, *block.ties(at, block.receive(names, answers[0])), answers[1])
+        block, answers = Block(row, width, buckets), ({}, {})
+        for kind, bucket, raw in zip(right["kind"].to_pylist(), right["bucket"].to_pylist(), right["bits"].to_pylist(), strict=True):
+            answers[kind][bucket] = raw
+        at, names = block.samples(bits)
+        return (row["block"], block, *block.ties(at, block.receive(names, answers[0], bits), drawn), answers[1])
 
     def ties(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema["keys"].empty_table()
         number, block, _, names, _ = opened(left, right)
-        return pa.Table.from_batches([block.send(number, names, 1)])
+        return pa.Table.from_batches([block.send(number, names, TIE_BITS)])
 
     tied = packed.groupBy("block").cogroup(ranks.groupBy("block")).applyInArrow(ties, KEYS)
     repeats = save(tied.groupBy("bucket").applyInArrow(lambda t: sort_bucket(t, 1), BITS), "dedup-repeats")
-    release(packed)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema["kept"].empty_table()
         _, block, at, names, answers = opened(left, right)
-        at = at[block.receive(names, answers)]
-        step = np.zeros(len(block.data) + 1, np.int32)
-        np.add.at(step, at, 1)
-        np.add.at(step, at + width, -1)
-        covered = np.cumsum(step)[:-1] > 0
+        gone = covered(at[block.receive(names, answers, TIE_BITS)], width, len(block.data))
         out = []
-        for doc_id, copy, start, n in zip(block.ids, block.copies, block.starts, block.lengths, strict=True):
-            if not copy:
-                off = covered[start : start + n]
-                kept = block.data[start : start + n][~off].tobytes()
-                spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
-                out.append({"doc_id": doc_id, "n_bytes": int(n), "n_removed": int(n) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
+        for name, copy, start, n in zip(block.names, block.copies, block.starts, block.lengths, strict=True):
+            off = np.ones(n, bool) if copy else gone[start : start + n]
+            kept = block.data[start : start + n][~off].tobytes()
+            spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
+            out.append({"h": name, "n_removed": int(n) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
         return pa.Table.from_pylist(out, schema=schema["kept"])
 
     unique = packed.groupBy("block").cogroup(ranks.unionByName(repeats).groupBy("block")).applyInArrow(finish, KEPT)
-    found = short.unionByName(gone).unionByName(unique)
-    return found if with_text else found.drop("kept_text")
+    kept = long.select(key, "n_bytes", "h").join(unique, "h").select(short.columns)
+    result = short.unionByName(kept)
+    return result if with_text else result.drop("kept_text")

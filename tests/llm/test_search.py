@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gridspark.llm import near_duplicates, substring_dedup, vector_search
@@ -118,6 +119,44 @@ def test_substring_dedup_borders(spark):
     assert all(hashlib.sha256(r.kept_text.encode()).hexdigest() == r.kept_sha256 for r in found)
 
 
+def test_substring_dedup_of_texts_written_to_collide(spark):
+    """Thue-Morse blocks share every polynomial fingerprint modulo a power of two; no 200-byte string repeats here."""
+    signs = [bin(i).count("1") % 2 for i in range(64)]
+    word = lambda turn: "".join(a[s ^ turn] for a in ("+>", "[R", "CX") for s in signs) + "filler--"
+    one, other = word(0), word(1)
+    rows = [(1, one, "en"), (2, other, "en"), (3, one[:199] + "?", "en"), (4, other[:199] + "?", "en")]
+    found = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert Counter(tuple(r) for r in found) == removed(rows, 200)
+    assert not any(r.n_removed for r in found)
+
+
+def test_fingerprints_are_of_the_whole_string():
+    rng = np.random.default_rng(3)
+    data, drawn = rng.integers(0, 256, 700_000).astype(np.uint8), substring_dedup.multipliers()
+    data[400_000:400_500] = data[1000:1500]
+    for width in (14, 133, 200, 300):
+        x = substring_dedup.fingerprints(data, width, drawn)
+        assert len(x) == len(data) - width + 1 and x.max() <= substring_dedup.PRIME
+        _, first, n = np.unique(x, return_index=True, return_counts=True)
+        assert sorted(first[n > 1]) == list(range(1000, 1501 - width))
+        change = data[:width].copy()
+        for i in range(width):
+            change[i] ^= 1
+            assert substring_dedup.fingerprints(change, width, drawn)[0] != x[0]
+            change[i] ^= 1
+
+
+def test_packed_keys():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 61, 5000, dtype=np.uint64))
+    assert (substring_dedup.unpacked_keys(substring_dedup.packed_keys(keys, np.zeros(len(keys), bool))) == keys).all()
+
+
+def test_substring_dedup_carries_rows(docs, corpus):
+    found = substring_dedup.remove_repeats(docs, with_text=True, carry=True)
+    assert found.select("row.*").columns == [c for c in docs.columns if c != "text"]
+    assert Counter((r.row.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect()) == removed(corpus, 200)
+
+
 def test_cover():
     cover, v = substring_dedup.COVER, substring_dedup.COVER_PERIOD
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))
