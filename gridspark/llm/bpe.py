@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import arrow_schema, kept, no_cycles, slices, text_or_empty
 
-#: Remembered chunks, pairs and pieces of a worker; a full memory is emptied, which costs time only.
-REMEMBERED = 800_000
+#: Remembered chunks, pairs and pieces of a worker, and characters of the longest chunk that is; a full memory is emptied, which costs time only.
+REMEMBERED, LONGEST = 800_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -138,9 +138,10 @@ class BacktrackingBpe:
         else:
             ids = self.encode_piece(chunk.encode()) if key.isascii() and key.isalpha() and self.spaced_words else self.encode(chunk)
             entry = (",".join(map(str, ids)), self.decode(ids), len(ids))
-        if len(memory) >= REMEMBERED:
-            memory.clear()
-        memory[key] = entry
+        if len(key) <= LONGEST:
+            if len(memory) >= REMEMBERED:
+                memory.clear()
+            memory[key] = entry
         return entry
 
     def round_trip(self, text: str) -> tuple[int, str, bytes]:

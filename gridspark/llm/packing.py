@@ -32,8 +32,8 @@ SHARD_ITEMS, ISLANDS, EPOCHS = 4096, 2, 2
 POPULATION, GENERATIONS = 3, 5
 #: A sequence filled less than this is opened again in the next round; rounds at most.
 WELL_FILLED, ROUNDS = 0.995, 4
-#: Remembered chunks of a worker.
-REMEMBERED = 600_000
+#: Remembered chunks of a worker, and characters of the longest one that is.
+REMEMBERED, LONGEST = 600_000, 64
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -195,9 +195,10 @@ class WordTokens:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path) as file:
             described = json.load(file)
+        added = [re.escape(x["content"]) for x in described.get("added_tokens", ())]
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)  # texts that may hold an added token go to the tokenizer whole
         split = described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.words, self.latin = regex.compile(split), re.compile("[\x00-ɏ]*")
         vocabulary, end = described["model"]["vocab"], described["model"]["end_of_word_suffix"]
@@ -219,14 +220,15 @@ class WordTokens:
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         packed = array("I", ids).tobytes()
-        if len(self.chunks) >= REMEMBERED:
-            self.chunks.clear()
-        self.chunks[chunk] = packed
+        if len(chunk) <= LONGEST:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks.clear()
+            self.chunks[chunk] = packed
         return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split(), not to the tokenizer
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or self.added.search(text):  # the first are white space to str.split(), not to the tokenizer
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, chunk = self.chunks.get, self._chunk
         return b"".join([known(x) or chunk(x) for x in text.split()])

@@ -39,9 +39,10 @@ def test_bpe_query(docs, no_docs, corpus):
 
 
 def test_word_tokens_equal_the_tokenizer(corpus):
-    own = packing.WordTokens(WORD)
-    for text in [*ODD, *(t or "" for _, t, _ in corpus)]:
-        want = np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    own, theirs = packing.WordTokens(WORD), Tokenizer.from_file(WORD)
+    special = ["hello <|endoftext|> world", "a<|startoftext|>b", "<|EndOfText|> <|endoftext", "x" * 5000 + " " + "y" * 70]
+    for text in [*ODD, *special, *(t or "" for _, t, _ in corpus)]:
+        want = np.array(theirs.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         assert own.encode(text) == want and own.encode(text) == want
 
 
@@ -68,6 +69,18 @@ def test_packing(docs, no_docs, corpus):
     assert packing.pack_documents(no_docs, WORD, capacity).collect() == []
 
 
+def test_evolution_beats_best_fit():
+    """Items between a third and a half of a sequence: which ones share a sequence matters, and crossover finds better groups."""
+    lengths = np.random.default_rng(8).integers(1150, 2049, 1536)
+    first: tuple[list, list] = ([], [])
+    packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths, *first, 4096)
+    one = packing.evolve(lengths, 4096, 1)
+    bins, fills = packing.evolve(lengths, 4096, 2, [one, packing.evolve(lengths, 4096, 3)])
+    assert packing.fitness(fills, 4096) > packing.fitness(first[1], 4096)
+    assert len(fills) <= len(one[1]) <= len(first[1])
+    assert sorted(x for b in bins for x in b) == list(range(1536)) and max(fills) <= 4096
+
+
 def test_packing_limits(spark):
     items = spark.createDataFrame([(i, x) for i, x in enumerate([10, 10, 7, 3, 0, 5, 5])], "item bigint, length bigint")
     rows = packing.pack(items, 10).collect()
