@@ -21,10 +21,10 @@ from gridspark.llm.common import arrow_schema, carried, crc_bucket, kept, text_o
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
 #: A text beyond its share of the sample gives up to so many passages of at least so many characters.
 PASSAGES, SHORTEST = 16, 120
-#: A phrase ends at the latest where a segment of this many symbols ends, so that segments are parsed side by side.
+#: Symbols of the segments of a text that are parsed side by side.
 SEGMENT = 2048
 #: Characters parsed at once in a task.
-GROUP_CHARS = 4 << 20
+GROUP_CHARS = 2 << 20
 UNDETERMINED = "und"
 PREDICTED = "held_out boolean, lang_pred string, score double"
 
@@ -118,72 +118,126 @@ class SuffixAutomaton:
             last = new
 
 
+class Transitions:
+    """Targets by (state, symbol), in open addressing: as many entries as there are transitions, whatever the alphabet's size."""
+
+    def __init__(self, states: np.ndarray, symbols: np.ndarray, targets: np.ndarray):
+        keys = states.astype(np.int64) << 21 | symbols  # a code point has 21 bits
+        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.keys, self.targets = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            placed = free[first]
+            self.keys[at[placed]], self.targets[at[placed]] = keys[left[placed]], targets[left[placed]]
+            rest = np.ones(len(left), bool)
+            rest[placed] = False
+            left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Targets, -1 where there is no transition."""
+        keys = (states << 21 | symbols).ravel()
+        at = self._slot(keys)
+        there = self.keys[at]
+        found = np.where(there == keys, self.targets[at], -1)
+        open_ = np.flatnonzero((there != keys) & (there >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at[open_]]
+            hit = open_[there == keys[open_]]
+            found[hit] = self.targets[at[hit]]
+            open_ = open_[(there != keys[open_]) & (there >= 0)]
+        return found.reshape(states.shape)
+
+
 class CrossParser:
     """Phrase counts of texts against the labelled text of each language."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
         texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]]) for lang in self.languages}
-        alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts.values()]))
-        self.width = len(alphabet) + 1  # the last symbol is any letter that no labelled text has
-        self.symbol_of = np.full(0x110000, self.width - 1, np.int32)
-        self.symbol_of[alphabet] = np.arange(len(alphabet))
         self.bits = np.array([math.log2(max(2, len(texts[lang]))) for lang in self.languages])
-        rows, roots = [], []
+        states, symbols, targets, roots, base = [], [], [], [], 0
         for lang in self.languages:
-            base = len(rows)
             roots.append(base)
-            for state in SuffixAutomaton(self.symbol_of[texts[lang]].tolist()).next:
-                rows.append((base, state))
-        # one row of targets per state; where a match ends, the next one starts from the root and bit 0 says so
-        self.table = np.empty((len(rows), self.width), np.int32)
-        start = None
-        for i, (base, state) in enumerate(rows):
-            if i == base:
-                start = np.full(self.width, 2 * base * self.width, np.int32)
-                for s, to in state.items():
-                    start[s] = 2 * (base + to) * self.width
-            self.table[i] = start + 1
-            if i == base:
-                known = list(state)
-                self.table[i, known] = start[known] + 1
-            else:
-                for s, to in state.items():
-                    self.table[i, s] = 2 * (base + to) * self.width
-        self.flat, self.roots = self.table.reshape(-1), np.array(roots, np.int64) * self.width
+            automaton = SuffixAutomaton(texts[lang].tolist()).next
+            sizes = np.fromiter(map(len, automaton), np.int64, len(automaton))
+            states.append(base + np.repeat(np.arange(len(automaton)), sizes))
+            symbols.append(np.fromiter((s for state in automaton for s in state), np.int64, sizes.sum()))
+            targets.append(base + np.fromiter((to for state in automaton for to in state.values()), np.int64, sizes.sum()))
+            base += len(automaton)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        self.transitions, self.roots = Transitions(join(states), join(symbols), join(targets)), np.array(roots, np.int64)
+
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase starts with this symbol because the one before could not be followed further."""
+        reached = self.transitions.follow(state, np.broadcast_to(symbols, state.shape))
+        starts = (reached < 0) | (state == self.roots[:, None])
+        language = np.nonzero(starts)[0]
+        again = self.transitions.follow(self.roots[language], np.broadcast_to(symbols, state.shape)[starts])
+        # a symbol that the language doesn't have is a phrase of its own: the next one starts at the root again
+        reached[starts] = np.where(again < 0, self.roots[language], again)
+        return reached.astype(np.int64), starts
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each symbol sequence (rows) against each language (columns); the texts' segments run in lockstep."""
-        owner, cuts = [], []
-        for i, symbols in enumerate(texts):
-            for at in range(0, len(symbols), SEGMENT):
-                owner.append(i)
-                cuts.append(symbols[at : at + SEGMENT])
+        """Phrases of each symbol sequence (rows) against each language (columns).
+
+        Texts are cut into segments that are parsed side by side, each as if a phrase began with it. A segment's true parse
+        begins in the state that the one before ends in; it is followed until a phrase starts where one does in the first
+        parse, from where on both agree. Where they never do, the next segment's is followed again from the state that this gives.
+        """
+        cuts = [(i, symbols[at : at + SEGMENT]) for i, symbols in enumerate(texts) for at in range(0, len(symbols), SEGMENT)]
         found = np.zeros((len(texts), len(self.languages)), np.int64)
         if not cuts:
             return found
-        sizes = np.array([len(c) for c in cuts])
+        owner, sizes = np.array([i for i, _ in cuts]), np.array([len(c) for _, c in cuts])
+        langs, longest = len(self.languages), int(sizes.max())
+        grid = np.zeros((longest, len(cuts)), np.int64)
+        for k, (_, c) in enumerate(cuts):
+            grid[: len(c), k] = c
         order = np.argsort(-sizes, kind="stable")
-        sizes = sizes[order]
-        grid = np.zeros((sizes[0], len(cuts)), np.int32)
-        for lane, i in enumerate(order):
-            grid[: len(cuts[i]), lane] = cuts[i]
-        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(sizes[0]), "right")
-        state = np.repeat(self.roots[:, None], len(cuts), axis=1)
-        count = np.zeros(state.shape, np.int32)
-        for t, n in enumerate(active):  # every segment starts with a phrase, as its first symbol is read at the root
-            reached = self.flat[state[:, :n] + grid[t, :n]]
-            count[:, :n] += reached & 1
-            state[:, :n] = reached >> 1
-        for k in range(len(self.languages)):
-            found[:, k] = np.bincount(np.array(owner)[order], count[k], len(texts))
+        active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
+        starts = np.zeros((longest, langs, len(cuts)), bool)
+        end = np.repeat(self.roots[:, None], len(cuts), axis=1)
+        for t, n in enumerate(active):
+            lanes = order[:n]
+            end[:, lanes], starts[t][:, lanes] = self._step(end[:, lanes], grid[t, lanes])
+        begin = np.repeat(self.roots[:, None], len(cuts), axis=1)  # the state before each segment that its parse assumes
+        later = np.append(False, owner[1:] == owner[:-1])
+        while True:
+            before = np.concatenate([begin[:, :1], end[:, :-1]], axis=1)
+            language, lane = np.nonzero(later & (before != begin))
+            if not len(lane):
+                break
+            begin[language, lane] = state = before[language, lane]
+            for t in range(longest + 1):
+                over = sizes[lane] <= t
+                end[language[over], lane[over]] = state[over]
+                language, lane, state = language[~over], lane[~over], state[~over]
+                if not len(lane):
+                    break
+                symbols = grid[t, lane]
+                reached = self.transitions.follow(state, symbols)
+                new = (reached < 0) | (state == self.roots[language])
+                agreed = new & starts[t, language, lane]
+                again = self.transitions.follow(self.roots[language[new]], symbols[new])
+                reached[new] = np.where(again < 0, self.roots[language[new]], again)
+                starts[t, language, lane] = new
+                language, lane, state = language[~agreed], lane[~agreed], reached[~agreed].astype(np.int64)
+        count = starts.sum(0)
+        for k in range(langs):
+            found[:, k] = np.bincount(owner, count[k], len(texts))
         return found
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         points = [code_points(t) for t in texts]
         if not self.languages:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        entropy = self.phrases([self.symbol_of[p] for p in points]) * self.bits
+        entropy = self.phrases(points) * self.bits
         langs, scores = [], []
         for p, h in zip(points, entropy, strict=True):
             if not p.any():

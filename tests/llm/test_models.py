@@ -3,6 +3,7 @@
 import math
 import re
 import zlib
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -65,18 +66,40 @@ def test_language_learnt_beside_copies(spark, corpus, first):
     assert len(found) == len(texts) and {r.lang_pred for r in found} == {"en"}
 
 
-def test_phrases_are_longest_matches():
-    parser = language_id.CrossParser({"a": ["banana bandana"], "b": ["cabbage"]})
-    text = "bananadanacab"
-    symbols = parser.symbol_of[language_id.code_points(text)]
-    for k, source in enumerate(("banana bandana ", "cabbage ")):
-        phrases, at = 0, 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in source:
-                n += 1
-            phrases, at = phrases + 1, at + n
-        assert parser.phrases([symbols])[0, k] == phrases
+def longest_match_phrases(symbols, source):
+    """Phrases by plain search in a string of symbols."""
+    text, source, phrases, at = "".join(map(chr, symbols)), "".join(map(chr, source)), 0, 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in source:
+            n += 1
+        phrases, at = phrases + 1, at + n
+    return phrases
+
+
+def test_phrases_are_longest_matches(monkeypatch):
+    rng = random.Random(12)
+    samples = {"a": ["banana bandana", "a band"], "b": ["cabbage"], "c": ["".join(rng.choice("abcdn ") for _ in range(400))]}
+    parser = language_id.CrossParser(samples)
+    sources = [np.concatenate([np.append(language_id.code_points(t), 0) for t in samples[lang]]) for lang in "abc"]
+    texts = ["bananadanacab", "x", "zzz!banana", "", "nab" * 300, samples["c"][0][50:390] * 2, "banana bandana" * 40]
+    texts += ["".join(rng.choice("abcdnxg ") for _ in range(n)) for n in (63, 64, 65, 500, 700)]
+    points = [language_id.code_points(t) for t in texts]
+    want = [[longest_match_phrases(p, s) for s in sources] for p in points]
+    for segment in (1, 2, 7, 64, 2048):  # borders of segments don't show
+        monkeypatch.setattr(language_id, "SEGMENT", segment)
+        assert parser.phrases(points).tolist() == want
+
+
+def test_large_alphabets():
+    """Two scripts of 3,000 letters each: transitions take memory by their number, not by the alphabet's size."""
+    rng = random.Random(3)
+    scripts = {"h": range(0xAC00, 0xAC00 + 3000), "z": range(0x4E00, 0x4E00 + 3000)}
+    draw = lambda lang, n: "".join(chr(rng.choice(scripts[lang])) for _ in range(n))
+    parser = language_id.CrossParser({lang: [draw(lang, 20_000)] for lang in scripts})
+    assert parser.transitions.keys.nbytes + parser.transitions.targets.nbytes < 24 << 20
+    langs, scores = parser.predict([draw("h", 50), draw("z", 50), draw("z", 5000), "😀"])
+    assert langs == ["h", "z", "z", "und"] and min(scores[:3]) > 0.2
 
 
 def test_quality(docs, no_docs, labels, corpus):
