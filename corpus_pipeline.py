@@ -44,8 +44,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated passages; documents of which nothing is left go."""
-    kept = substring_dedup.remove_repeats(docs, with_text=True).where("kept_text <> ''").select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("bigint").alias("n_chars"))
-    return docs.drop("text", "n_chars").join(kept, "doc_id").select(docs.columns)
+    found = substring_dedup.remove_repeats(docs, with_text=True, carry=True).where("kept_text <> ''")
+    return found.select("row.*", F.col("kept_text").alias("text")).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
