@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +106,18 @@ def no_cycles():
         gc.enable()
 
 
+def packed_longs(values: np.ndarray) -> bytes:
+    """Non-negative longs in order as zstd of their differences, byte by byte of their places."""
+    planes = np.diff(values.astype(np.uint64, copy=False), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(4, "little") + zstandard.compress(planes.tobytes(), 1)
+
+
+def unpacked_longs(raw: bytes) -> np.ndarray:
+    n = int.from_bytes(raw[:4], "little")
+    planes = np.frombuffer(zstandard.decompress(raw[4:]), np.uint8, 8 * n).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1))
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """Arrow batches cut into short ones, so that Python objects of a few rows exist at a time."""
     for batch in batches:

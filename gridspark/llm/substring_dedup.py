@@ -32,7 +32,7 @@ from gridspark.llm.common import arrow_schema, save, save_by, text_or_empty
 #: A perfect difference set: every non-zero difference modulo 133 occurs once. Fixed values.
 COVER_PERIOD, COVER = 133, (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 #: Bytes of text of a block, and of a stretch that is fingerprinted at once; blocks' worth of text of a bucket.
-BLOCK_BYTES, STRETCH, BLOCKS_OF_A_BUCKET = 6 << 20, 1 << 18, 2
+BLOCK_BYTES, STRETCH, BLOCKS_OF_A_BUCKET = 4 << 20, 1 << 18, 2
 #: Bits of a tie's key; a sample's has so many more than the samples' number, so that about one in 64 is sifted in wrongly.
 TIE_BITS, SPARE_BITS = 61, 6
 
@@ -58,17 +58,18 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[n]
 
 
-def sifting_keys(data: np.ndarray, width: int, bits: int) -> np.ndarray:
-    """Quick keys of the width bytes from each position on; len(data) - width + 1 of them. Unequal strings may share one."""
-    n = max(0, len(data) - width + 1)
-    found = np.empty(n, np.uint64)
+def sifting_keys(data: np.ndarray, at: np.ndarray, width: int, bits: int) -> np.ndarray:
+    """Quick keys of the width bytes from each of the places on, which are in order. Unequal strings may share one."""
+    found = np.empty(len(at), np.uint64)
     up, down = _power_tables(STRETCH + 256)
-    for at in range(0, n, STRETCH):
-        part = data[at : at + STRETCH + width - 1]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)])])
-        x = (sums[width:] - sums[:-width]) * down[: len(part) - width + 1]
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        found[at : at + len(x)] = (x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)
+    for start in range(0, len(data), STRETCH):
+        own = slice(*np.searchsorted(at, (start, start + STRETCH)))
+        if own.stop > own.start:
+            part, places = data[start : start + STRETCH + width - 1], at[own] - start
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up[: len(part)])])
+            x = (sums[places + width] - sums[places]) * down[places]
+            x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            found[own] = (x ^ (x >> np.uint64(29))) >> np.uint64(64 - bits)
     return found
 
 
@@ -144,23 +145,24 @@ class Block:
     def samples(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Cover positions and the keys of their strings."""
         span = self.width - COVER_PERIOD + 1
-        in_text = np.arange(len(self.data)) - np.repeat(self.starts, self.lengths)
-        chosen = np.isin(np.arange(COVER_PERIOD), COVER)[in_text % COVER_PERIOD]
+        pattern = np.isin(np.arange(COVER_PERIOD), COVER)
+        pattern = np.tile(pattern, -(-int(self.lengths.max(initial=0)) // COVER_PERIOD))
+        chosen = np.concatenate([pattern[:n] for n in self.lengths] or [pattern])
         at = np.flatnonzero(chosen[: max(0, len(self.data) - span + 1)] & self._within(span))
-        return at, sifting_keys(self.data, span, bits)[at]
+        return at, sifting_keys(self.data, at, span, bits)
 
     def ties(self, sample_at: np.ndarray, repeated: np.ndarray, drawn: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Suffixes with a repeated sample in their first v bytes, and the fingerprints of their first width bytes."""
-        step = np.zeros(len(self.data) + 1, np.int32)
         at = sample_at[repeated]
         text_start = self.starts[np.searchsorted(self.starts, at, "right") - 1] if len(at) else at
-        np.add.at(step, np.maximum(at - COVER_PERIOD + 1, text_start), 1)
-        np.add.at(step, at + 1, -1)
         n = max(0, len(self.data) - self.width + 1)
-        found = np.flatnonzero((np.cumsum(step)[:n] > 0) & self._within(self.width))
-        needed = covered(found, self.width, len(self.data))
-        place = np.cumsum(needed) - 1  # only the ties' own bytes are fingerprinted
-        return found, fingerprints(self.data[needed], self.width, drawn)[place[found]] if len(found) else np.zeros(0, np.uint64)
+        near = spans(np.maximum(at - COVER_PERIOD + 1, text_start), at + 1, len(self.data))
+        found = np.flatnonzero(near[:n] & self._within(self.width))
+        if not len(found):
+            return found, np.zeros(0, np.uint64)
+        needed = spans(found, found + self.width, len(self.data))  # only the ties' own bytes are fingerprinted
+        place = np.cumsum(needed, dtype=np.int32)[found] - 1
+        return found, fingerprints(self.data[needed], self.width, drawn)[place]
 
     def deal(self, keys: np.ndarray, bits: int):
         """Distinct keys in order, the buckets' borders in them, each key's place and whether it is repeated here."""
@@ -186,12 +188,11 @@ class Block:
         return repeated[place]
 
 
-def covered(starts: np.ndarray, width: int, size: int) -> np.ndarray:
-    """Positions below size that a string of width bytes from one of the starts covers."""
-    step = np.zeros(size + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + width, -1)
-    return np.cumsum(step)[:-1] > 0
+def spans(starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Positions below size that are in one of the spans from starts to before ends."""
+    step = np.bincount(starts, minlength=size + 1).astype(np.int32)
+    step -= np.bincount(ends, minlength=size + 1).astype(np.int32)
+    return np.cumsum(step, dtype=np.int32)[:size] > 0
 
 
 def sort_bucket(table: pa.Table, kind: int) -> pa.Table:
@@ -286,13 +287,14 @@ def remove_repeats(docs: DataFrame, width: int = 200, with_text: bool = False, c
         if not left.num_rows:
             return schema["kept"].empty_table()
         _, block, at, names, answers = opened(left, right)
-        gone = covered(at[block.receive(names, answers, TIE_BITS)], width, len(block.data))
+        at = at[block.receive(names, answers, TIE_BITS)]
+        gone = spans(at, at + width, len(block.data))
         out = []
         for name, copy, start, n in zip(block.names, block.copies, block.starts, block.lengths, strict=True):
             off = np.ones(n, bool) if copy else gone[start : start + n]
             kept = block.data[start : start + n][~off].tobytes()
-            spans = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
-            out.append({"h": name, "n_removed": int(n) - len(kept), "n_spans": spans, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
+            runs = int(off[0]) + int((off[1:] & ~off[:-1]).sum())
+            out.append({"h": name, "n_removed": int(n) - len(kept), "n_spans": runs, "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_text": kept.decode("utf-8", "ignore") if with_text else None})
         return pa.Table.from_pylist(out, schema=schema["kept"])
 
     unique = packed.groupBy("block").cogroup(ranks.unionByName(repeats).groupBy("block")).applyInArrow(finish, KEPT)
