@@ -3,6 +3,10 @@
 Each line is described by a few statistics; the field scores content or boilerplate from them and from the step between
 neighbouring labels. Viterbi decoding gives the labels of a whole text, and the share of its characters in content lines
 decides whether it is kept.
+
+Only documents are labelled, so lines' labels are latent: good documents are mostly content, bad ones mix both. The field's
+parts are trained one by one (piecewise): expectation and maximisation in turn give each line a share of content and fit the
+emissions to it by Newton's method; steps follow from the labels of neighbouring lines.
 """
 
 from __future__ import annotations
@@ -14,10 +18,13 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import arrow_schema, carried, slices, text_or_empty
 
-#: Bound of the labelled sample and of the lines of a document that the field is fitted to; steps of the fit.
-SAMPLE_DOCS, SAMPLE_LINES, STEPS = 3000, 48, 150
+#: Bounds of the labelled sample: documents, and characters of all of them, whole documents only; rounds of the fit.
+SAMPLE_DOCS, SAMPLE_CHARS, ROUNDS = 3000, 16_000_000, 12
+#: Share of content lines in good documents, and at most in bad ones; weight of the penalty on emissions; weight of steps
+#: beside emissions, below 1 as parts that are trained apart count what they share twice.
+GOOD_CONTENT, BAD_CONTENT, PENALTY, STEP_WEIGHT = 0.98, 0.5, 0.3, 0.5
 #: A document is kept if at least this share of its characters is in content lines.
-CONTENT_SHARE = 0.4
+CONTENT_SHARE = 0.5
 #: Fixed values of the base rules: symbols, fewest words, most repeated words in per cent.
 SYMBOLS, LEAST_WORDS, MOST_REPEATED = "#*$%&|<>", 10, 20
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -87,57 +94,44 @@ def line_features(lines: list[str]) -> np.ndarray:
     return rows
 
 
-def _forward_backward(emission: np.ndarray, step: np.ndarray, real: np.ndarray):
-    """Log partition, label and step probabilities of padded chains; emission: chains, lines, labels."""
-    chains, lines, labels = emission.shape
-    lse = lambda x, axis: x.max(axis, keepdims=True).squeeze(axis) + np.log(np.exp(x - x.max(axis, keepdims=True)).sum(axis))
-    alpha, beta = np.zeros_like(emission), np.zeros_like(emission)
-    alpha[:, 0] = emission[:, 0]
-    for t in range(1, lines):
-        forward = lse(alpha[:, t - 1, :, None] + step, 1) + emission[:, t]
-        alpha[:, t] = np.where(real[:, t, None], forward, alpha[:, t - 1])
-    for t in range(lines - 2, -1, -1):
-        backward = lse(step + (emission[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        beta[:, t] = np.where(real[:, t + 1, None], backward, beta[:, t + 1])
-    total = lse(alpha[:, -1], 1)
-    label = np.exp(alpha + beta - total[:, None, None]) * real[:, :, None]
-    pair = alpha[:, :-1, :, None] + step + (emission[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]
-    return label, np.exp(np.where(real[:, 1:, None, None], pair, -np.inf)).sum((0, 1))
-
-
-def drawn(lines: np.ndarray) -> np.ndarray:
-    """Up to SAMPLE_LINES of a text's lines, evenly from its first to its last."""
-    return lines if len(lines) <= SAMPLE_LINES else lines[np.linspace(0, len(lines) - 1, SAMPLE_LINES).round().astype(int)]
+def logistic(x: np.ndarray, share: np.ndarray, weights: np.ndarray, penalty: float = PENALTY, steps: int = 8) -> np.ndarray:
+    """Weights of greatest penalised likelihood of shares between 0 and 1, by Newton's method."""
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (share - p) - penalty * weights
+        curve = (x * (p * (1 - p))[:, None]).T @ x + penalty * np.eye(len(weights))
+        change = np.linalg.solve(curve, slope)
+        weights = weights + change
+        if np.abs(change).max() < 1e-6:
+            break
+    return weights
 
 
 def fit(chains: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (features x labels) and steps (labels x labels) of greatest penalised likelihood; a chain: line features, label of its lines.
+    """Emission weights (features x labels) and steps (labels x labels) from chains of line features, each with its document's label.
 
-    Of a longer chain SAMPLE_LINES lines, drawn evenly, are fitted to. Without chains of both labels everything is content.
+    Every chain counts as a whole. Without chains of both labels everything is content.
     """
-    weights, step = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     if len({label for _, label in chains}) < 2:
+        weights = np.zeros((N_FEATURES, 2))
         weights[-1, 1] = 1.0
-        return weights, step
-    chains = [(drawn(x), label) for x, label in chains]
-    lines = max(len(x) for x, _ in chains)
-    features, real = np.zeros((len(chains), lines, N_FEATURES)), np.zeros((len(chains), lines), bool)
-    labels = np.array([label for _, label in chains])
-    for i, (x, _) in enumerate(chains):
-        features[i, : len(x)] = x
-        real[i, : len(x)] = True
-    seen = np.stack([features[labels == k].sum((0, 1)) for k in (0, 1)], axis=1)
-    kept_steps = np.diag([(real[labels == k].sum(1) - 1).sum() for k in (0, 1)]).astype(float)
-    n, moment = real.sum(), [np.zeros_like(weights), np.zeros_like(step)]
-    square = [np.full_like(weights, 1e-8), np.full_like(step, 1e-8)]
-    for k in range(1, STEPS + 1):
-        label, pair = _forward_backward(features @ weights, step, real)
-        slopes = (seen - np.einsum("clf,cly->fy", features, label)) / n - 1e-3 * weights, (kept_steps - pair) / n - 1e-2 * step
-        for i, (x, slope) in enumerate(zip((weights, step), slopes, strict=True)):  # Adam
-            moment[i] = 0.9 * moment[i] + 0.1 * slope
-            square[i] = 0.99 * square[i] + 0.01 * slope**2
-            x += 0.1 * (moment[i] / (1 - 0.9**k)) / (np.sqrt(square[i] / (1 - 0.99**k)) + 1e-8)
-    return weights, step
+        return weights, np.zeros((2, 2))
+    x = np.concatenate([c for c, _ in chains]).astype(np.float64)
+    good = np.repeat([label > 0 for _, label in chains], [len(c) for c, _ in chains])
+    share, weights, bad = np.where(good, GOOD_CONTENT, 0.1), np.zeros(N_FEATURES), 0.1
+    log_odds = lambda p: np.log(p / (1 - p))
+    for _ in range(ROUNDS):  # what a line looks like, against how common content is in documents of its label
+        weights = logistic(x, share, weights)
+        evidence = x @ weights - log_odds(share.mean())
+        share = 1 / (1 + np.exp(-np.clip(evidence + np.where(good, log_odds(GOOD_CONTENT), log_odds(bad)), -30, 30)))
+        bad = float(np.clip(share[~good].mean(), 0.02, BAD_CONTENT))
+    labels = (x @ weights > 0).astype(int)
+    last = np.cumsum([len(c) for c, _ in chains])[:-1] - 1
+    inside = np.ones(len(labels) - 1, bool)
+    inside[last] = False
+    pairs = np.bincount((2 * labels[:-1] + labels[1:])[inside], minlength=4).reshape(2, 2) + 1.0
+    step = np.log(pairs / pairs.sum()) - np.log(np.outer(pairs.sum(1), pairs.sum(0)) / pairs.sum() ** 2)
+    return np.stack([np.zeros(N_FEATURES), weights], axis=1), STEP_WEIGHT * step
 
 
 def viterbi(emission: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -157,22 +151,30 @@ def viterbi(emission: np.ndarray, step: np.ndarray) -> np.ndarray:
 def labelled_chains(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> list[tuple[np.ndarray, int]]:
     """Line features of a bounded sample of labelled documents, those of the smallest text hash, each distinct text once for a label.
 
-    A document's quality label stands for all of its lines. Texts are chosen by ids and hashes alone; features of SAMPLE_LINES
-    lines, drawn evenly from the whole document, go to the driver.
+    A document of several labels has its highest one. Texts are chosen by ids, hashes and lengths alone, SAMPLE_DOCS at most and
+    together SAMPLE_CHARS; of those the features of all lines go to the driver.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
-    few = texts.select("id", "h").join(marks, "id").groupBy("h", "quality").agg(F.min("id").alias("id")).orderBy("h", "quality").limit(SAMPLE_DOCS)
+    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"), F.length(text_col).cast("bigint").alias("n"))
+    found = texts.select("id", "h", "n").join(marks, "id").groupBy("h", "quality").agg(F.min("id").alias("id"), F.min("n").alias("n")).orderBy("h", "quality").limit(SAMPLE_DOCS).collect()
+    chosen, size = [], 0
+    for r in found:
+        if size + r["n"] <= SAMPLE_CHARS:
+            size += r["n"]
+            chosen.append((r["id"], r["h"], r["quality"]))
+    if not chosen:
+        return []
+    few = docs.sparkSession.createDataFrame(chosen, f"id {dict(texts.dtypes)['id']}, h bigint, quality int")
     rows = texts.join(F.broadcast(few), ["id", "h"]).select("h", "text", "quality")
-    schema = pa.schema([("h", pa.int64()), ("quality", pa.int32()), ("flat", pa.list_(pa.float64()))])
+    schema = pa.schema([("h", pa.int64()), ("quality", pa.int32()), ("flat", pa.list_(pa.float32()))])
 
     def run(batches):
         for part in slices(batches):
-            flat = [drawn(line_features(t.split("\n"))).reshape(-1) for t in part.column(1).to_pylist()]
+            flat = [line_features(t.split("\n")).reshape(-1).astype(np.float32) for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(flat, schema.field(2).type)], schema=schema)
 
-    found = rows.mapInArrow(run, "h bigint, quality int, flat array<double>").dropDuplicates(["h", "quality"]).orderBy("h", "quality").collect()
-    return [(np.array(r["flat"]).reshape(-1, N_FEATURES), int(r["quality"] > 0)) for r in found]
+    rows = rows.mapInArrow(run, "h bigint, quality int, flat array<float>").dropDuplicates(["h", "quality"]).orderBy("h", "quality").collect()
+    return [(np.array(r["flat"], np.float32).reshape(-1, N_FEATURES), int(r["quality"] > 0)) for r in rows]
 
 
 def judge_lines(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

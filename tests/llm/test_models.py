@@ -95,11 +95,11 @@ def test_large_alphabets():
     """Two scripts of 3,000 letters each: transitions take memory by their number, not by the alphabet's size."""
     rng = random.Random(3)
     scripts = {"h": range(0xAC00, 0xAC00 + 3000), "z": range(0x4E00, 0x4E00 + 3000)}
-    draw = lambda lang, n: "".join(chr(rng.choice(scripts[lang])) for _ in range(n))
-    parser = language_id.CrossParser({lang: [draw(lang, 20_000)] for lang in scripts})
-    assert parser.transitions.keys.nbytes + parser.transitions.targets.nbytes < 24 << 20
-    langs, scores = parser.predict([draw("h", 50), draw("z", 50), draw("z", 5000), "😀"])
-    assert langs == ["h", "z", "z", "und"] and min(scores[:3]) > 0
+    samples = {lang: ["".join(chr(rng.choice(scripts[lang])) for _ in range(20_000))] for lang in scripts}
+    parser = language_id.CrossParser(samples)
+    assert sum(t.keys.nbytes + t.targets.nbytes for t in parser.transitions) < 24 << 20
+    langs, scores = parser.predict([samples["h"][0][100:150], samples["z"][0][300:350], samples["z"][0][5000:9000], "!?"])
+    assert langs == ["h", "z", "z", "und"] and min(scores[:3]) > 0.5
 
 
 def test_quality(docs, no_docs, labels, corpus):
@@ -146,17 +146,16 @@ def test_viterbi_is_the_best_labelling():
         assert math.isclose(value(line_rules.viterbi(emission, step)), max(map(value, every)))
 
 
-def test_labelled_lines_are_of_whole_distinct_texts(spark):
-    """Copies give one chain, and a long document's last lines are drawn as well."""
+def test_labelled_lines_are_of_whole_distinct_texts(spark, monkeypatch):
+    """Copies give one chain, a long document all of its lines, and one beyond the sample's characters none."""
     long = "\n".join(["a line of words"] * 100 + ["#"] * 100)
-    rows = [*((i, "copy") for i in range(50)), (50, long), (51, "other\ntext")]
+    rows = [*((i, "copy") for i in range(50)), (50, long), (51, "other\ntext"), (52, "x" * 9000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i != 50), 0) for i, _ in rows], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(line_rules, "SAMPLE_CHARS", 4000)
     chains = line_rules.labelled_chains(docs, labels, "doc_id", "text")
-    assert sorted(len(x) for x, _ in chains) == [1, 2, line_rules.SAMPLE_LINES]
-    drawn = max((x for x, _ in chains), key=len)
-    assert (drawn[:, 5] == 1).sum() == line_rules.SAMPLE_LINES // 2
-    assert (line_rules.SAMPLE_DOCS, line_rules.STEPS) == (3000, 150) and (language_id.SAMPLE_DOCS, language_id.SAMPLE_CHARS) == (96, 60_000)
+    assert sorted(len(x) for x, _ in chains) == [1, 2, 200]
+    assert (max((x for x, _ in chains), key=len)[:, 5] == 1).sum() == 100
 
 
 def test_upper_case_of_whole_lines():
@@ -174,6 +173,38 @@ def test_fitted_field_separates():
     assert line_rules.viterbi(good @ weights, step).all() and not line_rules.viterbi(bad @ weights, step).any()
 
 
+def test_lines_of_mixed_documents_are_told_apart(spark):
+    """Bad documents mix prose and junk; no line is labelled, and yet the share of content is that of the prose."""
+    rng = random.Random(9)
+    prose = lambda: " ".join(rng.choice(["the", "house", "stands", "near", "old", "river", "and", "sleeps"]) for _ in range(rng.randint(8, 14))) + "."
+    junk = lambda: " ".join(rng.choice(["BUY!!", "NOW!!", "$$$", "###", "CLICK!!"]) for _ in range(rng.randint(8, 14)))
+    rows, labels = [], []
+    for i in range(240):
+        n = rng.randint(2, 12)
+        lines = [prose() for _ in range(n)]
+        if i % 3 == 0:
+            at = rng.randint(0, n - 1)
+            lines[at:at] = [junk() for _ in range(n * (1 + i % 2) // 2)]
+        rows.append((i, "\n".join(lines)))
+        labels.append((i, int(i % 3 > 0), 0))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in line_rules.judge_lines(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    off, mixed = [], 0
+    for i, text in rows:
+        lines = text.split("\n")
+        want = sum(len(x) for x in lines if x.endswith(".")) / sum(map(len, lines))
+        off.append(abs(found[i].content_share - want))
+        mixed += 0 < found[i].content_share < 1
+    assert sum(off) / len(off) < 0.08 and mixed > 60
+
+
+def test_steps_are_learnt():
+    """Content stays content: a doubtful line takes its neighbours' label."""
+    good = line_rules.line_features(["The quick brown fox jumps over a lazy dog."] * 6)
+    bad = line_rules.line_features(["BUY!! NOW!! ###", "$$$ *** &&&"] * 3)
+    weights, step = line_rules.fit([(good, 1), (np.concatenate([good, bad]), 0), (bad, 0)] * 10)
+    assert step[0, 0] > step[0, 1] and step[1, 1] > step[1, 0]
+
 def ppm(texts, train, order):
     """log10 probabilities by plain dictionaries."""
     counts = defaultdict(Counter)
