@@ -22,9 +22,9 @@ SAMPLE_DOCS, SAMPLE_CHARS = 96, 60_000
 #: A text beyond its share of the sample gives up to so many passages of at least so many characters.
 PASSAGES, SHORTEST = 16, 120
 #: Symbols of the segments of a text that are parsed side by side.
-SEGMENT = 2048
+SEGMENT = 512
 #: Characters parsed at once in a task.
-GROUP_CHARS = 2 << 20
+GROUP_CHARS = 4 << 20
 UNDETERMINED = "und"
 PREDICTED = "held_out boolean, lang_pred string, score double"
 
@@ -119,11 +119,17 @@ class SuffixAutomaton:
 
 
 class Transitions:
-    """Targets by (state, symbol), in open addressing: as many entries as there are transitions, whatever the alphabet's size."""
-
-    def __init__(self, states: np.ndarray, symbols: np.ndarray, targets: np.ndarray):
-        keys = states.astype(np.int64) << 21 | symbols  # a code point has 21 bits
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+    """Targets by (state, symbol) of one automaton, in open addressing: as many entries as there are transitions, whatever the alphabet's size."""
+
+    def __init__(self, automaton: SuffixAutomaton, alphabet: int):
+        sizes = np.fromiter(map(len, automaton.next), np.int64, len(automaton.next))
+        symbols = np.fromiter((s for state in automaton.next for s in state), np.int64, sizes.sum())
+        targets = np.fromiter((to for state in automaton.next for to in state.values()), np.int32, sizes.sum())
+        self.root = np.full(alphabet + 1, -1, np.int64)  # the last symbol is any that no labelled text has
+        self.root[symbols[: sizes[0]]] = targets[: sizes[0]]
+        self.alphabet = alphabet + 1
+        keys = np.repeat(np.arange(len(sizes)), sizes) * self.alphabet + symbols
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys, self.targets = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
         while len(left):
@@ -136,22 +142,32 @@ class Transitions:
             left, at = left[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def advance(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase starts with the symbol because the one before could not be followed further.
 
-    def follow(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        """Targets, -1 where there is no transition."""
-        keys = (states << 21 | symbols).ravel()
+        State 0 is the root. A symbol that the language doesn't have is a phrase of its own, after which the next one starts.
+        """
+        keys = states * self.alphabet + symbols
         at = self._slot(keys)
         there = self.keys[at]
-        found = np.where(there == keys, self.targets[at], -1)
-        open_ = np.flatnonzero((there != keys) & (there >= 0))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
-            there = self.keys[at[open_]]
-            hit = open_[there == keys[open_]]
-            found[hit] = self.targets[at[hit]]
-            open_ = open_[(there != keys[open_]) & (there >= 0)]
-        return found.reshape(states.shape)
+        reached = self.targets[at].astype(np.int64)
+        other = np.flatnonzero(there != keys)
+        reached[other] = -1
+        other = other[there[other] >= 0]
+        at = at[other]
+        while len(other):  # taken by another key: look on
+            at = (at + 1) & ((1 << self.bits) - 1)
+            there = self.keys[at]
+            hit = there == keys[other]
+            reached[other[hit]] = self.targets[at[hit]]
+            on = ~hit & (there >= 0)
+            other, at = other[on], at[on]
+        new = (reached < 0) | (states == 0)
+        begun = np.flatnonzero(new)
+        reached[begun] = np.maximum(self.root[symbols[begun]], 0)
+        return reached, new
 
 
 class CrossParser:
@@ -159,78 +175,57 @@ class CrossParser:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        texts = {lang: np.concatenate([np.append(code_points(t), 0) for t in samples[lang]]) for lang in self.languages}
-        self.bits = np.array([math.log2(max(2, len(texts[lang]))) for lang in self.languages])
-        states, symbols, targets, roots, base = [], [], [], [], 0
-        for lang in self.languages:
-            roots.append(base)
-            automaton = SuffixAutomaton(texts[lang].tolist()).next
-            sizes = np.fromiter(map(len, automaton), np.int64, len(automaton))
-            states.append(base + np.repeat(np.arange(len(automaton)), sizes))
-            symbols.append(np.fromiter((s for state in automaton for s in state), np.int64, sizes.sum()))
-            targets.append(base + np.fromiter((to for state in automaton for to in state.values()), np.int64, sizes.sum()))
-            base += len(automaton)
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        self.transitions, self.roots = Transitions(join(states), join(symbols), join(targets)), np.array(roots, np.int64)
-
-    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and where a phrase starts with this symbol because the one before could not be followed further."""
-        reached = self.transitions.follow(state, np.broadcast_to(symbols, state.shape))
-        starts = (reached < 0) | (state == self.roots[:, None])
-        language = np.nonzero(starts)[0]
-        again = self.transitions.follow(self.roots[language], np.broadcast_to(symbols, state.shape)[starts])
-        # a symbol that the language doesn't have is a phrase of its own: the next one starts at the root again
-        reached[starts] = np.where(again < 0, self.roots[language], again)
-        return reached.astype(np.int64), starts
+        texts = [np.concatenate([np.append(code_points(t), 0) for t in samples[lang]]) for lang in self.languages]
+        self.bits = np.array([math.log2(max(2, len(t))) for t in texts])
+        alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts]))
+        self.symbol_of = np.full(0x110000, len(alphabet), np.int32)
+        self.symbol_of[alphabet] = np.arange(len(alphabet))
+        self.transitions = [Transitions(SuffixAutomaton(self.symbol_of[t].tolist()), len(alphabet)) for t in texts]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each symbol sequence (rows) against each language (columns).
+        """Phrases of each text's code points (rows) against each language (columns).
 
         Texts are cut into segments that are parsed side by side, each as if a phrase began with it. A segment's true parse
         begins in the state that the one before ends in; it is followed until a phrase starts where one does in the first
-        parse, from where on both agree. Where they never do, the next segment's is followed again from the state that this gives.
+        parse, from where on both agree. Where they never do, the next segment is followed again from the state that this gives.
         """
-        cuts = [(i, symbols[at : at + SEGMENT]) for i, symbols in enumerate(texts) for at in range(0, len(symbols), SEGMENT)]
+        cuts = [(i, points[at : at + SEGMENT]) for i, points in enumerate(texts) for at in range(0, len(points), SEGMENT)]
         found = np.zeros((len(texts), len(self.languages)), np.int64)
         if not cuts:
             return found
-        owner, sizes = np.array([i for i, _ in cuts]), np.array([len(c) for _, c in cuts])
-        langs, longest = len(self.languages), int(sizes.max())
-        grid = np.zeros((longest, len(cuts)), np.int64)
-        for k, (_, c) in enumerate(cuts):
-            grid[: len(c), k] = c
-        order = np.argsort(-sizes, kind="stable")
-        active = len(sizes) - np.searchsorted(np.sort(sizes), np.arange(longest), "right")
-        starts = np.zeros((longest, langs, len(cuts)), bool)
-        end = np.repeat(self.roots[:, None], len(cuts), axis=1)
-        for t, n in enumerate(active):
-            lanes = order[:n]
-            end[:, lanes], starts[t][:, lanes] = self._step(end[:, lanes], grid[t, lanes])
-        begin = np.repeat(self.roots[:, None], len(cuts), axis=1)  # the state before each segment that its parse assumes
-        later = np.append(False, owner[1:] == owner[:-1])
-        while True:
-            before = np.concatenate([begin[:, :1], end[:, :-1]], axis=1)
-            language, lane = np.nonzero(later & (before != begin))
-            if not len(lane):
-                break
-            begin[language, lane] = state = before[language, lane]
-            for t in range(longest + 1):
-                over = sizes[lane] <= t
-                end[language[over], lane[over]] = state[over]
-                language, lane, state = language[~over], lane[~over], state[~over]
+        sizes = np.array([len(c) for _, c in cuts])
+        order = np.argsort(-sizes, kind="stable")  # lanes: the longest segments first
+        sizes, owner, place = sizes[order], np.array([i for i, _ in cuts]), np.argsort(order)
+        before = np.full(len(cuts), -1)
+        before[place[1:]] = np.where(owner[1:] == owner[:-1], place[:-1], -1)
+        longest = int(sizes[0])
+        grid = np.zeros((longest, len(cuts)), np.int32)
+        for lane, k in enumerate(order):
+            grid[: sizes[lane], lane] = self.symbol_of[cuts[k][1]]
+        active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), "right")
+        for k, transitions in enumerate(self.transitions):
+            starts, state = np.zeros(grid.shape, bool), np.zeros(len(cuts), np.int64)
+            for t, n in enumerate(active):
+                state[:n], starts[t, :n] = transitions.advance(state[:n], grid[t, :n])
+            begin = np.zeros(len(cuts), np.int64)  # the state before each segment that its parse assumes
+            while True:
+                true = np.where(before >= 0, state[before], 0)
+                lane = np.flatnonzero(true != begin)
                 if not len(lane):
                     break
-                symbols = grid[t, lane]
-                reached = self.transitions.follow(state, symbols)
-                new = (reached < 0) | (state == self.roots[language])
-                agreed = new & starts[t, language, lane]
-                again = self.transitions.follow(self.roots[language[new]], symbols[new])
-                reached[new] = np.where(again < 0, self.roots[language[new]], again)
-                starts[t, language, lane] = new
-                language, lane, state = language[~agreed], lane[~agreed], reached[~agreed].astype(np.int64)
-        count = starts.sum(0)
-        for k in range(langs):
-            found[:, k] = np.bincount(owner, count[k], len(texts))
+                begin[lane] = now = true[lane]
+                for t in range(longest + 1):
+                    over = sizes[lane] <= t
+                    if over.any():
+                        state[lane[over]] = now[over]
+                        lane, now = lane[~over], now[~over]
+                    if not len(lane):
+                        break
+                    now, new = transitions.advance(now, grid[t, lane])
+                    apart = ~(new & starts[t, lane])
+                    starts[t, lane] = new
+                    lane, now = lane[apart], now[apart]
+            found[:, k] = np.bincount(owner[order], starts.sum(0), len(texts))
         return found
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
