@@ -6,9 +6,10 @@ seen it, an escape (method D: each distinct symbol of the context gives half a c
 which the symbols of the longer one are excluded.
 
 The trie never meets in one place. Blocks of texts report the distinct contexts and words they hold with training counts; a
-report is dealt by a context's last two bytes, so that a shard has whole subtries of order two and more (orders nought and one
-are a table of at most 257 x 257 counts); shards answer each block with the log probability of each of its distinct contexts,
-and blocks add up their texts.
+report is dealt by a context's last three bytes, so that a shard has whole subtries of order three and more. The counts of
+order two are added up apart, by the last two bytes, and each shard gets those of its contexts; orders nought and one are a table
+of at most 257 x 257 counts. Shards answer each block with the log probability of each of its distinct contexts, and blocks add
+up their texts. Contexts travel sorted, as differences.
 """
 
 from __future__ import annotations
@@ -19,21 +20,25 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import arrow_schema, block_count, block_of, crc_bucket, save, text_or_empty
+from gridspark.llm.common import arrow_schema, block_count, block_of, crc_bucket, packed_longs, save, text_or_empty, unpacked_longs
 
 #: Bytes of the longest context; at most 5, as a context and its symbol share 63 bits.
 ORDER = 5
 #: The symbol that ends a text, and stands before its first byte; bits of a symbol; symbols.
 END, BITS, SYMBOLS = 256, 9, 257
 #: Bytes of text of a block: long, as every block asks for each of its distinct contexts once.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
+#: Shards that contexts with equal last two bytes are dealt to at most, by the third.
+SPREAD = 64
 #: Symbols worked on at once.
 CHUNK = 4 << 20
 
 REPORT = "shard int, block int, grams binary, counts binary, words binary, word_counts binary"
+PAIRS = "place int, grams binary, counts binary"
 ANSWER = "block int, grams binary, logs binary, words binary, word_counts binary, n_words bigint, n_distinct bigint"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
@@ -99,14 +104,28 @@ def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[starts], np.add.reduceat(count[order], starts) if len(key) else count
 
 
-def shard_of_gram(grams: np.ndarray, shards: int) -> np.ndarray:
+def place_of_gram(grams: np.ndarray, places: int) -> np.ndarray:
     """By the last two context symbols."""
     key = (grams >> BITS) & ((1 << 2 * BITS) - 1)
-    return ((key * 0x9E3779B1) >> 12) % shards
+    return ((key * 0x9E3779B1) >> 12) % places
 
 
-def report_block(block: int, texts: pa.ChunkedArray, train: np.ndarray, order: int, shards: int) -> pa.Table:
-    """A block's distinct grams and words with training counts, dealt to shards; shard -1 gets its counts of symbol pairs."""
+def shard_of_gram(grams: np.ndarray, places: int, spread: int) -> np.ndarray:
+    """By the last three context symbols: the place of two, and a share of it by the third."""
+    third = (grams >> 3 * BITS) & ((1 << BITS) - 1)
+    return place_of_gram(grams, places) * spread + ((third * 0x9E3779B1) >> 12) % spread
+
+
+def _counts(x: np.ndarray) -> bytes:
+    return zstandard.compress(x.astype(np.int32).tobytes(), 1)
+
+
+def _counted(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), np.int32).astype(np.int64)
+
+
+def report_block(block: int, texts: pa.ChunkedArray, train: np.ndarray, order: int, places: int, spread: int) -> pa.Table:
+    """A block's distinct grams and words with training counts, dealt to shards; shard -1 gets its counts of symbol pairs, shards below that those of triples, by place."""
     raws = lowered(texts)
     keys, counts = [], []
     for first, sizes, grams in symbol_runs(raws, order):
@@ -116,7 +135,7 @@ def report_block(block: int, texts: pa.ChunkedArray, train: np.ndarray, order: i
             keys.append(key)
             counts.append(count if learn else np.zeros_like(count))
     keys, counts = merged(keys, counts)
-    pairs, pair_counts = merged([keys & ((1 << 2 * BITS) - 1)], [counts])
+    shorter = [merged([keys & ((1 << k * BITS) - 1)], [counts]) for k in (2, 3)]
     words: Counter = Counter()
     for raw, learn in zip(raws, train.tolist(), strict=True):
         if learn:
@@ -124,29 +143,41 @@ def report_block(block: int, texts: pa.ChunkedArray, train: np.ndarray, order: i
     for raw, learn in zip(raws, train.tolist(), strict=True):
         if not learn:
             words.update(dict.fromkeys(raw.split(), 0))
+    shards = places * spread
     dealt: list[list[bytes]] = [[] for _ in range(shards)]
     for word in words:
         dealt[zlib.crc32(word) % shards].append(word)
-    rows = [(-1, pairs.tobytes(), pair_counts.tobytes(), b"", b"")]
-    place = shard_of_gram(keys, shards)
+    rows = [(-1, packed_longs(shorter[0][0]), _counts(shorter[0][1]), b"", b"")]
+    known = shorter[1][1] > 0
+    triples, triple_counts = shorter[1][0][known], shorter[1][1][known]
+    at = place_of_gram(triples, places)
+    for p in np.unique(at).tolist():
+        rows.append((-2 - p, packed_longs(triples[at == p]), _counts(triple_counts[at == p]), b"", b""))
+    place = shard_of_gram(keys, places, spread)
     order_ = np.argsort(place, kind="stable")
     borders = np.searchsorted(place[order_], np.arange(shards + 1))
     for s in range(shards):
         own = order_[borders[s] : borders[s + 1]]
         if len(own) or dealt[s]:
-            rows.append((s, keys[own].tobytes(), counts[own].astype(np.int32).tobytes(), b" ".join(dealt[s]), np.array([words[w] for w in dealt[s]], np.int32).tobytes()))
+            rows.append((s, packed_longs(keys[own]), _counts(counts[own]), b" ".join(dealt[s]), np.array([words[w] for w in dealt[s]], np.int32).tobytes()))
     columns = list(zip(*rows, strict=True))
     schema = arrow_schema(REPORT)
     return pa.Table.from_arrays([pa.array(columns[0], pa.int32()), pa.array([block] * len(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], schema=schema)
 
 
-def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int) -> np.ndarray:
-    """log10 probability of each gram's last symbol after its context. grams: distinct, sorted; counts: in training; pairs: 257 x 257 counts."""
+def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: int, triples: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """log10 probability of each gram's last symbol after its context.
+
+    grams: distinct, sorted; counts: in training; pairs: 257 x 257 counts. triples: all sorted triples that begin with two
+    symbols of the grams' contexts, and their counts, where grams don't hold all contexts of order two.
+    """
     symbol, tables = grams & ((1 << BITS) - 1), {}
     learnt = counts > 0
     keys, sums = grams[learnt], counts[learnt]
     for k in range(order, 1, -1):  # the contexts of each order: entries, and per context its total, its symbols, the total of these one order lower
-        if k < order:
+        if k == 2 and triples is not None:
+            keys, sums = triples
+        elif k < order:
             keys, sums = merged([keys & ((1 << BITS * (k + 1)) - 1)], [sums])
         contexts = keys >> BITS
         starts = np.flatnonzero(np.append(True, contexts[1:] != contexts[:-1])) if len(keys) else np.zeros(0, np.int64)
@@ -190,20 +221,20 @@ def gram_logs(grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, order: i
     return logs
 
 
-def answer_shard(table: pa.Table, pairs: np.ndarray, order: int) -> pa.Table:
+def answer_shard(table: pa.Table, triples: tuple[np.ndarray, np.ndarray], pairs: np.ndarray, order: int) -> pa.Table:
     """What a shard tells each block: its grams' log probabilities and its words' counts; block -1 gets the shard's totals."""
     get = lambda name: table[name].to_pylist()
-    blocks, grams = get("block"), [np.frombuffer(x, np.int64) for x in get("grams")]
-    keys, counts = merged(grams, [np.frombuffer(x, np.int32).astype(np.int64) for x in get("counts")])
-    logs = gram_logs(keys, counts, pairs, order).astype(np.float32)
+    blocks, grams = get("block"), [unpacked_longs(x).view(np.int64) for x in get("grams")]
+    keys, counts = merged(grams, [_counted(x) for x in get("counts")])
+    logs = gram_logs(keys, counts, pairs, order, triples).astype(np.float32)
     words = [x.split() for x in get("words")]
     known: dict[bytes, int] = {}
     for own, own_counts in zip(words, get("word_counts"), strict=True):
         for word, n in zip(own, np.frombuffer(own_counts, np.int32).tolist(), strict=True):
             known[word] = known.get(word, 0) + n
     rows = [(-1, b"", b"", b"", b"", sum(known.values()), sum(n > 0 for n in known.values()))]
-    for block, own, own_words, raw in zip(blocks, grams, words, get("words"), strict=True):
-        rows.append((block, own.tobytes(), logs[np.searchsorted(keys, own)].tobytes(), raw, np.array([known[w] for w in own_words], np.int64).tobytes(), 0, 0))
+    for block, own, packed, own_words, raw in zip(blocks, grams, get("grams"), words, get("words"), strict=True):
+        rows.append((block, packed, logs[np.searchsorted(keys, own)].tobytes(), raw, np.array([known[w] for w in own_words], np.int64).tobytes(), 0, 0))
     schema = arrow_schema(ANSWER)
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
@@ -220,22 +251,39 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), held_out.alias("held_out"), text_or_empty(F.col(text_col)).alias("text"))
     blocks = block_count(rows, "text", block_bytes)
     rows = rows.withColumn("block", block_of([F.col("doc_id"), F.col("text")], blocks))
-    shards = blocks
+    spread = min(SPREAD, blocks) if order > 2 else 1
+    places = -(-blocks // spread)
 
     def report(table: pa.Table) -> pa.Table:
-        return report_block(table["block"][0].as_py(), table["text"], ~table["held_out"].to_numpy(), order, shards)
+        return report_block(table["block"][0].as_py(), table["text"], ~table["held_out"].to_numpy(), order, places, spread)
 
     reports = save(rows.groupBy("block").applyInArrow(report, REPORT), "ppm-reports")
 
     def spread(batches):
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, np.int64)), pa.array(np.frombuffer(counts, np.int64))], names=["pair", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked_longs(keys).view(np.int64)), pa.array(_counted(counts))], names=["pair", "n"])
 
     pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)  # at most 257 x 257 rows come to the driver
     for row in reports.where("shard = -1").select("grams", "counts").mapInArrow(spread, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[row["pair"] >> BITS, row["pair"] & ((1 << BITS) - 1)] = row["n"]
-    answers = save(reports.where("shard >= 0").groupBy("shard").applyInArrow(lambda t: answer_shard(t, pairs, order), ANSWER), "ppm-answers")
+
+    def add_triples(table: pa.Table) -> pa.Table:
+        keys, counts = merged([unpacked_longs(x).view(np.int64) for x in table["grams"].to_pylist()], [_counted(x) for x in table["counts"].to_pylist()])
+        return pa.Table.from_arrays([pa.array([-2 - table["shard"][0].as_py()], pa.int32()), pa.array([packed_longs(keys)]), pa.array([zstandard.compress(counts.tobytes(), 1)])], schema=arrow_schema(PAIRS))
+
+    triples = reports.where("shard < -1").select("shard", "grams", "counts").groupBy("shard").applyInArrow(add_triples, PAIRS)
+    shares = triples.select((F.col("place") * spread + F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).alias("own_shard"), F.col("grams").alias("triples"), F.col("counts").alias("triple_counts"))
+
+    def answer(table: pa.Table, own: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return arrow_schema(ANSWER).empty_table()
+        known = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if own.num_rows:
+            known = unpacked_longs(own["triples"][0].as_py()).view(np.int64), np.frombuffer(zstandard.decompress(own["triple_counts"][0].as_py()), np.int64)
+        return answer_shard(table, known, pairs, order)
+
+    answers = save(reports.where("shard >= 0").groupBy("shard").cogroup(shares.groupBy("own_shard")).applyInArrow(answer, ANSWER), "ppm-answers")
     totals = answers.where("block = -1").agg(F.sum("n_words").alias("n"), F.sum("n_distinct").alias("v")).first()
     ends = int(rows.where(~F.col("held_out")).count())
     n_train, distinct = (totals["n"] or 0) + ends, (totals["v"] or 0) + (ends > 0)
@@ -245,7 +293,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "
     def add_up(texts: pa.Table, found: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return schema.empty_table()
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in found["grams"].to_pylist()])
+        keys = np.concatenate([unpacked_longs(x).view(np.int64) for x in found["grams"].to_pylist()])
         logs = np.concatenate([np.frombuffer(x, np.float32) for x in found["logs"].to_pylist()]).astype(np.float64)
         word_logs, known = {}, set()
         for own, counts in zip(found["words"].to_pylist(), found["word_counts"].to_pylist(), strict=True):
