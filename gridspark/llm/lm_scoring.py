@@ -259,13 +259,13 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "
 
     reports = save(rows.groupBy("block").applyInArrow(report, REPORT), "ppm-reports")
 
-    def spread(batches):
+    def unpack(batches):
         for batch in batches:
             for keys, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(unpacked_longs(keys).view(np.int64)), pa.array(_counted(counts))], names=["pair", "n"])
 
     pairs = np.zeros((SYMBOLS, SYMBOLS), np.int64)  # at most 257 x 257 rows come to the driver
-    for row in reports.where("shard = -1").select("grams", "counts").mapInArrow(spread, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for row in reports.where("shard = -1").select("grams", "counts").mapInArrow(unpack, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         pairs[row["pair"] >> BITS, row["pair"] & ((1 << BITS) - 1)] = row["n"]
 
     def add_triples(table: pa.Table) -> pa.Table:
@@ -273,7 +273,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "
         return pa.Table.from_arrays([pa.array([-2 - table["shard"][0].as_py()], pa.int32()), pa.array([packed_longs(keys)]), pa.array([zstandard.compress(counts.tobytes(), 1)])], schema=arrow_schema(PAIRS))
 
     triples = reports.where("shard < -1").select("shard", "grams", "counts").groupBy("shard").applyInArrow(add_triples, PAIRS)
-    shares = triples.select((F.col("place") * spread + F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).alias("own_shard"), F.col("grams").alias("triples"), F.col("counts").alias("triple_counts"))
+    shares = triples.select(F.explode(F.sequence(F.col("place") * spread, F.col("place") * spread + (spread - 1))).alias("own_shard"), F.col("grams").alias("triples"), F.col("counts").alias("triple_counts"))
 
     def answer(table: pa.Table, own: pa.Table) -> pa.Table:
         if not table.num_rows:
