@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Word characters of any script.
 WORD = r"[\p{L}\p{N}_]+"
@@ -14,6 +17,11 @@ STOP_WORDS = (
     "a an and are as at be by for from in is of on or the to what which with "
     "bảng các cho của là nào những trong và với"
 ).split()
+#: Words that are no term of a question. Fixed values.
+QUERY_STOP_WORDS = (
+    "a an and are as by for from in is of on or sheet table the to what which with "
+    "bảng bao các câu cho của gì hãy hỏi không là nào nêu những nhiêu trong và với"
+).split()
 #: Letters with a mark above or below, and their bare letters, by Unicode's decompositions.
 _MARKED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.combining(unicodedata.normalize("NFKD", c)[1])} | {"Đ": "D", "đ": "d"}
 
@@ -37,14 +45,21 @@ def rank_tokens(text: Column) -> Column:
     return F.filter(words(text), lambda t: ~t.isin(STOP_WORDS) & ((F.length(t) >= 2) | t.rlike(r"^\p{Nd}+$")))
 
 
+def query_terms(question: Column) -> Column:
+    """Distinct terms of a question in order: letters, digits and `#./+-`, full stops at the ends off, stop words and single letters left out."""
+    raw = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("[0-9A-Za-zÀ-ỹ가-힣#./+-]+"), F.lit(0))
+    bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^\.+|\.+$", ""))
+    return F.array_distinct(F.filter(bare, lambda t: (t != "") & ~t.isin(QUERY_STOP_WORDS) & ((F.length(t) >= 2) | t.rlike(r"^\p{Nd}$"))))
+
+
 def unaccented(text: Column) -> Column:
     """Letters of Latin scripts without their marks."""
     return F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
 
 
 def normal(text: Column, case_sensitive: bool = False, ignore_accents: bool = False) -> Column:
-    """Text for comparison: trimmed, folded unless told otherwise; null becomes empty."""
-    value = F.trim(F.coalesce(text, F.lit("")))
+    """Text for comparison: folded unless told otherwise, white space kept; null becomes empty."""
+    value = F.coalesce(text, F.lit(""))
     value = unaccented(value) if ignore_accents else value
     return value if case_sensitive else F.lower(value)
 
@@ -54,9 +69,60 @@ def alias(text: Column) -> Column:
     return F.regexp_replace(F.lower(unaccented(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]", "")
 
 
+def sheet_alias(name: Column) -> Column:
+    """alias() of a sheet's name in which a word of `f` and digits stands for the digits, as floors are written."""
+    tidy = F.regexp_replace(F.lower(unaccented(F.coalesce(name, F.lit("")))), r"[^\p{L}\p{N}_]+", " ")
+    return F.regexp_replace(F.regexp_replace(tidy, r"(?<![\p{L}\p{N}_])f(?=\p{Nd}+(?![\p{L}\p{N}_]))", ""), r"[^\p{L}\p{N}]", "")
+
+
+def workbook_tokens(name: Column) -> Column:
+    """Words of a workbook's name or a question, dotted ones whole, without file extensions."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"[\p{L}\p{N}]+(?:\.[\p{L}\p{N}]+)*"), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin("xlsx", "xls", "xlsm", "csv"))
+
+
+def strong_token(token: Column) -> Column:
+    """Whether a token says something by itself: three characters, a dot or a letter beyond ASCII."""
+    return (F.length(token) >= 3) | F.contains(token, F.lit(".")) | token.rlike(r"[^\x00-\x7F]")
+
+
+@F.pandas_udf(DoubleType())
+def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the characters in matching blocks over all characters, from 0 to 1 (Ratcliff and Obershelp); 0 where one is null."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x is not None and y is not None else 0.0 for x, y in zip(a, b, strict=True)])
+
+
+def _line_feeds(text: Column) -> Column:
+    """Written-out `\\n` as line feeds."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("\\n"), F.lit("\n"))
+
+
 def squeezed(text: Column) -> Column:
-    """Text without white space in lower case."""
-    return F.regexp_replace(F.lower(text), r"\s+", "")
+    """Text without white space in lower case; a written-out `\\n` is white space."""
+    return F.regexp_replace(F.lower(_line_feeds(text)), r"\s+", "")
+
+
+def tidy(text: Column) -> Column:
+    """Text with white space, written-out line feeds included, collapsed."""
+    return F.trim(F.regexp_replace(_line_feeds(text), r"\s+", " "))
+
+
+def clipped(text: Column, limit: int, tail: bool = False) -> Column:
+    """Text cut to limit characters around a marker, its head and tail kept, or its tail alone; a limit too small for the marker keeps the head."""
+    marker = "\n...[truncated]...\n"
+    keep = limit - len(marker)
+    if keep <= 20:
+        cut = F.concat(F.substring(text, 1, limit), F.lit("..."))
+    elif tail:
+        cut = F.concat(F.lit(marker), F.right(text, F.lit(keep)))
+    else:
+        cut = F.concat(F.substring(text, 1, keep // 2), F.lit(marker), F.right(text, F.lit(keep - keep // 2)))
+    return F.when(F.length(text) <= limit, text).otherwise(cut)
+
+
+def truncated(text: Column, limit: int) -> Column:
+    """Text cut to limit characters with a marker after them."""
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("\n...TRUNCATED...")))
 
 
 def compact(text: Column, limit: int) -> Column:

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.functions.text import normal
+from gridspark.functions.text import normal, unaccented
 from gridspark.operators.reads import cell_text
 
 #: Date forms that texts are compared by. Fixed values.
@@ -79,7 +79,8 @@ def condition(
         if given is not None:
             parts.append(test(text, literal(given)))
     if regex is not None:
-        parts.append(F.coalesce(cell_text(prefix), F.lit("")).rlike(regex if case_sensitive else f"(?iu){regex}"))
+        searched = unaccented(F.coalesce(cell_text(prefix), F.lit(""))) if ignore_accents else F.coalesce(cell_text(prefix), F.lit(""))
+        parts.append(searched.rlike(regex if case_sensitive else f"(?iu){regex}"))
     for given, op in ((gt, lambda x, y: x > y), (gte, lambda x, y: x >= y), (lt, lambda x, y: x < y), (lte, lambda x, y: x <= y)):
         if given is not None:
             parts.append(compare(given, op))
@@ -98,29 +99,42 @@ def filter_values(cells: DataFrame, r1: int, c1: int, r2: int, c2: int, **condit
         raise ValueError("a filter takes a range of one row or one column")
     axis, pos = ("row", "row") if c1 == c2 else ("col", "col")
     inside = F.col("row").between(r1, r2) & F.col("col").between(c1, c2)
-    return cells.where(inside & condition(**conditions)).select("wb_id", "sheet", F.lit(axis).alias("axis"), F.col(pos).cast("bigint").alias("pos")).distinct()
+    return cells.where(inside & condition(**conditions)).select("wb_id", "sheet", F.lit(axis).alias("axis", metadata={"axis": axis}), F.col(pos).cast("bigint").alias("pos")).distinct()
 
 
 def combine(op: str, *selections: DataFrame) -> DataFrame:
-    """intersection, union or difference of selections, from left to right; those of a sheet must be on one axis."""
+    """intersection, union or difference of selections, from left to right; a sheet's positions on two axes raise."""
     if not selections:
         raise ValueError("at least one selection is required")
     step = {"intersection": DataFrame.intersect, "union": lambda a, b: a.union(b).distinct(), "difference": DataFrame.subtract}[op]
-    return reduce(step, [s.select(SELECTION) for s in selections])
+    every = [s.select(SELECTION) for s in selections]
+    if len(every) > 1:
+        assert_one_axis(*every)
+    return reduce(step, every)
 
 
 def assert_one_axis(*selections: DataFrame) -> None:
-    """Raises if selections mix axes or sheets."""
-    every = reduce(DataFrame.union, [s.select("wb_id", "sheet", "axis") for s in selections]).distinct()
-    if len(every.take(2)) > 1:
-        raise ValueError("selections differ in axis or sheet")
+    """Raises if selections mix axes within a sheet.
+
+    filter_values() notes its axis in the column's metadata; only where a selection has no such note its rows are looked at, by
+    one aggregate of which at most one row comes to the driver.
+    """
+    noted = {s.schema["axis"].metadata.get("axis") for s in selections}
+    if None not in noted:
+        if len(noted) > 1:
+            raise ValueError("selections differ in axis")
+        return
+    sheets = reduce(DataFrame.union, [s.select("wb_id", "sheet", "axis") for s in selections])
+    if not sheets.groupBy("wb_id", "sheet").agg(F.min("axis").alias("a"), F.max("axis").alias("z")).where("a <> z").isEmpty():
+        raise ValueError("selections differ in axis")
 
 
 def read_selection(selection: DataFrame, cells: DataFrame, r1: int, c1: int, r2: int, c2: int) -> DataFrame:
     """Cells of a range at a selection's positions; positions outside of it fall away."""
     inside = cells.where(F.col("row").between(r1, r2) & F.col("col").between(c1, c2))
-    at = F.when(F.col("axis") == "row", F.col("row")).otherwise(F.col("col"))
-    return inside.join(selection, ["wb_id", "sheet"]).where(at == F.col("pos")).select(*inside.columns)
+    of = lambda axis: selection.where(F.col("axis") == axis).select("wb_id", "sheet", F.col("pos").alias(axis)).distinct()
+    by = [inside.join(of(axis), ["wb_id", "sheet", axis], "left_semi") for axis in ("row", "col")]
+    return by[0].unionByName(by[1])
 
 
 def group_mask(rows: DataFrame, leaves: list[str], test: Callable[[Column], Column], mode: str = "any", missing_matches: bool = False) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "left_anti": "left_anti", "left_semi": "left_semi"}
+HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "left_anti": "left_anti", "left_semi": "left_semi", "cross": "cross"}
 
 
 def infer_keys(left: list[str], right: list[str]) -> list[str]:
@@ -29,6 +29,11 @@ def _assert_unique(df: DataFrame, keys: list[str], side: str) -> None:
 def join_tables(left: DataFrame, right: DataFrame, on=None, left_on=None, right_on=None, how: str = "inner", suffixes: tuple[str, str] = ("_left", "_right"), validate: str | None = None) -> DataFrame:
     """Equi join. Null keys match each other; other columns of both sides get suffixes; validate is 1:1, 1:m, m:1 or m:m."""
     listed = lambda x: [x] if isinstance(x, str) else list(x)
+    if how == "cross":  # every row with every row, if that is what a user asks for
+        if not (on is None and left_on is None and right_on is None):
+            raise ValueError("a cross join takes no keys")
+        named = lambda df, i: df.select(*(F.col(f"`{c}`").alias(c + suffixes[i] if c in left.columns and c in right.columns else c) for c in df.columns))
+        return named(left, 0).crossJoin(named(right, 1))
     if (left_on is None) != (right_on is None):
         raise ValueError("left_on and right_on go together")
     if how not in HOW and how != "right_anti":

@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.functions.addressing import cell_a1, column_letters, column_number, let
+from gridspark.functions.addressing import cell_a1, column_letters
+from gridspark.functions.formulas import normal_form, pattern, pieces, shifted, spacing
 from gridspark.functions.lineage import cut
+from gridspark.operators.reads import bands
 
-#: A reference outside of text and function names: sheet, column, row; each part may be pinned by $.
-REFERENCE = r"(?:(?:'[^']+'|[A-Za-z0-9_]+)!)?\$?[A-Za-z]{1,3}\$?[0-9]{1,7}(?![0-9A-Za-z_(])"
-PIECE = r'"[^"]*"|' + REFERENCE + r'|[A-Za-z_][A-Za-z0-9_.]*\(?|[0-9.]+|[^"A-Za-z0-9_$\']|\$|\''
 #: Error tokens and what they say. Fixed values.
 ERRORS = {
-    "#REF!": ("broken_reference", "Formula refers to a missing cell"), "#DIV/0!": ("division_by_zero", "Formula divides by zero"), "#VALUE!": ("invalid_value", "Formula has a value of the wrong type"),
-    "#NAME?": ("unknown_name", "Formula uses an unknown name"), "#NUM!": ("invalid_number", "Formula has an invalid number"), "#N/A": ("not_available", "Formula has a value that is not available"), "#NULL!": ("null_intersection", "Formula has an empty intersection"),
-}
+    "#REF!": ("broken_reference", "Original referenced cell or range is lost."),
+    "#DIV/0!": ("division_by_zero", "Formula attempts to divide by zero."),
+    "#VALUE!": ("wrong_value_type", "Formula uses a value of the wrong data type."),
+    "#NAME?": ("invalid_name", "Formula contains unrecognized text or function name."),
+    "#NUM!": ("number_error", "Formula contains invalid numeric values."),
+    "#N/A": ("value_not_available", "A value is not available to the formula."),
+    "#NULL!": ("null_error", "Formula refers to an intersection of two ranges that do not intersect."),
+}
 AGGREGATES = ("SUM", "AVERAGE", "MIN", "MAX", "COUNT", "COUNTA", "SUBTOTAL")
+__all__ = ["normal_form", "pattern", "shifted"]
 
 
 def formula_errors(raw: Column) -> Column:
@@ -29,71 +32,30 @@ def formula_errors(raw: Column) -> Column:
 
 
 def aggregate_function(raw: Column) -> Column:
-    """First of the aggregate functions that a formula calls."""
+    """First of the aggregate functions, in their order, that a formula calls."""
     return F.coalesce(*(F.when(F.upper(raw).rlike(rf"\b{name}\s*\("), F.lit(name)) for name in AGGREGATES))
 
 
-def pieces(raw: Column) -> Column:
-    """A formula cut into texts, references, names, numbers and other characters."""
-    return F.regexp_extract_all(raw, F.lit(f"({PIECE})"), F.lit(1))
-
-
-def _on_reference(piece: Column, shown: Callable[[dict[str, Column]], Column], other: Column) -> Column:
-    """shown over a reference's sheet prefix, pins, column and row, read by one match; other for pieces that are none."""
-    mark = "\u0001"
-    cut_up = F.split(F.regexp_replace(piece, r"^([^\"]*!)?(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$", mark.join(("$1", "$2", "$3", "$4", "$5"))), mark)
-
-    def parts(a: Column) -> Column:
-        p = {"sheet": a[0], "col_pin": a[1] == "$", "letters": F.upper(a[2]), "col": column_number(a[2]), "row_pin": a[3] == "$", "line": a[4], "row": a[4].try_cast("bigint")}
-        return F.when(F.size(a) == 5, shown(p)).otherwise(other)
-
-    return let(cut_up, parts)
-
-
-def normal_form(raw: Column, row: Column, col: Column) -> Column:
-    """A formula with texts kept, and references written by their distance from the cell, or by name where pinned."""
-
-    def reference(p: dict[str, Column]) -> Column:
-        column = F.when(p["col_pin"], F.concat(F.lit("$"), p["letters"])).otherwise(F.concat(F.lit("c"), (p["col"] - col).cast("string")))
-        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["line"])).otherwise(F.concat(F.lit("r"), (p["row"] - row).cast("string")))
-        return F.concat(p["sheet"], F.lit("["), column, F.lit(","), line, F.lit("]"))
-
-    def shown(piece: Column) -> Column:
-        return _on_reference(piece, reference, F.when(piece.startswith('"'), piece).when(F.trim(piece) == "", F.lit("")).otherwise(F.upper(piece)))
-
-    return F.array_join(F.transform(pieces(raw), shown), "")
-
-
-def shifted(raw: Column, rows: Column, cols: Column) -> Column:
-    """A formula moved by rows and columns; pinned parts stay. Null where a reference would leave the sheet."""
-
-    def reference(p: dict[str, Column]) -> Column:
-        column = F.when(p["col_pin"], F.concat(F.lit("$"), p["letters"])).otherwise(column_letters(p["col"] + cols))
-        line = F.when(p["row_pin"], F.concat(F.lit("$"), p["line"])).otherwise(F.when(p["row"] + rows >= 1, (p["row"] + rows).cast("string")))
-        return F.concat(p["sheet"], column, line)
-
-    moved = F.transform(pieces(raw), lambda piece: _on_reference(piece, reference, piece))
-    return let(moved, lambda out: F.when(~F.exists(out, lambda x: x.isNull()), F.array_join(out, "")))
-
-
-def pattern(raw: Column, row: Column, col: Column, by_row: Column) -> Column:
-    """Pattern of a run's formula: `C{row} = B{row} * $H$1` for rows, `{col}8 = {col}2 - {col}3` for columns."""
-    step = lambda n: F.when(n > 0, F.concat(F.lit("+"), n.cast("string"))).when(n < 0, n.cast("string")).otherwise("")
-
-    def reference(p: dict[str, Column]) -> Column:
-        pin = lambda x: F.when(p[x], F.lit("$")).otherwise("")
-        line = F.when(p["row_pin"] | ~by_row, F.concat(pin("row_pin"), p["line"])).otherwise(F.concat(F.lit("{row"), step(p["row"] - row), F.lit("}")))
-        column = F.when(p["col_pin"] | by_row, F.concat(pin("col_pin"), p["letters"])).otherwise(F.concat(F.lit("{col"), step(p["col"] - col), F.lit("}")))
-        return F.concat(p["sheet"], column, line)
-
-    def named(piece: Column) -> Column:
-        sign = F.when(piece == ",", F.lit(", ")).when(piece.isin("+", "-", "*", "/", "^", "&", "=", "<", ">"), F.concat(F.lit(" "), piece, F.lit(" "))).otherwise(piece)
-        return _on_reference(piece, reference, sign)
-
-    body = F.array_join(F.transform(pieces(F.regexp_replace(raw, r"^=\s*", "")), named), "")
-    tidy = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"\s+", " "), r"([<>]) ([=>])", "$1$2"), r"\( ?- ", "(-"))
-    head = F.when(by_row, F.concat(column_letters(col), F.lit("{row}"))).otherwise(F.concat(F.lit("{col}"), row.cast("string")))
-    return F.concat(head, F.lit(" = "), tidy)
+def description(category: Column, shape: Column, text: Column, agg_function: Column, cell: Column, errors: Column) -> Column:
+    """What a relation is, in words; category is normal, aggregate, cell or invalid, text a run's pattern or a single formula. Fixed values."""
+    arithmetic = text.rlike(r"[*/+-]")
+    down = (
+        F.when(agg_function.isNotNull(), F.concat(F.lit("Repeated row-wise "), agg_function, F.lit(" formula. Each row calculates a value from a range of cells in the same row.")))
+        .when(arithmetic & F.contains(text, F.lit("$")), "Repeated row-wise arithmetic formula using an absolute reference.")
+        .when(arithmetic, "Repeated row-wise arithmetic formula.").otherwise("Repeated row-wise formula.")
+    )
+    across = F.concat(F.lit("Repeated column-wise "), F.coalesce(F.concat(agg_function, F.lit(" ")), F.lit("")), F.lit("formula. Each column calculates a value from rows above it."))
+    alone = (
+        F.when(F.contains(F.upper(text), F.lit("IF")), F.concat(F.lit("Standalone formula used only in one specific cell in cell "), cell, F.lit(".")))
+        .when(arithmetic, F.concat(F.lit("Standalone arithmetic formula in cell "), cell, F.lit(" that does not repeat across rows or columns.")))
+        .otherwise(F.concat(F.lit("Standalone cell formula in cell "), cell, F.lit(".")))
+    )
+    listed = F.array_join(F.transform(errors, lambda e: F.concat(e["type"], F.lit(" ("), e["message"], F.lit(")"))), ", ")
+    return (
+        F.when((category == "normal") & (shape == "rows"), down).when(category == "normal", across)
+        .when(category == "aggregate", F.concat(F.lit("Aggregate "), agg_function, F.lit(" formula in cell "), cell, F.lit(" over a column or range.")))
+        .when(category == "cell", alone).otherwise(F.concat(F.lit("Formula contains error(s): "), listed, F.lit(".")))
+    )
 
 
 def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -117,47 +79,118 @@ def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
 def assign_formulas(formulas: DataFrame, tables: DataFrame, footer: int = 5, side: int = 3) -> DataFrame:
     """Formula cells of each table: within its rows and `footer` below them, and `side` columns around; a cell may have several.
 
-    formulas: wb_id, sheet, row, col, raw; tables: wb_id, sheet, table_id, r1, c1, r2, c2.
+    formulas: wb_id, sheet, row, col, raw; tables: wb_id, sheet, table_id, r1, c1, r2, c2. Both meet by bands of rows.
     """
-    band = (F.col("row") >= F.col("r1")) & (F.col("row") <= F.col("r2") + footer) & (F.col("col") >= F.col("c1") - side) & (F.col("col") <= F.col("c2") + side)
-    return formulas.join(tables.select("wb_id", "sheet", "table_id", "r1", "c1", "r2", "c2"), ["wb_id", "sheet"]).where(band).select("wb_id", "sheet", "table_id", "row", "col", "raw")
+    own = bands(tables.select("wb_id", "sheet", "table_id", "r1", "c1", (F.col("r2") + footer).alias("r2"), "c2"))
+    inside = F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1") - side, F.col("c2") + side)
+    return bands(formulas, "row", "row").join(own, ["wb_id", "sheet", "band"]).where(inside).select("wb_id", "sheet", "table_id", "row", "col", "raw")
 
 
-def narrowest_header(refs: DataFrame, headers: DataFrame) -> DataFrame:
-    """Of each ref (ref_id, table_id, r1, c1, r2, c2) the header whose data range covers it; else one covering its columns, or rows if by row.
+def narrowest_header(refs: DataFrame, headers: DataFrame, relaxed: bool = True) -> DataFrame:
+    """Of each ref (ref_id, table_id, r1, c1, r2, c2) the header whose data range covers it; else, if relaxed, one covering its columns, or rows if by row.
 
-    headers: table_id, header_id, ord, r1, c1, r2, c2 (data range), by_row.
+    headers: table_id, header_id, ord, r1, c1, r2, c2 (data range), by_row. Column headers are met by a column, row headers by a
+    band of rows, so that neither many refs nor a wide table is one key.
     """
-    h = headers.select("table_id", "header_id", "ord", "by_row", *(F.col(x).alias(f"h_{x}") for x in ("r1", "c1", "r2", "c2")))
+    h = headers.select("table_id", "header_id", "ord", F.coalesce("by_row", F.lit(False)).alias("by_row"), *(F.col(x).alias(f"h_{x}") for x in ("r1", "c1", "r2", "c2")))
     cols = (F.col("h_c1") <= F.col("c1")) & (F.col("h_c2") >= F.col("c2"))
     rows = (F.col("h_r1") <= F.col("r1")) & (F.col("h_r2") >= F.col("r2"))
-    found = refs.join(h, "table_id").where(F.when(F.col("by_row"), rows).otherwise(cols))
     rank = F.struct((~(cols & rows)).alias("relaxed"), (F.col("h_c2") - F.col("h_c1")).alias("w"), (F.col("h_r2") - F.col("h_r1")).alias("h"), "ord")
-    return found.groupBy("ref_id").agg(F.min_by("header_id", rank).alias("header_id"))
+    of_column = h.where("not by_row").withColumn("at", F.explode(F.sequence("h_c1", "h_c2")))
+    by_column = refs.withColumn("at", F.col("c1")).join(of_column, ["table_id", "at"]).where(cols if relaxed else cols & rows)
+    of_rows = bands(h.where("by_row"), "h_r1", "h_r2")
+    by_rows = bands(refs, "r1", "r1").join(of_rows, ["table_id", "band"]).where(rows if relaxed else cols & rows)
+    found = by_column.select("ref_id", "header_id", rank.alias("rank")).unionByName(by_rows.select("ref_id", "header_id", rank.alias("rank")))
+    return found.groupBy("ref_id").agg(F.min_by("header_id", "rank").alias("header_id"))
+
 
+def expressions(examples: DataFrame, headers: DataFrame) -> DataFrame:
+    """relation key and expression: a formula with the headers' ids in place of references, `target = formula`.
 
-def extract_relations(formulas: DataFrame, tables: DataFrame) -> DataFrame:
+    examples: key, table_id, row, col, raw; headers as in narrowest_header(). A reference without a header keeps its address.
+    The target is its cell's header; below that header's data it is total_, average_ and so on, or summary_, before the id.
+    """
+    parts = examples.select("key", "table_id", F.posexplode(pieces("raw")).alias("i", "p"))
+    ref_id = F.concat_ws("|", "key", "i")
+    refs = parts.where("p.r1 is not null").select(ref_id.alias("ref_id"), "table_id", "p.r1", "p.c1", "p.r2", "p.c2")
+    cells = examples.select(F.concat(F.lit("cell|"), "key").alias("ref_id"), "table_id", F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2"))
+    found = narrowest_header(refs.unionByName(cells), headers)
+    named = parts.withColumn("ref_id", ref_id).join(found, "ref_id", "left").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("header_id", "p.text").alias("t")))).alias("x"))
+    body = named.select("key", F.array_join("x.t", "").alias("body"))
+    lowest = headers.groupBy("table_id", "header_id").agg(F.max("r2").alias("lowest"))
+    own = examples.withColumn("ref_id", F.concat(F.lit("cell|"), "key")).join(found, "ref_id", "left").join(lowest, ["table_id", "header_id"], "left")
+    outer = F.lower(aggregate_function(F.col("raw")))
+    prefix = F.when(outer.isNull(), "summary").when(outer == "sum", "total").otherwise(outer)
+    target = F.when(F.col("header_id").isNull(), cell_a1(F.col("row"), F.col("col"))).when(F.col("row") > F.col("lowest"), F.concat(prefix, F.lit("_"), "header_id")).otherwise(F.col("header_id"))
+    return own.select("key", target.alias("target")).join(body, "key").select("key", spacing(F.concat("target", F.lit(" = "), "body")).alias("expression"))
+
+
+def extract_relations(formulas: DataFrame, tables: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Relations of each table: repeated formulas by run, single ones as aggregate or cell formulas, broken ones as invalid.
 
-    Returns wb_id, sheet, table_id, relation_id, category (normal, aggregate, cell, invalid), r1, c1, r2, c2, pattern (of
-    runs), agg_function, example cell and raw, errors. Ids count up by table and category in order of first appearance.
+    Returns wb_id, sheet, table_id, relation_id, category (normal, aggregate, cell, invalid), r1, c1, r2, c2, pattern (of runs),
+    agg_function, cell and raw (of the first cell), errors, description and, with headers (as in narrowest_header(), table ids
+    of all sheets told apart), expression. Ids say what a relation is and count up by table and category: forms in order of
+    their first cells, of each its runs down columns, then those across rows.
     """
     key = ["wb_id", "sheet", "table_id"]
     own = assign_formulas(formulas, tables).withColumn("errors", formula_errors(F.col("raw")))
     bad = own.where(F.size("errors") > 0)
     good = own.where(F.size("errors") == 0).withColumn("form", normal_form(F.col("raw"), F.col("row"), F.col("col")))
-    segments = runs(good, [*key, "form"])
-    first = good.withColumnRenamed("row", "r1").withColumnRenamed("col", "c1").select(*key, "form", "r1", "c1", "raw")
-    placed = segments.join(first, [*key, "form", "r1", "c1"])
+    by_form = W.Window.partitionBy(*key, "form")
+    placed = good.withColumn("g", F.min(F.struct("row", "col")).over(by_form)).withColumn("down", F.min("row").over(W.Window.partitionBy(*key, "form", "col")))
+    first = placed.select(*key, "form", F.col("row").alias("r1"), F.col("col").alias("c1"), "raw", "g", "down")
+    segments = runs(good, [*key, "form"]).join(first, [*key, "form", "r1", "c1"])
     function = aggregate_function(F.col("raw"))
     category = F.when(F.col("shape") != "single", "normal").when(function.isNotNull(), "aggregate").otherwise("cell")
     text = F.when(F.col("shape") != "single", pattern(F.col("raw"), F.col("r1"), F.col("c1"), F.col("shape") == "rows"))
+    across = F.col("shape") != "rows"
+    order = F.struct("g", across.alias("across"), F.when(~across, F.col("down")).otherwise(F.col("r1")).alias("x"), F.col("c1").alias("y"), F.col("r1").alias("z"))
     no_errors = F.array().cast("array<struct<type:string,token:string,message:string>>")
-    fine = placed.select(*key, category.alias("category"), "r1", "c1", "r2", "c2", text.alias("pattern"), function.alias("agg_function"), cell_a1(F.col("r1"), F.col("c1")).alias("cell"), "raw", no_errors.alias("errors"))
-    broken = bad.select(*key, F.lit("invalid").alias("category"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2"), F.lit(None).cast("string").alias("pattern"), F.lit(None).cast("string").alias("agg_function"), cell_a1(F.col("row"), F.col("col")).alias("cell"), "raw", "errors")
-    number = F.row_number().over(W.Window.partitionBy(*key, "category").orderBy("r1", "c1"))
-    every = fine.unionByName(broken).withColumn("relation_id", F.concat(F.lit("rel_"), F.col("category"), F.lit("_"), number.cast("string")))
-    return every.select(*key, "relation_id", *[c for c in fine.columns if c not in key])
+    fine = segments.select(*key, category.alias("category"), "shape", "r1", "c1", "r2", "c2", text.alias("pattern"), function.alias("agg_function"), "raw", no_errors.alias("errors"), order.alias("order"))
+    place = F.struct("row", "col")
+    none = lambda name: F.lit(None).cast("string").alias(name)
+    at = F.struct(place.alias("g"), F.lit(False).alias("across"), F.col("row").alias("x"), F.col("col").alias("y"), F.col("row").alias("z"))
+    broken = bad.select(*key, F.lit("invalid").alias("category"), F.lit("single").alias("shape"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2"), none("pattern"), none("agg_function"), "raw", "errors", at.alias("order"))
+    number = F.row_number().over(W.Window.partitionBy(*key, "category").orderBy("order"))
+    arithmetic = F.col("raw").rlike(r"[*/+-]")
+    letters = F.lower(column_letters(F.col("c1")))
+    row_kind = F.when(F.col("agg_function") == "SUM", "sum").when(F.col("agg_function") == "SUBTOTAL", "subtotal").when(arithmetic, "arithmetic").otherwise("formula")
+    name = (
+        F.when((F.col("category") == "normal") & (F.col("shape") == "rows"), F.concat(F.lit("rel_repeat_row_"), row_kind, F.lit("_"), letters))
+        .when(F.col("category") == "normal", F.concat(F.lit("rel_repeat_column_formula_"), F.col("r1").cast("string")))
+        .when(F.col("category") == "aggregate", F.concat(F.lit("rel_aggregate_"), F.lower("agg_function")))
+        .when(F.col("category") == "invalid", "rel_invalid_ref")
+        .when(arithmetic & ~F.contains(F.upper("raw"), F.lit("IF")), "rel_single_arithmetic_formula").otherwise("rel_single_cell_formula")
+    )
+    every = fine.unionByName(broken).withColumn("relation_id", F.concat(name, F.lit("_"), number.cast("string"))).withColumn("cell", cell_a1(F.col("r1"), F.col("c1")))
+    every = every.withColumn("description", description(F.col("category"), F.col("shape"), F.coalesce("pattern", "raw"), F.col("agg_function"), F.col("cell"), F.col("errors")))
+    columns = [*key, "relation_id", "category", "r1", "c1", "r2", "c2", "pattern", "agg_function", "cell", "raw", "errors", "description"]
+    if headers is None:
+        return every.select(*columns)
+    every = every.withColumn("key", F.concat_ws("|", *key, "relation_id"))
+    examples = every.where("category <> 'invalid'").select("key", "table_id", F.col("r1").alias("row"), F.col("c1").alias("col"), "raw")
+    return every.join(expressions(examples, headers), "key", "left").select(*columns, "expression")
+
+
+def relation_tables(relations: DataFrame, tables: DataFrame) -> DataFrame:
+    """relation_key and table_ids: the table that a relation names if it is known, else every table of its sheet whose bounds hold its range.
+
+    relations: relation_key, wb_id, sheet (null: any), table_id (may be null), r1, c1, r2, c2; tables: wb_id, sheet, table_id, r1, c1, r2, c2.
+    """
+    t = bands(tables.select("wb_id", F.col("sheet").alias("t_sheet"), F.col("table_id").alias("t_id"), *(F.col(x).alias(f"t_{x}") for x in ("r1", "c1", "r2", "c2"))), "t_r1", "t_r2")
+    named = relations.join(tables.select("wb_id", "table_id").distinct(), ["wb_id", "table_id"]).select("relation_key", F.col("table_id").alias("t_id"))
+    rest = bands(relations.where("r1 is not null").join(named, "relation_key", "left_anti"), "r1", "r1")
+    inside = (F.col("t_r1") <= F.col("r1")) & (F.col("t_r2") >= F.col("r2")) & (F.col("t_c1") <= F.col("c1")) & (F.col("t_c2") >= F.col("c2"))
+    held = rest.join(t, ["wb_id", "band"]).where(inside & (F.col("sheet").isNull() | (F.col("sheet") == F.col("t_sheet")))).select("relation_key", "t_id")
+    found = named.unionByName(held).groupBy("relation_key").agg(F.sort_array(F.collect_set("t_id")).alias("table_ids"))
+    return relations.select("relation_key").join(found, "relation_key", "left").select("relation_key", F.coalesce("table_ids", F.array().cast("array<string>")).alias("table_ids"))
+
+
+def list_relations(relations: DataFrame, category: str | None = None, table_id: str | None = None) -> DataFrame:
+    """Relations of a category and of a table (a column table_ids, as relation_tables() gives it), in order of their ids."""
+    out = relations if category is None else relations.where(F.col("category") == category)
+    return out if table_id is None else out.where(F.array_contains("table_ids", table_id))
 
 
 def recalculate_rows(rows: DataFrame, formula: Column, mutations: DataFrame, keys: list[str], inputs: list[str], out: str = "value") -> DataFrame:

@@ -5,11 +5,15 @@ cards: card_id, workbook, sheet, table_id, retrieval_type (data or metadata), ca
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.functions.text import alias, compact, overlap, phrase_in, rank_tokens, words
+from gridspark.functions.text import alias, compact, overlap, phrase_in, query_terms, rank_tokens, sheet_alias, similarity_ratio, strong_token, tidy, words, workbook_tokens
 
 K1, B = 1.2, 0.75
 LEXICAL_WEIGHT, EMBEDDING_WEIGHT = 0.3, 0.7
@@ -22,9 +26,32 @@ METADATA_TERMS = (
 SHEET_MARKERS = ("sheet", "worksheet", "tab", "phòng", "시트")
 
 
-def pairs_of(queries: DataFrame, cards: DataFrame) -> DataFrame:
-    """Every question with every card of its scope; scope is a column of both."""
-    return queries.select("scope", "query_id").join(cards.select("scope", "card_id"), "scope")
+#: Rows of a block of questions and of cards where every question has to meet every card.
+QUERY_BLOCK, CARD_BLOCK = 1024, 16384
+
+
+def in_blocks(queries: DataFrame, rows: DataFrame, query_key: str, row_key: str, query_block: int = QUERY_BLOCK, row_block: int = CARD_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the columns qb and rb, dealt so that each question meets each row in one pair of blocks of bounded size.
+
+    For a stated set of questions against all rows; a task holds one block of each side, however many there are.
+    """
+    n_q, n_r = (max(1, -(-df.count() // block)) for df, block in ((queries, query_block), (rows, row_block)))
+    own = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    return queries.withColumn("qb", own(query_key, n_q)).withColumn("rb", every(n_r)), rows.withColumn("rb", own(row_key, n_r)).withColumn("qb", every(n_q))
+
+
+def grams(text: Column, n: int = 3) -> Column:
+    """Distinct strings of n characters, and of fewer for names that are shorter."""
+    every = lambda k: F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    return F.array_distinct(F.concat(*(every(k) for k in range(n, 0, -1))))
+
+
+def mentions(queries: DataFrame, names: DataFrame, text: str, name: str, by: list[str], n: int = 3) -> DataFrame:
+    """Rows of queries with the rows of names whose name is in their text, within equal columns `by`; both meet by the name's first n characters."""
+    q = queries.withColumn("_gram", F.explode(grams(F.col(text), n)))
+    x = names.where(F.col(name) != "").withColumn("_gram", F.substring(name, 1, n))
+    return q.join(x, [*by, "_gram"]).where(F.contains(F.col(text), F.col(name))).drop("_gram")
 
 
 def bm25(queries: DataFrame, cards: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -45,12 +72,21 @@ def bm25(queries: DataFrame, cards: DataFrame, k1: float = K1, b: float = B) ->
     return wanted.join(scored, ["scope", "token"]).groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def unit(v: Column) -> Column:
+    """An array at length 1, once for all the pairs that it is in; zeros stay."""
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
+    return F.when(norm == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; 0 if either has no length."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
     both = norm(a) * norm(b)
-    return F.when(both == 0, F.lit(0.0)).otherwise(dot / both)
+    return F.when(both == 0, F.lit(0.0)).otherwise(dot(a, b) / both)
 
 
 def hash_embedding(rows: DataFrame, key: str, text: str, dimension: int = 128) -> DataFrame:
@@ -70,26 +106,113 @@ def normalised(score: Column, by: W.WindowSpec) -> Column:
     return F.when(high == low, F.lit(1.0)).otherwise((score - low) / (high - low))
 
 
-def hybrid_rank(queries: DataFrame, cards: DataFrame, top_k: int | None = None, lexical_weight: float = LEXICAL_WEIGHT, embedding_weight: float = EMBEDDING_WEIGHT) -> DataFrame:
-    """query_id, card_id, rank, score, bm25, lexical, embedding_score of all cards of a question's scope, best first.
-
-    Lexical evidence is BM25 from 0 to 1 within a question, or word overlap if no card has a BM25. With embeddings on both
-    sides (a column `embedding` of queries and cards) the score is a weighted sum, else the lexical part. Ties keep cards' order.
+def overlap_counts(queries: DataFrame, cards: DataFrame) -> DataFrame:
+    """query_id, card_id, shared: the distinct words that both have, by an inverted list of words; pairs without any are absent."""
+    q = queries.select("scope", "query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    c = cards.select("scope", "card_id", F.explode(F.array_distinct(words(F.col("card")))).alias("word"))
+    return q.join(c, ["scope", "word"]).groupBy("query_id", "card_id").agg(F.count("*").alias("shared"))
+
+
+def _nearest(queries: DataFrame, cards: DataFrame, top_k: int) -> DataFrame:
+    """query_id, card_id, embedding_score of each question's top_k cards by cosine, ties in the cards' order, in pairs of blocks."""
+    q, c = in_blocks(queries.select("scope", "query_id", "embedding"), cards.select("scope", "card_id", "ord", "embedding"), "query_id", "card_id")
+    key = ["scope", "qb", "rb"]
+    columns = ["query_id", "card_id", "ord", "embedding_score"]
+
+    def unit(x: pd.Series) -> np.ndarray:
+        v = np.array(x.tolist(), np.float64)
+        norm = np.sqrt(np.square(v).sum(1, keepdims=True))
+        return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        right = right.sort_values(["ord", "card_id"], kind="stable").reset_index(drop=True)
+        for size, some in left.groupby(left["embedding"].map(len)):
+            own = right[right["embedding"].map(len) == size]
+            if len(own):
+                score = np.round(unit(some["embedding"]) @ unit(own["embedding"]).T, 9)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :top_k]
+                at = best.reshape(-1)
+                found.append(pd.DataFrame({"query_id": np.repeat(some["query_id"].to_numpy(), best.shape[1]), "card_id": own["card_id"].to_numpy()[at], "ord": own["ord"].to_numpy()[at], "embedding_score": np.take_along_axis(score, best, 1).reshape(-1)}))
+        return pd.concat(found) if found else pd.DataFrame(columns=columns)
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in (("query_id", dict(queries.dtypes)["query_id"]), ("card_id", dict(cards.dtypes)["card_id"]), ("ord", dict(cards.dtypes)["ord"]), ("embedding_score", "double")))
+    found = q.where("embedding is not null").groupBy(*key).cogroup(c.where("embedding is not null").groupBy(*key)).applyInPandas(search, schema)
+    place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("embedding_score"), "ord", "card_id"))
+    return found.withColumn("place", place).where(F.col("place") <= top_k).select("query_id", "card_id")
+
+
+def hybrid_rank(queries: DataFrame, cards: DataFrame, top_k: int = 10, lexical_weight: float = LEXICAL_WEIGHT, embedding_weight: float = EMBEDDING_WEIGHT) -> DataFrame:
+    """query_id, card_id, rank, score, bm25, lexical, embedding_score of a question's top_k cards within its scope, best first.
+
+    Lexical evidence is BM25 from 0 to 1 over all cards of the scope, or word overlap if no card has a BM25. With embeddings on
+    both sides (a column `embedding` of queries and cards) the score is a weighted sum, else the lexical part; a card without an
+    embedding keeps the lexical part. Ties keep cards' order. queries may have boosts (an array of (workbook, boost), as
+    workbook_guard() makes it) where cards have a workbook.
+
+    Cards that share nothing with a question have no row until the end: evidence comes from postings, similarity from pairs of
+    blocks, and places that are left go to the scope's first cards.
     """
     embedded = "embedding" in queries.columns and "embedding" in cards.columns
-    q = queries.select("scope", "query_id", F.col("text").alias("q_text"), *([F.col("embedding").alias("q_emb")] if embedded else []))
-    pool = q.join(cards, "scope").join(bm25(queries, cards), ["query_id", "card_id"], "left").withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
-    by = W.Window.partitionBy("query_id")
-    any_hit = F.max("bm25").over(by) > 0
-    raw = F.when(any_hit, F.col("bm25")).otherwise(overlap(F.col("q_text"), F.col("card")))
-    pool = pool.withColumn("raw", raw).withColumn("lexical", normalised(F.col("raw"), by))
-    similarity = cosine(F.col("q_emb"), F.col("embedding")) if embedded else F.lit(None).cast("double")
+    scored = bm25(queries, cards).where("bm25 > 0")
+    bare = queries.join(scored.select("query_id").distinct(), "query_id", "left_anti")
+    evidence = scored.select("query_id", "card_id", "bm25", F.col("bm25").alias("raw")).unionByName(overlap_counts(bare, cards).select("query_id", "card_id", F.lit(0.0).alias("bm25"), F.col("shared").cast("double").alias("raw")))
+    size = cards.groupBy("scope").agg(F.count("*").alias("cards"))
+    spread = evidence.groupBy("query_id").agg(F.min("raw").alias("least"), F.max("raw").alias("most"), F.count("*").alias("hits"))
+    of_query = queries.select("scope", "query_id").join(size, "scope").join(spread, "query_id", "left").select(
+        "scope", "query_id", F.when(F.coalesce("hits", F.lit(0)) < F.col("cards"), 0.0).otherwise(F.col("least")).alias("low"), F.coalesce("most", F.lit(0.0)).alias("high")
+    )
+    # every card that can be among the first: those with evidence, the nearest ones, and the scope's first cards
+    place = F.row_number().over(W.Window.partitionBy("scope").orderBy("ord", "card_id"))
+    heads = lambda some: some.select("scope", "card_id", "ord").withColumn("place", place).where(F.col("place") <= top_k).select("scope", "card_id")
+    among = [evidence.select("query_id", "card_id"), of_query.select("scope", "query_id").join(heads(cards), "scope").select("query_id", "card_id")]
+    if embedded:
+        among += [_nearest(queries, cards, top_k), of_query.select("scope", "query_id").join(heads(cards.where("embedding is null")), "scope").select("query_id", "card_id")]
+    boosted = "boosts" in queries.columns
+    if boosted:  # a boosted workbook's first cards can pass others
+        lifted = queries.select("scope", "query_id", F.explode("boosts").alias("x")).select("scope", "query_id", "x.workbook")
+        first = F.row_number().over(W.Window.partitionBy("scope", "workbook").orderBy("ord", "card_id"))
+        among.append(lifted.join(cards.select("scope", "workbook", "card_id", first.alias("place")).where(F.col("place") <= top_k), ["scope", "workbook"]).select("query_id", "card_id"))
+    pool = among[0]
+    for more in among[1:]:
+        pool = pool.unionByName(more)
+    pool = pool.distinct().join(of_query, "query_id").join(evidence, ["query_id", "card_id"], "left")
+    card_columns = [c for c in ("ord", "embedding", "workbook") if c in cards.columns and (c != "embedding" or embedded) and (c != "workbook" or boosted)]
+    pool = pool.join(cards.select("scope", "card_id", *card_columns), ["scope", "card_id"])
+    lexical = F.when(F.col("high") == F.col("low"), F.lit(1.0)).otherwise((F.coalesce("raw", F.lit(0.0)) - F.col("low")) / (F.col("high") - F.col("low")))
+    pool = pool.withColumn("lexical", lexical)
+    if embedded or boosted:
+        extra = [F.col(c).alias(f"q_{c}") for c in ("embedding", "boosts") if c in queries.columns and (c != "embedding" or embedded)]
+        pool = pool.join(queries.select("query_id", *extra), "query_id")
+    similarity = F.when(F.size("q_embedding") == F.size("embedding"), cosine(F.col("q_embedding"), F.col("embedding"))) if embedded else F.lit(None).cast("double")
     pool = pool.withColumn("embedding_score", similarity)
     score = F.when(F.col("embedding_score").isNull(), F.col("lexical")).otherwise(lexical_weight * F.col("lexical") + embedding_weight * F.col("embedding_score"))
-    pool = pool.withColumn("score", score)
-    ranked = pool.withColumn("rank", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "ord", "card_id")))
-    out = ranked if top_k is None else ranked.where(F.col("rank") <= top_k)
-    return out.select("query_id", "card_id", "rank", "score", "bm25", "lexical", "embedding_score")
+    if boosted:
+        own = F.filter(F.coalesce("q_boosts", F.array().cast("array<struct<workbook:string,boost:double>>")), lambda x: x["workbook"] == F.col("workbook"))
+        score = score + F.aggregate(own, F.lit(0.0), lambda total, x: total + x["boost"])
+    ranked = pool.withColumn("score", score).withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "ord", "card_id")))
+    return ranked.where(F.col("rank") <= top_k).select("query_id", "card_id", "rank", "score", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "lexical", "embedding_score")
+
+
+def audit(ranked: DataFrame, most: int = 10) -> DataFrame:
+    """query_id, audit (rank, card_id, score of a question's first candidates, in order), candidates (how many there are)."""
+    rows = F.sort_array(F.collect_list(F.when(F.col("rank") <= most, F.struct("rank", "card_id", "score"))))
+    return ranked.groupBy("query_id").agg(rows.alias("audit"), F.count("*").alias("candidates"))
+
+
+def embedding_scores(pairs: DataFrame, model: str | None = None) -> DataFrame:
+    """pairs with embedding_score: index scores where every candidate of a question has one, else the cosine of vectors of one model and length, else null.
+
+    pairs: query_id, card_id, q_embedding, embedding and, if there are, embedding_model and index_score.
+    """
+    fits = F.size("q_embedding") == F.size("embedding")
+    if model is not None and "embedding_model" in pairs.columns:
+        fits = fits & (F.col("embedding_model") == model)
+    own = F.when(F.coalesce(fits, F.lit(False)), cosine(F.col("q_embedding"), F.col("embedding")))
+    if "index_score" not in pairs.columns:
+        return pairs.withColumn("embedding_score", own)
+    whole = F.bool_and(F.col("index_score").isNotNull()).over(W.Window.partitionBy("query_id"))
+    return pairs.withColumn("_whole", whole).withColumn("embedding_score", F.when(F.col("_whole"), F.col("index_score").cast("double")).otherwise(own)).drop("_whole")
 
 
 def entity_coverage(question: Column, card: Column) -> Column:
@@ -99,6 +222,13 @@ def entity_coverage(question: Column, card: Column) -> Column:
     return F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(found) / F.size(terms))
 
 
+def entity_match(question: Column, card: Column) -> Column:
+    """Struct of share, matched and missing: a question's terms (query_terms()) that a card's text holds or lacks, in order."""
+    terms, text = query_terms(question), F.lower(F.coalesce(card, F.lit("")))
+    matched, missing = F.filter(terms, lambda t: F.contains(text, t)), F.filter(terms, lambda t: ~F.contains(text, t))
+    return F.struct(F.when(F.size(terms) == 0, F.lit(0.0)).otherwise(F.size(matched) / F.size(terms)).alias("share"), matched.alias("matched"), missing.alias("missing"))
+
+
 def query_type(question: Column, has_metadata: Column, fixed: Column | None = None) -> Column:
     """metadata if a term of METADATA_TERMS is in the question and there are metadata cards, else data; a fixed type wins."""
     terms = "|".join(METADATA_TERMS)
@@ -107,38 +237,89 @@ def query_type(question: Column, has_metadata: Column, fixed: Column | None = No
 
 
 def workbook_guard(queries: DataFrame, workbooks: DataFrame) -> DataFrame:
-    """query_id, workbook, match: the one workbook whose compact name is in the question, else the one with most unique terms.
+    """query_id, workbook, match, terms: the one workbook whose compact name is in the question (exact), else the one with most unique terms (boost).
 
-    Unique terms belong to one workbook's name only, have 3 letters or a digit, and are two at least, one of them with a digit.
-    Questions with several exact names, or none, or equal matches get no row.
+    Unique terms are strong tokens that belong to one workbook's name only; two at least, one of them with a digit. Questions
+    with several exact names, or none, or equal matches get no row, nor do those of a scope with one workbook.
     """
-    w = workbooks.select("scope", "workbook", alias(F.col("workbook")).alias("short"), F.array_distinct(words(F.col("workbook"))).alias("terms"))
-    q = queries.select("scope", "query_id", alias(F.col("text")).alias("short_q"), F.array_distinct(words(F.col("text"))).alias("q_terms"))
-    exact = q.join(w, "scope").where((F.col("short") != "") & F.contains("short_q", F.col("short"))).groupBy("query_id").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook"))
-    names = w.select("scope", "workbook", F.explode("terms").alias("term"))
-    strong = (F.length("term") >= 3) | F.col("term").rlike("[0-9]")
-    unique = names.groupBy("scope", "term").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook")).where((F.col("n") == 1) & strong)
-    hits = q.select("scope", "query_id", F.explode("q_terms").alias("term")).join(unique.drop("n"), ["scope", "term"]).groupBy("query_id", "workbook").agg(F.count("*").alias("k"), F.sum(F.length("term")).alias("size"), F.bool_or(F.col("term").rlike("[0-9]")).alias("digit")).where("k >= 2 and digit")
+    w = workbooks.select("scope", "workbook", alias(F.col("workbook")).alias("short"), F.array_distinct(workbook_tokens(F.col("workbook"))).alias("names")).distinct()
+    several = w.groupBy("scope").agg(F.count("*").alias("n")).where("n > 1").select("scope")
+    w = w.join(several, "scope", "left_semi")
+    q = queries.select("scope", "query_id", alias(F.col("text")).alias("short_q"), F.array_distinct(workbook_tokens(F.col("text"))).alias("said"))
+    exact = mentions(q, w, "short_q", "short", ["scope"]).groupBy("query_id").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook"))
+    names = w.select("scope", "workbook", F.explode("names").alias("term"))
+    unique = names.groupBy("scope", "term").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook")).where((F.col("n") == 1) & strong_token(F.col("term")))
+    digit = F.bool_or(F.col("term").rlike("[0-9]"))
+    hits = q.select("scope", "query_id", F.explode("said").alias("term")).join(unique.drop("n"), ["scope", "term"]).groupBy("query_id", "workbook").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.count("*").alias("k"), F.sum(F.length("term")).alias("size"), digit.alias("digit")).where("k >= 2 and digit")
     place = F.rank().over(W.Window.partitionBy("query_id").orderBy(F.desc("k"), F.desc("size")))
-    best = hits.withColumn("place", place).where("place = 1").groupBy("query_id").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook")).where("n = 1")
-    soft = best.join(exact, "query_id", "left_anti").select("query_id", "workbook", F.lit("boost").alias("match"))
-    return exact.where("n = 1").select("query_id", "workbook", F.lit("exact").alias("match")).unionByName(soft)
-
-
-def sheet_guard(queries: DataFrame, sheets: DataFrame, most_words: int = 4) -> DataFrame:
-    """query_id, sheet: the one sheet that a question names right after or before a marker such as "sheet"; ambiguous ones get no row."""
-    w = words(F.col("text"))
-    spans = queries.select("scope", "query_id", w.alias("w")).select("scope", "query_id", "w", F.posexplode("w").alias("i", "word")).where(F.col("word").isin(*SHEET_MARKERS))
-    grams = []
-    for n in range(1, most_words + 1):
-        after = F.when(F.col("i") + 1 + n <= F.size("w"), F.array_join(F.slice("w", F.col("i") + 2, F.lit(n)), ""))
-        before = F.when(F.col("i") - n >= 0, F.array_join(F.slice("w", F.col("i") - n + 1, F.lit(n)), ""))
-        grams += [after, before]
-    named = spans.select("scope", "query_id", F.explode(F.array(*grams)).alias("short")).where("short is not null").distinct()
-    s = sheets.select("scope", "sheet", alias(F.col("sheet")).alias("short")).where("short <> ''").distinct()
-    hits = named.join(s, ["scope", "short"]).select("query_id", "sheet", F.length("short").alias("size")).distinct()
-    longest = hits.withColumn("place", F.rank().over(W.Window.partitionBy("query_id").orderBy(F.desc("size")))).where("place = 1")
-    return longest.groupBy("query_id").agg(F.count("*").alias("n"), F.min("sheet").alias("sheet")).where("n = 1").drop("n")
+    best = hits.withColumn("place", place).where("place = 1").groupBy("query_id").agg(F.count("*").alias("n"), F.min("workbook").alias("workbook"), F.first("terms").alias("terms")).where("n = 1")
+    soft = best.join(exact, "query_id", "left_anti").select("query_id", "workbook", F.lit("boost").alias("match"), "terms")
+    return exact.where("n = 1").select("query_id", "workbook", F.lit("exact").alias("match"), F.array().cast("array<string>").alias("terms")).unionByName(soft)
+
+
+def boosts(guards: DataFrame, boost: float = 1.0) -> DataFrame:
+    """query_id, boosts: what workbook_guard() adds to the scores of a workbook's cards, as hybrid_rank() takes it."""
+    return guards.where("match = 'boost'").groupBy("query_id").agg(F.collect_list(F.struct("workbook", F.lit(boost).alias("boost"))).alias("boosts"))
+
+
+#: Words around a marker that can be a sheet's name, the least similarity of a close one, and what exact and close names score. Fixed values.
+NAME_WORDS, CLOSE, EXACT_SCORE, CLOSE_SCORE = 4, 0.8, 1000.0, 500.0
+
+
+def _marked_names(queries: DataFrame, after_only: bool, short: Callable[[Column], Column]) -> DataFrame:
+    """scope, query_id, said: one to NAME_WORDS words after or before each marker of a question, up to the next `,;:()`, written as short() does."""
+    marker = "(?:sheet|worksheet|tab|ph[oò]ng|시트)"
+    after = F.regexp_extract_all("text", F.lit(rf"(?iu){marker}\s+([^,;:()]+)"), F.lit(1))
+    phrases = after if after_only else F.concat(after, F.regexp_extract_all("text", F.lit(rf"(?iu)([^,;:()]+?)\s+{marker}(?![\p{{L}}\p{{N}}_])"), F.lit(1)))
+    w = queries.select("scope", "query_id", F.explode(phrases).alias("phrase")).select("scope", "query_id", words(F.col("phrase")).alias("w")).where(F.size("w") > 0)
+    spans = []
+    for n in range(1, NAME_WORDS + 1):
+        spans.append(F.when(F.size("w") >= n, F.array_join(F.slice("w", 1, n), " ")))
+        if not after_only:
+            spans.append(F.when(F.size("w") >= n, F.array_join(F.slice("w", -n, n), " ")))
+    return w.select("scope", "query_id", F.explode(F.array(*spans)).alias("said")).where("said is not null").select("scope", "query_id", short(F.col("said")).alias("said")).where("said <> ''").distinct()
+
+
+def _name_scores(said: DataFrame, sheets: DataFrame) -> DataFrame:
+    """scope, query_id, short, score of names that are said exactly (EXACT_SCORE and their length) or closely (CLOSE_SCORE and the similarity).
+
+    A similarity of CLOSE or more needs a shared pair of neighbouring characters, so names meet by those; names that differ too
+    much in length to be that similar are left out first.
+    """
+    pair = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(c, F.lit("(?s)(?=(.{2}))"), F.lit(1))))
+    names = sheets.select("scope", "short").distinct()
+    exact = said.join(names, (said["said"] == names["short"]) & said["scope"].eqNullSafe(names["scope"])).select(said["scope"], "query_id", "short", (EXACT_SCORE + F.length("short")).alias("score"))
+    near = said.withColumn("pair", pair(F.col("said"))).join(names.withColumn("pair", pair(F.col("short"))), ["scope", "pair"])
+    a, b = F.length("said"), F.length("short")
+    near = near.where((F.col("said") != F.col("short")) & (2 * F.least(a, b) >= CLOSE * (a + b))).select("scope", "query_id", "said", "short").distinct()
+    close = near.withColumn("like", similarity_ratio("said", "short")).where(F.col("like") >= CLOSE).select("scope", "query_id", "short", (CLOSE_SCORE + F.col("like")).alias("score"))
+    return exact.unionByName(close).groupBy("scope", "query_id", "short").agg(F.max("score").alias("score"))
+
+
+def sheet_guard(queries: DataFrame, sheets: DataFrame) -> DataFrame:
+    """query_id, sheet, match: the one sheet that a question names beside a marker such as "sheet", exactly, or else closely (close_alias).
+
+    Several exact names, or without any several close ones, are ambiguous: no row. sheets: scope, sheet and, where there are
+    several, workbook; equal names in two workbooks are two sheets.
+    """
+    book = [F.coalesce("workbook", F.lit("")).alias("workbook")] if "workbook" in sheets.columns else [F.lit("").alias("workbook")]
+    s = sheets.select("scope", "sheet", *book, alias(F.col("sheet")).alias("short")).where("short <> ''").groupBy("scope", "workbook", "short").agg(F.min("sheet").alias("sheet"))
+    scored = _name_scores(_marked_names(queries, False, alias), s).join(s, ["scope", "short"])
+    best = scored.withColumn("exact", F.col("score") >= EXACT_SCORE).withColumn("any_exact", F.max("exact").over(W.Window.partitionBy("query_id")))
+    one = best.where("exact or not any_exact").groupBy("query_id").agg(F.count("*").alias("n"), F.min("sheet").alias("sheet"), F.bool_or("exact").alias("exact")).where("n = 1")
+    return one.select("query_id", "sheet", F.when(F.col("exact"), "exact").otherwise("close_alias").alias("match"))
+
+
+def explicit_sheets(queries: DataFrame, sheets: DataFrame) -> DataFrame:
+    """query_id, sheet, score: the sheet that a question names best, and how well.
+
+    A name said word by word scores its length, one after a marker EXACT_SCORE and its length or CLOSE_SCORE and its
+    similarity. Equal scores go to the first sheet by ord. sheets: scope, sheet, ord.
+    """
+    s = sheets.where(F.trim("sheet") != "").withColumn("short", sheet_alias(F.col("sheet")))
+    said = phrase_matches(queries, s.withColumnRenamed("sheet", "label"), "label").select("query_id", F.col("label").alias("sheet"), "ord", F.length("label").cast("double").alias("score"))
+    marked = _name_scores(_marked_names(queries, True, sheet_alias), s.where("short <> ''")).join(s, ["scope", "short"]).select("query_id", "sheet", "ord", "score")
+    return said.unionByName(marked).groupBy("query_id").agg(F.max_by("sheet", F.struct("score", -F.col("ord"))).alias("sheet"), F.max("score").alias("score"))
 
 
 def evidence(overlap_words: Column, coverage: Column, embedding: Column) -> Column:
@@ -146,30 +327,131 @@ def evidence(overlap_words: Column, coverage: Column, embedding: Column) -> Colu
     return (overlap_words >= 2) | (coverage >= 0.5) | (F.coalesce(embedding, F.lit(0.0)) >= 0.5)
 
 
+def _distinct_terms(df: DataFrame, key: list[str], text: Column, weight: float) -> DataFrame:
+    return df.select(*key, F.explode(F.array_distinct(words(F.coalesce(text, F.lit(""))))).alias("word")).select(*key, "word", F.lit(weight).alias("weight"))
+
+
 def routing_scores(queries: DataFrame, tables: DataFrame, headers: DataFrame) -> DataFrame:
-    """query_id, table_id, score: shared words with names, descriptions and headers, and mentions of names and labels."""
-    pairs = queries.select("scope", "query_id", "text").join(tables.select("scope", "table_id", "name", "description"), "scope")
-    text, mentioned = F.col("text"), lambda x: (x.isNotNull() & (x != "") & F.contains(F.lower(F.col("text")), F.lower(x))).cast("int")
-    own = 3.0 * overlap(text, F.concat_ws(" ", "table_id", "name")) + 2.0 * overlap(text, F.col("description")) + 20.0 * mentioned(F.col("name"))
-    base = pairs.select("query_id", "text", "table_id", own.alias("own"))
-    each = 2.0 * overlap(text, F.concat_ws(" ", "header_id", "label", "h_description")) + 10.0 * mentioned(F.col("label"))
-    h = headers.select("table_id", "header_id", "label", F.col("description").alias("h_description"))
-    summed = base.join(h, "table_id", "left").groupBy("query_id", "table_id", "own").agg(F.coalesce(F.sum(F.when(F.col("header_id").isNotNull(), each)), F.lit(0.0)).alias("parts"))
-    return summed.select("query_id", "table_id", (F.col("own") + F.col("parts")).alias("score"))
-
-
-def find_headers(queries: DataFrame, headers: DataFrame) -> DataFrame:
-    """query_id, header_id, score, rank: best word overlap with id, label or description, 10 more where a label or id holds the question."""
-    q = F.lower(F.col("text"))
-    best = F.greatest(*(overlap(F.col("text"), F.col(c)) for c in ("header_id", "label", "description")))
-    holds = F.contains(F.lower(F.concat_ws(" ", "header_id", "label", "description")), q)
-    scored = queries.join(headers, "scope").withColumn("score", best + F.when(holds, 10).otherwise(0)).where("score > 0")
-    return scored.select("query_id", "header_id", "score", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")).alias("rank"))
+    """query_id, table_id, score: 3 for each shared word with id and name, 2 with the description and with each header, 20 for a name and 10 for each label that is mentioned.
+
+    Tables without a shared word or a mention score 0 and are absent: questions and tables meet by words and by names' beginnings.
+    """
+    key = ["scope", "table_id"]
+    h = headers.join(tables.select(*key), key, "left_semi")
+    terms = _distinct_terms(tables, key, F.concat_ws(" ", "table_id", "name"), 3.0).unionByName(_distinct_terms(tables, key, F.col("description"), 2.0))
+    header_text = F.concat_ws(" ", "header_id", "label", "description")
+    terms = terms.unionByName(_distinct_terms(h, key, header_text, 2.0)).groupBy(*key, "word").agg(F.sum("weight").alias("weight"))
+    asked = queries.select("scope", "query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    shared = asked.join(terms, ["scope", "word"]).select("query_id", "table_id", "weight")
+    q = queries.select("scope", "query_id", F.lower("text").alias("text"))
+    names = tables.select(*key, F.lower("name").alias("name"), F.lit(20.0).alias("weight")).unionByName(h.select(*key, F.lower("label").alias("name"), F.lit(10.0).alias("weight")))
+    names = names.where("name <> ''").groupBy(*key, "name").agg(F.sum("weight").alias("weight"))
+    named = mentions(q, names, "text", "name", ["scope"]).select("query_id", "table_id", "weight")
+    return shared.unionByName(named).groupBy("query_id", "table_id").agg(F.sum("weight").alias("score"))
+
+
+def search_tables(queries: DataFrame, tables: DataFrame, headers: DataFrame, top_k: int = 1, min_score: float = 0.0, retriever: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """query_id, table_id, score, rank, reason: a question's best tables above min_score, ties by table id.
+
+    A retriever takes (queries, tables) and gives query_id, table_id, score; of its rows known tables above min_score stay, each
+    once at its best. Questions for which it has none, or that it does not implement (NotImplementedError), go to routing_scores().
+    """
+    if top_k < 1:
+        raise ValueError("top_k must be at least 1")
+    asked = queries.where(F.trim("text") != "")
+    found = None
+    if retriever is not None:
+        try:
+            given = retriever(asked, tables)
+        except NotImplementedError:
+            given = None
+        if given is not None:
+            known = asked.select("scope", "query_id").join(tables.select("scope", "table_id"), "scope") if "scope" not in given.columns else None
+            valid = given.join(asked.select("query_id", "scope"), "query_id").join(tables.select("scope", "table_id"), ["scope", "table_id"], "left_semi") if known is not None else given.join(tables.select("scope", "table_id"), ["scope", "table_id"], "left_semi")
+            found = valid.where(F.col("score") > min_score).groupBy("query_id", "table_id").agg(F.max("score").cast("double").alias("score")).withColumn("reason", F.lit("retriever"))
+            asked = asked.join(found.select("query_id").distinct(), "query_id", "left_anti")
+    lexical = routing_scores(asked, tables, headers).where(F.col("score") > min_score).withColumn("reason", F.lit("lexical"))
+    every = lexical if found is None else found.unionByName(lexical)
+    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "table_id"))
+    return every.withColumn("rank", rank).where(F.col("rank") <= top_k).select("query_id", "table_id", "score", "rank", "reason")
+
+
+def find_relations(queries: DataFrame, relations: DataFrame, top_k: int = 3) -> DataFrame:
+    """query_id, relation_id, score, rank: shared words with a relation's id, description, expression, pattern and formulas, 20 more where its id is mentioned; ties by id.
+
+    relations: scope, relation_id and any of description, expression, pattern, formula_example, formula.
+    """
+    fields = [c for c in ("relation_id", "description", "expression", "pattern", "formula_example", "formula") if c in relations.columns]
+    r = relations.select("scope", "relation_id", F.concat_ws(" ", *fields).alias("card"))
+    shared = overlap_counts(queries, r.withColumnRenamed("relation_id", "card_id")).select("query_id", F.col("card_id").alias("relation_id"), F.col("shared").cast("double").alias("score"))
+    q = queries.select("scope", "query_id", F.lower("text").alias("text"))
+    named = mentions(q, r.select("scope", "relation_id", F.lower("relation_id").alias("name")), "text", "name", ["scope"]).select("query_id", "relation_id", F.lit(20.0).alias("score"))
+    scored = shared.unionByName(named).groupBy("query_id", "relation_id").agg(F.sum("score").alias("score"))
+    rank = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "relation_id"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def pick_tables(queries: DataFrame, tables: DataFrame, headers: DataFrame) -> DataFrame:
+    """query_id, table_id, score: the table with most distinct words (of a-z and 0-9) of a question in its id, name, description and headers; of equals the last by id.
+
+    A question that shares no word gets the last table of its scope with score 0.
+    """
+    tokens = lambda c: F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word")
+    own = tables.select("scope", "table_id", tokens(F.concat_ws(" ", "table_id", "name", "description")))
+    have = own.unionByName(headers.select("scope", "table_id", tokens(F.concat_ws(" ", "header_id", "label", "description")))).distinct()
+    hits = queries.select("scope", "query_id", tokens(F.col("text"))).join(have, ["scope", "word"]).groupBy("query_id", "table_id").agg(F.count("*").alias("score"))
+    best = hits.groupBy("query_id").agg(F.max(F.struct("score", "table_id")).alias("x")).select("query_id", "x.table_id", "x.score")
+    last = tables.groupBy("scope").agg(F.max("table_id").alias("last"))
+    return queries.select("scope", "query_id").join(last, "scope").join(best, "query_id", "left").select("query_id", F.coalesce("table_id", "last").alias("table_id"), F.coalesce("score", F.lit(0)).alias("score"))
+
+
+def label_scores(queries: DataFrame, tables: DataFrame, headers: DataFrame) -> DataFrame:
+    """query_id, sheet, table_id, score: the table whose names a question says: its lexical score, 8 for each header's label and 6 for each table's name of its sheet said in full, three characters or more.
+
+    tables: scope, sheet, table_id, name, lexical (a question's score comes from `lexical`, query_id beside it, or is 0).
+    Of equal scores the one of more lexical score, then the last by sheet and table. Tables without any score are absent.
+    """
+    q = queries.select("scope", "query_id", alias(F.col("text")).alias("text"))
+    names = tables.select("scope", "sheet", alias(F.col("name")).alias("name"), F.lit(6.0).alias("weight"))
+    labels = headers.select("scope", "sheet", alias(F.col("label")).alias("name"), F.lit(8.0).alias("weight"))
+    said = names.unionByName(labels).where(F.length("name") >= 3).groupBy("scope", "sheet", "name").agg(F.sum("weight").alias("weight"))
+    rewards = mentions(q, said, "text", "name", ["scope"]).groupBy("scope", "query_id", "sheet").agg(F.sum("weight").alias("reward"))
+    cards = tables.select("scope", "sheet", "table_id", F.concat_ws(" ", "table_id", "name", "description").alias("card")) if "description" in tables.columns else tables.select("scope", "sheet", "table_id", F.concat_ws(" ", "table_id", "name").alias("card"))
+    place = F.concat_ws("\u0001", "sheet", "table_id")
+    shared = overlap_counts(queries, cards.select("scope", place.alias("card_id"), "card")).select("query_id", F.split("card_id", "\u0001").alias("x"), F.col("shared").cast("double").alias("lexical")).select("query_id", F.col("x")[0].alias("sheet"), F.col("x")[1].alias("table_id"), "lexical")
+    of_sheet = rewards.join(tables.select("scope", "sheet", "table_id"), ["scope", "sheet"]).select("query_id", "sheet", "table_id", "reward")
+    both = of_sheet.join(shared, ["query_id", "sheet", "table_id"], "full").select("query_id", "sheet", "table_id", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), F.coalesce("reward", F.lit(0.0)).alias("reward"))
+    best = both.groupBy("query_id").agg(F.max(F.struct((F.col("lexical") + F.col("reward")).alias("score"), "lexical", "sheet", "table_id")).alias("x"))
+    return best.where("x.score > 0").select("query_id", "x.sheet", "x.table_id", "x.score")
+
+
+def find_headers(queries: DataFrame, headers: DataFrame, top_k: int | None = None) -> DataFrame:
+    """query_id, header_id, score, rank: best word overlap with id, label or description, 10 more where one of them holds the question; ties by ord."""
+    fields = ("header_id", "label", "description")
+    asked = queries.select("scope", "query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    have = None
+    for name in fields:
+        part = headers.select("scope", "header_id", "ord", F.lit(name).alias("field"), F.explode(F.array_distinct(words(F.coalesce(name, F.lit(""))))).alias("word"))
+        have = part if have is None else have.unionByName(part)
+    best = asked.join(have, ["scope", "word"]).groupBy("query_id", "header_id", "ord", "field").agg(F.count("*").alias("n")).groupBy("query_id", "header_id", "ord").agg(F.max("n").alias("n"))
+    whole = headers.select("scope", "header_id", "ord", F.explode(F.array(*(F.lower(F.coalesce(c, F.lit(""))) for c in fields))).alias("held"))
+    holds = mentions(whole, queries.select("scope", "query_id", F.lower("text").alias("asked")), "held", "asked", ["scope"]).select("query_id", "header_id", "ord").distinct()
+    scored = best.withColumn("extra", F.lit(0)).unionByName(holds.select("query_id", "header_id", "ord", F.lit(0).alias("n"), F.lit(10).alias("extra")))
+    scored = scored.groupBy("query_id", "header_id", "ord").agg((F.max("n") + F.max("extra")).alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")))
+    return (ranked if top_k is None else ranked.where(F.col("rank") <= top_k)).select("query_id", "header_id", "score", "rank")
+
+
+def phrase_matches(queries: DataFrame, names: DataFrame, label: str) -> DataFrame:
+    """Rows of queries and names whose label a question says word by word; both meet by the label's first word."""
+    q = queries.withColumn("_word", F.explode(F.array_distinct(words(F.col("text")))))
+    n = names.withColumn("_word", F.get(words(F.col(label)), 0)).where("_word is not null")
+    return q.join(n, ["scope", "_word"]).where(phrase_in(F.col(label), F.col("text"))).drop("_word")
 
 
 def header_hints(queries: DataFrame, headers: DataFrame) -> DataFrame:
     """Headers whose label a question says word by word."""
-    return queries.join(headers, "scope").where(phrase_in(F.col("label"), F.col("text"))).select("query_id", "table_id", "header_id", "label").distinct()
+    return phrase_matches(queries, headers, "label").select("query_id", "table_id", "header_id", "label").distinct()
 
 
 def apply_selection(ranked: DataFrame, selections: DataFrame) -> DataFrame:
@@ -205,8 +487,10 @@ def with_embeddings(cards: DataFrame, stored: DataFrame, model: str, encode) ->
     return kept.withColumn("reused", F.lit(True)).unionByName(rest.join(encode(rest), "card_id").withColumn("reused", F.lit(False)))
 
 
-def metadata_expansion(selected: DataFrame, ranked: DataFrame, most: int = 3) -> DataFrame:
-    """Of each selected workbook its best sheets, at least two: query_id, workbook, sheets in order."""
+def metadata_expansion(selected: DataFrame, ranked: DataFrame, most: int = 3, guarded: DataFrame | None = None) -> DataFrame:
+    """Of each selected workbook its best sheets, at least two: query_id, workbook, sheets in order; questions in guarded (query_id) named a sheet and stay out."""
+    if guarded is not None:
+        selected = selected.join(guarded.select("query_id").distinct(), "query_id", "left_anti")
     s = selected.select("query_id", "workbook").join(ranked, ["query_id", "workbook"])
     per_sheet = s.groupBy("query_id", "workbook", "sheet").agg(F.min("rank").alias("rank"))
     top = per_sheet.withColumn("place", F.row_number().over(W.Window.partitionBy("query_id", "workbook").orderBy("rank"))).where(F.col("place") <= most)

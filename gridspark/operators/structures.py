@@ -13,13 +13,29 @@ from pyspark.sql import functions as F
 
 from gridspark.functions.addressing import BOX, LAST_COLUMN, LAST_ROW, box_a1, contains_box, extend, intersects
 from gridspark.functions.lineage import cut
-from gridspark.functions.text import squeezed
-from gridspark.operators.reads import cell_text
+from gridspark.functions.text import squeezed, tidy
+from gridspark.operators.reads import bands, cell_text, expand_merges
 
 KEY = ["wb_id", "sheet", "table_id", "header_id"]
 #: Labels that stand for no real header, and words for ranges that are not known. Fixed values.
-PLACEHOLDER = r"(?i)^\s*(|-|n/?a|none|null|unknown|untitled|header|column|col|field|unnamed(:\s*\d+)?|(header|column|col|field)[ _]?\d+)\s*$"
-UNCERTAIN = ("", "unknown", "uncertain", "none", "null", "n/a", "tbd", "?")
+PLACEHOLDERS = (
+    r"column\s*\d+", r"col\s*\d+", r"placeholder\s*\d*", r"untitled\s*\d*", r"header\s*\d*", r"field\s*\d*", r"attr(?:ibute)?\s*\d*",
+    r"var(?:iable)?\s*\d*", r"val(?:ue)?\s*\d*", r"empty", r"none", r"null", r"n/a", r"-",
+)
+UNCERTAIN = ("unknown", "uncertain", "n/a", "none", "null", "?")
+#: Words of a description that say that it was not made. Fixed values.
+FAILED = ("connection error", "rate limit", "quota exceeded", "unauthorized", "api key", "authentication", "timeout", "endpoint offline")
+
+
+def placeholder(label: Column) -> Column:
+    """Whether a label stands for no real header: blank, or one of PLACEHOLDERS as a whole."""
+    return F.lower(F.trim(F.coalesce(label, F.lit("")))).rlike("^(" + "|".join(("", *PLACEHOLDERS)) + ")$")
+
+
+def certain(a1: Column) -> Column:
+    """A range's text, null where it is blank or says that it is not known."""
+    text = F.trim(a1)
+    return F.when((text != "") & ~F.lower(text).isin(*UNCERTAIN), text)
 
 
 def _findings(df: DataFrame, *rules: tuple[Column, str, str, Column]) -> DataFrame:
@@ -28,59 +44,121 @@ def _findings(df: DataFrame, *rules: tuple[Column, str, str, Column]) -> DataFra
     return df.select(*KEY, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
 
 
-def repaired_data(header: Column, data: Column, by_row: Column) -> Column:
-    """A data box moved behind its header, below it or for rows to its right, on the header's band."""
-    down = F.struct(data["sheet"].alias("sheet"), (header["r2"] + 1).alias("r1"), header["c1"].alias("c1"), F.greatest(data["r2"], header["r2"] + 1).alias("r2"), header["c2"].alias("c2"))
-    right = F.struct(data["sheet"].alias("sheet"), header["r1"].alias("r1"), (header["c2"] + 1).alias("c1"), header["r2"].alias("r2"), F.greatest(data["c2"], header["c2"] + 1).alias("c2"))
-    return F.when(by_row, right.cast(BOX)).otherwise(down.cast(BOX))
+def _box(sheet: Column, r1: Column, c1: Column, r2: Column, c2: Column) -> Column:
+    return F.struct(sheet.alias("sheet"), *(x.cast("bigint").alias(n) for n, x in (("r1", r1), ("c1", c1), ("r2", r2), ("c2", c2)))).cast(BOX)
+
+
+def repaired_data(header: Column, data: Column, by_row: Column, used: Column | None = None) -> Column:
+    """A data box moved behind its header, below it or for rows to its right, on the header's band; without a data box it reaches to the used range's end."""
+    end = lambda side: F.coalesce(data[side], used[side]) if used is not None else data[side]
+    down = _box(header["sheet"], header["r2"] + 1, header["c1"], end("r2"), header["c2"])
+    right = _box(header["sheet"], header["r1"], header["c2"] + 1, header["r2"], end("c2"))
+    return F.when(by_row, right).otherwise(down)
+
+
+def _same_box(a: Column, b: Column) -> Column:
+    return (a["r1"] == b["r1"]) & (a["c1"] == b["c1"]) & (a["r2"] == b["r2"]) & (a["c2"] == b["c2"])
+
+
+def _banded(df: DataFrame, which: str) -> DataFrame:
+    return bands(df.withColumns({"_r1": F.col(f"{which}.r1"), "_r2": F.col(f"{which}.r2")}), "_r1", "_r2").drop("_r1", "_r2")
 
 
 def _texts(headers: DataFrame, cells: DataFrame, which: str) -> DataFrame:
-    """Distinct visible texts in each header's box, in row-major order."""
+    """Distinct visible texts in each header's box, in row-major order; boxes and cells meet by bands of rows."""
+    boxes = headers.where(F.col(which).isNotNull()).select(*KEY, which)
+    inside = F.col("row").between(F.col(f"{which}.r1"), F.col(f"{which}.r2")) & F.col("col").between(F.col(f"{which}.c1"), F.col(f"{which}.c2"))
+    text = tidy(cell_text())
+    seen = _banded(boxes, which).join(bands(cells, "row", "row"), ["wb_id", "sheet", "band"]).where(inside & (text != ""))
+    first = seen.groupBy(*KEY, text.alias("t")).agg(F.min(F.struct("row", "col")).alias("at"))  # each text once, combined before it travels
+    joined = first.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("at", "t"))).alias("x"))
+    return boxes.select(*KEY).join(joined, KEY, "left").select(*KEY, F.coalesce(F.col("x.t"), F.array().cast("array<string>")).alias("texts"))
+
+
+def _filled(headers: DataFrame, cells: DataFrame, which: str) -> DataFrame:
+    """Keys of headers whose box holds a visible cell; one flag for each, however many cells."""
     boxes = headers.where(F.col(which).isNotNull()).select(*KEY, which)
     inside = F.col("row").between(F.col(f"{which}.r1"), F.col(f"{which}.r2")) & F.col("col").between(F.col(f"{which}.c1"), F.col(f"{which}.c2"))
-    text = F.trim(cell_text())
-    seen = boxes.join(cells, ["wb_id", "sheet"]).where(inside & (text != "")).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("row", "col", text.alias("t")))).alias("x"))
-    return boxes.select(*KEY).join(seen, KEY, "left").select(*KEY, F.coalesce(F.array_distinct(F.col("x.t")), F.array().cast("array<string>")).alias("texts"))
+    shown = bands(cells.where(F.trim(cell_text()) != ""), "row", "row")
+    return _banded(boxes, which).join(shown, ["wb_id", "sheet", "band"]).where(inside).select(*KEY).distinct()
+
+
+def _merged_at(df: DataFrame, keys: list[str], merges: DataFrame, which: str, name: str) -> DataFrame:
+    """df with the first merge, by place, that touches its box."""
+    m = merges.select("wb_id", "sheet", _box(F.lit(None).cast("string"), *(F.col(x) for x in ("r1", "c1", "r2", "c2"))).alias(name))
+    pairs = _banded(df.where(F.col(which).isNotNull()).select(*keys, which), which).join(_banded(m, name), ["wb_id", "sheet", "band"]).where(intersects(F.col(which), F.col(name)))
+    return df.join(pairs.groupBy(*keys).agg(F.min_by(name, F.struct(f"{name}.r1", f"{name}.c1")).alias(name)), keys, "left")
+
+
+def _moved_headers(h: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """Of headers that begin on a blank cell of a merge whose text isn't theirs: KEY and the next text to its right, as a box (null: none)."""
+    blank = h.where(F.col("m").isNotNull() & ~_same_box(F.col("hr"), F.col("m")) & (F.trim(F.coalesce("label", F.lit(""))) != ""))
+    shown = cells.where(F.trim(cell_text()) != "").select("wb_id", "sheet", "row", "col", tidy(cell_text()).alias("t"))
+    at = lambda r, c, name: shown.select("wb_id", "sheet", F.col("row").alias(r), F.col("col").cast("bigint").alias(c), F.col("t").alias(name))
+    places = blank.select(*KEY, "label", "hr", "m", "used", F.col("hr.r1").alias("a"), F.col("hr.c1").alias("b"), F.col("m.r1").alias("p"), F.col("m.c1").alias("q"))
+    alone = places.join(at("a", "b", "own"), ["wb_id", "sheet", "a", "b"], "left_anti").join(at("p", "q", "anchor"), ["wb_id", "sheet", "p", "q"])
+    other = alone.where(~F.contains(squeezed(F.col("anchor")), squeezed(F.col("label"))))
+    right = other.join(shown.select("wb_id", "sheet", F.col("row").alias("a"), "col"), ["wb_id", "sheet", "a"], "left")
+    nearest = right.groupBy(*KEY, "a").agg(F.min(F.when((F.col("col") > F.col("m.c2")) & (F.col("col") <= F.col("used.c2")), F.col("col"))).alias("to"))
+    box = F.when(F.col("to").isNotNull(), _box(F.lit(None).cast("string"), F.col("a"), F.col("to"), F.col("a"), F.col("to")))
+    found = _merged_at(nearest.withColumn("next", box), KEY, merges, "next", "n_m")
+    return found.select(*KEY, F.coalesce("n_m", "next").alias("next"), F.lit(True).alias("follower"))
 
 
 def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame:
-    """Findings of all rules: header boxes, then data boxes against them, then parents and children."""
-    used = cells.groupBy("wb_id", "sheet").agg(F.struct(F.lit(None).cast("string").alias("sheet"), F.lit(1).cast("bigint").alias("r1"), F.lit(1).cast("bigint").alias("c1"), F.max("row").cast("bigint").alias("r2"), F.max("col").cast("bigint").alias("c2")).alias("used"))
+    """Findings of all rules: header boxes, then data boxes against them, then parents and children.
+
+    Cells, boxes and merges of a sheet meet by bands of rows. Blank cells of a merge show what its first cell shows.
+    """
+    direct, cells = cells, expand_merges(cells, merges, overwrite=False)
+    used = cells.groupBy("wb_id", "sheet").agg(_box(F.lit(None).cast("string"), F.lit(1), F.lit(1), F.max("row"), F.max("col")).alias("used"))
     by_row = F.lower(F.coalesce("orientation", F.lit("column"))) == "row"
     h = headers.join(used, ["wb_id", "sheet"], "left")
     rules = [(~F.lower(F.coalesce("orientation", F.lit("column"))).isin("row", "column"), "orientation", "error", F.col("orientation"))]
     for which in ("hr", "dr"):
         b = F.col(which)
         beyond = (b["r1"] < 1) | (b["c1"] < 1) | (b["r2"] > LAST_ROW) | (b["c2"] > LAST_COLUMN)
-        rules += [(beyond, f"{which}_bounds", "error", box_a1(b)), (~contains_box(F.col("used"), b), f"{which}_unused", "error", box_a1(b))]
+        rules.append((beyond, f"{which}_bounds", "error", box_a1(b)))
+    rules += [(~contains_box(F.col("used"), F.col("dr")), "dr_unused", "error", box_a1(F.col("dr")))]
     out = [_findings(h, *rules)]
-    # header boxes grow to the first merge that they touch
-    m = merges.select("wb_id", "sheet", F.struct(F.lit(None).cast("string").alias("sheet"), *(F.col(x).cast("bigint").alias(x) for x in ("r1", "c1", "r2", "c2"))).alias("m"))
-    touched = h.join(m, ["wb_id", "sheet"]).where(intersects(F.col("hr"), F.col("m"))).groupBy(*KEY).agg(F.min_by("m", F.struct("m.r1", "m.c1")).alias("m"))
-    h = h.join(touched, KEY, "left")
-    grows = F.col("m").isNotNull() & ((F.col("m.r1") != F.col("hr.r1")) | (F.col("m.c1") != F.col("hr.c1")) | (F.col("m.r2") != F.col("hr.r2")) | (F.col("m.c2") != F.col("hr.c2")))
-    out.append(_findings(h, (grows, "header_merged", "action", box_a1(F.col("m")))))
-    h = cut(h.withColumn("hr", F.when(grows, F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))).drop("m"))
-    texts = _texts(h, cells, "hr")
-    t = h.join(texts, KEY)
-    other_label = (F.size("texts") == 1) & (squeezed(F.get("texts", 0)) != squeezed(F.coalesce("label", F.lit(""))))
-    blank = (F.size("texts") == 0, "header_blank", "error", box_a1(F.col("hr")))
-    out.append(_findings(t, blank, (F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")), (other_label, "label_repaired", "action", F.get("texts", 0))))
+    # header boxes grow to the first merge that they touch, or move on from a blank cell of a merge that says something else
+    h = _merged_at(h, KEY, merges, "hr", "m")
+    h = h.join(_moved_headers(h, direct, merges), KEY, "left")
+    moves = F.col("follower").isNotNull() & F.col("next").isNotNull()
+    grows = F.col("m").isNotNull() & ~_same_box(F.col("hr"), F.col("m")) & F.col("follower").isNull()
+    out.append(_findings(h, (grows, "header_merged", "action", box_a1(F.col("m"))), (moves, "header_moved", "action", box_a1(F.col("next")))))
+    new_hr = F.when(moves, F.col("next").cast(BOX)).when(F.col("m").isNotNull(), F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))
+    h = cut(h.withColumn("hr", new_hr).drop("m", "next", "follower"))
+    t = h.join(_texts(h, cells, "hr"), KEY)
+    shown = tidy(F.array_join("texts", " "))
+    other_label = (F.size("texts") > 0) & ((squeezed(shown) != squeezed(F.col("label"))) | (tidy(F.col("label")) != F.coalesce("label", F.lit(""))))
+    out.append(
+        _findings(
+            t, (~contains_box(F.col("used"), F.col("hr")), "hr_unused", "error", box_a1(F.col("hr"))), (F.size("texts") == 0, "header_blank", "error", box_a1(F.col("hr"))),
+            (F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")), (other_label, "label_repaired", "action", shown),
+        )
+    )
     # data boxes leave the header and take its band
     both = F.col("hr").isNotNull() & F.col("dr").isNotNull()
-    fixed = repaired_data(F.col("hr"), F.col("dr"), by_row)
+    fixed = repaired_data(F.col("hr"), F.col("dr"), by_row, F.col("used"))
     overlaps = both & intersects(F.col("hr"), F.col("dr"))
     fits = contains_box(F.col("used"), fixed)
-    out.append(_findings(h, (overlaps & fits, "data_shifted", "action", box_a1(fixed)), (overlaps & ~fits, "data_overlaps", "error", box_a1(F.col("dr")))))
-    h = cut(h.withColumn("dr", F.when(overlaps & fits, fixed).otherwise(F.col("dr").cast(BOX))))
+    h = h.withColumns({"shift": overlaps & fits, "lost": overlaps & ~fits, "fixed": fixed})
+    out.append(_findings(h, (F.col("shift"), "data_shifted", "action", box_a1(F.col("fixed"))), (F.col("lost"), "data_overlaps", "error", box_a1(F.col("dr")))))
+    h = h.withColumn("dr", F.when(F.col("shift"), F.col("fixed").cast(BOX)).otherwise(F.col("dr").cast(BOX))).drop("shift", "lost", "fixed")
     d, r = F.col("dr"), F.col("hr")
     off_band = both & F.when(by_row, (d["r1"] != r["r1"]) | (d["r2"] != r["r2"])).otherwise((d["c1"] != r["c1"]) | (d["c2"] != r["c2"]))
-    along = F.struct(d["sheet"].alias("sheet"), F.when(by_row, r["r1"]).otherwise(d["r1"]).alias("r1"), F.when(by_row, d["c1"]).otherwise(r["c1"]).alias("c1"), F.when(by_row, r["r2"]).otherwise(d["r2"]).alias("r2"), F.when(by_row, d["c2"]).otherwise(r["c2"]).alias("c2")).cast(BOX)
-    out.append(_findings(h, (off_band, "data_realigned", "action", box_a1(along))))
-    h = h.withColumn("dr", F.when(off_band, along).otherwise(d))
-    h = cut(h)
-    out.append(_findings(h.join(_texts(h, cells, "dr"), KEY), (F.size("texts") == 0, "data_blank", "error", box_a1(F.col("dr")))))
+    along = _box(d["sheet"], F.when(by_row, r["r1"]).otherwise(d["r1"]), F.when(by_row, d["c1"]).otherwise(r["c1"]), F.when(by_row, r["r2"]).otherwise(d["r2"]), F.when(by_row, d["c2"]).otherwise(r["c2"]))
+    h = h.withColumns({"off": off_band, "along": along})
+    out.append(_findings(h, (F.col("off"), "data_realigned", "action", box_a1(F.col("along")))))
+    h = cut(h.withColumn("dr", F.when(F.col("off"), F.col("along").cast(BOX)).otherwise(F.col("dr"))).drop("off", "along"))
+    # data boxes without a visible cell are repaired from the header's span, if that has one
+    empty = h.where("dr is not null").join(_filled(h, cells, "dr"), KEY, "left_anti").withColumn("fixed", F.when(F.col("hr").isNotNull(), repaired_data(F.col("hr"), F.lit(None).cast(BOX), by_row, F.col("used"))))
+    usable = empty.where(contains_box(F.col("used"), F.col("fixed")))
+    saved = usable.join(_filled(usable, cells, "fixed"), KEY, "left_semi").select(*KEY, "fixed")
+    checked = empty.drop("fixed").join(saved, KEY, "left")
+    out.append(_findings(checked, (F.col("fixed").isNull(), "data_blank", "error", box_a1(F.col("dr"))), (F.col("fixed").isNotNull(), "data_repaired", "action", box_a1(F.col("fixed")))))
+    h = cut(h.join(saved, KEY, "left").withColumn("dr", F.coalesce(F.col("fixed").cast(BOX), F.col("dr"))).drop("fixed"))
     # parents and children
     parent = h.select("wb_id", "sheet", "table_id", F.col("header_id").alias("parent_id"), F.col("hr").alias("p_hr"), F.col("dr").alias("p_dr"), by_row.alias("p_row"))
     c = h.join(parent, ["wb_id", "sheet", "table_id", "parent_id"])
@@ -97,13 +175,18 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
 
 
 def _uncovered(h: DataFrame, cells: DataFrame) -> DataFrame:
-    """Visible cells between a column parent's header and its data that no descendant's header covers; the first eight by cell."""
-    child = h.where(F.size("path") > 1).select("wb_id", "sheet", "table_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("header_id"), F.col("hr").alias("d_hr"))
-    parents = h.where(F.lower(F.coalesce("orientation", F.lit("column"))) == "column").join(child.select(*KEY).distinct(), KEY, "left_semi").where("hr is not null and dr is not null")
-    band = parents.select(*KEY, F.col("hr.r2").alias("top"), F.col("dr.r1").alias("low"), F.col("hr.c1").alias("left"), F.col("hr.c2").alias("right"))
-    text = F.trim(cell_text())
-    inside = (F.col("row") > F.col("top")) & (F.col("row") < F.col("low")) & F.col("col").between(F.col("left"), F.col("right"))
-    shown = band.join(cells, ["wb_id", "sheet"]).where(inside & (text != "")).select(*KEY, "row", "col", text.alias("t"))
+    """Visible cells in the band of a parent's descendants that no descendant's header covers; the first eight by cell."""
+    child = h.where(F.size("path") > 1).select("wb_id", "sheet", "table_id", F.explode(F.slice("path", F.lit(1), F.size("path") - 1)).alias("header_id"), F.col("hr").alias("d_hr")).where("d_hr is not null")
+    edges = child.groupBy(*KEY).agg(*(f(f"d_hr.{x}").alias(x) for x, f in (("r1", F.min), ("c1", F.min), ("r2", F.max), ("c2", F.max))))
+    by_row = F.lower(F.coalesce("orientation", F.lit("column"))) == "row"
+    p = h.where("hr is not null").join(edges, KEY)
+    low = F.least(F.col("r2"), F.coalesce(F.col("dr.r1") - 1, F.col("r2")))
+    right = F.least(F.col("c2"), F.coalesce(F.col("dr.c1") - 1, F.col("c2")))
+    band = F.when(by_row, _box(F.lit(None).cast("string"), F.col("hr.r1"), F.col("c1"), F.col("hr.r2"), right)).otherwise(_box(F.lit(None).cast("string"), F.col("r1"), F.col("hr.c1"), low, F.col("hr.c2")))
+    parents = p.select(*KEY, band.alias("box")).where("box.r1 <= box.r2 and box.c1 <= box.c2")
+    text = tidy(cell_text())
+    inside = F.col("row").between(F.col("box.r1"), F.col("box.r2")) & F.col("col").between(F.col("box.c1"), F.col("box.c2"))
+    shown = _banded(parents, "box").join(bands(cells, "row", "row"), ["wb_id", "sheet", "band"]).where(inside & (text != "")).select(*KEY, "row", "col", text.alias("t"))
     under = F.col("row").between(F.col("d_hr.r1"), F.col("d_hr.r2")) & F.col("col").between(F.col("d_hr.c1"), F.col("d_hr.c2"))
     covered = shown.join(child, KEY).where(under).select(*KEY, "row", "col").distinct()
     gaps = shown.join(covered, [*KEY, "row", "col"], "left_anti").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("row", "col", "t"))).alias("x"))
@@ -126,7 +209,7 @@ def null_fields(headers: DataFrame, fields: DataFrame) -> DataFrame:
 
 def valid_structures(headers: DataFrame) -> DataFrame:
     """Sheets' structures with whether every table of them has a real header."""
-    real = headers.groupBy("wb_id", "sheet", "table_id").agg(F.bool_or(~F.coalesce("label", F.lit("")).rlike(PLACEHOLDER)).alias("real"))
+    real = headers.groupBy("wb_id", "sheet", "table_id").agg(F.bool_or(~placeholder(F.col("label"))).alias("real"))
     return real.groupBy("wb_id", "sheet").agg(F.bool_and("real").alias("valid"), F.count("*").alias("tables"))
 
 
@@ -147,11 +230,15 @@ def fallback_structures(sheets: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def covered(targets: DataFrame, ranges: DataFrame) -> DataFrame:
-    """target_id and whether the union of its ranges covers the target's box; ranges have target_id and a box."""
-    rows = targets.select("target_id", "c1", "c2", F.explode(F.sequence("r1", "r2")).alias("row"))
-    spans = ranges.select("target_id", F.col("c1").alias("a"), F.col("c2").alias("z"), F.explode(F.sequence("r1", "r2")).alias("row"))
-    joined = rows.join(spans, ["target_id", "row"], "left").where("a is null or (a <= c2 and z >= c1)")
-    per_row = joined.groupBy("target_id", "row", "c1", "c2").agg(F.sort_array(F.collect_list(F.struct("a", "z"))).alias("spans"))
-    reach = F.aggregate("spans", F.col("c1") - 1, lambda end, s: F.when(s["a"] <= end + 1, F.greatest(end, s["z"])).otherwise(end))
-    done = per_row.groupBy("target_id").agg(F.bool_and(reach >= F.col("c2")).alias("ok"), F.count("*").alias("n"))
-    return targets.join(done, "target_id", "left").select("target_id", F.coalesce(F.col("ok") & (F.col("n") == F.col("r2") - F.col("r1") + 1), F.lit(False)).alias("covered"))
+    """target_id and whether the union of its ranges covers the target's box; ranges have target_id and a box.
+
+    Rows change only where a range begins or ends: one row of each such stretch is looked at, so that tall boxes cost no more.
+    """
+    t = targets.select("target_id", F.col("r1").alias("t1"), F.col("r2").alias("t2"), "c1", "c2")
+    spans = ranges.select("target_id", F.col("r1").alias("s1"), F.col("r2").alias("s2"), F.col("c1").alias("a"), F.col("c2").alias("z"))
+    starts = spans.select("target_id", F.explode(F.array(F.col("s1").cast("bigint"), (F.col("s2") + 1).cast("bigint"))).alias("row"))
+    rows = t.join(starts, "target_id").where("row > t1 and row <= t2").select("target_id", "row").unionByName(t.select("target_id", F.col("t1").cast("bigint").alias("row"))).distinct()
+    here = (F.col("s1") <= F.col("row")) & (F.col("s2") >= F.col("row")) & (F.col("a") <= F.col("c2")) & (F.col("z") >= F.col("c1"))
+    per_row = rows.join(t, "target_id").join(spans, "target_id", "left").groupBy("target_id", "row", "c1", "c2").agg(F.sort_array(F.collect_list(F.when(here, F.struct("a", "z")))).alias("spans"))
+    reach = F.aggregate("spans", F.col("c1") - 1, lambda end, x: F.when(x["a"] <= end + 1, F.greatest(end, x["z"])).otherwise(end))
+    return targets.select("target_id").join(per_row.groupBy("target_id").agg(F.bool_and(reach >= F.col("c2")).alias("covered")), "target_id", "left").select("target_id", F.coalesce("covered", F.lit(False)).alias("covered"))

@@ -32,8 +32,8 @@ def formula_errors(t: Tables):
     return found.select("wb_id", "row", "e.type", "e.token")
 
 
-@query(f"""WITH {FORMULAS} SELECT form, count(*) AS n FROM (SELECT '=[c-2,r0]*(1-[c-1,r0])*[$H,$1]' AS form FROM f UNION ALL SELECT '=SUM([c-5,r0]:[c-2,r0])' FROM f WHERE l_linenumber = 1
-UNION ALL SELECT '=#REF!+1' FROM f WHERE l_quantity > 45 UNION ALL SELECT '=IF([c-6,r0]>10,"NG","OK")' FROM f WHERE l_quantity <= 45) GROUP BY 1""")
+@query(f"""WITH {FORMULAS} SELECT form, count(*) AS n FROM (SELECT '=[col_offset=-2,row_offset=0]*(1-[col_offset=-1,row_offset=0])*[$H,$1]' AS form FROM f UNION ALL SELECT '=SUM([col_offset=-5,row_offset=0]:[col_offset=-2,row_offset=0])' FROM f WHERE l_linenumber = 1
+UNION ALL SELECT '=#REF!+1' FROM f WHERE l_quantity > 45 UNION ALL SELECT '=IF([col_offset=-6,row_offset=0]>10,"NG","OK")' FROM f WHERE l_quantity <= 45) GROUP BY 1""")
 def formula_normalise(t: Tables):
     form = relations.normal_form(F.col("raw"), F.col("row"), F.col("col"))
     return formulas(t).select(form.alias("form")).groupBy("form").agg(F.count("*").alias("n"))
@@ -72,11 +72,6 @@ def runs_vertical_horizontal(t: Tables):
     return relations.runs(cells, ["k"])
 
 
-@query()
-def extract_relations(t: Tables):
-    return relations.extract_relations(formulas(t).dropDuplicates(["wb_id", "sheet", "row", "col"]), tables_of(t))
-
-
 @query("""WITH f AS (SELECT DISTINCT l_suppkey AS wb, l_orderkey * 8 + l_linenumber AS row FROM lineitem),
 v AS (SELECT wb, row - row_number() OVER (PARTITION BY wb ORDER BY row) AS g FROM f), g AS (SELECT wb, g, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT CAST(wb AS VARCHAR) AS wb_id, count(*) FILTER (n > 1) AS normal, count(*) FILTER (n = 1) AS cell FROM g GROUP BY 1""")

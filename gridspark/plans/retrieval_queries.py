@@ -56,8 +56,9 @@ def hybrid_rank_embedded(t: Tables):
 
 @query(f"SELECT item_id, doc_id, len(list_intersect(list_distinct({WORDS.format('b.text')}), list_distinct({WORDS.format('d.url')}))) AS words FROM benchmark b, (SELECT page_id AS doc_id, url FROM pages) d")
 def lexical_overlap(t: Tables):
-    pairs = t.benchmark.withColumn("k", F.lit(0)).join(t.pages.select(F.lit(0).alias("k"), F.col("page_id").alias("doc_id"), "url"), "k")
-    return pairs.select("item_id", "doc_id", T.overlap(F.col("text"), F.col("url")).cast("bigint").alias("words"))
+    pages = t.pages.select(F.col("page_id").alias("doc_id"), T.distinct_words(F.col("url")).alias("u"))
+    asked, shown = retrieval.in_blocks(t.benchmark.select("item_id", T.distinct_words(F.col("text")).alias("q")), pages, "item_id", "doc_id")
+    return asked.join(shown, ["qb", "rb"]).select("item_id", "doc_id", F.size(F.array_intersect("q", "u")).cast("bigint").alias("words"))
 
 
 @query(f"""WITH q AS (SELECT conv_id, turn, text, list_distinct({TOKENS.format('text')}) AS t FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role <> 'user' GROUP BY 1), c AS (SELECT conv_id, c.text AS card FROM conversations c JOIN a USING (conv_id, turn) WHERE role <> 'user')
@@ -70,8 +71,9 @@ def entity_coverage(t: Tables):
 
 @query("""SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id""")
 def cosine_similarity(t: Tables):
-    a, b = t.embeddings.select("label", F.col("vec_id").alias("query_id"), F.col("embedding").alias("a")), t.embeddings.select("label", "vec_id", F.col("embedding").alias("b"))
-    return a.join(b, "label").where("query_id < vec_id").select("query_id", "vec_id", F.round(retrieval.cosine(F.col("a"), F.col("b")), 6).alias("similarity"))
+    unit = retrieval.unit(F.col("embedding"))
+    a, b = t.embeddings.select("label", F.col("vec_id").alias("query_id"), unit.alias("a")), t.embeddings.select("label", "vec_id", unit.alias("b"))
+    return a.join(b, "label").where("query_id < vec_id").select("query_id", "vec_id", F.round(retrieval.dot(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
 @query(f"""WITH w AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark), c AS (SELECT item_id, CAST('0x' || substr(md5(w), 31, 2) AS INTEGER) & 127 AS slot, count(*) AS n FROM w GROUP BY 1, 2)
@@ -90,7 +92,7 @@ def query_type(t: Tables):
 def workbook_guard(t: Tables):
     books = t.documents.select(F.lit(0).alias("scope"), F.col("source").alias("workbook")).distinct()
     asked = t.conversations.select("conv_id").distinct().select(F.lit(0).alias("scope"), F.col("conv_id").alias("query_id"), F.concat(F.lit("total of SRC-"), (F.col("conv_id") % 20).cast("string"), F.lit(", please")).alias("text"))
-    return retrieval.workbook_guard(asked, books)
+    return retrieval.workbook_guard(asked, books).drop("terms")
 
 
 @query("SELECT conv_id AS query_id, ['en','fr','de','es'][conv_id % 4 + 1] AS sheet FROM (SELECT DISTINCT conv_id FROM conversations)")
@@ -98,23 +100,7 @@ def sheet_guard(t: Tables):
     sheets = t.documents.select(F.lit(0).alias("scope"), F.col("lang").alias("sheet")).distinct()
     name = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("conv_id") % 4 + 1).cast("int"))
     asked = t.conversations.select("conv_id").distinct().select(F.lit(0).alias("scope"), F.col("conv_id").alias("query_id"), F.concat(F.lit("What does sheet "), F.upper(name), F.lit(" say?")).alias("text"))
-    return retrieval.sheet_guard(asked, sheets)
-
-
-def catalogue(t: Tables):
-    """Tables and headers of the folder's own relational tables; ids, names and labels are their column names."""
-    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-    rows = [(0, "wb", n, n, n, f"rows of {n}", i, c, c.split("_")[-1], f"column {c}", True) for n in names for i, c in enumerate(getattr(t, n).columns, 1)]
-    h = t.spark.createDataFrame(rows, "scope int, wb_id string, sheet string, table_id string, name string, t_description string, ord int, header_id string, label string, description string, is_leaf boolean")
-    tables = h.select("scope", "wb_id", "sheet", "table_id", "name", F.col("t_description").alias("description")).distinct()
-    return tables, h.select("scope", "wb_id", "sheet", "table_id", "ord", "header_id", "label", "description")
-
-
-@query()
-def table_routing(t: Tables):
-    tables, headers = catalogue(t)
-    asked = t.conversations.where("role = 'user'").select(F.lit(0).alias("scope"), F.concat_ws("-", "conv_id", "turn").alias("query_id"), "text")
-    return retrieval.routing_scores(asked, tables, headers)
+    return retrieval.sheet_guard(asked, sheets).drop("match")
 
 
 @query("SELECT p_partkey AS query_id, 't' AS table_id, p_brand AS header_id, p_brand AS label FROM part")

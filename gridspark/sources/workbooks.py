@@ -1,8 +1,10 @@
-"""Workbook files as cells, merges and sheets; their identity and metadata."""
+"""Workbook files as cells, merges and properties; their identity; records of cards as files."""
 
 from __future__ import annotations
 
+import datetime
 import io
+import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
@@ -12,53 +14,159 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-CELLS = "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, formula string"
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def _number(letters: str) -> int:
-    n = 0
-    for c in letters:
-        n = n * 26 + ord(c) - 64
-    return n
-
-
-def xlsx_cells(content: bytes):
-    """(sheet, row, col, kind, s, n, b, formula) of each filled cell of a workbook file."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        tree = lambda name: ET.fromstring(z.read(name))
-        shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in tree("xl/sharedStrings.xml").findall("m:si", _NS)] if "xl/sharedStrings.xml" in names else []
-        target = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
-        for sheet in tree("xl/workbook.xml").iter(f"{{{_NS['m']}}}sheet"):
-            path = target[sheet.get("{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id")].lstrip("/")
-            for c in tree(path if path.startswith("xl/") else f"xl/{path}").iter(f"{{{_NS['m']}}}c"):
-                letters, row = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r")).groups()
-                value, formula, kind = c.findtext("m:v", None, _NS), c.findtext("m:f", None, _NS), c.get("t", "n")
-                if kind == "inlineStr":
-                    value = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                if value is None and formula is None:
-                    continue
-                s = shared[int(value)] if kind == "s" else value if kind in ("str", "inlineStr", "e") else None
-                n = float(value) if kind == "n" and value is not None else None
-                b = value == "1" if kind == "b" else None
-                shown = "formula" if formula is not None else "text" if s is not None else "bool" if b is not None else "number"
-                yield sheet.get("name"), int(row), _number(letters), shown, s, n, b, None if formula is None else f"={formula}"
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of all .xlsx files under a path, each distinct content once; wb_id is the content's SHA-256."""
+from gridspark.functions.formulas import REFERENCE, column_of, letters_of
+
+CELLS = "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, ts timestamp, formula string"
+MERGES = "wb_id string, sheet string, r1 bigint, c1 bigint, r2 bigint, c2 bigint"
+PROPERTIES = "wb_id string, sheet_names array<string>, author string, date_created string, date_modified string"
+#: Columns of records as CSV. Fixed values.
+RECORD_COLUMNS = ["id", "retrieval_type", "retrieval_level", "workbook", "sheet", "table_id", "table_name", "retrieval_card"]
+#: Built-in number formats that show dates or times. Fixed values.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+_M = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+class Workbook:
+    """One .xlsx file: its sheets in order, shared texts, styles and sheets' cells."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.names = set(self.zip.namelist())
+        book = self._tree("xl/workbook.xml")
+        target = {r.get("Id"): r.get("Target") for r in self._tree("xl/_rels/workbook.xml.rels")}
+        place = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")
+        self.sheets = [(s.get("name"), place(target[s.get(f"{_R}id")])) for s in book.iter(f"{_M}sheet")]
+        self.epoch = datetime.datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_M}workbookPr")) else datetime.datetime(1899, 12, 30)
+        self.shared = ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in self._tree("xl/sharedStrings.xml").findall(f"{_M}si")] if "xl/sharedStrings.xml" in self.names else []
+        self.date_styles = self._date_styles() if "xl/styles.xml" in self.names else set()
+
+    def _tree(self, name: str):
+        return ET.fromstring(self.zip.read(name))
+
+    def _date_styles(self) -> set[int]:
+        """Numbers of cell styles whose number format shows dates or times."""
+        styles = self._tree("xl/styles.xml")
+        bare = lambda code: re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", code or "").lower()
+        own = {int(f.get("numFmtId")) for f in styles.iter(f"{_M}numFmt") if re.search("[ymdhs]", bare(f.get("formatCode")))}
+        used = styles.find(f"{_M}cellXfs")
+        return {i for i, xf in enumerate(used if used is not None else ()) if int(xf.get("numFmtId") or 0) in DATE_FORMATS | own}
+
+    def _time(self, serial: float) -> datetime.datetime:
+        return (self.epoch + datetime.timedelta(milliseconds=round(serial * 86_400_000))).replace(tzinfo=datetime.UTC)
+
+    def cells(self, data_only: bool):
+        """(sheet, row, col, kind, s, n, b, ts, formula) of each filled cell; formulas have their stored values beside them, data_only leaves only these."""
+        for name, path in self.sheets:
+            filled: dict[str, tuple[str, int, int]] = {}
+            row = 0
+            for line in self._tree(path).iter(f"{_M}row"):
+                row, col = int(line.get("r") or row + 1), 0
+                for c in line.findall(f"{_M}c"):
+                    place = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r") or "")
+                    row, col = (int(place[2]), column_of(place[1])) if place else (row, col + 1)
+                    value, f, kind = c.findtext(f"{_M}v"), c.find(f"{_M}f"), c.get("t", "n")
+                    formula = None if f is None else f.text
+                    if f is not None and f.get("t") == "shared":
+                        if formula:
+                            filled[f.get("si")] = formula, row, col
+                        elif f.get("si") in filled:
+                            text, r0, c0 = filled[f.get("si")]
+                            formula = moved(text, row - r0, col - c0)
+                    if kind == "inlineStr":
+                        value = "".join(t.text or "" for t in c.iter(f"{_M}t"))
+                    shown, values = self._value(kind, value, int(c.get("s") or 0))
+                    if formula is not None and not data_only:
+                        yield name, row, col, "formula", *values, f"={formula}"
+                    elif shown is not None:
+                        yield name, row, col, shown, *values, None
+
+    def _value(self, kind: str, value: str | None, style: int):
+        """A stored value's kind and its (s, n, b, ts); without a value all null."""
+        if value is None:
+            return None, (None, None, None, None)
+        if kind in ("s", "str", "inlineStr", "e"):
+            return "text", (self.shared[int(value)] if kind == "s" else value, None, None, None)
+        if kind == "b":
+            return "bool", (None, None, value == "1", None)
+        if kind == "d":
+            return "time", (None, None, None, datetime.datetime.fromisoformat(value).replace(tzinfo=datetime.UTC))
+        if style in self.date_styles:
+            return "time", (None, None, None, self._time(float(value)))
+        return "number", (None, float(value), None, None)
+
+    def merges(self):
+        for name, path in self.sheets:
+            for m in self._tree(path).iter(f"{_M}mergeCell"):
+                box = re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", m.get("ref") or "")
+                if box:
+                    yield name, int(box[2]), column_of(box[1]), int(box[4]), column_of(box[3])
+
+    def properties(self):
+        """(sheet names, author, created, modified); what the file doesn't say is null."""
+        found = {}
+        if "docProps/core.xml" in self.names:
+            for x in self._tree("docProps/core.xml"):
+                text = (x.text or "").strip()
+                found[x.tag.rpartition("}")[2]] = text or None
+        iso = lambda x: None if x is None else re.sub(r"Z$", "", x)
+        return [name for name, _ in self.sheets], found.get("creator"), iso(found.get("created")), iso(found.get("modified"))
+
+
+def moved(formula: str, rows: int, cols: int) -> str:
+    """A shared formula's text at another of its cells."""
+
+    def corner(col_pin, letters, row_pin, digits):
+        return f"{col_pin}{letters if col_pin else letters_of(column_of(letters) + cols)}{row_pin}{digits if row_pin else int(digits) + rows}"
+
+    def put(m: re.Match) -> str:
+        if m[3] is None:
+            return m[0]
+        return (m[1] or "") + corner(m[2], m[3], m[4], m[5]) + (":" + corner(m[6], m[7], m[8], m[9]) if m[7] else "")
+
+    return REFERENCE.sub(put, formula)
+
+
+def _each(files: DataFrame, rows, ddl: str) -> DataFrame:
+    columns = [part.strip().split(" ")[0] for part in ddl.split(", ")]
+
+    def run(frames):
+        for frame in frames:
+            for wb, content in zip(frame["wb_id"], frame["content"], strict=True):
+                out = pd.DataFrame(((wb, *row) for row in rows(Workbook(content))), columns=columns)
+                yield out.astype({"ts": "datetime64[us, UTC]"}) if "ts" in columns else out
+
+    return files.select("wb_id", "content").mapInPandas(run, ddl)
+
+
+def workbook_cells(files: DataFrame, data_only: bool = False) -> DataFrame:
+    """Cells of workbook files (wb_id, content): numbers with a date's format are times, shared formulas are written out, data_only takes stored values."""
+    return _each(files, lambda book: book.cells(data_only), CELLS)
+
+
+def workbook_merges(files: DataFrame) -> DataFrame:
+    """Merged areas of workbook files (wb_id, content)."""
+    return _each(files, lambda book: book.merges(), MERGES)
+
+
+def workbook_metadata(files: DataFrame) -> DataFrame:
+    """wb_id, name, sheet_names, author, date_created, date_modified, size_bytes of workbook files (wb_id, name, content)."""
+    found = _each(files, lambda book: [book.properties()], PROPERTIES)
+    size = files.select("wb_id", "name", F.octet_length("content").cast("bigint").alias("size_bytes"))
+    return size.join(found, "wb_id").select("wb_id", "name", "sheet_names", "author", "date_created", "date_modified", "size_bytes")
+
+
+def workbook_files(spark: SparkSession, path: str) -> DataFrame:
+    """wb_id (the content's SHA-256), name, content of all .xlsx files under a path, each distinct content once, at its first path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.xlsx").load(path)
     keyed = files.select(F.sha2("content", 256).alias("wb_id"), "path", "content")
     first = keyed.groupBy("wb_id").agg(F.min("path").alias("path"))
-    once = keyed.join(first, ["wb_id", "path"])
+    return keyed.join(first, ["wb_id", "path"]).select("wb_id", F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), "content")
 
-    def run(frames):
-        for frame in frames:
-            rows = [(wb, *cell) for wb, content in zip(frame["wb_id"], frame["content"], strict=True) for cell in xlsx_cells(content)]
-            yield pd.DataFrame(rows, columns=["wb_id", "sheet", "row", "col", "kind", "s", "n", "b", "formula"])
 
-    return once.select("wb_id", "content").mapInPandas(run, CELLS)
+def read_workbooks(spark: SparkSession, path: str, data_only: bool = False) -> DataFrame:
+    """workbook_cells() of all .xlsx files under a path."""
+    return workbook_cells(workbook_files(spark, path), data_only)
 
 
 def normalise(files: DataFrame) -> DataFrame:
@@ -69,14 +177,40 @@ def normalise(files: DataFrame) -> DataFrame:
 
 
 def write_records(cards: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """Cards as JSON lines, and as CSV with the given columns, one folder for each workbook."""
+    """Cards as JSON lines, one folder for each workbook, and as CSV with RECORD_COLUMNS or the given ones; missing ones are blank."""
     cards.write.mode("overwrite").partitionBy("wb_id").json(f"{path}/json")
-    if columns:
-        cards.select(columns).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    listed = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in cards.columns else F.lit("").alias(c) for c in columns or RECORD_COLUMNS]
+    cards.select(*listed).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
+
+
+def first_records(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The first record of each (id, workbook, sheet, table_id) by the given order."""
+    place = F.row_number().over(W.Window.partitionBy("id", "workbook", "sheet", "table_id").orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def unwrapped(docs: DataFrame, record: str, order: list[str], text_col: str = "text") -> DataFrame:
+    """Records of JSON texts: a list, a wrapper with retrieval_records, artifacts or records, or JSON lines; keep-first by order and place.
+
+    record is the DDL of a record. Texts that cannot be read give nothing.
+    """
+    fields = f"array<struct<{record}>>"
+    wrapper = f"struct<retrieval_records:{fields},artifacts:{fields},records:{fields}>"
+    text = F.trim(text_col)
+    wrapped = F.from_json(text, wrapper)
+    lines = F.transform(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, f"struct<{record}>"))
+    listed = F.when(text.startswith("["), F.from_json(text, fields)).otherwise(F.coalesce(wrapped["retrieval_records"], wrapped["artifacts"], wrapped["records"], lines))
+    rows = docs.select(*order, F.posexplode(listed).alias("_at", "x")).where("x is not null").select(*order, "_at", "x.*").where("id is not null")
+    return first_records(rows, [*order, "_at"]).drop("_at")
+
 
+def read_records(spark: SparkSession, paths: list[str], schema: str, wrapped: bool = False) -> DataFrame:
+    """Retrieval records, the first of each (id, workbook, sheet, table_id) in order of file and place.
 
-def read_records(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
-    """Retrieval records from JSON lines, the first of each (id, workbook, sheet, table_id) in file order."""
-    rows = spark.read.schema(schema).json(paths).withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    place = F.row_number().over(W.Window.partitionBy("id", "workbook", "sheet", "table_id").orderBy("_file", "_at"))
-    return rows.withColumn("_place", place).where("_place = 1").drop("_file", "_at", "_place")
+    Files of JSON lines are split and read in parallel; wrapped files are lists or wrappers, each read whole as one value.
+    """
+    if wrapped:
+        texts = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("text"))
+        return unwrapped(texts, ",".join(":".join(part.strip().split(" ", 1)) for part in schema.split(",")), ["_file"]).drop("_file")
+    rows = spark.read.schema(schema).json(paths).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return first_records(rows, ["_file", "_block", "_at"]).drop("_file", "_block", "_at")

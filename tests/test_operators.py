@@ -47,22 +47,22 @@ def test_range_algebra_keeps_cells(spark):
 
 
 def people(spark):
-    rows = [(3, 2, "text", "Minh"), (3, 4, "text", "Trần"), (4, 2, "text", "An"), (4, 4, "text", "Lê"), (5, 2, "text", "Minh"), (5, 4, "text", "TRAN"), (3, 5, "time", None), (4, 5, "time", None), (5, 5, "time", None)]
+    rows = [(3, 2, "text", "Iris"), (3, 4, "text", "Núñez"), (4, 2, "text", "Omar"), (4, 4, "text", "Løv"), (5, 2, "text", "Iris"), (5, 4, "text", "NUNEZ"), (3, 5, "time", None), (4, 5, "time", None), (5, 5, "time", None)]
     df = spark.createDataFrame(rows, "row bigint, col int, kind string, s string")
-    born = F.when(F.col("kind") == "time", F.element_at(F.array(F.lit("2001-09-02"), F.lit("2001-09-03"), F.lit("2001-01-04")), (F.col("row") - 2).cast("int")))
+    born = F.when(F.col("kind") == "time", F.element_at(F.array(F.lit("1998-07-11"), F.lit("1998-07-30"), F.lit("1998-02-05")), (F.col("row") - 2).cast("int")))
     return df.select(F.lit("w").alias("wb_id"), F.lit("p").alias("sheet"), "row", "col", "kind", "s", F.lit(None).cast("double").alias("n"), F.lit(None).cast("boolean").alias("b"), born.cast("timestamp").alias("ts"), F.lit(None).cast("string").alias("formula"))
 
 
 def test_filters(spark):
     cells = people(spark)
     pos = lambda s: sorted(r.pos for r in s.collect())
-    named = filters.filter_values(cells, 3, 4, 5, 4, contains="tran", ignore_accents=True)
-    september = filters.filter_values(cells, 3, 5, 5, 5, predicate=lambda: F.month("ts") == 9)
-    assert pos(named) == [3, 5] and pos(september) == [3, 4]
-    assert pos(filters.combine("intersection", named, september)) == [3]
-    assert pos(filters.combine("union", named, september)) == [3, 4, 5] and pos(filters.combine("difference", september, named)) == [4]
-    assert [r.s for r in filters.read_selection(filters.combine("intersection", named, september), cells, 3, 2, 5, 2).collect()] == ["Minh"]
-    assert pos(filters.filter_values(cells, 3, 5, 5, 5, between=("2001-09-01", "30/09/2001"))) == [3, 4]
+    named = filters.filter_values(cells, 3, 4, 5, 4, contains="nunez", ignore_accents=True)
+    july = filters.filter_values(cells, 3, 5, 5, 5, predicate=lambda: F.month("ts") == 7)
+    assert pos(named) == [3, 5] and pos(july) == [3, 4]
+    assert pos(filters.combine("intersection", named, july)) == [3]
+    assert pos(filters.combine("union", named, july)) == [3, 4, 5] and pos(filters.combine("difference", july, named)) == [4]
+    assert [r.s for r in filters.read_selection(filters.combine("intersection", named, july), cells, 3, 2, 5, 2).collect()] == ["Iris"]
+    assert pos(filters.filter_values(cells, 3, 5, 5, 5, between=("1998-07-01", "31/07/1998"))) == [3, 4]
     with pytest.raises(ValueError):
         filters.filter_values(cells, 3, 2, 5, 4, equals="x")
     with pytest.raises(ValueError):
@@ -72,19 +72,23 @@ def test_filters(spark):
 
 
 def test_relational(spark):
-    employees = spark.createDataFrame([("EMP01", "A"), ("EMP02", "B")], "emp_id string, name string")
-    salaries = spark.createDataFrame([("EMP02", 15), ("EMP03", 18)], "emp_id string, salary int")
-    assert [tuple(r) for r in relational.join_tables(employees, salaries).collect()] == [("EMP02", "B", 15)]
-    first, second = spark.createDataFrame([("North", 100)], "region string, revenue int"), spark.createDataFrame([(150, "North")], "revenue int, region string")
+    plots = spark.createDataFrame([("k7", "oak"), ("k8", "elm"), ("k9", "yew")], "plot_id string, tree string")
+    heights = spark.createDataFrame([("k8", 41), ("k9", 12), ("k5", 3)], "plot_id string, height int")
+    assert sorted(map(tuple, relational.join_tables(plots, heights).collect())) == [("k8", "elm", 41), ("k9", "yew", 12)]
+    crossed = relational.join_tables(plots, heights, how="cross")
+    assert crossed.count() == 9 and crossed.columns == ["plot_id_left", "tree", "plot_id_right", "height"]
+    with pytest.raises(ValueError, match="keys"):
+        relational.join_tables(plots, heights, on="plot_id", how="cross")
+    first, second = spark.createDataFrame([("dock a", 40)], "place string, crates int"), spark.createDataFrame([(65, "dock a")], "crates int, place string")
     both = relational.union_tables([first, second], source_column="source_table")
-    assert sorted(map(tuple, both.collect())) == [("North", 100, "table_1"), ("North", 150, "table_2")]
-    assert [tuple(r) for r in relational.groupby_table(both, "region", {"revenue": "sum"}).collect()] == [("North", 250)]
+    assert sorted(map(tuple, both.collect())) == [("dock a", 40, "table_1"), ("dock a", 65, "table_2")]
+    assert [tuple(r) for r in relational.groupby_table(both, "place", {"crates": "sum"}).collect()] == [("dock a", 105)]
     with pytest.raises(ValueError, match="incompatible schema"):
-        relational.union_tables([first, employees])
+        relational.union_tables([first, plots])
     with pytest.raises(ValueError):
         relational.join_tables(both, both.withColumnRenamed("source_table", "x"))
     with pytest.raises(ValueError, match="unique"):
-        relational.join_tables(both, both, on="region", validate="1:1")
+        relational.join_tables(both, both, on="place", validate="1:1")
     nulls = spark.createDataFrame([(None, 1)], "k string, v int")
     assert relational.join_tables(nulls, nulls, on="k").count() == 1
     sums = relational.groupby_table(spark.createDataFrame([("a", None)], "k string, v int"), "k", {"v": ["sum", "mean"]}).first()
@@ -96,22 +100,36 @@ def test_subtotal_raises(spark):
         spark.createDataFrame([(7, 1.0, 1, 1, 1.0, 1.0, 1.0)], "code int, average double, count bigint, counta bigint, max double, min double, sum double").select(aggregates.subtotal(F.col("code"))).collect()
 
 
-FORMULAS = [("C2", "=B2*$H$1"), ("C3", "=B3*$H$1"), ("C4", "=B4*$H$1"), ("F2", "=SUM(D2:E2)"), ("F3", "=SUM(D3:E3)"), ("F4", "=SUM(D4:E4)"), ("G2", '=IF(B2>10,"NG","OK")'), ("G3", "=#REF!+B3"), ("D8", "=D2-D3"), ("E8", "=E2-E3"), ("F8", "=F2-F3"), ("B9", "=SUM(B2:B4)")]
+FORMULAS = [
+    ("D5", "=C5/$K$2"), ("D6", "=C6/$K$2"), ("G5", "=SUM(E5:F5)"), ("G6", "=SUM(E6:F6)"), ("G7", "=SUM(E7:F7)"), ("H5", '=IF(C5>3,"far","near")'), ("H6", "=C6+#DIV/0!"),
+    ("E9", "=E5*E6"), ("F9", "=F5*F6"), ("C10", "=MAX(C5:C7)"), ("D10", "=C5-C6"),
+]
 
 
 def test_relations(spark):
     df = spark.createDataFrame(FORMULAS, "a1 string, raw string").withColumn("x", A.parse_box(F.col("a1")))
     formulas = df.select(F.lit("w").alias("wb_id"), F.lit("s").alias("sheet"), F.col("x.r1").alias("row"), F.col("x.c1").alias("col"), "raw")
-    bounds = spark.createDataFrame([("w", "s", "t", 2, 1, 8, 7)], "wb_id string, sheet string, table_id string, r1 int, c1 int, r2 int, c2 int")
-    rows = relations.extract_relations(formulas, bounds).collect()
+    bounds = spark.createDataFrame([("w", "s", "t", 5, 2, 8, 6)], "wb_id string, sheet string, table_id string, r1 int, c1 int, r2 int, c2 int")
+    names = [("dist", 3), ("time", 4), ("wet", 5), ("dry", 6), ("all", 7)]
+    headers = spark.createDataFrame([("t", n, i, 5, c, 7, c, False) for i, (n, c) in enumerate(names)], "table_id string, header_id string, ord int, r1 bigint, c1 bigint, r2 bigint, c2 bigint, by_row boolean")
+    rows = {r.relation_id: r for r in relations.extract_relations(formulas, bounds, headers).collect()}
     place = lambda r: (r.r1, r.c1, r.r2, r.c2)
-    normal = {place(r): (r.pattern, r.agg_function) for r in rows if r.category == "normal"}
-    assert normal == {(2, 3, 4, 3): ("C{row} = B{row} * $H$1", None), (2, 6, 4, 6): ("F{row} = SUM(D{row}:E{row})", "SUM"), (8, 4, 8, 6): ("{col}8 = {col}2 - {col}3", None)}
-    rest = {r.category: (r.cell, [e.token for e in r.errors]) for r in rows if r.category != "normal"}
-    assert rest == {"aggregate": ("B9", []), "cell": ("G2", []), "invalid": ("G3", ["#REF!"])}
-    assert len({r.relation_id for r in rows}) == 6
+    normal = {i: (place(r), r.pattern, r.expression) for i, r in rows.items() if r.category == "normal"}
+    assert normal == {
+        "rel_repeat_row_arithmetic_d_1": ((5, 4, 6, 4), "D{row} = C{row} / $K$2", "time = dist / $K$2"),
+        "rel_repeat_row_sum_g_2": ((5, 7, 7, 7), "G{row} = SUM(E{row}:F{row})", "all = SUM(E5:F5)"),
+        "rel_repeat_column_formula_9_3": ((9, 5, 9, 6), "{col}9 = {col}5 * {col}6", "summary_wet = wet * wet"),
+    }
+    rest = {i: (r.cell, [e.type for e in r.errors], r.expression) for i, r in rows.items() if r.category != "normal"}
+    assert rest == {
+        "rel_aggregate_max_1": ("C10", [], "max_dist = MAX(dist)"), "rel_single_cell_formula_1": ("H5", [], "H5 = IF(dist > 3, 'far', 'near')"),
+        "rel_single_arithmetic_formula_2": ("D10", [], "summary_time = dist - dist"), "rel_invalid_ref_1": ("H6", ["division_by_zero"], None),
+    }
+    said = {i: r.description for i, r in rows.items()}
+    assert said["rel_repeat_row_arithmetic_d_1"] == "Repeated row-wise arithmetic formula using an absolute reference."
+    assert said["rel_invalid_ref_1"] == "Formula contains error(s): division_by_zero (Formula attempts to divide by zero.)."
     moved = one(spark, relations.shifted(F.lit('=LOG10(C11)*D$11&"C1"'), F.lit(2), F.lit(1)).alias("x")).x
-    assert moved == '=LOG10(D13)*E$11&"C1"'
+    assert moved == '=LOG10(D13)*E$11&"C1"' and one(spark, relations.shifted(F.lit("=A1"), F.lit(-1), F.lit(0)).alias("x")).x is None
 
 
 def test_runs_cover_every_cell_once(spark):
@@ -123,10 +141,10 @@ def test_runs_cover_every_cell_once(spark):
 
 
 def test_recalculation(spark):
-    edges = spark.createDataFrame([(0, "E11", "C11", 1.2), (0, "F11", "E11", 0.1), (0, "X", "Y", 1.0), (0, "Y", "X", 1.0)], "scenario int, cell string, ref string, weight double")
-    constants = spark.createDataFrame([(0, "C11", 20_000_000.0)], "scenario int, cell string, value double")
+    edges = spark.createDataFrame([(0, "G4", "D4", 2.5), (0, "H4", "G4", 0.04), (0, "X", "Y", 1.0), (0, "Y", "X", 1.0)], "scenario int, cell string, ref string, weight double")
+    constants = spark.createDataFrame([(0, "D4", 350.0)], "scenario int, cell string, value double")
     found = {r.cell: (r.value, r.state) for r in relations.recalculate_graph(edges, constants).collect()}
-    assert found["F11"][0] == pytest.approx(2_400_000) and found["X"] == found["Y"] == (None, "circular")
+    assert found["H4"][0] == pytest.approx(35.0) and found["X"] == found["Y"] == (None, "circular")
 
 
 def test_long_chains_resolve(spark):
@@ -179,10 +197,10 @@ def test_ranking(spark):
 
 
 def test_sources():
-    html = "<table><tr><td rowspan='2'>Metric</td><td colspan='2'>2018</td></tr><tr><td>A</td><td>B</td></tr></table>"
-    assert tables.html_rows(html) == [(1, 1, "Metric", 2, 1), (1, 2, "2018", 1, 2), (2, 2, "A", 1, 1), (2, 3, "B", 1, 1)]
-    latex = r"\begin{tabular}{lcc} \multicolumn{3}{c}{Annual results} \\ \begin{tabular}{c}2022\\total\end{tabular} & \textbf{A \& B} & 3 \\ \end{tabular}"
-    assert [(r, c, s) for r, c, s, *_ in tables.latex_rows(latex)] == [(1, 1, "Annual results"), (1, 2, ""), (1, 3, ""), (2, 1, "2022 total"), (2, 2, "A & B"), (2, 3, "3")]
+    html = "<table><tr><td>x</td><td colspan='3'>wide</td></tr><tr><td rowspan='2'>tall</td><td>p</td></tr><tr><td>q</td></tr></table>"
+    assert tables.html_rows(html) == [(1, 1, "x", 1, 1), (1, 2, "wide", 1, 3), (2, 1, "tall", 2, 1), (2, 2, "p", 1, 1), (3, 2, "q", 1, 1)]
+    latex = r"\begin{tabular}{ll} \multicolumn{2}{l}{Tide \emph{tables}} \\ \begin{tabular}{l}high\\water\end{tabular} & \textit{5 \% up} \\ \end{tabular}"
+    assert [(r, c, s) for r, c, s, *_ in tables.latex_rows(latex)] == [(1, 1, "Tide tables"), (1, 2, ""), (2, 1, "high water"), (2, 2, "5 % up")]
     assert tables.json_rows('{"texts": [["a", 1], ["b", null]], "merged_regions": [{"first_row": 0, "last_row": 1, "first_column": 0, "last_column": 0}]}')[0] == (1, 1, "a", 2, 1)
     assert [c[2] for c in tables.json_rows('[{"k": 1}, {"k": "v"}]')] == ["k: 1", "k: v"]
 
@@ -205,3 +223,101 @@ def test_workbook_file(spark, tmp_path):
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1"><v>2.5</v></c><c r="AA1" t="b"><v>1</v></c><c r="C1"><f>B1*2</f><v>5</v></c></row></sheetData></worksheet>')
     rows = {(r.row, r.col): (r.kind, r.s, r.n, r.b, r.formula) for r in workbooks.read_workbooks(spark, str(tmp_path)).collect()}
     assert rows == {(1, 1): ("text", "Name", None, None, None), (1, 2): ("number", None, 2.5, None, None), (1, 27): ("bool", None, None, True, None), (1, 3): ("formula", None, 5.0, None, "=B1*2")}
+
+
+def test_retriever_and_guards(spark):
+    asked = spark.createDataFrame([(0, 1, "What does sheet Harbur, say"), (0, 2, "tab Fleet and Fleets"), (0, 3, "the Harbour sheet of tide 2021 log")], "scope int, query_id int, text string")
+    sheets = spark.createDataFrame([(0, "Harbour"), (0, "Fleet"), (0, "Crew")], "scope int, sheet string")
+    found = {r.query_id: (r.sheet, r.match) for r in retrieval.sheet_guard(asked, sheets).collect()}
+    assert found == {1: ("Harbour", "close_alias"), 2: ("Fleet", "exact"), 3: ("Harbour", "exact")}
+    books = spark.createDataFrame([(0, "tide-2021-log.xlsx"), (0, "tide-2022-log.xlsx")], "scope int, workbook string")
+    guard = retrieval.workbook_guard(asked.where("query_id = 3"), books).collect()
+    assert [(r.workbook, r.match) for r in guard] == [] or guard[0].match == "boost"
+    tables = spark.createDataFrame([(0, "t1", "Tides", "")], "scope int, table_id string, name string, description string")
+    headers = spark.createDataFrame([], "scope int, table_id string, header_id string, label string, description string")
+
+    def unable(queries, tables):
+        raise NotImplementedError
+
+    got = retrieval.search_tables(spark.createDataFrame([(0, 1, "all tides")], "scope int, query_id int, text string"), tables, headers, retriever=unable).collect()
+    assert [(r.table_id, r.reason, r.score) for r in got] == [("t1", "lexical", 23.0)]
+
+
+def test_embedded_ranking_is_brute_force(spark):
+    """Cards by blocks and postings against every score worked out one by one."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice(["tide", "moor", "quay", "buoy", "reef", "mast"]) for _ in range(n))
+    vector = lambda: [rng.gauss(0, 1) for _ in range(5)]
+    cards = [(0, i, say(rng.randint(0, 6)), i // 2, vector() if i % 7 else None) for i in range(60)]
+    asked = [(0, 1, "tide moor", vector()), (0, 2, "nothing", vector()), (0, 3, "quay quay reef", vector())]
+    c = spark.createDataFrame(cards, "scope int, card_id int, card string, ord int, embedding array<double>")
+    q = spark.createDataFrame(asked, "scope int, query_id int, text string, embedding array<double>")
+    lexical = {(r.query_id, r.card_id): r.bm25 for r in retrieval.bm25(q, c).collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for _, query_id, _, emb in asked:
+        raw = [lexical.get((query_id, i), 0.0) for _, i, *_ in cards]
+        low, high = min(raw), max(raw)
+        scores = []
+        for (_, i, _, order, v), x in zip(cards, raw, strict=True):
+            own = 1.0 if high == low else (x - low) / (high - low)
+            scores.append((-round(own if v is None else 0.3 * own + 0.7 * cosine(emb, v), 9), order, i))
+        want = [i for _, _, i in sorted(scores)[:8]]
+        got = sorted((r.rank, r.card_id) for r in retrieval.hybrid_rank(q, c, 8).where(F.col("query_id") == query_id).collect())
+        assert [i for _, i in got] == want
+
+
+def test_workbook_dates_merges_and_shared_formulas(spark):
+    from gridspark.plans.document_queries import _xlsx
+
+    import pandas as pd
+
+    content = _xlsx(pd.DataFrame({"key": [4, 5], "name": ["a", "b"], "nation": [1, 2], "day": [45000, 45001]}))
+    files = spark.createDataFrame([("w", "n.xlsx", bytearray(content))], "wb_id string, name string, content binary")
+    rows = {(r.row, r.col): r for r in workbooks.workbook_cells(files).collect()}
+    assert str(rows[1, 3].ts) == "2023-03-15 00:00:00" and rows[2, 4].formula == "=A2*2" and rows[2, 4].n == 10.0 and rows[1, 5].b is True
+    assert [tuple(r)[1:] for r in workbooks.workbook_merges(files).collect()] == [("Rows", 1, 6, 2, 7)]
+    assert {(r.row, r.col): r.kind for r in workbooks.workbook_cells(files, data_only=True).collect()}[2, 4] == "number"
+    meta = workbooks.workbook_metadata(files).first()
+    assert (meta.sheet_names, meta.author, meta.date_created, meta.size_bytes) == (["Rows", "Blank"], "Author 1", "2024-01-02T03:04:05", len(content))
+
+
+def test_records_go_out_and_come_back(spark, tmp_path):
+    rows = [("r1", "w1", "s", "t", 'a "card", of two\nlines'), ("r2", "w2", "s", "t", "b")]
+    cards = spark.createDataFrame([(*r, r[1]) for r in rows], "id string, workbook string, sheet string, table_id string, retrieval_card string, wb_id string")
+    workbooks.write_records(cards, str(tmp_path))
+    schema = "id string, workbook string, sheet string, table_id string, retrieval_card string"
+    back = workbooks.read_records(spark, [f"{tmp_path}/json/wb_id=w1", f"{tmp_path}/json/wb_id=w2"], schema)
+    assert sorted(map(tuple, back.collect())) == rows
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{tmp_path}/csv")
+    assert csv.columns == workbooks.RECORD_COLUMNS and sorted(r.retrieval_card for r in csv.collect()) == sorted(r[4] for r in rows)
+
+
+def test_documents_that_are_yaml(spark):
+    from gridspark.sources import documents
+
+    text = "sea:\n  name: Sea\n  headers:\n  - {id: a, label: A, description: d, orientation: column, header_range: A1, sub_headers: [{id: b, label: B, description: d, orientation: row, data_range: null}]}\nrelations:\n  normal_formulas:\n  - {id: r1, formula_example: '=A1*2'}\n"
+    docs = spark.createDataFrame([(1, text), (2, "[oops"), (3, None)], "doc_id bigint, text string")
+    rows = documents.structure_headers(docs).orderBy("ord").collect()
+    assert [(r.table_id, r.sheet, r.header_id, r.parent_id, r.is_leaf, r.header_range) for r in rows] == [("sea", "Sea", "a", None, False, "A1"), ("sea", "Sea", "b", "a", True, None)]
+    assert [(r.category, r.relation_id, r.raw, r.table_id) for r in documents.relations(docs).collect()] == [("normal_formulas", "r1", "=A1*2", None)]
+
+
+def test_axes_do_not_mix(spark):
+    cells = people(spark)
+    down, across = filters.filter_values(cells, 3, 4, 5, 4, contains="n"), filters.filter_values(cells, 3, 2, 3, 5, contains="i")
+    with pytest.raises(ValueError, match="axis"):
+        filters.combine("union", down, across)
+
+
+def test_invalid_bounds_raise(spark):
+    cells = people(spark)
+    with pytest.raises(Exception, match="invalid worksheet bounds"):
+        reads.sheet_frame(cells, reads.sheet_bounds(cells), 9, 3).collect()
+
+
+def test_single_values_keep_their_type(spark):
+    cells = spark.createDataFrame([("w", "s", 2, 1, "number", None, 2.5, None, None, None), ("w", "s", 2, 2, "number", None, 2.5, None, None, None), ("w", "s", 3, 1, "text", "x", None, None, None, None), ("w", "s", 3, 2, "number", None, 1.0, None, None, None)], "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, ts timestamp, formula string")
+    box = "struct<r1:bigint,c1:bigint,r2:bigint,c2:bigint>"
+    headers = spark.createDataFrame([("w", "s", "t", "h", 1, (1, 1, 1, 2), (2, 1, 3, 2))], f"wb_id string, sheet string, table_id string, header_id string, ord int, hr {box}, dr {box}")
+    rows = {r.row: (r.kind, r.n, r.s, r.value) for r in reads.logical_rows(cells, headers).collect()}
+    assert rows == {2: ("number", 2.5, None, "2.5"), 3: ("text", None, "x\n1", "x\n1")}
