@@ -31,11 +31,11 @@ ORDER = 5
 #: The symbol that ends a text, and stands before its first byte; bits of a symbol; symbols.
 END, BITS, SYMBOLS = 256, 9, 257
 #: Bytes of text of a block: long, as every block asks for each of its distinct contexts once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 #: Shards that contexts with equal last two bytes are dealt to at most, by the third.
 SPREAD = 64
 #: Symbols worked on at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 REPORT = "shard int, block int, grams binary, counts binary, words binary, word_counts binary"
 PAIRS = "place int, grams binary, counts binary"
