@@ -140,11 +140,12 @@ class QuadraticDiscriminant:
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every whole text, one row per row of docs.
 
-    Learns from the labels of all rows that aren't held out, by sums over statistics only; null labels and labels without a
-    document teach nothing. held_out is a column over doc_id. Null and empty texts get the score of average statistics.
+    Learns from the labels of all rows that aren't held out, by sums over statistics only; labels other than 0 and 1 and labels
+    without a document teach nothing, and a document of both counts as 1. Repeated rows of a document are learnt from each, and
+    get equal scores. held_out is a column over doc_id. Null and empty texts get the score of average statistics.
     """
     rows = save(document_statistics(docs), "quality-statistics")
-    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isNotNull()).distinct()
+    marks = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
     learnt = rows.where(~held_out).join(marks, "doc_id")
     average = average_statistics(learnt)
     model = QuadraticDiscriminant(class_moments(learnt, average))

@@ -112,6 +112,37 @@ def test_quality(docs, no_docs, labels, corpus):
     assert {r.score for r in quality.classify_held_out(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_is_the_plain_density_ratio(docs, labels, corpus, spark):
+    """Scores against class densities worked out text by text; labels that are none, and a document of both, among them."""
+    odd = spark.createDataFrame([(0, 1, 0), (2, 7, 0), (4, -1, 0)], "doc_id bigint, quality int, toxic int")
+    mark = {i: i % 2 for i, _, _ in corpus} | {0: 1}
+    x, own, weight, learnt = [], [], [], []
+    for i, text, _ in corpus:
+        n = len((text or "").split())
+        x.append(quality.statistics(text or ""))
+        own.append(i)
+        weight.append(n / (n + quality.SHORT_WORDS))
+        learnt.append(crc(i, 5) != 0)
+    x, weight, learnt, marks = np.array(x), np.array(weight), np.array(learnt), np.array([mark[i] for i in own])
+    average = (x[learnt] * weight[learnt, None]).sum(0) / weight[learnt].sum()
+    drawn = average + (x - average) * weight[:, None]
+    spread = np.sqrt(np.maximum(drawn[learnt].var(0), 1e-9))
+    logs = []
+    for k in (0, 1):
+        part = drawn[learnt & (marks == k)]
+        z = (part - part.mean(0)) / spread
+        cov = z.T @ z / len(z)
+        cov = (1 - quality.SHRINKAGE) * cov + quality.SHRINKAGE * max(np.trace(cov) / len(cov), 1e-3) * np.eye(len(cov))
+        d = (drawn - part.mean(0)) / spread
+        logs.append(np.log(len(part) / learnt.sum()) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d))
+    want = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+    got = {}
+    for r in quality.classify_held_out(docs, labels.unionByName(odd)).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    for i, w in zip(own, want, strict=True):
+        assert all(abs(g - w) < 1e-6 for g in got[i])
+
+
 def test_quality_discriminates():
     rng = np.random.default_rng(0)
     good, bad = rng.normal(0, 1, (400, quality.N_STATISTICS)), rng.normal(0, 3, (300, quality.N_STATISTICS))

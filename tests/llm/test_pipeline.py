@@ -1,7 +1,10 @@
 """Stages of the pipeline on the small corpus."""
 
+import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gridspark.llm import near_duplicates
 from tests.llm.test_search import components, shingles
@@ -28,6 +31,29 @@ def test_stages(spark, docs, labels, tmp_path):
     assert sorted({r.doc_id for r in run.collect()}) == sorted(set(ids[4]))
 
 
+def test_stages_of_an_empty_table_and_of_clashing_columns(spark, docs, no_docs, labels, tmp_path):
+    """Columns named like the operators' own stay as they are, and a table without rows goes through."""
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for name, some in (("none", no_docs), ("all", docs.withColumns({"row": F.lit(1), "kept": F.lit("k"), "score": F.lit(0.5), "n": F.lit("n")}))):
+        some.write.parquet(f"{tmp_path}/{name}.parquet")
+        kept = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        columns = kept.columns
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, kept, str(tmp_path)).write.parquet(f"{tmp_path}/{name}-{i}")
+            kept = spark.read.parquet(f"{tmp_path}/{name}-{i}")
+            assert i == 4 or kept.columns == columns
+        assert kept.count() == 0 if name == "none" else kept.count() > 0
+
+
+def test_one_row_of_a_repeated_id_stays(spark):
+    rng = random.Random(2)
+    say = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    texts = [say() for _ in range(3)]
+    docs = spark.createDataFrame([(1, t, "en", "s", 1) for t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    want = min(texts, key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert [r.text for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [want]
+
+
 def test_near_dedup_is_brute_force(spark):
     """Groups by brute force, with pairs planted from 0.78 to 0.87: from 0.80 on one of each goes."""
     rng = random.Random(12)

@@ -184,6 +184,39 @@ def test_vector_search(spark):
     assert vector_search.top_k(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_vector_search_of_repeated_rows(spark):
+    """Rows of one id are one vector: no neighbour comes twice, and no query has two answers."""
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-9, 9)) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame([*rows, *rows[:60], *[rows[50]] * 30, (7, [99.0] * 6)], "vec_id bigint, embedding array<double>")
+    found = vector_search.top_k(df, F.col("vec_id") % 50 == 0).collect()
+    assert Counter(tuple(r) for r in found) == brute_top(sorted(({i: v for i, v in rows} | {7: min(rows[7][1], [99.0] * 6)}).items()))
+
+
+def test_bounds_leave_few_pairs():
+    """On the given table less than a fifth of the pairs survives all levels, and each level lets through fewer."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.floor(256 * np.array(table["embedding"].to_pylist())).astype(np.int64)
+    ids, counts = table["vec_id"].to_numpy(), []
+    ask = ids % 50 == 0
+    seeds = vector_search.exact_scores(x[ask], x[:512])
+    seeds[ids[ask][:, None] == ids[None, :512]] = -(10**9)
+    floors = np.sort(seeds, axis=1)[:, -5]
+    got = vector_search.top_k_block(ids[ask], x[ask], floors, ids, x, vector_search.turned(x[:1024]), 5, counts)
+    shares = counts[0][1:] / counts[0][0]
+    assert (np.diff(shares) <= 0).all() and shares[-1] < 0.2
+    want = x[ask] @ x.T
+    want[ids[ask][:, None] == ids[None, :]] = -(10**9)
+    assert (got[2].reshape(-1, 5) == -np.sort(-want, axis=1)[:, :5]).all()
+
+
+def test_exact_scores_of_large_numbers():
+    q, x = np.array([[2**31, 3], [1, 1]]), np.array([[2**30, 5], [-7, 2]])
+    assert vector_search.exact_scores(q, x).tolist() == [[2**61 + 15, -7 * 2**31 + 6], [2**30 + 5, -5]]
+
+
 def test_vector_search_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_search, "CANDIDATES", 50)
     monkeypatch.setattr(vector_search, "QUERIES", 2)
