@@ -69,6 +69,11 @@ def completeness(selected: DataFrame, results: DataFrame) -> DataFrame:
     return selected.join(results, ["wb_id", "sheet"], "left").select("wb_id", "sheet", F.coalesce("status", F.lit("not_good")).alias("status"))
 
 
+def failures(results: DataFrame, run_col: str = "run_id") -> DataFrame:
+    """Results of each run and how many of them failed: any status but good, a missing one among them."""
+    return results.groupBy(run_col).agg(F.count("*").alias("results"), F.count_if(F.coalesce("status", F.lit("not_good")) != "good").alias("failures"))
+
+
 def work_totals(sheets: DataFrame) -> DataFrame:
     """Workbooks, sheets and sheets per workbook, in one row."""
     files, n = F.countDistinct("wb_id"), F.count("*")

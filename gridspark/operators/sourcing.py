@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from gridspark.functions.text import alias, safe_name
+from gridspark.operators.retrieval import mentions
 
 
 def file_name(path: Column) -> Column:
@@ -205,3 +206,49 @@ def result_markdown(rows: DataFrame, labels: DataFrame, key: str, columns: list[
     place = F.row_number().over(W.Window.partitionBy(key).orderBy("ord"))
     body = rows.select(key, (place + 1).cast("bigint").alias("line"), line([tidy(F.col(f"`{c}`")) for c in columns]).alias("text"))
     return heads.unionByName(rule).unionByName(body)
+
+
+def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in the given order."""
+    place = F.row_number().over(W.Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("_place", place).where("_place = 1").drop("_place")
+
+
+def catalogue_scope(asked: DataFrame, tables: DataFrame) -> DataFrame:
+    """ask_id, sheet, table_id: what of a workbook's catalogue a question is about; table_id is null where it is about whole sheets.
+
+    asked: ask_id, wb_id, scope (workbook, sheet or table; others raise), targets (array of names), text; tables: wb_id, sheet,
+    table_id, name. Targets match names that hold them; without targets names that the text holds match. A workbook's scope is
+    all of its sheets, and so are the sheets, or tables, of a question that matches none.
+    """
+    fine = F.when(F.col("scope").isin("workbook", "sheet", "table"), F.col("scope")).otherwise(F.raise_error(F.concat(F.lit("unknown scope: "), F.coalesce("scope", F.lit("")))).cast("string"))
+    a = asked.select("ask_id", "wb_id", fine.alias("scope"), F.filter(F.coalesce("targets", F.array().cast("array<string>")), lambda x: F.trim(x) != "").alias("targets"), alias(F.col("text")).alias("said"))
+    sheets = tables.select("wb_id", "sheet", F.lit(None).cast("string").alias("table_id")).distinct()
+    of_sheet = sheets.select("wb_id", "sheet", "table_id", F.lit("sheet").alias("scope"), alias(F.col("sheet")).alias("named"))
+    of_table = tables.select("wb_id", "sheet", "table_id", F.lit("table").alias("scope"), F.explode(F.array(alias(F.col("table_id")), alias(F.col("name")))).alias("named"))
+    names = of_sheet.unionByName(of_table).where("named <> ''").distinct()
+    by = ["wb_id", "scope"]
+    wanted = a.where(F.size("targets") > 0).select("ask_id", "wb_id", "scope", F.explode("targets").alias("t")).select("ask_id", "wb_id", "scope", alias(F.col("t")).alias("target"))
+    told = mentions(names, wanted, "named", "target", by).select("ask_id", "sheet", "table_id")
+    heard = mentions(a.where(F.size("targets") == 0).select("ask_id", "wb_id", "scope", "said"), names, "said", "named", by).select("ask_id", "sheet", "table_id")
+    matched = told.unionByName(heard).distinct()
+    rest = a.select("ask_id", "wb_id", F.when(F.col("scope") == "workbook", "sheet").otherwise(F.col("scope")).alias("scope")).join(matched.select("ask_id").distinct(), "ask_id", "left_anti")
+    whole = rest.join(of_sheet.select("wb_id", "scope", "sheet", "table_id").unionByName(of_table.select("wb_id", "scope", "sheet", "table_id")).distinct(), by).select("ask_id", "sheet", "table_id")
+    return matched.unionByName(whole)
+
+
+def raw_markdown(rows: DataFrame, key: str) -> DataFrame:
+    """key, line, text: raw rows (key, ord, values: an array of texts) as Markdown; trailing blanks of all rows are trimmed, blank names are `Column n`.
+
+    The first row by ord has the names; line 1 is the rule. Keys whose rows are all blank have no lines.
+    """
+    full = F.aggregate(F.transform("values", lambda x, i: F.when(F.trim(F.coalesce(x, F.lit(""))) != "", i + 1).otherwise(0)), F.lit(0), lambda most, x: F.greatest(most, x))
+    width = rows.groupBy(key).agg(F.max(full).alias("w")).where("w > 0")
+    cell = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), r"\r?\n", "<br>")
+    placed = rows.join(width, key).withColumn("line", F.row_number().over(W.Window.partitionBy(key).orderBy("ord")) - 1)
+    at = F.sequence(F.lit(0), F.col("w") - 1)
+    named = F.transform(at, lambda i: F.when(F.trim(F.coalesce(F.get("values", i), F.lit(""))) == "", F.concat(F.lit("Column "), (i + 1).cast("string"))).otherwise(cell(F.get("values", i))))
+    plain = F.transform(at, lambda i: cell(F.get("values", i)))
+    line = lambda x: F.concat(F.lit("| "), F.array_join(x, " | "), F.lit(" |"))
+    body = placed.select(key, F.when(F.col("line") == 0, 0).otherwise(F.col("line") + 1).cast("bigint").alias("line"), line(F.when(F.col("line") == 0, named).otherwise(plain)).alias("text"))
+    return body.unionByName(width.select(key, F.lit(1).cast("bigint").alias("line"), line(F.transform(at, lambda i: F.lit("---"))).alias("text")))

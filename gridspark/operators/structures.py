@@ -207,6 +207,18 @@ def null_fields(headers: DataFrame, fields: DataFrame) -> DataFrame:
     return joined.select(*(F.when(~F.coalesce(f"n_{c}", F.lit(False)), F.col(c)).alias(c) if c in ("hr", "dr") else F.col(c) for c in headers.columns))
 
 
+def normalised(headers: DataFrame) -> DataFrame:
+    """headers with texts trimmed: an id made of the label where it is blank, column as the orientation where it is neither row nor column, and ranges null where they are not known.
+
+    headers: header_id, label, orientation, header_range and data_range as A1 texts.
+    """
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    made = F.regexp_replace(F.regexp_replace(F.lower(text("label")), r"[^\p{L}\p{N}]+", "_"), r"^_|_$", "")
+    by = F.lower(text("orientation"))
+    changed = {"header_id": F.coalesce(F.nullif(text("header_id"), F.lit("")), F.nullif(made, F.lit("")), F.lit("header")), "label": text("label"), "orientation": F.when(by.isin("row", "column"), by).otherwise("column")}
+    return headers.withColumns(changed | {c: certain(F.col(c)) for c in ("header_range", "data_range")})
+
+
 def valid_structures(headers: DataFrame) -> DataFrame:
     """Sheets' structures with whether every table of them has a real header."""
     real = headers.groupBy("wb_id", "sheet", "table_id").agg(F.bool_or(~placeholder(F.col("label"))).alias("real"))

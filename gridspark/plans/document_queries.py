@@ -348,3 +348,15 @@ def rank_audit(t: Tables):
 def sheet_frame_bounds(t: Tables):
     cells, _ = merged_sheet(t)
     return reads.sheet_frame(cells, reads.sheet_bounds(cells), 5, 500, 2, 2).select("row", "letter", "s")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'h' || p_partkey ELSE replace(p_name, ' ', '_') END AS header_id, p_name AS label, CASE WHEN p_partkey % 4 = 1 THEN 'row' ELSE 'column' END AS orientation, CASE WHEN p_partkey % 5 < 2 THEN 'B' || (p_partkey + 1) END AS header_range FROM part""")
+def headers_normalised(t: Tables):
+    from gridspark.operators.structures import normalised
+
+    k, n = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    rows = t.part.select(
+        "p_partkey", F.when(k % 3 == 0, F.concat(F.lit(" h"), n)).when(k % 3 == 1, " ").alias("header_id"), F.concat(F.lit(" "), "p_name").alias("label"), F.when(k % 4 == 1, " ROW").when(k % 4 == 2, "diagonal").alias("orientation"),
+        F.when(k % 5 < 2, F.concat(F.lit("B"), (k + 1).cast("string"), F.lit(" "))).when(k % 5 == 2, "Unknown").when(k % 5 == 3, "?").alias("header_range"), F.lit("n/a").alias("data_range"),
+    )
+    return normalised(rows).where("data_range is null").select("p_partkey", "header_id", "label", "orientation", "header_range")

@@ -293,3 +293,30 @@ def embedding_evidence(t: Tables):
     group = F.col("label") % 4
     pairs = rows.select("vec_id", group.alias("query_id"), "q_embedding", F.when(odd, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")).alias("embedding"), F.when((group == 1) | (group == 2) & (F.col("vec_id") % 2 == 0), F.col("vec_id") / 2).alias("index_score"))
     return retrieval.embedding_scores(pairs).select("vec_id", "query_id", F.round("embedding_score", 6).alias("embedding_score"))
+
+
+@query("""WITH r AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS k FROM documents) SELECT doc_id, source, lang FROM r WHERE k = 1""")
+def first_candidates(t: Tables):
+    return sourcing.keep_first(t.documents.select("doc_id", "source", "lang", "n_chars"), ["source", "lang"], [F.desc("n_chars"), "doc_id"]).select("doc_id", "source", "lang")
+
+
+@query("""WITH t AS (SELECT DISTINCT source AS wb, lang AS sheet, 'tab_' || lang || '_' || doc_id % 2 AS table_id FROM documents), q AS (SELECT source AS wb, min(doc_id) AS ask_id, min(lang) AS own FROM documents GROUP BY 1)
+SELECT ask_id, t.sheet, CAST(NULL AS VARCHAR) AS table_id FROM q JOIN (SELECT DISTINCT wb, sheet FROM t) t USING (wb) WHERE ask_id % 4 = 0 OR (ask_id % 4 = 1 AND t.sheet = own)
+UNION ALL SELECT ask_id, t.sheet, t.table_id FROM q JOIN t USING (wb) WHERE (ask_id % 4 = 2 AND t.sheet = own) OR ask_id % 4 = 3""")
+def catalogue_scope(t: Tables):
+    """By workbook: all sheets; the sheet that a question says; the tables that a target names in part; all tables where nothing matches."""
+    tables = t.documents.select(F.col("source").alias("wb_id"), F.col("lang").alias("sheet"), F.concat_ws("_", F.lit("tab"), "lang", (F.col("doc_id") % 2).cast("string")).alias("table_id")).distinct().withColumn("name", F.concat(F.lit("Name "), "table_id"))
+    own = t.documents.groupBy(F.col("source").alias("wb_id")).agg(F.min("doc_id").alias("ask_id"), F.min("lang").alias("own"))
+    k = F.col("ask_id") % 4
+    asked = own.select(
+        "ask_id", "wb_id", F.when(k == 0, "workbook").when(k == 1, "sheet").otherwise("table").alias("scope"), F.when(k == 2, F.array(F.concat(F.lit("TAB-"), "own"))).when(k == 3, F.array(F.lit("nothing"))).alias("targets"),
+        F.when(k == 1, F.upper("own")).otherwise("-").alias("text"),
+    )
+    return sourcing.catalogue_scope(asked, tables)
+
+
+@query("""WITH k AS (SELECT c_nationkey AS k, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS line FROM customer), n AS (SELECT k, c_name AS first FROM k WHERE line = 1)
+SELECT k, CAST(0 AS BIGINT) AS line, '| ' || first || ' | Column 2 | x |' AS text FROM n UNION ALL SELECT k, 1, '| --- | --- | --- |' FROM n UNION ALL SELECT k, line, '| ' || c_name || ' |  | x |' FROM k WHERE line > 1""")
+def raw_rows_markdown(t: Tables):
+    rows = t.customer.select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("ord"), F.array("c_name", F.lit(None).cast("string"), F.lit("x"), F.lit(" "), F.lit("")).alias("values"))
+    return sourcing.raw_markdown(rows, "k")

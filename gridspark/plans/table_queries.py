@@ -131,6 +131,12 @@ def completeness(t: Tables):
     return aggregates.completeness(t.documents.select(*where).distinct(), results)
 
 
+@query("SELECT user_id AS run_id, count(*) AS results, count(*) FILTER (event_type <> 'click' OR event_id % 5 = 0) AS failures FROM events GROUP BY 1")
+def run_failures(t: Tables):
+    status = F.when(F.col("event_id") % 5 == 0, F.lit(None)).when(F.col("event_type") == "click", "good").otherwise("not_good")
+    return aggregates.failures(t.events.select(F.col("user_id").alias("run_id"), status.alias("status")))
+
+
 @query("SELECT count(DISTINCT source) AS files, count(*) AS sheets, count(*) / greatest(count(DISTINCT source), 1) AS sheets_per_file FROM (SELECT DISTINCT source, lang FROM documents)")
 def work_totals(t: Tables):
     return aggregates.work_totals(t.documents.select(F.col("source").alias("wb_id"), F.col("lang").alias("sheet")).distinct())
