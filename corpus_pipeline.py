@@ -8,6 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 from gridspark.llm import language_id, line_rules, near_duplicates, packing, substring_dedup
 from gridspark.llm.common import save, short_batches
@@ -34,12 +35,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, and one row of each doc_id."""
+    """One document of each group of near duplicates, and one row of each doc_id: that of the least digest of its text."""
     kept = near_duplicates.near_duplicate_components(docs, NEAR).where("kept").select("doc_id").distinct()
     stay = docs.join(kept, "doc_id", "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         return stay.select(docs.columns)
-    return stay.dropDuplicates(["doc_id"]).select(docs.columns)
+    order = W.Window.partitionBy("doc_id").orderBy(F.sha2("text", 256), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    return stay.withColumn("_first", F.row_number().over(order)).where("_first = 1").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
