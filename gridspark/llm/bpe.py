@@ -188,7 +188,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 def round_trip_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the number of ids and SHA-256 digests of the ids (decimal, comma-joined) and of the bytes they decode to.
 
-    Null and empty texts have no ids and the digests of nothing; texts are encoded whole, whatever their length.
+    Null and empty texts have no ids and the digests of nothing; texts are encoded whole, whatever their length. Null document ids
+    stay null, and repeated rows give repeated results.
     """
     ddl = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema = arrow_schema(ddl)

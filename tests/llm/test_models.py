@@ -299,3 +299,18 @@ def test_long_text_in_chunks(monkeypatch):
         for i, n in enumerate(held):
             sizes[first + i] += n
     assert [sizes[i] for i in range(4)] == [len(t) + 1 for t in texts]
+
+
+def test_a_long_text_goes_through_whole(spark):
+    """2.5 MB in one row, with short ones beside it in the same batch: nothing is cut off at either end."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    text = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(35_000)) + "\nLAST"
+    rows = [(1, text, "en"), (2, "a short one, and no more than that: ten words here", "en"), (3, text[-5000:], "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    judged = {r.doc_id: r for r in line_rules.judge_lines(docs, labels).collect()}
+    assert judged[1].n_words == len(text.split()) and judged[1].word_chars == len(text) - text.count(" ") - text.count("\n")
+    assert {r.lang_pred for r in language_id.identify(docs, F.lit(True), F.lit(False)).collect()} == {"en"}
+    scored = {r.doc_id: r for r in lm_scoring.score(docs, F.col("doc_id") == 2).collect()}
+    assert scored[1].n_tokens == len(text.split()) + 1 and scored[1].score < scored[3].score < 0
