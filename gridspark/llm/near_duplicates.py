@@ -5,9 +5,9 @@ agree in at least m of COORDINATES coordinates must share one of their COORDINAT
 only these are posted: long lists are skipped without losing a collision. Pairs of texts that meet in lists have their collisions
 counted, the count is completed over the skipped coordinates from both signatures, and pairs of at least m are confirmed on full sets.
 
-Lists are joined twice. First each text of a list meets the list's most central one, which links most copies without all pairs
-of a list. Texts of lists that hold several components yet then meet those of other components, if their full sets leave room
-for the similarity: what a text shares with nobody is counted out before.
+Each text of a list meets the list's most central one, which links most copies without all pairs of a list. Texts of lists that
+hold several components yet are joined once more, by the rarest shingles of their full sets, which is exact; their collisions
+are counted too.
 """
 
 from __future__ import annotations
@@ -144,20 +144,24 @@ def above_threshold(pairs: DataFrame, signatures: DataFrame, matches: int) -> Da
     return enough.unionByName(open_.where(agree >= matches).select("a", "b"))
 
 
-def _shared_shingles(sets: DataFrame) -> DataFrame:
-    """id, n, shared: the size of each set and how many of its shingles another of the sets has."""
-    schema = pa.schema([("id", pa.int64()), ("item", pa.int64())])
+def _rarest_shingles(sets: DataFrame, per_cent: int) -> DataFrame:
+    """Of sets: the shingles that any partner must share one of (each set's rarest 100 - per_cent per cent and one more), with the set's size and how many rarer shingles it has before each."""
+    n = F.octet_length("items") / 8
+    schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("n", pa.int32())])
 
     def unpack(batches):
         for batch in batches:
             for one, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 items = np.frombuffer(raw, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), one)), pa.array(items)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(items), one)), pa.array(items), pa.array(np.full(len(items), len(items), np.int32))], schema=schema)
 
-    items = sets.mapInArrow(unpack, "id bigint, item bigint")
-    alone = items.groupBy("item").agg(F.count("*").alias("f"), F.min("id").alias("id")).where("f = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    n = (F.octet_length("items") / 8).cast("bigint")
-    return sets.select("id", n.alias("n")).join(alone, "id", "left").select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+    items = sets.where(n > 0).mapInArrow(unpack, "id bigint, item bigint, n int")
+    shared = items.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    common = items.join(shared, "item")  # shingles of one set only drop out here; their number is what is missing
+    own = common.groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("c"))
+    alone = F.col("n") - F.size("c")
+    length = F.col("n") - F.ceil(F.col("n") * per_cent / 100) + 1 - alone
+    return own.where(length > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("c", F.lit(1), length.cast("int"))).alias("i", "x")).select("id", "n", (F.col("alone") + F.col("i")).alias("before"), F.col("x.item").alias("item"))
 
 
 def near_duplicate_components(docs: DataFrame, per_cent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,18 +195,17 @@ def near_duplicate_components(docs: DataFrame, per_cent: int = 85, id_col: str =
     links = save(confirmed(save(above_threshold(spokes, classes, matches), "near-spokes"), sets, per_cent), "near-links")
     found = connected_components(links)
 
-    # lists that hold several components yet: their texts meet those of other components
+    # lists that hold several components yet: their texts are joined by the rarest shingles of their full sets, as all pairs of
+    # these lists would grow with the square of a group of near copies; the pairs' collisions are counted all the same
     labelled = posted.join(found, "id", "left").select("id", "k", "value", F.coalesce("component", "id").alias("component"))
-    several = lambda rows: rows.join(rows.groupBy("k", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "value"), ["k", "value"], "left_semi")
-    apart = save(several(labelled), "near-apart")
-    # a pair has in common at most what either shares with anybody: that must leave room for the similarity
-    room = _shared_shingles(sets.join(apart.select("id").distinct(), "id", "left_semi")).where(100 * F.col("shared") >= per_cent * F.col("n"))
-    roomy = save(several(apart.join(room, "id")), "near-roomy")
-    a, b = (roomy.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "shared", "component", "k", "value"))) for x in "ab")
-    most = F.least("shared_a", "shared_b")
+    open_lists = labelled.groupBy("k", "value").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("k", "value")
+    apart = save(labelled.join(open_lists, ["k", "value"], "left_semi").select("id", "component").distinct(), "near-apart")
+    rare = save(_rarest_shingles(sets.join(apart, "id", "left_semi"), per_cent).join(apart, "id"), "near-rare")
+    a, b = (rare.select(*(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "before", "component")), "item") for x in "ab")
+    # at a pair's first common shingle neither can share the rarer ones before it: that bounds what both can have
+    most = F.least(F.col("n_a") - F.col("before_a"), F.col("n_b") - F.col("before_b"))
     possible = (F.col("component_a") != F.col("component_b")) & (F.col("id_a") < F.col("id_b")) & (100 * most >= per_cent * (F.col("n_a") + F.col("n_b") - most))
-    met = a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("value_a") == F.col("value_b")) & possible)
-    late = met.groupBy(F.col("id_a").alias("a"), F.col("id_b").alias("b")).agg(F.count("*").alias("collisions"))
+    late = a.join(b, a["item"].eqNullSafe(b["item"]) & possible).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(0).alias("collisions")).distinct()
     late_links = save(confirmed(save(above_threshold(late, classes, matches), "near-late"), sets, per_cent), "near-links")
     if late_links.isEmpty():
         final = found
