@@ -27,6 +27,13 @@ UNCERTAIN = ("unknown", "uncertain", "n/a", "none", "null", "?")
 FAILED = ("connection error", "rate limit", "quota exceeded", "unauthorized", "api key", "authentication", "timeout", "endpoint offline")
 
 
+#: Rules whose detail is a box; it is written out once, for all findings together.
+BOXED = {
+    "hr_bounds", "dr_bounds", "hr_unused", "dr_unused", "header_merged", "header_moved", "header_blank", "data_shifted", "data_overlaps", "data_realigned", "data_blank", "data_repaired",
+    "parent_data_over_child", "child_data_outside", "child_header_outside",
+}
+
+
 def placeholder(label: Column) -> Column:
     """Whether a label stands for no real header: blank, or one of PLACEHOLDERS as a whole."""
     return F.lower(F.trim(F.coalesce(label, F.lit("")))).rlike("^(" + "|".join(("", *PLACEHOLDERS)) + ")$")
@@ -39,9 +46,13 @@ def certain(a1: Column) -> Column:
 
 
 def _findings(df: DataFrame, *rules: tuple[Column, str, str, Column]) -> DataFrame:
-    """Rows of the rules (condition, name, severity, detail) that hold, in one pass."""
-    each = F.array(*(F.when(where, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), detail.cast("string").alias("detail"))) for where, rule, severity, detail in rules))
-    return df.select(*KEY, F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
+    """Rows of the rules (condition, name, severity, detail) that hold, in one pass; a detail is a text, or a box if its rule is in BOXED."""
+    none = lambda kind: F.lit(None).cast(kind)
+    each = []
+    for where, rule, severity, detail in rules:
+        text, box = (none("string"), detail.cast(BOX)) if rule in BOXED else (detail.cast("string"), none(BOX))
+        each.append(F.when(where, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), text.alias("text"), box.alias("box"))))
+    return df.select(*KEY, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("x")).select(*KEY, "x.*")
 
 
 def _box(sheet: Column, r1: Column, c1: Column, r2: Column, c2: Column) -> Column:
@@ -113,52 +124,47 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
     direct, cells = cells, expand_merges(cells, merges, overwrite=False)
     used = cells.groupBy("wb_id", "sheet").agg(_box(F.lit(None).cast("string"), F.lit(1), F.lit(1), F.max("row"), F.max("col")).alias("used"))
     by_row = F.lower(F.coalesce("orientation", F.lit("column"))) == "row"
-    h = headers.join(used, ["wb_id", "sheet"], "left")
-    rules = [(~F.lower(F.coalesce("orientation", F.lit("column"))).isin("row", "column"), "orientation", "error", F.col("orientation"))]
-    for which in ("hr", "dr"):
-        b = F.col(which)
-        beyond = (b["r1"] < 1) | (b["c1"] < 1) | (b["r2"] > LAST_ROW) | (b["c2"] > LAST_COLUMN)
-        rules.append((beyond, f"{which}_bounds", "error", box_a1(b)))
-    rules += [(~contains_box(F.col("used"), F.col("dr")), "dr_unused", "error", box_a1(F.col("dr")))]
-    out = [_findings(h, *rules)]
     # header boxes grow to the first merge that they touch, or move on from a blank cell of a merge that says something else
+    h = headers.join(used, ["wb_id", "sheet"], "left")
     h = _merged_at(h, KEY, merges, "hr", "m")
-    h = h.join(_moved_headers(h, direct, merges), KEY, "left")
+    h = cut(h.join(_moved_headers(h, direct, merges), KEY, "left"))
     moves = F.col("follower").isNotNull() & F.col("next").isNotNull()
     grows = F.col("m").isNotNull() & ~_same_box(F.col("hr"), F.col("m")) & F.col("follower").isNull()
-    out.append(_findings(h, (grows, "header_merged", "action", box_a1(F.col("m"))), (moves, "header_moved", "action", box_a1(F.col("next")))))
+    beyond = lambda b: (b["r1"] < 1) | (b["c1"] < 1) | (b["r2"] > LAST_ROW) | (b["c2"] > LAST_COLUMN)
+    first = [
+        (~F.lower(F.coalesce("orientation", F.lit("column"))).isin("row", "column"), "orientation", "error", F.col("orientation")), (beyond(F.col("hr")), "hr_bounds", "error", F.col("hr")), (beyond(F.col("dr")), "dr_bounds", "error", F.col("dr")),
+        (~contains_box(F.col("used"), F.col("dr")), "dr_unused", "error", F.col("dr")), (grows, "header_merged", "action", F.col("m")), (moves, "header_moved", "action", F.col("next")),
+    ]
+    out = [_findings(h, *first)]
     new_hr = F.when(moves, F.col("next").cast(BOX)).when(F.col("m").isNotNull(), F.col("m").cast(BOX)).otherwise(F.col("hr").cast(BOX))
-    h = cut(h.withColumn("hr", new_hr).drop("m", "next", "follower"))
-    t = h.join(_texts(h, cells, "hr"), KEY)
-    shown = tidy(F.array_join("texts", " "))
-    other_label = (F.size("texts") > 0) & ((squeezed(shown) != squeezed(F.col("label"))) | (tidy(F.col("label")) != F.coalesce("label", F.lit(""))))
-    out.append(
-        _findings(
-            t, (~contains_box(F.col("used"), F.col("hr")), "hr_unused", "error", box_a1(F.col("hr"))), (F.size("texts") == 0, "header_blank", "error", box_a1(F.col("hr"))),
-            (F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")), (other_label, "label_repaired", "action", shown),
-        )
-    )
+    h = h.withColumn("hr", new_hr).drop("m", "next", "follower")
     # data boxes leave the header and take its band
     both = F.col("hr").isNotNull() & F.col("dr").isNotNull()
-    fixed = repaired_data(F.col("hr"), F.col("dr"), by_row, F.col("used"))
     overlaps = both & intersects(F.col("hr"), F.col("dr"))
-    fits = contains_box(F.col("used"), fixed)
-    h = h.withColumns({"shift": overlaps & fits, "lost": overlaps & ~fits, "fixed": fixed})
-    out.append(_findings(h, (F.col("shift"), "data_shifted", "action", box_a1(F.col("fixed"))), (F.col("lost"), "data_overlaps", "error", box_a1(F.col("dr")))))
-    h = h.withColumn("dr", F.when(F.col("shift"), F.col("fixed").cast(BOX)).otherwise(F.col("dr").cast(BOX))).drop("shift", "lost", "fixed")
+    h = h.withColumn("fixed", repaired_data(F.col("hr"), F.col("dr"), by_row, F.col("used"))).withColumn("fits", contains_box(F.col("used"), F.col("fixed")))
+    h = h.withColumns({"shift": overlaps & F.col("fits"), "lost": overlaps & ~F.col("fits"), "old": F.col("dr").cast(BOX)}).withColumn("dr", F.when(F.col("shift"), F.col("fixed")).otherwise(F.col("dr").cast(BOX)))
     d, r = F.col("dr"), F.col("hr")
     off_band = both & F.when(by_row, (d["r1"] != r["r1"]) | (d["r2"] != r["r2"])).otherwise((d["c1"] != r["c1"]) | (d["c2"] != r["c2"]))
     along = _box(d["sheet"], F.when(by_row, r["r1"]).otherwise(d["r1"]), F.when(by_row, d["c1"]).otherwise(r["c1"]), F.when(by_row, r["r2"]).otherwise(d["r2"]), F.when(by_row, d["c2"]).otherwise(r["c2"]))
     h = h.withColumns({"off": off_band, "along": along})
-    out.append(_findings(h, (F.col("off"), "data_realigned", "action", box_a1(F.col("along")))))
-    h = cut(h.withColumn("dr", F.when(F.col("off"), F.col("along").cast(BOX)).otherwise(F.col("dr"))).drop("off", "along"))
+    h = h.withColumn("dr", F.when(F.col("off"), F.col("along")).otherwise(F.col("dr"))).withColumn("again", F.when(F.col("hr").isNotNull(), repaired_data(F.col("hr"), F.lit(None).cast(BOX), by_row, F.col("used"))))
+    h = cut(h.join(_texts(h, cells, "hr"), KEY, "left"))
+    shown = tidy(F.array_join("texts", " "))
+    other_label = (F.size("texts") > 0) & ((squeezed(shown) != squeezed(F.col("label"))) | (tidy(F.col("label")) != F.coalesce("label", F.lit(""))))
+    second = [
+        (~contains_box(F.col("used"), F.col("hr")), "hr_unused", "error", F.col("hr")), (F.size("texts") == 0, "header_blank", "error", F.col("hr")), (F.size("texts") > 1, "header_texts", "error", F.array_join("texts", " | ")), (other_label, "label_repaired", "action", shown),
+        (F.col("shift"), "data_shifted", "action", F.col("fixed")), (F.col("lost"), "data_overlaps", "error", F.col("old")), (F.col("off"), "data_realigned", "action", F.col("along")),
+    ]
+    out.append(_findings(h, *second))
     # data boxes without a visible cell are repaired from the header's span, if that has one
-    empty = h.where("dr is not null").join(_filled(h, cells, "dr"), KEY, "left_anti").withColumn("fixed", F.when(F.col("hr").isNotNull(), repaired_data(F.col("hr"), F.lit(None).cast(BOX), by_row, F.col("used"))))
-    usable = empty.where(contains_box(F.col("used"), F.col("fixed")))
-    saved = usable.join(_filled(usable, cells, "fixed"), KEY, "left_semi").select(*KEY, "fixed")
-    checked = empty.drop("fixed").join(saved, KEY, "left")
-    out.append(_findings(checked, (F.col("fixed").isNull(), "data_blank", "error", box_a1(F.col("dr"))), (F.col("fixed").isNotNull(), "data_repaired", "action", box_a1(F.col("fixed")))))
-    h = cut(h.join(saved, KEY, "left").withColumn("dr", F.coalesce(F.col("fixed").cast(BOX), F.col("dr"))).drop("fixed"))
+    filled = lambda which, name: _filled(h, cells, which).withColumn(name, F.lit(True))
+    h = h.join(filled("dr", "has"), KEY, "left").join(filled("again", "could"), KEY, "left")
+    bare = F.col("dr").isNotNull() & F.col("has").isNull()
+    saved = bare & F.col("could").isNotNull() & contains_box(F.col("used"), F.col("again"))
+    h = h.withColumns({"bare": bare, "saved": F.coalesce(saved, F.lit(False))}).drop("texts", "shift", "lost", "old", "off", "along", "fixed", "fits", "has", "could")
+    h = cut(h)
+    out.append(_findings(h, (F.col("bare") & ~F.col("saved"), "data_blank", "error", F.col("dr")), (F.col("saved"), "data_repaired", "action", F.col("again"))))
+    h = h.withColumn("dr", F.when(F.col("saved"), F.col("again")).otherwise(F.col("dr"))).drop("bare", "saved", "again")
     # parents and children
     parent = h.select("wb_id", "sheet", "table_id", F.col("header_id").alias("parent_id"), F.col("hr").alias("p_hr"), F.col("dr").alias("p_dr"), by_row.alias("p_row"))
     c = h.join(parent, ["wb_id", "sheet", "table_id", "parent_id"])
@@ -166,12 +172,12 @@ def verify(headers: DataFrame, cells: DataFrame, merges: DataFrame) -> DataFrame
     outside = F.when(F.col("p_row"), (x["r1"] < p["r1"]) | (x["r2"] > p["r2"]) | (x["c1"] <= p["c2"])).otherwise((x["c1"] < p["c1"]) | (x["c2"] > p["c2"]) | (x["r1"] <= p["r2"]))
     out.append(
         _findings(
-            c, (F.col("dr").isNull(), "child_data_missing", "error", F.col("header_id")), (intersects(F.col("p_dr"), F.col("hr")), "parent_data_over_child", "action", box_a1(F.col("p_dr"))),
-            (~contains_box(F.col("p_dr"), F.col("dr")), "child_data_outside", "error", box_a1(F.col("dr"))), (outside, "child_header_outside", "error", box_a1(x)),
+            c, (F.col("dr").isNull(), "child_data_missing", "error", F.col("header_id")), (intersects(F.col("p_dr"), F.col("hr")), "parent_data_over_child", "action", F.col("p_dr")),
+            (~contains_box(F.col("p_dr"), F.col("dr")), "child_data_outside", "error", F.col("dr")), (outside, "child_header_outside", "error", x),
         )
     )
     out.append(_uncovered(h, cells))
-    return reduce(DataFrame.unionByName, out)
+    return reduce(DataFrame.unionByName, out).select(*KEY, "rule", "severity", F.coalesce("text", box_a1(F.col("box"))).alias("detail"))
 
 
 def _uncovered(h: DataFrame, cells: DataFrame) -> DataFrame:

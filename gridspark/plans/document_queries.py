@@ -230,13 +230,22 @@ n AS (SELECT *, row_number() OVER (PARTITION BY wb, table_id, category ORDER BY
 x AS (SELECT wb, table_id, category, r1, col, r2, CASE category WHEN 'normal' THEN CASE col WHEN 6 THEN 'rel_repeat_row_arithmetic_f_' WHEN 7 THEN 'rel_repeat_row_sum_g_' ELSE 'rel_repeat_row_formula_h_' END WHEN 'aggregate' THEN 'rel_aggregate_sum_' ELSE CASE col WHEN 6 THEN 'rel_single_arithmetic_formula_' ELSE 'rel_single_cell_formula_' END END || i AS relation_id,
   CASE WHEN category = 'normal' THEN CASE col WHEN 6 THEN 'F{{row}} = D{{row}} *(1 - E{{row}})* $H$1' WHEN 7 THEN 'G{{row}} = SUM(B{{row}}:E{{row}})' ELSE 'H{{row}} = IF(B{{row}} > 10, ''NG'', ''OK'')' END END AS pattern FROM n
   UNION ALL SELECT wb, table_id, 'invalid', row, col, row, 'rel_invalid_ref_' || row_number() OVER (PARTITION BY wb, table_id ORDER BY row, col), NULL FROM a WHERE bad)
-SELECT CAST(wb AS VARCHAR) AS wb_id, table_id, category, r1, CAST(col AS INTEGER) AS c1, r2, relation_id, pattern FROM x"""
+SELECT CAST(wb AS VARCHAR) AS wb_id, table_id, category, r1, CAST(col AS INTEGER) AS c1, r2, relation_id, pattern, CASE category WHEN 'invalid' THEN 'Formula contains error(s): broken_reference (Original referenced cell or range is lost.).'
+  WHEN 'normal' THEN CASE col WHEN 6 THEN 'Repeated row-wise arithmetic formula using an absolute reference.' WHEN 7 THEN 'Repeated row-wise SUM formula. Each row calculates a value from a range of cells in the same row.' ELSE 'Repeated row-wise formula.' END
+  WHEN 'aggregate' THEN 'Aggregate SUM formula in cell G' || r1 || ' over a column or range.' ELSE CASE col WHEN 6 THEN 'Standalone arithmetic formula in cell F' || r1 || ' that does not repeat across rows or columns.' ELSE 'Standalone formula used only in one specific cell in cell H' || r1 || '.' END END AS description FROM x"""
 
 
 @query(EXTRACTED)
 def extract_relations(t: Tables):
     once = formulas(t).groupBy("wb_id", "sheet", "row", "col").agg(F.min("raw").alias("raw"))
-    return relations.extract_relations(once, tables_of(t)).select("wb_id", "table_id", "category", "r1", "c1", "r2", "relation_id", "pattern")
+    return relations.extract_relations(once, tables_of(t)).select("wb_id", "table_id", "category", "r1", "c1", "r2", "relation_id", "pattern", "description")
+
+
+@query(f"WITH found AS ({EXTRACTED}) SELECT wb_id, relation_id FROM found WHERE category = 'normal' AND table_id = 't2'")
+def relations_listed(t: Tables):
+    once = formulas(t).groupBy("wb_id", "sheet", "row", "col").agg(F.min("raw").alias("raw"))
+    found = relations.extract_relations(once, tables_of(t)).withColumn("table_ids", F.array("table_id"))
+    return relations.list_relations(found, "normal", "t2").select("wb_id", "relation_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 AND NOT l_tax > 0.05 THEN round_even(l_quantity / 2, 0) WHEN l_discount > 0.05 OR l_tax = 0 THEN abs(l_linenumber - 5) ELSE pow(l_linenumber, 2) - l_quantity / 4 END AS value, l_returnflag || CAST(l_linenumber AS VARCHAR) AS name FROM lineitem""")

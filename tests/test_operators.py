@@ -321,3 +321,23 @@ def test_single_values_keep_their_type(spark):
     headers = spark.createDataFrame([("w", "s", "t", "h", 1, (1, 1, 1, 2), (2, 1, 3, 2))], f"wb_id string, sheet string, table_id string, header_id string, ord int, hr {box}, dr {box}")
     rows = {r.row: (r.kind, r.n, r.s, r.value) for r in reads.logical_rows(cells, headers).collect()}
     assert rows == {2: ("number", 2.5, None, "2.5"), 3: ("text", None, "x\n1", "x\n1")}
+
+
+def test_boosts_lift_a_workbooks_cards(spark):
+    cards = spark.createDataFrame([(0, i, "tide table", f"w{i // 4}", i) for i in range(12)], "scope int, card_id int, card string, workbook string, ord int")
+    asked = spark.createDataFrame([(0, 1, "tide")], "scope int, query_id int, text string")
+    guards = spark.createDataFrame([(1, "w2", "boost")], "query_id int, workbook string, match string")
+    plain = [r.card_id for r in retrieval.hybrid_rank(asked, cards, 3).orderBy("rank").collect()]
+    lifted = retrieval.hybrid_rank(asked.join(retrieval.boosts(guards), "query_id", "left"), cards, 3).orderBy("rank").collect()
+    assert plain == [0, 1, 2] and [r.card_id for r in lifted] == [8, 9, 10] and lifted[0].score == 2.0
+
+
+def test_headers_move_off_a_merge_that_says_something_else(spark):
+    text = lambda r, c, s: ("w", "s", r, c, "text", s, None, None, None, None)
+    cells = spark.createDataFrame([text(1, 1, "Group"), text(1, 3, "Depth"), text(2, 3, "7"), text(3, 4, "z")], "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, ts timestamp, formula string")
+    merges = spark.createDataFrame([("w", "s", 1, 1, 1, 2)], "wb_id string, sheet string, r1 bigint, c1 bigint, r2 bigint, c2 bigint")
+    box = "struct<sheet:string,r1:bigint,c1:bigint,r2:bigint,c2:bigint>"
+    rows = [("w", "s", "t", "d", None, ["d"], 1, "Depth", "column", (None, 1, 2, 1, 2), (None, 2, 2, 3, 2)), ("w", "s", "t", "e", None, ["e"], 2, "Group", "column", (None, 1, 1, 1, 2), (None, 3, 1, 3, 2))]
+    headers = spark.createDataFrame(rows, f"wb_id string, sheet string, table_id string, header_id string, parent_id string, path array<string>, ord int, label string, orientation string, hr {box}, dr {box}")
+    found = {(r.header_id, r.rule): r.detail for r in structures.verify(headers, cells, merges).collect()}
+    assert found == {("d", "header_moved"): "C1", ("d", "data_realigned"): "C2:C3", ("e", "data_blank"): "A3:B3"}
