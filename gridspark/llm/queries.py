@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.llm import bpe, filter_audit, importance, language_id, line_rules, lm_scoring, near_duplicates, packing, quality, substring_dedup, token_counts, vector_search
+from gridspark.llm import bpe, filter_audit, importance, language_id, line_rules, lm_scoring, main_text, near_duplicates, packing, quality, substring_dedup, token_counts, vector_search
 from gridspark.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_text_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -109,5 +113,5 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 FROM counted
 """
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_language_id": op10_language_id, "op11_filter_audit": op11_filter_audit, "op13_importance_resampling": op13_importance_resampling}
+QUERIES = {"op1_best_fit_packing": op1_best_fit_packing, "op2_suffix_dedup": op2_suffix_dedup, "op3_token_counts": op3_token_counts, "op4_quality": op4_quality, "op5_byte_bpe": op5_byte_bpe, "op6_lm_scoring": op6_lm_scoring, "op7_quality_rules": op7_quality_rules, "op8_exact_topk": op8_exact_topk, "op9_near_duplicates": op9_near_duplicates, "op10_language_id": op10_language_id, "op11_filter_audit": op11_filter_audit, "op12_main_text": op12_main_text, "op13_importance_resampling": op13_importance_resampling}
 ORACLE_SQL = {"op8_exact_topk": OP8_SQL, "op11_filter_audit": OP11_SQL}
