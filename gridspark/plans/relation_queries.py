@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from gridspark.functions.addressing import BOX
-from gridspark.operators import reads, relations, structures
+from gridspark.functions.formula_code import formula_column
+from gridspark.operators import reads, recalculation, relations, structures
 from gridspark.plans.register import Register, Tables
 
 REGISTER = query = Register()
@@ -114,6 +115,43 @@ def recalc_graph(t: Tables):
     return relations.recalculate_graph(edges, constants).where("cell not like 'l%'").select("cell", "value")
 
 
+@query("""WITH o AS (SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 1 AS r FROM orders),
+v AS (SELECT *, CASE WHEN r % 3 = 0 THEN 1000.0 ELSE o_totalprice END AS a FROM o), w AS (SELECT *, sum(a) OVER (PARTITION BY o_custkey ORDER BY r) AS b FROM v),
+x AS (SELECT *, CASE WHEN b > 500000 THEN 'high' END AS s, CASE WHEN b <= 500000 THEN a * 0.1 END AS n FROM w)
+SELECT CAST(o_custkey AS VARCHAR) AS wb_id, 'Orders' AS sheet, CAST(r AS BIGINT) AS row, CAST(2 AS BIGINT) AS col, round(b, 4) AS n, NULL AS s, 'value' AS state FROM x
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'Orders', r, 3, round(n, 4), s, 'value' FROM x
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'Sums', 1, 1, round(coalesce(sum(n), 0), 4), NULL, 'value' FROM x GROUP BY o_custkey
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'Sums', 2, 1, count(n), NULL, 'value' FROM x GROUP BY o_custkey
+UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'Sums', CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 4 END, 1, NULL, NULL, CASE WHEN o_custkey % 2 = 0 THEN 'circular' ELSE 'error' END FROM x GROUP BY o_custkey""")
+def recalc_formulas(t: Tables):
+    """A workbook a customer, a row an order: a running total, a test on it, sums of both from another sheet, a circle or a fault; every third price is another."""
+    row, wb = F.col("row"), F.col("o_custkey").cast("string").alias("wb_id")
+    orders = t.orders.select(wb, "o_totalprice", (F.row_number().over(W.Window.partitionBy("o_custkey").orderBy("o_orderkey")) + 1).cast("bigint").alias("row"))
+    text = lambda pattern: F.format_string(pattern.replace("{r}", "%1$d").replace("{p}", "%2$d"), row, row - 1)
+    entry = lambda col, n, formula: F.struct(F.lit(col).alias("col"), n.cast("double").alias("n"), formula.cast("string").alias("formula"))
+    blank = F.lit(None)
+    lines = F.array(entry(1, F.col("o_totalprice"), blank), entry(2, blank, F.when(row == 2, F.lit("=A2")).otherwise(text("=A{r}+B{p}"))), entry(3, blank, text('=IF(B{r}>500000,"high",A{r}*10%%)')))
+    cells = orders.select("wb_id", F.lit("Orders").alias("sheet"), "row", F.inline(lines))
+    sums = orders.groupBy("wb_id").agg(F.max("row").alias("row"))
+    last = F.when(F.col("wb_id").cast("bigint") % 2 == 0, F.struct(F.lit(3).cast("bigint").alias("row"), F.lit("=A3+1").alias("formula"))).otherwise(F.struct(F.lit(4).cast("bigint").alias("row"), F.lit("=A9+1").alias("formula")))
+    named = lambda r, formula: F.struct(F.lit(r).cast("bigint").alias("row"), formula.alias("formula"))
+    totals = sums.select("wb_id", F.lit("Sums").alias("sheet"), F.inline(F.array(named(1, text("=SUM(Orders!C2:C{r})")), named(2, text("=COUNT(Orders!C2:C{r})")), last))).select("wb_id", "sheet", "row", F.lit(1).alias("col"), blank.cast("double").alias("n"), "formula")
+    cells = cells.unionByName(totals).select("*", blank.cast("string").alias("s"), blank.cast("boolean").alias("b"))
+    changed = cells.where("sheet = 'Orders' and col = 1 and row % 3 = 0").select("wb_id", "sheet", "row", "col", F.lit(1000.0).alias("n"))
+    asked = sums.select("wb_id", blank.cast("string").alias("sheet"), blank.cast("bigint").alias("row"), blank.cast("int").alias("col"), blank.cast("double").alias("n"))
+    mutations = changed.unionByName(asked).select(F.lit("cheap").alias("scenario"), "*", blank.cast("string").alias("s"), blank.cast("boolean").alias("b"))
+    found = recalculation.recalculate(cells, mutations)
+    return found.select("wb_id", "sheet", "row", "col", F.round("n", 4).alias("n"), "s", "state")
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net, CASE WHEN l_quantity > 25 THEN round(l_extendedprice * (1 + l_tax), 4) ELSE 0 END AS gross FROM lineitem""")
+def recalc_column(t: Tables):
+    """Two relations' texts as Columns over all rows."""
+    named = lambda sheet, row, col: F.col(("l_extendedprice", "l_discount", "l_tax", "l_quantity")[col - 1])
+    net, gross = (formula_column(x, named) for x in ("=A2*(1-B2)", "=IF(D2>25,A2*(1+C2),0)"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(net, 4).alias("net"), F.round(gross, 4).alias("gross"))
+
+
 def described(t: Tables):
     """One table of three headers for each nation's customers: a parent over two children, with faults by key."""
     ends = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg((F.max("c_custkey") + 2).alias("last"))
