@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import io
+import itertools
 import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +22,8 @@ from gridspark.functions.formulas import REFERENCE, column_of, letters_of
 CELLS = "wb_id string, sheet string, row bigint, col int, kind string, s string, n double, b boolean, ts timestamp, formula string"
 MERGES = "wb_id string, sheet string, r1 bigint, c1 bigint, r2 bigint, c2 bigint"
 PROPERTIES = "wb_id string, sheet_names array<string>, author string, date_created string, date_modified string"
+#: Cells handed on at once.
+CHUNK = 20_000
 #: Columns of records as CSV. Fixed values.
 RECORD_COLUMNS = ["id", "retrieval_type", "retrieval_level", "workbook", "sheet", "table_id", "table_name", "retrieval_card"]
 #: Built-in number formats that show dates or times. Fixed values.
@@ -28,22 +33,42 @@ _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 class Workbook:
-    """One .xlsx file: its sheets in order, shared texts, styles and sheets' cells."""
+    """One .xlsx file: its sheets in order, shared texts, styles and sheets' cells. Sheets are read as streams, a row at a time."""
 
-    def __init__(self, content: bytes):
-        self.zip = zipfile.ZipFile(io.BytesIO(content))
+    def __init__(self, content: bytes | BinaryIO):
+        self.zip = zipfile.ZipFile(io.BytesIO(content) if isinstance(content, bytes) else content)
         self.names = set(self.zip.namelist())
         book = self._tree("xl/workbook.xml")
         target = {r.get("Id"): r.get("Target") for r in self._tree("xl/_rels/workbook.xml.rels")}
         place = lambda t: t.lstrip("/") if t.startswith("/") else posixpath.normpath(f"xl/{t}")
         self.sheets = [(s.get("name"), place(target[s.get(f"{_R}id")])) for s in book.iter(f"{_M}sheet")]
         self.epoch = datetime.datetime(1904, 1, 1) if any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_M}workbookPr")) else datetime.datetime(1899, 12, 30)
-        self.shared = ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in self._tree("xl/sharedStrings.xml").findall(f"{_M}si")] if "xl/sharedStrings.xml" in self.names else []
-        self.date_styles = self._date_styles() if "xl/styles.xml" in self.names else set()
+
+    @functools.cached_property
+    def shared(self) -> list[str]:
+        return ["".join(t.text or "" for t in si.iter(f"{_M}t")) for si in self._stream("xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in self.names else []
+
+    @functools.cached_property
+    def date_styles(self) -> set[int]:
+        return self._date_styles() if "xl/styles.xml" in self.names else set()
 
     def _tree(self, name: str):
         return ET.fromstring(self.zip.read(name))
 
+    def _stream(self, name: str, tag: str):
+        """The elements of a tag, one after the other; each is forgotten, and what else has passed with it, when the next one is asked for."""
+        with self.zip.open(name) as part:
+            above = []
+            for event, x in ET.iterparse(part, ("start", "end")):
+                if event == "start":
+                    above.append(x)
+                    continue
+                above.pop()
+                if x.tag == f"{_M}{tag}":
+                    yield x
+                if above and not any(a.tag == f"{_M}{tag}" for a in above):
+                    above[-1].remove(x)
+
     def _date_styles(self) -> set[int]:
         """Numbers of cell styles whose number format shows dates or times."""
         styles = self._tree("xl/styles.xml")
@@ -55,12 +80,12 @@ class Workbook:
     def _time(self, serial: float) -> datetime.datetime:
         return (self.epoch + datetime.timedelta(milliseconds=round(serial * 86_400_000))).replace(tzinfo=datetime.UTC)
 
-    def cells(self, data_only: bool):
-        """(sheet, row, col, kind, s, n, b, ts, formula) of each filled cell; formulas have their stored values beside them, data_only leaves only these."""
-        for name, path in self.sheets:
+    def cells(self, data_only: bool, sheet: int | None = None):
+        """(sheet, row, col, kind, s, n, b, ts, formula) of each filled cell, of one sheet if its place is given; formulas have their stored values beside them, data_only leaves only these."""
+        for name, path in self.sheets if sheet is None else self.sheets[sheet : sheet + 1]:
             filled: dict[str, tuple[str, int, int]] = {}
             row = 0
-            for line in self._tree(path).iter(f"{_M}row"):
+            for line in self._stream(path, "row"):
                 row, col = int(line.get("r") or row + 1), 0
                 for c in line.findall(f"{_M}c"):
                     place = re.fullmatch(r"([A-Z]+)(\d+)", c.get("r") or "")
@@ -97,7 +122,7 @@ class Workbook:
 
     def merges(self):
         for name, path in self.sheets:
-            for m in self._tree(path).iter(f"{_M}mergeCell"):
+            for m in self._stream(path, "mergeCell"):
                 box = re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", m.get("ref") or "")
                 if box:
                     yield name, int(box[2]), column_of(box[1]), int(box[4]), column_of(box[3])
@@ -133,8 +158,9 @@ def _each(files: DataFrame, rows, ddl: str) -> DataFrame:
     def run(frames):
         for frame in frames:
             for wb, content in zip(frame["wb_id"], frame["content"], strict=True):
-                out = pd.DataFrame(((wb, *row) for row in rows(Workbook(content))), columns=columns)
-                yield out.astype({"ts": "datetime64[us, UTC]"}) if "ts" in columns else out
+                for some in itertools.batched(((wb, *row) for row in rows(Workbook(content))), CHUNK):
+                    out = pd.DataFrame(some, columns=columns)
+                    yield out.astype({"ts": "datetime64[us, UTC]"}) if "ts" in columns else out
 
     return files.select("wb_id", "content").mapInPandas(run, ddl)
 
