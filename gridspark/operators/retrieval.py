@@ -13,10 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from gridspark.functions.lineage import cut
 from gridspark.functions.text import alias, compact, overlap, phrase_in, query_terms, rank_tokens, sheet_alias, similarity_ratio, strong_token, tidy, words, workbook_tokens
 
 K1, B = 1.2, 0.75
 LEXICAL_WEIGHT, EMBEDDING_WEIGHT = 0.3, 0.7
+#: Bands of a term's impacts in a unit; postings of a question's rarest terms that choose its first cards; how many of them for a place.
+BANDS, FIRST_HITS, FIRST_CARDS = 4, 2000, 5
 #: Words of a question that ask about a workbook itself. Fixed values.
 METADATA_TERMS = (
     "workbook", "file", "metadata", "structure", "cấu trúc", "vai trò", "ghi chú", "description", "table nào", "sheet nào",
@@ -54,22 +57,82 @@ def mentions(queries: DataFrame, names: DataFrame, text: str, name: str, by: lis
     return q.join(x, [*by, "_gram"]).where(F.contains(F.col(text), F.col(name))).drop("_gram")
 
 
-def bm25(queries: DataFrame, cards: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, card_id, bm25 of cards that share a term with a question, within scopes (a column of both).
+def _wanted(queries: DataFrame) -> DataFrame:
+    """scope, query_id, token, times: how often a question has a term."""
+    return queries.select("scope", "query_id", F.explode(rank_tokens(F.col("text"))).alias("token")).groupBy("scope", "query_id", "token").agg(F.count("*").alias("times"))
 
-    Number of cards, average length and document frequencies are of a scope. A term that a question repeats counts each time.
-    """
+
+def _impacts(wanted: DataFrame, cards: DataFrame, k1: float, b: float) -> DataFrame:
+    """scope, token, card_id, part: what each card that has a wanted term gets for it."""
     tokens = cards.select("scope", "card_id", rank_tokens(F.col("card")).alias("t")).withColumn("len", F.size("t"))
     scope = tokens.groupBy("scope").agg(F.count("*").alias("cards"), F.greatest(F.avg("len"), F.lit(1.0)).alias("avgdl"))
-    wanted = queries.select("scope", "query_id", F.explode(rank_tokens(F.col("text"))).alias("token")).groupBy("scope", "query_id", "token").agg(F.count("*").alias("times"))
     terms = wanted.select("scope", "token").distinct()
     postings = tokens.select("scope", "card_id", "len", F.explode("t").alias("token")).join(terms, ["scope", "token"], "left_semi").groupBy("scope", "token", "card_id", "len").agg(F.count("*").alias("tf"))
     df = postings.groupBy("scope", "token").agg(F.count("*").alias("df"))
     weighted = postings.join(df, ["scope", "token"]).join(scope, "scope")
     idf = F.log(1 + (F.col("cards") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = weighted.select("scope", "token", "card_id", part.alias("part"))
-    return wanted.join(scored, ["scope", "token"]).groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
+    return weighted.select("scope", "token", "card_id", part.alias("part"))
+
+
+def bm25(queries: DataFrame, cards: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, card_id, bm25 of cards that share a term with a question, within scopes (a column of both).
+
+    Number of cards, average length and document frequencies are of a scope. A term that a question repeats counts each time.
+    """
+    wanted = _wanted(queries)
+    return wanted.join(_impacts(wanted, cards, k1, b), ["scope", "token"]).groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
+
+
+def _likely(wanted: DataFrame, impacts: DataFrame, top_k: int) -> DataFrame:
+    """scope, query_id, card_id of all cards that can be among a question's top_k, from postings in bands of impact.
+
+    A question's floor is a score that top_k cards reach for sure: the k-th best of some first cards, those with the best sums
+    over its rarest terms as far as they have FIRST_HITS postings, or the k-th best impact of one term. Terms whose largest impacts together stay below the floor bring no
+    card by themselves; of another term's postings only the bands count that reach the floor with all that other terms can add.
+    """
+    bands = impacts.groupBy("scope", "token", "band").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
+    from_top = W.Window.partitionBy("scope", "token").orderBy(F.desc("band"))
+    bands = bands.withColumn("reached", F.sum("n").over(from_top))
+    terms = bands.groupBy("scope", "token").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.max("band").alias("top"), F.max(F.when(F.col("reached") >= top_k, F.col("least"))).alias("kth"))
+    asked = wanted.join(terms, ["scope", "token"]).withColumn("bound", F.col("times") * F.col("most"))
+    by_rarity, by_bound = (W.Window.partitionBy("query_id").orderBy(c, "token").rowsBetween(W.Window.unboundedPreceding, 0) for c in ("df", "bound"))
+    asked = cut(asked.withColumn("hits", F.sum("df").over(by_rarity)).withColumn("below", F.sum("bound").over(by_bound)))
+    summed = asked.where(F.col("hits") <= FIRST_HITS).select("scope", "query_id", "token", "times").join(impacts, ["scope", "token"]).groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("sum"))
+    place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("sum")))
+    first = summed.withColumn("place", place).where(F.col("place") <= FIRST_CARDS * top_k).select("query_id", "card_id").join(asked.select("scope", "query_id").distinct(), "query_id")
+    whole = _sums(first, impacts, wanted).withColumn("place", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("bm25"))))
+    kth = whole.where(F.col("place") == top_k).select("query_id", F.col("bm25").alias("sum"))
+    floors = asked.groupBy("query_id").agg(F.max(F.col("times") * F.col("kth")).alias("one"), F.sum("bound").alias("all")).join(kth, "query_id", "left")
+    # a little below, for sums in another order and ranks by rounded scores
+    floors = floors.select("query_id", "all", (F.greatest(F.coalesce("one", F.lit(0.0)), F.coalesce("sum", F.lit(0.0))) * (1 - 1e-7)).alias("floor"))
+    judged = asked.join(floors, "query_id")
+    idle = judged.where(F.col("below") < F.col("floor")).groupBy("query_id").agg(F.max("below").alias("idle"))
+    bearing = judged.where(F.col("below") >= F.col("floor")).withColumn("need", (F.col("floor") - F.col("all") + F.col("bound")) / F.col("times"))
+    lowest = F.greatest(F.floor(F.col("need") * BANDS), F.lit(0)).cast("int")
+    reaching = bearing.where(lowest <= F.col("top")).select("scope", "query_id", "token", "times", "need", F.explode(F.sequence(lowest, F.col("top"))).alias("band"))
+    met = reaching.join(impacts, ["scope", "token", "band"]).where(F.col("part") >= F.col("need")).groupBy("scope", "query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("sum"))
+    # a card with a posting in a band that was passed over can't reach the floor; others' sums are whole but for the idle terms
+    met = met.join(floors.select("query_id", "floor"), "query_id").join(idle, "query_id", "left")
+    return met.where(F.col("sum") + F.coalesce("idle", F.lit(0.0)) >= F.col("floor")).select("scope", "query_id", "card_id")
+
+
+def _sums(pairs: DataFrame, impacts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query_id, card_id, bm25 of given pairs (scope, query_id, card_id), from all terms that both have."""
+    found = pairs.join(impacts, ["scope", "card_id"]).join(wanted, ["scope", "query_id", "token"])
+    return found.groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("bm25"))
+
+
+def top_bm25(queries: DataFrame, cards: DataFrame, top_k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """query_id, card_id, bm25 of each question's top_k cards and of others that came near: the highest are all there, and exact.
+
+    Only cards that can be among the top_k are scored (_likely()); their number grows with top_k and with how alike cards are,
+    not with the length of frequent terms' postings.
+    """
+    wanted = cut(_wanted(queries))
+    impacts = cut(_impacts(wanted, cards, k1, b).withColumn("band", F.floor(F.col("part") * BANDS).cast("int")))
+    likely = _likely(wanted, impacts, top_k)
+    return _sums(likely, impacts, wanted)
 
 
 def dot(a: Column, b: Column) -> Column:
