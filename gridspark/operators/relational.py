@@ -6,7 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
+from gridspark.functions.lineage import cut
+
+#: Rows of a group from which its median is found in rounds; pieces that a round cuts a group's values into.
+MEDIAN_ROWS, PIECES = 10_000_000, 64
 HOW = {"inner": "inner", "left": "left", "right": "right", "outer": "full", "left_anti": "left_anti", "left_semi": "left_semi", "cross": "cross"}
 
 
@@ -95,10 +100,64 @@ def aggregate(column: str, how: str, order: Column | None = None) -> Column:
     return known[how]()
 
 
-def groupby_table(df: DataFrame, by, aggregations: dict, dropna: bool = False, sort: bool = True, order: Column | None = None) -> DataFrame:
-    """Group-by with a column -> aggregate map, or column -> list of aggregates, whose results are named column_aggregate."""
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left with right's other columns, joined by keys; null keys match."""
+    r = right.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    return left.join(r, reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)), how).drop(*(f"_k_{k}" for k in keys))
+
+
+def exact_medians(df: DataFrame, keys: list[str], column: str, most_rows: int = MEDIAN_ROWS) -> DataFrame:
+    """keys and the column's exact median of each group; blank without values.
+
+    Groups of more than most_rows values aren't gathered: quantiles of a sketch cut a group's values into pieces, pieces are
+    counted, and the next round looks at the piece that holds the middle. A round sees a small part of the rows of the one before;
+    values that are quantiles themselves are pieces of their own, so that a value of many rows ends the search.
+    """
+    rows = df.select(*keys, F.col(column).cast("double").alias("_v"))
+    sizes = rows.groupBy(*keys).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    large = sizes.where(F.col("_n") > most_rows)
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(F.median("_v").alias(column))
+    opened = cut(large.withColumn("_below", F.lit(0).cast("bigint")))
+    found = [_beside(rows, opened.select(*keys), keys, "left_anti").groupBy(*keys).agg(F.median("_v").alias(column))]
+    hot = _beside(rows.where("_v is not null"), opened.select(*keys), keys, "left_semi")
+    shares = F.array(*(F.lit(i / PIECES) for i in range(1, PIECES)))
+    while not opened.isEmpty():
+        inside = _beside(hot, opened.select(*keys, "_lo", "_hi"), keys).where(F.col("_v").between(F.col("_lo"), F.col("_hi"))).select(*keys, "_v")
+        edges = cut(inside.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_v", shares, 20 * PIECES)).alias("_edges")))
+        piece = 2 * F.size(F.filter("_edges", lambda e: e < F.col("_v"))) + F.array_contains("_edges", F.col("_v")).cast("int")
+        counted = _beside(inside, edges, keys).groupBy(*keys, piece.alias("_piece")).agg(F.count("*").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        along = W.Window.partitionBy(*keys).orderBy("_piece").rowsBetween(W.Window.unboundedPreceding, 0)
+        counted = _beside(counted.withColumn("_upto", F.sum("_c").over(along)), opened.select(*keys, "_n", "_below"), keys)
+        start, end = F.col("_below") + F.col("_upto") - F.col("_c"), F.col("_below") + F.col("_upto")
+        holds = lambda k: (start <= k) & (k < end)
+        low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+        middle = counted.groupBy(*keys).agg(
+            F.first("_n").alias("_n"), *(F.max(F.when(holds(low), c)).alias(name) for c, name in ((F.col("_piece"), "_p"), (F.col("_min"), "_lo"), (F.col("_max"), "_hi"), (start, "_below"))),
+            *(F.max(F.when(holds(high), c)).alias(name) for c, name in ((F.col("_piece"), "_q"), (F.col("_min"), "_above"))),
+        )
+        middle = cut(middle)
+        # the middle lies between two pieces, or in one of equal values
+        settled = (F.col("_p") != F.col("_q")) | (F.col("_lo") == F.col("_hi"))
+        found.append(middle.where(settled).select(*keys, F.when(F.col("_p") != F.col("_q"), (F.col("_hi") + F.col("_above")) / 2).otherwise(F.col("_lo")).alias(column)))
+        opened = middle.where(~settled).select(*keys, "_n", "_lo", "_hi", "_below")
+    return reduce(DataFrame.unionByName, found)
+
+
+def groupby_table(df: DataFrame, by, aggregations: dict, dropna: bool = False, sort: bool = True, order: Column | None = None, most_median_rows: int = MEDIAN_ROWS) -> DataFrame:
+    """Group-by with a column -> aggregate map, or column -> list of aggregates, whose results are named column_aggregate.
+
+    Medians of groups of more than most_median_rows rows come from exact_medians().
+    """
     keys = [by] if isinstance(by, str) else list(by)
     rows = df.na.drop(subset=keys) if dropna else df
-    columns = [aggregate(c, h, order).alias(c if isinstance(how, str) else f"{c}_{h}") for c, how in aggregations.items() for h in ([how] if isinstance(how, str) else how)]
-    grouped = rows.groupBy(*keys).agg(*columns)
+    named = [(c, h, c if isinstance(how, str) else f"{c}_{h}") for c, how in aggregations.items() for h in ([how] if isinstance(how, str) else how)]
+    apart = [(c, name) for c, h, name in named if h == "median"]
+    if apart and rows.groupBy(*keys).count().where(F.col("count") > most_median_rows).isEmpty():
+        apart = []
+    names = {name for _, name in apart}
+    grouped = rows.groupBy(*keys).agg(*(aggregate(c, h, order).alias(name) for c, h, name in named if name not in names), *([F.count(F.lit(1)).alias("_rows")] if len(names) == len(named) else []))
+    for c, name in apart:
+        grouped = _beside(grouped, exact_medians(rows, keys, c, most_median_rows).withColumnRenamed(c, name), keys, "left")
+    grouped = grouped.select(*keys, *(name for _, _, name in named))
     return grouped.orderBy(*keys) if sort else grouped

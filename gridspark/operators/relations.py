@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from gridspark.functions.addressing import cell_a1, column_letters
 from gridspark.functions.formulas import normal_form, pattern, pieces, shifted, spacing
 from gridspark.functions.lineage import cut
-from gridspark.operators.reads import bands
+from gridspark.operators.reads import BAND, bands
 
 #: Error tokens and what they say. Fixed values.
 ERRORS = {
@@ -61,16 +61,23 @@ def description(category: Column, shape: Column, text: Column, agg_function: Col
 def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells (keys, row, col) as segments: runs of two rows or more in a column first, of what is left runs in a row, else single cells.
 
-    Returns keys, r1, c1, r2, c2 and shape (rows, columns, single).
+    Returns keys, r1, c1, r2, c2 and shape (rows, columns, single). Runs are found within bands of rows and joined over their
+    borders, so that a window holds a band, or two islands of each of a sheet's 1,024 bands, and never a column.
     """
-    down = W.Window.partitionBy(*keys, "col").orderBy("row")
-    tall = cells.select(*keys, "row", "col").distinct().withColumn("island", F.col("row") - F.row_number().over(down))
-    size = F.count("*").over(W.Window.partitionBy(*keys, "col", "island"))
-    tall = tall.withColumn("size", size)
+    band = F.floor(F.col("row") / BAND)
+    inside = W.Window.partitionBy(*keys, "col", "band").orderBy("row")
+    here = cells.select(*keys, "row", "col").distinct().withColumn("band", band).withColumn("island", F.col("row") - F.row_number().over(inside))
+    here = here.groupBy(*keys, "col", "band", "island").agg(F.min("row").alias("r1"), F.max("row").alias("r2"))
+    # islands at a band's border are joined over borders, two of a band at most; others are whole
+    border = (F.col("r1") == F.col("band") * BAND) | (F.col("r2") == (F.col("band") + 1) * BAND - 1)
+    here = here.withColumn("part", F.when(border, -1).otherwise(F.col("band")))
+    along = W.Window.partitionBy(*keys, "col", "part").orderBy("r1")
+    here = here.withColumn("fresh", F.when(F.lag("r2").over(along) == F.col("r1") - 1, 0).otherwise(1)).withColumn("run", F.sum("fresh").over(along))
+    tall = here.groupBy(*keys, "col", "part", "run").agg(F.min("r1").alias("r1"), F.max("r2").alias("r2"))
     box = [f(x).alias(y) for f, x, y in ((F.min, "row", "r1"), (F.min, "col", "c1"), (F.max, "row", "r2"), (F.max, "col", "c2"))]
-    vertical = tall.where("size > 1").groupBy(*keys, "col", "island").agg(*box).select(*keys, "r1", "c1", "r2", "c2", F.lit("rows").alias("shape"))
+    vertical = tall.where("r2 > r1").select(*keys, "r1", F.col("col").alias("c1"), "r2", F.col("col").alias("c2"), F.lit("rows").alias("shape"))
     across = W.Window.partitionBy(*keys, "row").orderBy("col")
-    rest = tall.where("size = 1").drop("island", "size").withColumn("island", F.col("col") - F.row_number().over(across))
+    rest = tall.where("r2 = r1").select(*keys, F.col("r1").alias("row"), "col").withColumn("island", F.col("col") - F.row_number().over(across))
     flat = rest.groupBy(*keys, "row", "island").agg(*box, F.count("*").alias("n"))
     horizontal = flat.select(*keys, "r1", "c1", "r2", "c2", F.when(F.col("n") > 1, "columns").otherwise("single").alias("shape"))
     return vertical.unionByName(horizontal)

@@ -5,7 +5,7 @@ candidates: query_id, card_id, workbook, sheet, table_id, retrieval_type, retrie
 
 from __future__ import annotations
 
-import re
+import functools
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,26 +136,47 @@ def earlier_sources(reports: DataFrame, asked: DataFrame) -> DataFrame:
     return j.where("x is not null").select("sample_id", "x.source", "x.table_id")
 
 
+def _equal(left: DataFrame, right: DataFrame, on: dict[str, str], how: str, *more: str) -> DataFrame:
+    """left with more columns of right, joined where columns are equal or both null."""
+    r = right.select(*(F.col(c).alias(f"_r_{c}") for c in on.values()), *more)
+    return left.join(r, functools.reduce(lambda x, y: x & y, (F.col(a).eqNullSafe(F.col(f"_r_{b}")) for a, b in on.items())), how).drop(*(f"_r_{c}" for c in on.values()))
+
+
 def unique_ids(names: DataFrame, keys: list[str], name: str, order: str, stem: str = "sheet") -> DataFrame:
     """names with id: lower-case letters and digits joined by _, `stem` for none, `stem_` before a digit; of equal ones the later get _2, _3 and so on.
 
-    An id that another name already has as its own is passed over. Names of one key (keys: one workbook) are put in order together.
+    An id that another name already has as its own is passed over. Equal names are numbered by their place. Only where a name
+    looks like another one's numbered id (`x_2` beside `x`) does the one's number depend on the other; such families of names,
+    and no others, are gone through one by one.
     """
-    schema = names.withColumn("id", F.lit("")).schema
+    bare = F.lower(F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "[^0-9A-Za-z]+", "_"), "^_+|_+$", ""))
+    bare = F.when(bare == "", F.lit(stem)).when(bare.rlike("^[0-9]"), F.concat(F.lit(f"{stem}_"), bare)).otherwise(bare)
+    based = names.withColumn("_base", bare)
+    bases = based.select(*keys, "_base").distinct()
+    # the shortest name that a numbered one may come from; x_2_3 may be of x_2 and of x
+    endings = F.transform(F.regexp_extract_all("_base", F.lit("(?=(_[0-9]+(?:_[0-9]+)*$))"), F.lit(1)), lambda e: F.col("_base").substr(F.lit(1), F.length("_base") - F.length(e)))
+    found = _equal(bases.withColumn("_of", F.explode(endings)), bases, {**{k: k for k in keys}, "_of": "_base"}, "inner").groupBy(*keys, "_base").agg(F.min_by("_of", F.length("_of")).alias("_root"))
+    families = found.unionByName(found.select(*keys, F.col("_root").alias("_base"), "_root").distinct())
+    based = _equal(based, families, {k: k for k in (*keys, "_base")}, "left", "_root")
+    place = F.row_number().over(W.Window.partitionBy(*keys, "_base").orderBy(order))
+    alone = based.where("_root is null").withColumn("_place", place).withColumn("id", F.when(F.col("_place") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_place").cast("string"))))
+
+    columns = [*names.columns, "id"]
 
     def run(frame):
-        frame, used, ids = frame.sort_values(order, kind="stable"), set(), []
-        for value in frame[name]:
-            base = re.sub(r"[^0-9A-Za-z]+", "_", value or "").strip("_").lower() or stem
-            base = f"{stem}_{base}" if base[0].isdigit() else base
-            made, n = base, 2
+        frame, used, counts, ids = frame.sort_values(order, kind="stable"), set(), {}, []
+        for base in frame["_base"]:
+            made, n = base, counts.get(base, 2)
             while made in used:
                 made, n = f"{base}_{n}", n + 1
+            counts[base] = n
             used.add(made)
             ids.append(made)
-        return frame.assign(id=ids)
+        return frame.assign(id=ids)[columns]
 
-    return names.groupBy(*keys).applyInPandas(run, schema)
+    schema = names.withColumn("id", F.lit("")).schema
+    related = based.where("_root is not null").groupBy(*keys, "_root").applyInPandas(run, schema)
+    return alone.select(columns).unionByName(related)
 
 
 def workbook_schemas(sheets: DataFrame, tables: DataFrame) -> DataFrame:
