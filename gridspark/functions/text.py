@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import difflib
+import functools
+import json
 import unicodedata
 
 import pandas as pd
@@ -22,8 +24,17 @@ QUERY_STOP_WORDS = (
     "a an and are as by for from in is of on or sheet table the to what which with "
     "bảng bao các câu cho của gì hãy hỏi không là nào nêu những nhiêu trong và với"
 ).split()
-#: Letters with a mark above or below, and their bare letters, by Unicode's decompositions.
-_MARKED = {c: unicodedata.normalize("NFKD", c)[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(unicodedata.normalize("NFKD", c)) > 1 and unicodedata.combining(unicodedata.normalize("NFKD", c)[1])} | {"Đ": "D", "đ": "d"}
+
+
+@functools.cache
+def _bare_forms() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility decomposition without marks is another character or nothing, and those where it is several; syllables of Hangul are left to a rule."""
+    one, several = {"Đ": "D", "đ": "d"}, {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x30000))):
+        if unicodedata.decomposition(c) or unicodedata.combining(c):
+            bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+            (one if len(bare) < 2 else several)[c] = bare
+    return one, several
 
 
 def words(text: Column) -> Column:
@@ -53,8 +64,20 @@ def query_terms(question: Column) -> Column:
 
 
 def unaccented(text: Column) -> Column:
-    """Letters of Latin scripts without their marks."""
-    return F.translate(text, "".join(_MARKED), "".join(_MARKED.values()))
+    """Text in compatibility decomposition without marks: letters of any script bare, full-width and circled ones plain, ligatures and syllables in letters.
+
+    One table of single characters does for most texts; only those with others go character by character.
+    """
+    one, several = _bare_forms()
+    plain = sorted(one, key=lambda c: one[c] == "")  # what is left out stands last
+    code = lambda c: F.ascii(c) - 0xAC00
+    letter = lambda first, number: F.element_at(F.array(*(F.lit(chr(first + i)) for i in range(28))), (number + 1).cast("int"))
+    syllable = lambda c: F.concat(letter(0x1100, F.floor(code(c) / 588)), letter(0x1161, F.floor(code(c) % 588 / 28)), F.when(code(c) % 28 == 0, "").otherwise(letter(0x11A7, code(c) % 28)))
+    known = F.from_json(F.lit(json.dumps(several)), "map<string,string>")
+    spelled = lambda c: F.when(c.between("\uac00", "\ud7a3"), syllable(c)).otherwise(F.coalesce(F.try_element_at(known, c), c))
+    rare = f"[\uac00-\ud7a3{''.join(several)}]"
+    simple = F.translate(text, "".join(plain), "".join(one[c] for c in plain))
+    return F.when(simple.rlike(rare), F.array_join(F.transform(F.regexp_extract_all(simple, F.lit("(?s)."), F.lit(0)), spelled), "")).otherwise(simple)
 
 
 def normal(text: Column, case_sensitive: bool = False, ignore_accents: bool = False) -> Column:
