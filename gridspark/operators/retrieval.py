@@ -18,8 +18,8 @@ from gridspark.functions.text import alias, compact, overlap, phrase_in, query_t
 
 K1, B = 1.2, 0.75
 LEXICAL_WEIGHT, EMBEDDING_WEIGHT = 0.3, 0.7
-#: Bands of a term's impacts in a unit; postings of a question's rarest terms that choose its first cards; how many of them for a place.
-BANDS, FIRST_HITS, FIRST_CARDS = 4, 2000, 5
+#: Bands of a term's impacts in a unit; postings of a question's rarest terms that set its floor.
+BANDS, FIRST_HITS = 4, 5000
 #: Words of a question that ask about a workbook itself. Fixed values.
 METADATA_TERMS = (
     "workbook", "file", "metadata", "structure", "cấu trúc", "vai trò", "ghi chú", "description", "table nào", "sheet nào",
@@ -87,8 +87,8 @@ def bm25(queries: DataFrame, cards: DataFrame, k1: float = K1, b: float = B) ->
 def _likely(wanted: DataFrame, impacts: DataFrame, top_k: int) -> DataFrame:
     """scope, query_id, card_id of all cards that can be among a question's top_k, from postings in bands of impact.
 
-    A question's floor is a score that top_k cards reach for sure: the k-th best of some first cards, those with the best sums
-    over its rarest terms as far as they have FIRST_HITS postings, or the k-th best impact of one term. Terms whose largest impacts together stay below the floor bring no
+    A question's floor is a score that top_k cards reach for sure: the k-th best sum over its rarest terms, as far as
+    they have FIRST_HITS postings, or the k-th best impact of one term. Terms whose largest impacts together stay below the floor bring no
     card by themselves; of another term's postings only the bands count that reach the floor with all that other terms can add.
     """
     bands = impacts.groupBy("scope", "token", "band").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
@@ -100,9 +100,7 @@ def _likely(wanted: DataFrame, impacts: DataFrame, top_k: int) -> DataFrame:
     asked = cut(asked.withColumn("hits", F.sum("df").over(by_rarity)).withColumn("below", F.sum("bound").over(by_bound)))
     summed = asked.where(F.col("hits") <= FIRST_HITS).select("scope", "query_id", "token", "times").join(impacts, ["scope", "token"]).groupBy("query_id", "card_id").agg(F.sum(F.col("times") * F.col("part")).alias("sum"))
     place = F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("sum")))
-    first = summed.withColumn("place", place).where(F.col("place") <= FIRST_CARDS * top_k).select("query_id", "card_id").join(asked.select("scope", "query_id").distinct(), "query_id")
-    whole = _sums(first, impacts, wanted).withColumn("place", F.row_number().over(W.Window.partitionBy("query_id").orderBy(F.desc("bm25"))))
-    kth = whole.where(F.col("place") == top_k).select("query_id", F.col("bm25").alias("sum"))
+    kth = summed.withColumn("place", place).where(F.col("place") == top_k).select("query_id", "sum")
     floors = asked.groupBy("query_id").agg(F.max(F.col("times") * F.col("kth")).alias("one"), F.sum("bound").alias("all")).join(kth, "query_id", "left")
     # a little below, for sums in another order and ranks by rounded scores
     floors = floors.select("query_id", "all", (F.greatest(F.coalesce("one", F.lit(0.0)), F.coalesce("sum", F.lit(0.0))) * (1 - 1e-7)).alias("floor"))
