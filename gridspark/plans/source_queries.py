@@ -72,3 +72,12 @@ SELECT ord, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN name || ' (' ||
 def workbook_normalise(t: Tables):
     files = t.documents.select(F.col("doc_id").alias("ord"), F.col("source").alias("name"), F.md5(F.col("text").cast("binary")).alias("content_hash"))
     return workbooks.normalise(files).select("ord", "name")
+
+
+@query("""WITH r AS (SELECT c_custkey // 10 AS doc_id, CAST(row_number() OVER (PARTITION BY c_custkey // 10 ORDER BY c_custkey) AS INTEGER) AS ord, c_name, c_mktsegment FROM customer)
+SELECT doc_id, ord, CAST(1 AS INTEGER) AS row, CAST(1 AS INTEGER) AS col, c_name AS s FROM r UNION ALL SELECT doc_id, ord, 1, 2, c_mktsegment FROM r""")
+def payload_cells(t: Tables):
+    """Payloads of ten customers' tables, of one row each."""
+    one = F.struct("c_custkey", F.col("c_name").alias("title"), F.array(F.array("c_name", "c_mktsegment")).alias("texts"))
+    docs = t.customer.groupBy(F.floor(F.col("c_custkey") / 10).alias("doc_id")).agg(F.to_json(F.struct(F.sort_array(F.collect_list(one)).alias("tables"))).alias("text"))
+    return tables.payload_cells(docs).select("doc_id", "ord", "row", "col", "s")

@@ -37,12 +37,15 @@ class _FirstTable(HTMLParser):
     def __init__(self):
         super().__init__()
         self.cells, self.taken, self.row, self.col, self.open, self.depth, self.done = [], set(), 0, 1, None, 0, False
+        self.caption, self.in_caption = None, False
 
     def handle_starttag(self, tag, attrs):
         if self.done:
             return
         if tag == "table":
             self.depth += 1
+        elif self.depth == 1 and tag == "caption":
+            self.in_caption, self.caption = self.caption is None, self.caption or ""
         elif self.depth == 1 and tag == "tr":
             self.row, self.col = self.row + 1, 1
         elif self.depth == 1 and tag in ("td", "th"):
@@ -59,6 +62,8 @@ class _FirstTable(HTMLParser):
         if tag == "table" and self.depth:
             self.depth -= 1
             self.done = self.depth == 0
+        elif tag == "caption":
+            self.in_caption = False
         elif tag in ("td", "th") and self.open and self.depth == 1:
             self.open[2] = " ".join(self.open[2].split())
             self.cells.append(tuple(self.open))
@@ -66,10 +71,19 @@ class _FirstTable(HTMLParser):
             self.open = None
 
     def handle_data(self, data):
-        if self.open and not self.done:
+        if self.in_caption and not self.done:
+            self.caption += data
+        elif self.open and not self.done:
             self.open[2] += data
 
 
+def html_caption(text: str) -> str:
+    """The first table's caption, or an empty text."""
+    parser = _FirstTable()
+    parser.feed(text)
+    return " ".join((parser.caption or "").split())
+
+
 def html_rows(text: str):
     parser = _FirstTable()
     parser.feed(text)
@@ -149,6 +163,42 @@ def parsed_cells(docs: DataFrame, parse: Callable[[str], list], id_col: str = "d
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, CELLS)
 
 
+def captions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, title of HTML texts whose first table has a caption: what stacked() sets above a table."""
+
+    def run(frames):
+        for frame in frames:
+            found = [(i, html_caption(text)) for i, text in zip(frame["doc_id"], frame["text"], strict=True) if text]
+            yield pd.DataFrame([x for x in found if x[1]], columns=["doc_id", "title"])
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id bigint, title string")
+
+
+def payload_tables(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ord (from 1), title, text of each table of JSON payloads: an object with a list `tables`, or a list of objects.
+
+    A table without a title is called by its place. Other texts, and null, have no tables.
+    """
+    tidy = F.trim(text_col)
+    of_object = F.from_json(tidy, "struct<tables:array<string>>")["tables"]
+    listed = F.when(tidy.rlike(r"^\[\s*\{"), F.from_json(tidy, "array<string>")).otherwise(of_object)
+    each = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(listed).alias("i", "text")).where("text is not null")
+    place = (F.col("i") + 1).cast("int")
+    title = F.get_json_object("text", "$.title")
+    return each.select("doc_id", place.alias("ord"), F.when(title != "", title).otherwise(F.concat(F.lit("Table "), place.cast("string"))).alias("title"), "text")
+
+
+def payload_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Cells of each table of JSON payloads: doc_id, ord, row, col, s, rows, cols; stacked() puts them below each other."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(i, k, *cell) for i, k, text in zip(frame["doc_id"], frame["ord"], frame["text"], strict=True) for cell in json_rows(text)]
+            yield pd.DataFrame(rows, columns=["doc_id", "ord", "row", "col", "s", "rows", "cols"])
+
+    return payload_tables(docs, id_col, text_col).select("doc_id", "ord", "text").mapInPandas(run, CELLS.replace("bigint,", "bigint, ord int,", 1))
+
+
 def any_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Cells of texts of all formats."""
     kind = docs.withColumn("_format", source_format(F.col(text_col)))
