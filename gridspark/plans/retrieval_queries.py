@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from gridspark.functions import text as T
-from gridspark.operators import aggregates, retrieval
+from gridspark.operators import aggregates, nearest, retrieval
 from gridspark.plans.register import Register, Tables
 
 REGISTER = query = Register()
@@ -84,6 +84,15 @@ def cosine_similarity(t: Tables):
     return a.join(b, "label").where("query_id < vec_id").select("query_id", "vec_id", F.round(retrieval.dot(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+@query("""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS INTEGER) AS rank FROM s) SELECT query_id, vec_id, rank, round(similarity, 6) AS similarity FROM r WHERE rank <= 10""")
+def nearest_vectors(t: Tables):
+    """The ten nearest vectors of the same label for every hundredth one, without meeting blocks that are too far away."""
+    rows = t.embeddings.select(F.col("label").alias("scope"), "vec_id", "embedding")
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return nearest.nearest(asked, rows, 10, same=True).select("query_id", "vec_id", "rank", F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"""WITH w AS (SELECT item_id, unnest({WORDS.format('text')}) AS w FROM benchmark), c AS (SELECT item_id, CAST('0x' || substr(md5(w), 31, 2) AS INTEGER) & 127 AS slot, count(*) AS n FROM w GROUP BY 1, 2)
 SELECT item_id, CAST(slot AS INTEGER) AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY item_id)), 5) AS value FROM c""")
 def hash_embedding(t: Tables):
