@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from gridspark.functions.text import clipped
+
 #: Functions of SUBTOTAL by code modulo 100. Fixed values.
 SUBTOTAL = {1: "average", 2: "count", 3: "counta", 4: "max", 5: "min", 9: "sum"}
 
@@ -64,6 +66,24 @@ def best_attempts(attempts: DataFrame, key: str, most: int = 5) -> DataFrame:
     return attempts.withColumn("place", best).where(F.col("place") <= most).withColumn("shown", shown).drop("place")
 
 
+def attempts_text(attempts: DataFrame, key: str, most: int = 5, code_chars: int = 1200, observation_chars: int = 1200, keys: DataFrame | None = None) -> DataFrame:
+    """key and text: its best attempts (best_attempts()) as marked-up blocks, oldest first; long codes, reasons and observations are cut.
+
+    attempts: key, round, subtask_id, description, reasoning, code, observation, score; null texts are empty. keys, if given, lists
+    keys that get a row without any attempt as well. The marks are fixed values.
+    """
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    block = F.concat(
+        F.lit('<attempt round="'), of("round"), F.lit('" subtask="'), of("subtask_id"), F.lit('">\n  <description>'), of("description"), F.lit("</description>\n  <reasoning>"), clipped(of("reasoning"), observation_chars),
+        F.lit("</reasoning>\n  <code>\n"), clipped(of("code"), code_chars), F.lit("\n  </code>\n  <observation>\n"), clipped(of("observation"), observation_chars), F.lit("\n  </observation>\n</attempt>"),
+    )
+    best = best_attempts(attempts, key, most).select(key, F.struct("shown", block.alias("text")).alias("x"))
+    texts = best.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list("x"))["text"], "\n\n").alias("text"))
+    if keys is None:
+        return texts
+    return keys.select(key).distinct().join(texts, key, "left").select(key, F.coalesce("text", F.lit("No previous experience.")).alias("text"))
+
+
 def completeness(selected: DataFrame, results: DataFrame) -> DataFrame:
     """Every selected sheet with its result's status; missing ones are not_good."""
     return selected.join(results, ["wb_id", "sheet"], "left").select("wb_id", "sheet", F.coalesce("status", F.lit("not_good")).alias("status"))

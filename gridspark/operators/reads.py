@@ -152,15 +152,15 @@ def sheet_frame(cells: DataFrame, sheets: DataFrame, min_row: int = 1, max_row:
 
 
 def grow_to_merges(areas: DataFrame, merges: DataFrame, most_rounds: int | None = None) -> DataFrame:
-    """Areas (wb_id, sheet, r1, c1, r2, c2, one per sheet) grown to every merge that they touch, until none sticks out.
+    """Areas (wb_id, sheet, r1, c1, r2, c2, one per sheet) grown to every merge that they touch, until none sticks out; both meet by bands of rows.
 
     A round that changes something takes in at least one more merge, so that this ends; more than most_rounds raise, if given.
     """
-    m = merges.select("wb_id", "sheet", *(F.col(x).alias(f"m_{x}") for x in ("r1", "c1", "r2", "c2")))
+    m = bands(merges.select("wb_id", "sheet", *(F.col(x).alias(f"m_{x}") for x in ("r1", "c1", "r2", "c2"))), "m_r1", "m_r2")
     rounds = 0
     while True:
         touch = (F.col("r1") <= F.col("m_r2")) & (F.col("m_r1") <= F.col("r2")) & (F.col("c1") <= F.col("m_c2")) & (F.col("m_c1") <= F.col("c2"))
-        grown = areas.join(m, ["wb_id", "sheet"], "left").groupBy("wb_id", "sheet", "r1", "c1", "r2", "c2").agg(
+        grown = bands(areas).join(m, ["wb_id", "sheet", "band"], "left").groupBy("wb_id", "sheet", "r1", "c1", "r2", "c2").agg(
             *(f(F.when(touch, F.col(f"m_{x}"))).alias(f"g_{x}") for x, f in (("r1", F.min), ("c1", F.min), ("r2", F.max), ("c2", F.max)))
         )
         wider = grown.select("wb_id", "sheet", *(f(x, f"g_{x}").alias(x) for x, f in (("r1", F.least), ("c1", F.least), ("r2", F.greatest), ("c2", F.greatest))), F.coalesce((F.col("g_r1") < F.col("r1")) | (F.col("g_c1") < F.col("c1")) | (F.col("g_r2") > F.col("r2")) | (F.col("g_c2") > F.col("c2")), F.lit(False)).alias("changed"))

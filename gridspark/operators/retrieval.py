@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gridspark.functions.lineage import cut
 from gridspark.functions.text import alias, compact, overlap, phrase_in, query_terms, rank_tokens, sheet_alias, similarity_ratio, strong_token, tidy, words, workbook_tokens
@@ -550,6 +552,19 @@ def with_embeddings(cards: DataFrame, stored: DataFrame, model: str, encode) ->
     return kept.withColumn("reused", F.lit(True)).unionByName(rest.join(encode(rest), "card_id").withColumn("reused", F.lit(False)))
 
 
+def batch_encoder(load: Callable[[], Callable[[list[str]], np.ndarray]], batch_size: int = 256) -> Callable[[DataFrame], DataFrame]:
+    """An encode for with_embeddings(): load() makes a model once a Python worker, and that takes lists of up to batch_size texts.
+
+    The model returns a row of numbers for each text. A null text is encoded as an empty one.
+    """
+    def predictor():
+        model = load()
+        return lambda texts: np.asarray(model([str(x) for x in texts]), np.float64)
+
+    run = predict_batch_udf(predictor, return_type=ArrayType(DoubleType()), batch_size=batch_size)
+    return lambda cards: cards.select("card_id", run(F.coalesce("card", F.lit(""))).alias("embedding"))
+
+
 def metadata_expansion(selected: DataFrame, ranked: DataFrame, most: int = 3, guarded: DataFrame | None = None) -> DataFrame:
     """Of each selected workbook its best sheets, at least two: query_id, workbook, sheets in order; questions in guarded (query_id) named a sheet and stay out."""
     if guarded is not None:

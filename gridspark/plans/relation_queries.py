@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from gridspark.functions.addressing import BOX
+from gridspark.functions.addressing import BOX, LAST_ROW
 from gridspark.functions.formula_code import formula_column
 from gridspark.operators import reads, recalculation, relations, structures
 from gridspark.plans.register import Register, Tables
@@ -211,6 +211,67 @@ def verify_structure_all(t: Tables):
     return structures.verify(headers, cells, described_merges(t)).select("wb_id", "header_id", "rule", "severity", "detail")
 
 
+def faulty(t: Tables):
+    """Tables of one header, and of parents and children, over each nation's customers (of nations with three or more), each with a fault of its own."""
+    key, name = F.col("c_custkey"), F.col("c_name")
+    ends = t.customer.groupBy(F.col("c_nationkey").alias("k")).agg((F.min(key) + 2).alias("f"), (F.max(key) + 2).alias("l"), F.min_by(name, key).alias("low"), F.max_by(name, key).alias("high"), F.count("*").alias("n")).where("n > 2")
+    k, f, l, low, high = (F.col(x) for x in ("k", "f", "l", "low", "high"))  # noqa: E741
+    lit = lambda x: F.lit(x) if isinstance(x, int) else x
+    box = lambda *x: F.struct(F.lit(None).cast("string").alias("sheet"), *(lit(v).cast("bigint").alias(n) for n, v in zip(("r1", "c1", "r2", "c2"), x, strict=True))).cast(BOX)
+    none, column, number = F.lit(None).cast(BOX), F.lit("column"), k.cast("string")
+
+    def h(i, label, hr, dr, parent=None, turn=column):
+        path = [parent, i] if parent else [i]
+        return F.struct(F.lit(f"t_{parent or i}").alias("table_id"), F.lit(i).alias("header_id"), F.lit(parent).cast("string").alias("parent_id"), F.array(*map(F.lit, path)).alias("path"), F.lit(len(path)).alias("ord"), label.alias("label"), turn.alias("orientation"), hr.alias("hr"), dr.alias("dr"))
+
+    a, b, c, d, e = (F.lit(x) for x in ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+    rows = F.array(
+        h("edge", b, box(1, 2, 1, 2), box(2, 2, LAST_ROW + 1, 2)), h("above", c, box(0, 3, 1, 3), box(2, 3, l, 3)),
+        h("over", e, box(1, 5, 1, 5), box(1, 5, 1, 7), turn=F.lit("row")), h("blank", b, box(1, 2, 1, 2), box(2, 2, 2, 2)), h("under", high, box(l, 2, l, 2), box(l + 1, 2, l + 3, 2)),
+        h("void", number, box(2, 3, 2, 3), box(3, 3, l, 3)), h("many", F.lit("c_acctbal c_mktsegment"), box(1, 4, 1, 5), box(2, 4, l, 5)), h("merged", a, box(1, 1, 1, 1), box(3, 1, l, 1)),
+        h("turned", c, box(1, 3, 1, 3), box(2, 3, l, 3), turn=F.when(k % 4 == 0, "diagonal").otherwise(column)), h("shift", c, box(1, 3, 1, 3), box(1, 3, l, 3)),
+        h("aside", d, box(1, 4, 1, 4), box(2, 4, l, 5)), h("named", F.lit("segment"), box(1, 5, 1, 5), box(2, 5, l, 5)), h("p", b, box(1, 2, 1, 2), box(l, 2, l, 2)), h("kid", low, box(f, 2, f, 2), box(f + 1, 2, l, 2), "p"),
+        h("q", b, box(1, 2, 1, 2), none), h("a", low, box(f, 2, f, 2), none, "q"), h("b", high, box(l, 2, l, 2), none, "q"),
+        h("r", c, box(1, 3, 1, 3), box(2, 3, l, 3)), h("s", number, box(f, 3, f, 3), box(f + 1, 3, l, 3), "r"), h("v", d, box(1, 4, 1, 4), none), h("u", e, box(1, 5, 1, 5), box(2, 5, l, 5), "v"),
+    )
+    headers = ends.select(number.alias("wb_id"), F.lit("customer").alias("sheet"), F.inline(rows))
+    merges = ends.where("k % 4 = 2 and f > 2").select(number.alias("wb_id"), F.lit("customer").alias("sheet"), *(F.lit(x).cast("bigint").alias(n) for n, x in (("r1", 1), ("c1", 1), ("r2", 2), ("c2", 1))))
+    return headers, merges
+
+
+@query("""WITH e AS (SELECT c_nationkey AS k, min(c_custkey) + 2 AS f, max(c_custkey) + 2 AS l FROM customer GROUP BY 1 HAVING count(*) > 2),
+n AS (SELECT c_nationkey AS k, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+m AS (SELECT k, string_agg(c_name, ', ' ORDER BY c_custkey) AS names FROM n WHERE i > 1 AND i < n AND i <= 9 GROUP BY 1)
+SELECT CAST(k AS VARCHAR) AS wb_id, header_id, rule, severity, detail FROM (
+  SELECT k, 'edge' AS header_id, 'dr_bounds' AS rule, 'error' AS severity, 'B2:B1048577' AS detail FROM e
+  UNION ALL SELECT k, 'edge', 'dr_unused', 'error', 'B2:B1048577' FROM e
+  UNION ALL SELECT k, 'above', 'hr_bounds', 'error', 'C0:C1' FROM e
+  UNION ALL SELECT k, 'above', 'hr_unused', 'error', 'C0:C1' FROM e
+  UNION ALL SELECT k, 'over', 'dr_unused', 'error', 'E1:G1' FROM e
+  UNION ALL SELECT k, 'over', 'data_overlaps', 'error', 'E1:G1' FROM e
+  UNION ALL SELECT k, 'blank', 'data_repaired', 'action', 'B2:B' || l FROM e WHERE f > 2
+  UNION ALL SELECT k, 'under', 'dr_unused', 'error', 'B' || (l + 1) || ':B' || (l + 3) FROM e
+  UNION ALL SELECT k, 'under', 'data_blank', 'error', 'B' || (l + 1) || ':B' || (l + 3) FROM e
+  UNION ALL SELECT k, 'void', 'header_blank', 'error', 'C2' FROM e WHERE f > 2
+  UNION ALL SELECT k, 'many', 'header_texts', 'error', 'c_acctbal | c_mktsegment' FROM e
+  UNION ALL SELECT k, 'merged', 'header_merged', 'action', 'A1:A2' FROM e WHERE k % 4 = 2 AND f > 2
+  UNION ALL SELECT k, 'turned', 'orientation', 'error', 'diagonal' FROM e WHERE k % 4 = 0
+  UNION ALL SELECT k, 'shift', 'data_shifted', 'action', 'C2:C' || l FROM e
+  UNION ALL SELECT k, 'aside', 'data_realigned', 'action', 'D2:D' || l FROM e
+  UNION ALL SELECT k, 'named', 'label_repaired', 'action', 'c_mktsegment' FROM e
+  UNION ALL SELECT k, 'kid', 'child_data_outside', 'error', 'B' || (f + 1) || ':B' || l FROM e
+  UNION ALL SELECT k, 'a', 'child_data_missing', 'error', 'a' FROM e
+  UNION ALL SELECT k, 'b', 'child_data_missing', 'error', 'b' FROM e
+  UNION ALL SELECT k, 'q', 'children_uncovered', 'error', names FROM e JOIN m USING (k)
+  UNION ALL SELECT k, 's', 'parent_data_over_child', 'action', 'C2:C' || l FROM e
+  UNION ALL SELECT k, 'u', 'child_header_outside', 'error', 'E1' FROM e
+  UNION ALL SELECT k, 'v', 'children_uncovered', 'error', 'c_acctbal' FROM e)""")
+def verify_faults(t: Tables):
+    """Every finding of every rule with its detail, over tables that have one fault each."""
+    headers, merges = faulty(t)
+    return structures.verify(headers, described(t)[1], merges).select("wb_id", "header_id", "rule", "severity", "detail")
+
+
 @query("SELECT CAST(c_nationkey AS VARCHAR) AS wb_id, h AS header_id, h <> 'who' AS has_header, NOT (h = 'seg' AND c_nationkey % 2 = 0) AND NOT (h = 'kid' AND c_nationkey % 7 = 3) AS has_data FROM (SELECT DISTINCT c_nationkey FROM customer), (SELECT unnest(['who', 'seg', 'kid']) AS h)")
 def null_fields(t: Tables):
     headers, _ = described(t)

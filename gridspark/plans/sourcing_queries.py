@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -284,6 +285,21 @@ def embeddings_kept(t: Tables):
     return made.select(F.col("card_id").alias("vec_id"), "reused", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
+def load_vowels():
+    """A stand-in for a model: how often a text has each of the letters a, e, i, o, u."""
+    return lambda texts: np.array([[text.count(c) for c in "aeiou"] for text in texts], np.float64)
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS reused, CASE WHEN doc_id % 3 = 0 THEN -1.0 ELSE CAST(length(text) - length(replace(text, c, '')) AS DOUBLE) END AS value, CAST(i AS INTEGER) AS at
+FROM documents, (VALUES (0, 'a'), (1, 'e'), (2, 'i'), (3, 'o'), (4, 'u')) v(i, c)""")
+def embeddings_encoded(t: Tables):
+    """Documents' embeddings: a third is stored, the others come from a batch encoder."""
+    cards = t.documents.select(F.col("doc_id").alias("card_id"), F.col("text").alias("card"))
+    stored = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("card_id"), F.lit("m1").alias("model"), F.array_repeat(F.lit(-1.0), 5).alias("embedding"))
+    made = retrieval.with_embeddings(cards, stored, "m1", retrieval.batch_encoder(load_vowels))
+    return made.select(F.col("card_id").alias("doc_id"), "reused", F.posexplode("embedding").alias("at", "value"))
+
+
 @query("""WITH p AS (SELECT a.vec_id, a.label % 4 AS query_id, a.embedding AS v, b.embedding AS w, a.vec_id % 7 = 0 AS odd FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id // 2)
 SELECT vec_id, query_id, CASE WHEN query_id = 1 THEN vec_id / 2.0 WHEN odd THEN NULL ELSE round(list_cosine_similarity(CAST(v AS DOUBLE[]), CAST(w AS DOUBLE[])), 6) END AS embedding_score FROM p""")
 def embedding_evidence(t: Tables):

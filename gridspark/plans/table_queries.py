@@ -123,6 +123,16 @@ def best_attempts(t: Tables):
     return aggregates.best_attempts(attempts, "conv_id")
 
 
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn DESC) AS place FROM conversations WHERE turn > 0)
+SELECT conv_id, coalesce(string_agg('<attempt round="' || turn || '" subtask="' || role || '">' || chr(10) || '  <description>d</description>' || chr(10) || '  <reasoning></reasoning>' || chr(10) || '  <code>' || chr(10)
+|| CASE WHEN length(text) <= 60 THEN text ELSE text[:20] || chr(10) || '...[truncated]...' || chr(10) || text[-21:] END || chr(10) || '  </code>' || chr(10) || '  <observation>' || chr(10)
+|| CASE WHEN length(text) <= 30 THEN text ELSE text[:30] || '...' END || chr(10) || '  </observation>' || chr(10) || '</attempt>', chr(10) || chr(10) ORDER BY turn), 'No previous experience.') AS text
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN (SELECT * FROM r WHERE place <= 5) USING (conv_id) GROUP BY 1""")
+def attempts_text(t: Tables):
+    said = t.conversations.where("turn > 0").select("conv_id", F.col("turn").alias("round"), F.col("role").alias("subtask_id"), F.lit("d").alias("description"), F.lit(None).cast("string").alias("reasoning"), F.col("text").alias("code"), F.col("text").alias("observation"), F.length("text").alias("score"))
+    return aggregates.attempts_text(said, "conv_id", code_chars=60, observation_chars=30, keys=t.conversations)
+
+
 @query("""WITH s AS (SELECT DISTINCT source AS wb_id, lang AS sheet FROM documents), r AS (SELECT source AS wb_id, lang AS sheet, CASE WHEN bool_and(quality = 1) THEN 'good' ELSE 'not_good' END AS status FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
 SELECT wb_id, sheet, coalesce(status, 'not_good') AS status FROM s LEFT JOIN r USING (wb_id, sheet)""")
 def completeness(t: Tables):
