@@ -34,12 +34,24 @@ def usable(v: Column) -> Column:
 
 def _unit(v: Column, spare: tuple[float, float]) -> Column:
     """A vector at length 1 with two more components, zeros but for a vector without length: that gets `spare`, at right angles to all others."""
-    most = F.array_max(F.transform(v, lambda x: F.abs(x.cast("double"))))  # first scaled, so that squares neither vanish nor overflow
-    scaled = F.transform(v, lambda x: x.cast("double") / most)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda s, x: s + x * x))
-    zero = F.transform(v, lambda x: F.lit(0.0))
-    whole = F.transform(F.array(scaled), lambda s: F.transform(s, lambda x: x / norm))[0]
-    return F.when(most == 0, F.concat(zero, F.array(*map(F.lit, spare)))).otherwise(F.concat(whole, F.array(F.lit(0.0), F.lit(0.0))))
+
+    @F.pandas_udf("array<double>")
+    def unit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            out = [None] * len(part)
+            sizes = part.map(len).to_numpy()
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                x = np.stack(part.iloc[at].to_list())
+                most = np.abs(x).max(1, keepdims=True)  # first scaled, so that squares neither vanish nor overflow
+                x = np.divide(x, most, out=np.zeros_like(x), where=most > 0)
+                norm = np.sqrt(np.square(x).sum(1, keepdims=True))
+                x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
+                for i, row in zip(at, np.hstack([x, np.where(norm > 0, 0.0, np.array([spare]))]), strict=True):
+                    out[i] = row
+            yield pd.Series(out, dtype=object)
+
+    return unit(F.when(usable(v), v.cast("array<double>")).otherwise(F.array(F.lit(0.0))))
 
 
 def _pivots(rows: DataFrame, n: int) -> np.ndarray:
