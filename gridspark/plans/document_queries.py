@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 
 import pandas as pd
@@ -11,11 +12,12 @@ from pyspark.sql import window as W
 
 from gridspark.functions import addressing as A
 from gridspark.functions import formulas as X
+from gridspark.functions.lineage import shared_folder
 from gridspark.operators import cards, reads, relations, retrieval
 from gridspark.plans.cell_queries import BOXES, boxes, customer_cells, customer_headers, merged_sheet, tiles
 from gridspark.plans.register import Register, Tables
 from gridspark.plans.relation_queries import FORMULAS, TABLES, formulas, tables_of
-from gridspark.sources import documents, tables, workbooks
+from gridspark.sources import documents, runs, tables, workbooks
 
 REGISTER = query = Register()
 
@@ -48,12 +50,25 @@ def structure_headers(t: Tables):
     return found.select("doc_id", "table_id", "sheet", "header_id", "parent_id", F.array_join("path", "/").alias("path"), "ord", "label", "header_range", "data_range", "is_leaf")
 
 
-@query("""WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 9) SELECT c_custkey AS doc_id, 'table' AS table_id, 'aggregate_formulas' AS category, 'rel_aggregate_sum_1' AS relation_id, 'total = sum ' || c_custkey AS expression, 'B9' AS cell, '=SUM(B2:B8)' AS raw, false AS broken FROM c
-UNION ALL SELECT c_custkey, 'table', 'invalid_formulas', 'rel_invalid_ref_1', NULL, 'C9', '=#REF!', true FROM c""")
+RELATION_ROWS = """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 9) SELECT c_custkey AS doc_id, 'table' AS table_id, 'aggregate_formulas' AS category, 'rel_aggregate_sum_1' AS relation_id, 'total = sum ' || c_custkey AS expression, 'B9' AS cell, '=SUM(B2:B8)' AS raw, false AS broken FROM c
+UNION ALL SELECT c_custkey, 'table', 'invalid_formulas', 'rel_invalid_ref_1', NULL, 'C9', '=#REF!', true FROM c"""
+
+
+@query(RELATION_ROWS)
 def relation_documents(t: Tables):
     return documents.relations(structure_documents(t)).select("doc_id", "table_id", "category", "relation_id", "expression", "cell", "raw", F.col("errors").isNotNull().alias("broken"))
 
 
+@query(RELATION_ROWS)
+def run_relations(t: Tables):
+    """Relations written as a run's documents and read back through its manifest."""
+    found = documents.relations(structure_documents(t)).withColumnRenamed("doc_id", "wb_id")
+    path = f"{shared_folder(t.spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    runs.write_run(t.spark, path, "relations", {"relations": runs.relation_documents(found)})
+    tables, _ = runs.read_run(t.spark, path, "relations")
+    return documents.relations(tables["relations"], "wb_id").select("doc_id", "table_id", "category", "relation_id", "expression", "cell", "raw", F.col("errors").isNotNull().alias("broken"))
+
+
 @query("""SELECT '/run/' || source || '/' || lang AS folder FROM documents GROUP BY source, lang HAVING bool_or(doc_id % 2 = 0) AND bool_or(doc_id % 2 = 1)""")
 def artifact_folders(t: Tables):
     name = F.when(F.col("doc_id") % 2 == 0, "structure.yaml").otherwise("metadata.json")
