@@ -21,6 +21,8 @@ from gridspark.functions.lineage import cut
 
 #: Pivots; rows of a block of questions and of vectors; width of the rings around a pivot. None of them changes results.
 PIVOTS, QUERY_ROWS, VECTOR_ROWS, RING = 32, 256, 2048, 0.1
+#: Keys that a ring's rows are dealt to.
+SALTS = 64
 #: Blocks' summaries that meet in one task.
 QUERY_SUMMARIES, VECTOR_SUMMARIES = 1024, 4096
 #: Digits by which similarities are ranked, and what bounds allow for rounding: of distances, and of similarities.
@@ -82,11 +84,13 @@ def _placed(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 def _blocks(rows: DataFrame, most: int, p: str) -> DataFrame:
     """Blocks of about `most` members of one cell and ring: scope, size, key, n, ids, v (all vectors in a row), low and high (to each pivot).
 
-    A full ring is dealt by ids' hashes, so that a cell that holds everything is many blocks.
+    A full ring is dealt by ids' hashes, so that a cell that holds everything is many blocks; its rows also meet their number of
+    blocks under SALTS keys, not under one.
     """
     at = ["scope", "size", "cell", "ring"]
     ways = rows.groupBy(*at).agg(F.ceil(F.count("*") / most).cast("int").alias("ways"))
-    dealt = rows.join(ways, at).withColumn("way", F.pmod(F.xxhash64("id"), "ways"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(ways.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*at, "salt"]).withColumn("way", F.pmod(F.xxhash64("id"), "ways"))
     x = F.sort_array(F.collect_list(F.struct("id", "v", "far")))
     packed = dealt.groupBy(*at, "way").agg(x.alias("x"))
     count = F.size(F.col("x")[0]["far"])
