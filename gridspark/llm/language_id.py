@@ -25,6 +25,8 @@ PASSAGES, SHORTEST = 16, 120
 SEGMENT = 512
 #: Characters parsed at once in a task.
 GROUP_CHARS = 4 << 20
+#: Bounds of the tables of all languages' common transitions: columns of each, and cells in all.
+COLUMNS, TABLE_CELLS = 64, 32 << 20
 UNDETERMINED = "und"
 PREDICTED = "held_out boolean, lang_pred string, score double"
 
@@ -119,16 +121,29 @@ class SuffixAutomaton:
 
 
 class Transitions:
-    """Targets by (state, symbol) of one automaton, in open addressing: as many entries as there are transitions, whatever the alphabet's size."""
+    """Where one automaton goes by state and symbol, and whether a phrase starts there.
 
-    def __init__(self, automaton: SuffixAutomaton, alphabet: int):
+    The commonest symbols (those below columns) have a column in a table with a row for each state, complete with what follows when a phrase
+    ends; other symbols' targets are in open addressing, as many entries as there are such transitions, whatever the alphabet's size.
+    States are given as the places of their rows in the table, 0 is the root. An entry is twice the next state, and 1 more where a phrase starts
+    with the symbol because the one before could not be followed further. A symbol that the language doesn't have is a phrase of its own, after
+    which the next one starts.
+    """
+
+    def __init__(self, automaton: SuffixAutomaton, alphabet: int, columns: int):
         sizes = np.fromiter(map(len, automaton.next), np.int64, len(automaton.next))
         symbols = np.fromiter((s for state in automaton.next for s in state), np.int64, sizes.sum())
-        targets = np.fromiter((to for state in automaton.next for to in state.values()), np.int32, sizes.sum())
-        self.root = np.full(alphabet + 1, -1, np.int64)  # the last symbol is any that no labelled text has
-        self.root[symbols[: sizes[0]]] = targets[: sizes[0]]
-        self.alphabet = alphabet + 1
-        keys = np.repeat(np.arange(len(sizes)), sizes) * self.alphabet + symbols
+        targets = np.fromiter((to for state in automaton.next for to in state.values()), np.int32, sizes.sum()) * (2 * columns)
+        states = np.repeat(np.arange(len(sizes)), sizes)
+        self.alphabet = alphabet
+        self.begun = np.ones(alphabet, np.int32)
+        self.begun[symbols[: sizes[0]]] += targets[: sizes[0]]
+        follow, common = states > 0, symbols < columns
+        table = np.tile(self.begun[:columns], (len(sizes), 1))
+        table[states[follow & common], symbols[follow & common]] = targets[follow & common]
+        self.table = table.reshape(-1)
+        rare = follow & ~common
+        keys, targets = states[rare] * columns * alphabet + symbols[rare], targets[rare]
         self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys, self.targets = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
         left, at = np.arange(len(keys)), self._slot(keys)
@@ -144,30 +159,24 @@ class Transitions:
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).view(np.int64)
 
-    def advance(self, states: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The next states, and where a phrase starts with the symbol because the one before could not be followed further.
-
-        State 0 is the root. A symbol that the language doesn't have is a phrase of its own, after which the next one starts.
-        """
+    def looked_up(self, states: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """Entries of symbols without a column."""
         keys = states * self.alphabet + symbols
         at = self._slot(keys)
         there = self.keys[at]
-        reached = self.targets[at].astype(np.int64)
+        entries = self.targets[at]
         other = np.flatnonzero(there != keys)
-        reached[other] = -1
+        entries[other] = self.begun[symbols[other]]
         other = other[there[other] >= 0]
         at = at[other]
         while len(other):  # taken by another key: look on
             at = (at + 1) & ((1 << self.bits) - 1)
             there = self.keys[at]
             hit = there == keys[other]
-            reached[other[hit]] = self.targets[at[hit]]
+            entries[other[hit]] = self.targets[at[hit]]
             on = ~hit & (there >= 0)
             other, at = other[on], at[on]
-        new = (reached < 0) | (states == 0)
-        begun = np.flatnonzero(new)
-        reached[begun] = np.maximum(self.root[symbols[begun]], 0)
-        return reached, new
+        return entries
 
 
 class CrossParser:
@@ -177,10 +186,13 @@ class CrossParser:
         self.languages = sorted(samples)
         texts = [np.concatenate([np.append(code_points(t), 0) for t in samples[lang]]) for lang in self.languages]
         self.bits = np.array([math.log2(max(2, len(t))) for t in texts])
-        alphabet = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts]))
-        self.symbol_of = np.full(0x110000, len(alphabet), np.int32)
-        self.symbol_of[alphabet] = np.arange(len(alphabet))
-        self.transitions = [Transitions(SuffixAutomaton(self.symbol_of[t].tolist()), len(alphabet)) for t in texts]
+        alphabet, counts = np.unique(np.concatenate([np.zeros(1, np.uint32), *texts]), return_counts=True)
+        self.symbol_of = np.zeros(0x110000, np.int32)  # 0 is any that no labelled text has
+        self.symbol_of[alphabet[np.argsort(-counts, kind="stable")]] = np.arange(1, len(alphabet) + 1)
+        automata = [SuffixAutomaton(self.symbol_of[t].tolist()) for t in texts]
+        states = sum(len(automaton.next) for automaton in automata)
+        self.columns = max(1, min(len(alphabet) + 1, COLUMNS, TABLE_CELLS // max(1, states)))
+        self.transitions = [Transitions(automaton, len(alphabet) + 1, self.columns) for automaton in automata]
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text's code points (rows) against each language (columns).
@@ -203,10 +215,21 @@ class CrossParser:
         for lane, k in enumerate(order):
             grid[: sizes[lane], lane] = self.symbol_of[cuts[k][1]]
         active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), "right")
+        rare_at, rare_lanes = np.nonzero(grid >= self.columns)
+        rare_symbols = grid[rare_at, rare_lanes]
+        grid[rare_at, rare_lanes] = 0
+        rare_at = np.searchsorted(rare_at, np.arange(longest + 1))
+        rare_rows = {t: slice(*rare_at[t : t + 2]) for t in np.flatnonzero(np.diff(rare_at)).tolist()}
         for k, transitions in enumerate(self.transitions):
-            starts, state = np.zeros(grid.shape, bool), np.zeros(len(cuts), np.int64)
+            starts, state, cell, entry = np.zeros(grid.shape, np.uint8), *np.zeros((2, len(cuts)), np.int64), np.zeros(len(cuts), np.int32)
             for t, n in enumerate(active):
-                state[:n], starts[t, :n] = transitions.advance(state[:n], grid[t, :n])
+                np.add(state[:n], grid[t, :n], out=cell[:n])
+                transitions.table.take(cell[:n], out=entry[:n], mode="clip")
+                if t in rare_rows:
+                    lane = rare_lanes[rare_rows[t]]
+                    entry[lane] = transitions.looked_up(state[lane], rare_symbols[rare_rows[t]])
+                np.bitwise_and(entry[:n], 1, out=starts[t, :n], casting="unsafe")
+                np.right_shift(entry[:n], 1, out=state[:n])
             begin = np.zeros(len(cuts), np.int64)  # the state before each segment that its parse assumes
             while True:
                 true = np.where(before >= 0, state[before], 0)
@@ -221,8 +244,12 @@ class CrossParser:
                         lane, now = lane[~over], now[~over]
                     if not len(lane):
                         break
-                    now, new = transitions.advance(now, grid[t, lane])
-                    apart = ~(new & starts[t, lane])
+                    entries = transitions.table[now + grid[t, lane]]
+                    if t in rare_rows:
+                        _, here, of = np.intersect1d(lane, rare_lanes[rare_rows[t]], True, return_indices=True)
+                        entries[here] = transitions.looked_up(now[here], rare_symbols[rare_rows[t]][of])
+                    now, new = entries.astype(np.int64) >> 1, entries & 1
+                    apart = (new & starts[t, lane]) == 0
                     starts[t, lane] = new
                     lane, now = lane[apart], now[apart]
             found[:, k] = np.bincount(owner[order], starts.sum(0), len(texts))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 import zlib
 import random
 from collections import Counter, defaultdict
@@ -102,6 +103,47 @@ def test_large_alphabets():
     assert langs == ["h", "z", "z", "und"] and min(scores[:3]) > 0.5
 
 
+def test_common_letters_have_columns(monkeypatch):
+    """Common letters are not probed for; with whatever number of columns, also none but that of unknown letters, phrases are longest matches."""
+    rng = random.Random(21)
+    samples = {"a": ["".join(rng.choice("abcdn ") for _ in range(500)) + "щю日"], "b": ["日本語 ab cabbage 日本"], "c": ["щю " * 30]}
+    sources = [np.concatenate([np.append(language_id.code_points(t), 0) for t in samples[lang]]) for lang in "abc"]
+    texts = ["".join(rng.choice("abcdnxщю日本語 ж") for _ in range(n)) for n in (1, 63, 500, 700)] + ["", "日本語 ab cabbage" * 30, "щюж" * 90, "".join(rng.choice("abcdn ") for _ in range(900))]
+    points = [language_id.code_points(t) for t in texts]
+    want = [[longest_match_phrases(p, s) for s in sources] for p in points]
+    looked_up, probed = language_id.Transitions.looked_up, []
+    monkeypatch.setattr(language_id.Transitions, "looked_up", lambda self, states, symbols: probed.append(len(symbols)) or looked_up(self, states, symbols))
+    shares = []
+    for columns, cells in ((64, 32 << 20), (9, 32 << 20), (3, 32 << 20), (1, 32 << 20), (64, 5000), (64, 10)):
+        monkeypatch.setattr(language_id, "COLUMNS", columns)
+        monkeypatch.setattr(language_id, "TABLE_CELLS", cells)
+        parser = language_id.CrossParser(samples)
+        probed.clear()
+        for segment in (2, 64, 512):
+            monkeypatch.setattr(language_id, "SEGMENT", segment)
+            assert parser.phrases(points).tolist() == want
+        shares.append(sum(probed))
+        assert parser.columns == 1 or parser.columns <= columns and sum(t.table.size for t in parser.transitions) <= cells
+    assert shares[0] == 0 < shares[1] < shares[2] < shares[3] == shares[5] and 0 < shares[4] < shares[3]
+
+
+def test_parsing_takes_little_more_than_reading():
+    """Four languages' phrases within 15 times the CPU time of folding the same texts' letters (26 to 37 times where every letter is probed for)."""
+    rng = random.Random(8)
+    words = [["".join(rng.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(rng.randint(2, 9))) for _ in range(1500)] for _ in range(4)]
+    samples = {str(i): [" ".join(rng.choices(w, k=250)) for _ in range(36)] for i, w in enumerate(words)}
+    texts = [" ".join(rng.choices(rng.choice(words), k=250)) for _ in range(500)]
+    parser, ratios = language_id.CrossParser(samples), []
+    for _ in range(4):
+        times = [time.process_time()]
+        points = [language_id.code_points(t) for t in texts]
+        times.append(time.process_time())
+        parser.phrases(points)
+        times.append(time.process_time())
+        ratios.append((times[2] - times[1]) / (times[1] - times[0]))
+    assert min(ratios) < 15
+
+
 def test_quality(docs, no_docs, labels, corpus):
     rows = quality.classify_held_out(docs, labels).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _, _ in corpus)
