@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Largest row and column of a sheet. Fixed values.
 LAST_ROW, LAST_COLUMN = 1048576, 16384
+#: In place of LAST_ROW for a table seen as a sheet, which is as long as its keys go.
+ANY_ROW = 10**18 - 1
 BOX = "struct<sheet:string,r1:bigint,c1:bigint,r2:bigint,c2:bigint>"
 
 
@@ -60,16 +62,16 @@ def box_a1(b: Column) -> Column:
     return let(b, text)
 
 
-def parse_box(a1: Column) -> Column:
-    """Box of an A1 text: a cell, a range, whole columns `A:C` or rows `2:5`, `$` marks and a quoted sheet name allowed; null if it is none."""
-    cells, columns, rows = r"^([A-Z]{1,3})([0-9]{1,7})(?::([A-Z]{1,3})([0-9]{1,7}))?$", r"^([A-Z]{1,3}):([A-Z]{1,3})$", r"^([0-9]{1,7}):([0-9]{1,7})$"
+def parse_box(a1: Column, last_row: int = LAST_ROW) -> Column:
+    """Box of an A1 text: a cell, a range, whole columns `A:C` or rows `2:5`, `$` marks and a quoted sheet name allowed; null if it is none, or goes beyond last_row."""
+    cells, columns, rows = r"^([A-Z]{1,3})([0-9]{1,18})(?::([A-Z]{1,3})([0-9]{1,18}))?$", r"^([A-Z]{1,3}):([A-Z]{1,3})$", r"^([0-9]{1,18}):([0-9]{1,18})$"
     number = lambda x: F.nullif(x, F.lit("")).cast("bigint")
 
     def corners(rest: Column) -> Column:
         part = lambda pattern, i: F.regexp_extract(rest, pattern, i)
         first = lambda a, b: F.when(b == "", a).otherwise(b)
         of_cells = F.array(number(part(cells, 2)), column_number(part(cells, 1)), number(first(part(cells, 2), part(cells, 4))), column_number(first(part(cells, 1), part(cells, 3))))
-        of_columns = F.array(F.lit(1).cast("bigint"), column_number(part(columns, 1)), F.lit(LAST_ROW).cast("bigint"), column_number(part(columns, 2)))
+        of_columns = F.array(F.lit(1).cast("bigint"), column_number(part(columns, 1)), F.lit(last_row).cast("bigint"), column_number(part(columns, 2)))
         of_rows = F.array(number(part(rows, 1)), F.lit(1).cast("bigint"), number(part(rows, 2)), F.lit(LAST_COLUMN).cast("bigint"))
         return F.when(rest.rlike(cells), of_cells).when(rest.rlike(columns), of_columns).when(rest.rlike(rows), of_rows)
 
@@ -78,7 +80,7 @@ def parse_box(a1: Column) -> Column:
         rest = F.upper(F.regexp_replace(F.regexp_extract(text, r"([^!]*)$", 1), r"\$", ""))
         return let(let(rest, corners), lambda c: F.when(c.isNotNull(), box(c[0], c[1], c[2], c[3], sheet)))
 
-    return let(let(F.trim(a1), made), lambda b: F.when((b["r1"] >= 1) & (b["r2"] <= LAST_ROW) & (b["c2"] <= LAST_COLUMN), b))
+    return let(let(F.trim(a1), made), lambda b: F.when((b["r1"] >= 1) & (b["r2"] <= last_row) & (b["c2"] <= LAST_COLUMN), b))
 
 
 def contains_cell(b: Column, row: Column, col: Column) -> Column:

@@ -74,7 +74,7 @@ SELECT p_partkey, n, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) WHEN n
   n AS back, p_partkey + 1 AS box_row, n AS box_col FROM p""")
 def a1_codec(t: Tables):
     n = (F.col("p_partkey") % 16384 + 1).cast("bigint")
-    box = A.parse_box(F.concat(F.lit("'my sheet'!$"), A.column_letters(n), F.lit("$"), (F.col("p_partkey") + 1).cast("string")))
+    box = A.parse_box(F.concat(F.lit("'my sheet'!$"), A.column_letters(n), F.lit("$"), (F.col("p_partkey") + 1).cast("string")), last_row=A.ANY_ROW)
     return t.part.select("p_partkey", n.alias("n"), A.column_letters(n).alias("letters"), A.column_number(A.column_letters(n)).alias("back"), box["r1"].alias("box_row"), box["c2"].alias("box_col"))
 
 
