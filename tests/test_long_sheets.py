@@ -3,9 +3,15 @@
 from pyspark.sql import functions as F
 
 from gridspark.functions import addressing as A
+from gridspark.functions import formulas as X
 
 
 def test_addresses_beyond_a_files_last_row(spark):
     box = lambda text, **most: A.parse_box(F.lit(text), **most)
     got = spark.range(1).select(box("'a'!$B$1200001", last_row=A.ANY_ROW).alias("cell"), box("C72000000:A8", last_row=A.ANY_ROW).alias("range"), box("B1200001").alias("file")).first()
     assert tuple(got.cell) == ("a", 1200001, 2, 1200001, 2) and tuple(got.range) == (None, 8, 1, 72000000, 3) and got.file is None
+
+
+def test_references_of_eight_digits():
+    assert X.relative('=SUM(B72000001:E$72000001)&"D12345678"', 72000001, 7) == '=SUM([col_offset=-5,row_offset=0]:[col_offset=-2,$72000001])&"D12345678"'
+    assert X.pieces_of("=D10000034*2")[0] == {"text": "D10000034", "r1": 10000034, "c1": 4, "r2": 10000034, "c2": 4}
