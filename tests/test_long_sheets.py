@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from gridspark.functions import addressing as A
 from gridspark.functions import formulas as X
+from gridspark.operators import relations
 
 
 def test_addresses_beyond_a_files_last_row(spark):
@@ -15,3 +16,9 @@ def test_addresses_beyond_a_files_last_row(spark):
 def test_references_of_eight_digits():
     assert X.relative('=SUM(B72000001:E$72000001)&"D12345678"', 72000001, 7) == '=SUM([col_offset=-5,row_offset=0]:[col_offset=-2,$72000001])&"D12345678"'
     assert X.pieces_of("=D10000034*2")[0] == {"text": "D10000034", "r1": 10000034, "c1": 4, "r2": 10000034, "c2": 4}
+
+
+def test_formulas_move_beyond_a_files_last_row(spark):
+    moved = lambda raw, rows, cols: relations.shifted(F.lit(raw), F.lit(rows), F.lit(cols))
+    got = spark.range(1).select(moved("=C1048576*B$2", 2, 1).alias("down"), moved("=A1", -1, 0).alias("up"), moved("=XFD1", 0, 1).alias("right")).first()
+    assert tuple(got) == ("=D1048578*C$2", None, None)
