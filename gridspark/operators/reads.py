@@ -14,6 +14,8 @@ from gridspark.functions.lineage import cut
 
 #: Rows of a band in range joins.
 BAND = 1024
+#: Blocks that an area's rows are dealt to at most, beside those at its ends: longer areas have longer blocks, by this factor.
+AREA_BLOCKS = 64
 CELL_KEYS = ["wb_id", "sheet", "row", "col"]
 VALUES = ["kind", "s", "n", "b", "ts", "formula"]
 _KINDS = {"string": "text", "boolean": "bool", "timestamp": "time", "timestamp_ntz": "time", "date": "time"}
@@ -25,6 +27,26 @@ def bands(df: DataFrame, first: str = "r1", last: str = "r2") -> DataFrame:
     return df.withColumn("band", number(first) if first == last else F.explode(F.sequence(number(first), number(last))))
 
 
+def rows_in_areas(points: DataFrame, areas: DataFrame, by: list[str], row: str = "row", first: str = "r1", last: str = "r2") -> DataFrame:
+    """points with the areas that hold their row, within equal columns `by`, and the column block; other columns have names of their own.
+
+    Unlike bands(), an area gives a few rows however long it is: it lies in blocks of rows whose size goes with its length, BAND
+    or AREA_BLOCKS times as much and so on, and a point looks for areas in one block of each size in use. What areas' sizes are
+    in use is asked at once, so areas are written aside first.
+    """
+    sizes = [BAND * AREA_BLOCKS**i for i in range(9)]
+    size = F.lit(sizes[-1])
+    for x in reversed(sizes[:-1]):
+        size = F.when(F.col(last) - F.col(first) < x * AREA_BLOCKS, F.lit(x)).otherwise(size)
+    areas = cut(areas.withColumn("block_size", size.cast("bigint")))
+    used = sorted(r[0] for r in areas.select("block_size").distinct().collect()) or [BAND]
+    number = lambda x: F.floor(F.col(x) / F.col("block_size"))
+    known = [F.lit(x).cast("bigint") for x in used]
+    here = points.withColumn("block_size", known[0] if len(used) == 1 else F.explode(F.array(*known))).withColumn("block", number(row))
+    there = areas.withColumn("block", F.explode(F.sequence(number(first), number(last))))
+    return here.join(there, [*by, "block_size", "block"]).where(F.col(row).between(F.col(first), F.col(last)))
+
+
 def cells_from_table(df: DataFrame, sheet: str, key: Column, columns: list[str] | None = None, wb_id: str = "wb") -> DataFrame:
     """A table seen as a sheet: row 1 holds the column names, a data row stands at key + 2, columns in schema order; nulls are blank."""
     columns = columns or df.columns

@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from gridspark.functions.addressing import cell_a1, column_letters
 from gridspark.functions.formulas import normal_form, pattern, pieces, shifted, spacing
 from gridspark.functions.lineage import cut
-from gridspark.operators.reads import BAND, bands
+from gridspark.operators.reads import BAND, bands, rows_in_areas
 
 #: Error tokens and what they say. Fixed values.
 ERRORS = {
@@ -86,11 +86,16 @@ def runs(cells: DataFrame, keys: list[str]) -> DataFrame:
 def assign_formulas(formulas: DataFrame, tables: DataFrame, footer: int = 5, side: int = 3) -> DataFrame:
     """Formula cells of each table: within its rows and `footer` below them, and `side` columns around; a cell may have several.
 
-    formulas: wb_id, sheet, row, col, raw; tables: wb_id, sheet, table_id, r1, c1, r2, c2. Both meet by bands of rows.
+    formulas: wb_id, sheet, row, col, raw; tables: wb_id, sheet, table_id, r1, c1, r2, c2. Both meet by blocks of rows (rows_in_areas()).
     """
-    own = bands(tables.select("wb_id", "sheet", "table_id", "r1", "c1", (F.col("r2") + footer).alias("r2"), "c2"))
-    inside = F.col("row").between(F.col("r1"), F.col("r2")) & F.col("col").between(F.col("c1") - side, F.col("c2") + side)
-    return bands(formulas, "row", "row").join(own, ["wb_id", "sheet", "band"]).where(inside).select("wb_id", "sheet", "table_id", "row", "col", "raw")
+    return _assigned(formulas, tables, footer, side).select("wb_id", "sheet", "table_id", "row", "col", "raw")
+
+
+def _assigned(formulas: DataFrame, tables: DataFrame, footer: int = 5, side: int = 3) -> DataFrame:
+    """assign_formulas() with the column block: a table's rows of a band are in one block, by which Spark has dealt them."""
+    own = tables.select("wb_id", "sheet", "table_id", "r1", "c1", (F.col("r2") + footer).alias("r2"), "c2")
+    beside = F.col("col").between(F.col("c1") - side, F.col("c2") + side)
+    return rows_in_areas(formulas, own, ["wb_id", "sheet"]).where(beside).select("wb_id", "sheet", "table_id", "block_size", "block", "row", "col", "raw")
 
 
 def narrowest_header(refs: DataFrame, headers: DataFrame, relaxed: bool = True) -> DataFrame:
@@ -132,6 +137,18 @@ def expressions(examples: DataFrame, headers: DataFrame) -> DataFrame:
     return own.select("key", target.alias("target")).join(body, "key").select("key", spacing(F.concat("target", F.lit(" = "), "body")).alias("expression"))
 
 
+def _ends(pieces: DataFrame, keys: list[str], order: str, first: str, last: str, apart: Column | None = None) -> DataFrame:
+    """Pieces from first to last as whole runs, with a run's first piece's other columns: what follows another directly, or repeats it, joins it; pieces that are apart stay alone, once."""
+    along = W.Window.partitionBy(*keys).orderBy(order)
+    apart = F.col("bad") if apart is None else apart
+    gap = F.when(apart, 0).otherwise(1)
+    begins = F.coalesce(F.col(first) > F.lag(last).over(along) + gap, F.lit(True))
+    ends = F.coalesce(F.lead(first).over(along) > F.col(last) + gap, F.lit(True))
+    kept = pieces.withColumn("begins", begins).withColumn("ends", ends).where("begins or ends")
+    kept = kept.withColumn(last, F.when(F.col("ends"), F.col(last)).otherwise(F.lead(last).over(along)))
+    return kept.where("begins").drop("begins", "ends")
+
+
 def extract_relations(formulas: DataFrame, tables: DataFrame, headers: DataFrame | None = None) -> DataFrame:
     """Relations of each table: repeated formulas by run, single ones as aggregate or cell formulas, broken ones as invalid.
 
@@ -141,24 +158,28 @@ def extract_relations(formulas: DataFrame, tables: DataFrame, headers: DataFrame
     their first cells, of each its runs down columns, then those across rows.
     """
     key = ["wb_id", "sheet", "table_id"]
-    own = assign_formulas(formulas, tables).withColumn("errors", formula_errors(F.col("raw")))
-    bad = own.where(F.size("errors") > 0)
-    good = own.where(F.size("errors") == 0).withColumn("form", normal_form(F.col("raw"), F.col("row"), F.col("col")))
-    by_form = W.Window.partitionBy(*key, "form")
-    placed = good.withColumn("g", F.min(F.struct("row", "col")).over(by_form)).withColumn("down", F.min("row").over(W.Window.partitionBy(*key, "form", "col")))
-    first = placed.select(*key, "form", F.col("row").alias("r1"), F.col("col").alias("c1"), "raw", "g", "down")
-    segments = runs(good, [*key, "form"]).join(first, [*key, "form", "r1", "c1"])
-    function = aggregate_function(F.col("raw"))
-    category = F.when(F.col("shape") != "single", "normal").when(function.isNotNull(), "aggregate").otherwise("cell")
-    text = F.when(F.col("shape") != "single", pattern(F.col("raw"), F.col("r1"), F.col("c1"), F.col("shape") == "rows"))
-    across = F.col("shape") != "rows"
-    order = F.struct("g", across.alias("across"), F.when(~across, F.col("down")).otherwise(F.col("r1")).alias("x"), F.col("c1").alias("y"), F.col("r1").alias("z"))
-    no_errors = F.array().cast("array<struct<type:string,token:string,message:string>>")
-    fine = segments.select(*key, category.alias("category"), "shape", "r1", "c1", "r2", "c2", text.alias("pattern"), function.alias("agg_function"), "raw", no_errors.alias("errors"), order.alias("order"))
-    place = F.struct("row", "col")
-    none = lambda name: F.lit(None).cast("string").alias(name)
-    at = F.struct(place.alias("g"), F.lit(False).alias("across"), F.col("row").alias("x"), F.col("col").alias("y"), F.col("row").alias("z"))
-    broken = bad.select(*key, F.lit("invalid").alias("category"), F.lit("single").alias("shape"), F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("row").alias("r2"), F.col("col").alias("c2"), none("pattern"), none("agg_function"), "raw", "errors", at.alias("order"))
+    own = _assigned(formulas, tables).withColumn("bad", F.size(formula_errors(F.col("raw"))) > 0)
+    form = F.when(F.col("bad"), F.col("raw")).otherwise(normal_form(F.when(~F.col("bad"), F.col("raw")), F.col("row"), F.col("col")))
+    # forms are told apart by 128 bits; each step below is one sort, after which only what begins or ends a run goes on
+    own = own.withColumn("form", form).withColumn("f1", F.xxhash64("form")).withColumn("f2", F.xxhash64(F.lit("form"), "form"))
+    same = ["bad", "f1", "f2"]
+    # runs within bands, where the cells are: a band is in one block; a broken cell is alone
+    cells = own.withColumn("band", F.floor(F.col("row") / BAND)).select(*key, "block_size", "block", *same, "col", "band", F.col("row").alias("r1"), F.col("row").alias("r2"), "raw")
+    here = _ends(cells, [*key, "block_size", "block", *same, "col", "band"], "r1", "r1", "r2")
+    # from here on a table's runs are together, as its relations are numbered: over borders of bands, then across rows
+    tall = _ends(here.select(*key, *same, "col", "r1", "r2", "raw").repartition(*key), [*key, *same, "col"], "r1", "r1", "r2")
+    tall = tall.withColumn("down", F.min("r1").over(W.Window.partitionBy(*key, *same, "col"))).withColumn("g", F.min(F.struct(F.col("r1").alias("row"), "col")).over(W.Window.partitionBy(*key, *same)))
+    tall = tall.withColumn("alone", F.col("bad") | (F.col("r2") > F.col("r1"))).withColumn("c1", F.col("col").cast("bigint")).withColumn("c2", F.col("col").cast("bigint"))
+    segments = _ends(tall, [*key, *same, "alone", "r1"], "c1", "c1", "c2", F.col("alone"))
+    column = dict(formulas.dtypes)["col"]
+    segments = segments.withColumn("c1", F.col("c1").cast(column)).withColumn("c2", F.col("c2").cast(column))
+    segments = segments.withColumn("shape", F.when(F.col("r2") > F.col("r1"), "rows").when(F.col("c2") > F.col("c1"), "columns").otherwise("single"))
+    agg_function = F.when(~F.col("bad"), aggregate_function(F.col("raw")))
+    category = F.when(F.col("bad"), "invalid").when(F.col("shape") != "single", "normal").when(agg_function.isNotNull(), "aggregate").otherwise("cell")
+    first_cell = F.struct(F.col("r1").alias("row"), F.col("c1").alias("col"))
+    flat = F.col("shape") != "rows"
+    order = F.struct(F.when(F.col("bad"), first_cell).otherwise(F.col("g")).alias("g"), flat.alias("across"), F.when(flat, F.col("r1")).otherwise(F.col("down")).alias("x"), F.col("c1").alias("y"), F.col("r1").alias("z"))
+    every = segments.select(*key, category.alias("category"), "shape", "r1", "c1", "r2", "c2", agg_function.alias("agg_function"), "raw", order.alias("order"))
     number = F.row_number().over(W.Window.partitionBy(*key, "category").orderBy("order"))
     arithmetic = F.col("raw").rlike(r"[*/+-]")
     letters = F.lower(column_letters(F.col("c1")))
@@ -170,7 +191,10 @@ def extract_relations(formulas: DataFrame, tables: DataFrame, headers: DataFrame
         .when(F.col("category") == "invalid", "rel_invalid_ref")
         .when(arithmetic & ~F.contains(F.upper("raw"), F.lit("IF")), "rel_single_arithmetic_formula").otherwise("rel_single_cell_formula")
     )
-    every = fine.unionByName(broken).withColumn("relation_id", F.concat(name, F.lit("_"), number.cast("string"))).withColumn("cell", cell_a1(F.col("r1"), F.col("c1")))
+    every = every.withColumn("number", number)
+    every = every.withColumn("relation_id", F.concat(name, F.lit("_"), F.col("number").cast("string"))).withColumn("cell", cell_a1(F.col("r1"), F.col("c1"))).withColumn("errors", formula_errors(F.col("raw")))
+    repeated = F.col("category") == "normal"
+    every = every.withColumn("pattern", pattern(F.when(repeated, F.col("raw")), F.col("r1"), F.col("c1"), F.col("shape") == "rows"))
     every = every.withColumn("description", description(F.col("category"), F.col("shape"), F.coalesce("pattern", "raw"), F.col("agg_function"), F.col("cell"), F.col("errors")))
     columns = [*key, "relation_id", "category", "r1", "c1", "r2", "c2", "pattern", "agg_function", "cell", "raw", "errors", "description"]
     if headers is None:

@@ -16,7 +16,7 @@ from gridspark.functions.lineage import shared_folder
 from gridspark.operators import cards, reads, relations, retrieval
 from gridspark.plans.cell_queries import BOXES, boxes, customer_cells, customer_headers, merged_sheet, tiles
 from gridspark.plans.register import Register, Tables
-from gridspark.plans.relation_queries import FORMULAS, TABLES, formulas, tables_of
+from gridspark.plans.relation_queries import FORMULAS, TABLES, formulas, formulas_once, tables_of
 from gridspark.sources import documents, runs, tables, workbooks
 
 REGISTER = query = Register()
@@ -230,7 +230,7 @@ def relation_headers(t: Tables):
 SELECT table_id, row, CASE WHEN row > r2 THEN 'summary_net' ELSE 'net' END || ' = qty *(1 - off)* $H$1' AS expression FROM a""")
 def relation_expressions(t: Tables):
     own, headers = relation_headers(t)
-    priced = relations.assign_formulas(formulas(t).where("col = 6").dropDuplicates(["wb_id", "row"]), own)
+    priced = relations.assign_formulas(formulas_once(t).where("col = 6"), own)
     key = F.concat_ws(":", "table_id", F.col("row").cast("string"))
     examples = priced.select(key.alias("key"), "table_id", "row", F.col("col").cast("bigint").alias("col"), "raw")
     return relations.expressions(examples, headers).select(F.split("key", ":")[0].alias("table_id"), F.split("key", ":")[1].cast("bigint").alias("row"), "expression")
@@ -252,14 +252,12 @@ SELECT CAST(wb AS VARCHAR) AS wb_id, table_id, category, r1, CAST(col AS INTEGER
 
 @query(EXTRACTED)
 def extract_relations(t: Tables):
-    once = formulas(t).groupBy("wb_id", "sheet", "row", "col").agg(F.min("raw").alias("raw"))
-    return relations.extract_relations(once, tables_of(t)).select("wb_id", "table_id", "category", "r1", "c1", "r2", "relation_id", "pattern", "description")
+    return relations.extract_relations(formulas_once(t), tables_of(t)).select("wb_id", "table_id", "category", "r1", "c1", "r2", "relation_id", "pattern", "description")
 
 
 @query(f"WITH found AS ({EXTRACTED}) SELECT wb_id, relation_id FROM found WHERE category = 'normal' AND table_id = 't2'")
 def relations_listed(t: Tables):
-    once = formulas(t).groupBy("wb_id", "sheet", "row", "col").agg(F.min("raw").alias("raw"))
-    found = relations.extract_relations(once, tables_of(t)).withColumn("table_ids", F.array("table_id"))
+    found = relations.extract_relations(formulas_once(t), tables_of(t)).withColumn("table_ids", F.array("table_id"))
     return relations.list_relations(found, "normal", "t2").select("wb_id", "relation_id")
 
 

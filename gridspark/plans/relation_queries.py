@@ -16,9 +16,9 @@ REGISTER = query = Register()
 FORMULAS = "f AS (SELECT l_suppkey AS wb, l_orderkey * 8 + l_linenumber AS row, l_quantity, l_linenumber FROM lineitem)"
 
 
-def formulas(t: Tables):
+def formulas(t: Tables, lines=None):
     row = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row")
-    base = t.lineitem.select(F.col("l_suppkey").cast("string").alias("wb_id"), F.lit("lines").alias("sheet"), row, "l_linenumber", "l_quantity")
+    base = (t.lineitem if lines is None else lines).select(F.col("l_suppkey").cast("string").alias("wb_id"), F.lit("lines").alias("sheet"), row, "l_linenumber", "l_quantity")
     n = F.col("row").cast("string")
     price = F.concat(F.lit("=D"), n, F.lit("*(1-E"), n, F.lit(")*$H$1"))
     total = F.concat(F.lit("=SUM(B"), n, F.lit(":E"), n, F.lit(")"))
@@ -27,6 +27,11 @@ def formulas(t: Tables):
     return base.select("wb_id", "sheet", "row", "l_quantity", F.inline(cells)).where("raw is not null")
 
 
+def formulas_once(t: Tables):
+    """formulas() with one formula a cell, the broken one of several: lines are brought together before they become texts."""
+    return formulas(t, t.lineitem.groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("l_quantity")))
+
+
 @query(f"WITH {FORMULAS} SELECT CAST(wb AS VARCHAR) AS wb_id, row, 'broken_reference' AS type, '#REF!' AS token FROM f WHERE l_quantity > 45")
 def formula_errors(t: Tables):
     found = formulas(t).select("wb_id", "row", F.explode(relations.formula_errors(F.col("raw"))).alias("e"))
@@ -77,8 +82,8 @@ def runs_vertical_horizontal(t: Tables):
 v AS (SELECT wb, row - row_number() OVER (PARTITION BY wb ORDER BY row) AS g FROM f), g AS (SELECT wb, g, count(*) AS n FROM v GROUP BY 1, 2)
 SELECT CAST(wb AS VARCHAR) AS wb_id, count(*) FILTER (n > 1) AS normal, count(*) FILTER (n = 1) AS cell FROM g GROUP BY 1""")
 def relation_counts(t: Tables):
-    priced = formulas(t).where("col = 6").dropDuplicates(["wb_id", "row"])
-    whole = priced.groupBy("wb_id", "sheet").agg(F.min("row").alias("r1"), F.lit(2).alias("c1"), F.max("row").alias("r2"), F.lit(5).alias("c2")).withColumn("table_id", F.lit("t"))
+    priced = formulas_once(t).where("col = 6")
+    whole = formulas(t).where("col = 6").groupBy("wb_id", "sheet").agg(F.min("row").alias("r1"), F.lit(2).alias("c1"), F.max("row").alias("r2"), F.lit(5).alias("c2")).withColumn("table_id", F.lit("t"))
     found = relations.extract_relations(priced, whole)
     return found.groupBy("wb_id").agg(F.count_if(F.col("category") == "normal").alias("normal"), F.count_if(F.col("category") == "cell").alias("cell"))
 
