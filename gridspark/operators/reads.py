@@ -27,23 +27,27 @@ def bands(df: DataFrame, first: str = "r1", last: str = "r2") -> DataFrame:
     return df.withColumn("band", number(first) if first == last else F.explode(F.sequence(number(first), number(last))))
 
 
-def rows_in_areas(points: DataFrame, areas: DataFrame, by: list[str], row: str = "row", first: str = "r1", last: str = "r2") -> DataFrame:
-    """points with the areas that hold their row, within equal columns `by`, and the column block; other columns have names of their own.
+def area_blocks(areas: DataFrame, first: str = "r1", last: str = "r2") -> tuple[DataFrame, list[int]]:
+    """areas written aside, with the columns block_size and block, a row for each block of rows that they lie in, and what sizes are in use.
 
-    Unlike bands(), an area gives a few rows however long it is: it lies in blocks of rows whose size goes with its length, BAND
-    or AREA_BLOCKS times as much and so on, and a point looks for areas in one block of each size in use. What areas' sizes are
-    in use is asked at once, so areas are written aside first.
+    Unlike bands(), an area gives a few rows however long it is: blocks' size goes with its length, BAND or AREA_BLOCKS times as
+    much and so on. What is to be met by row looks in one block of each size in use.
     """
     sizes = [BAND * AREA_BLOCKS**i for i in range(9)]
     size = F.lit(sizes[-1])
     for x in reversed(sizes[:-1]):
         size = F.when(F.col(last) - F.col(first) < x * AREA_BLOCKS, F.lit(x)).otherwise(size)
     areas = cut(areas.withColumn("block_size", size.cast("bigint")))
-    used = sorted(r[0] for r in areas.select("block_size").distinct().collect()) or [BAND]
+    used = sorted(r[0] for r in areas.select("block_size").distinct().collect())
     number = lambda x: F.floor(F.col(x) / F.col("block_size"))
-    known = [F.lit(x).cast("bigint") for x in used]
-    here = points.withColumn("block_size", known[0] if len(used) == 1 else F.explode(F.array(*known))).withColumn("block", number(row))
-    there = areas.withColumn("block", F.explode(F.sequence(number(first), number(last))))
+    return areas.withColumn("block", F.explode(F.sequence(number(first), number(last)))), used
+
+
+def rows_in_areas(points: DataFrame, areas: DataFrame, by: list[str], row: str = "row", first: str = "r1", last: str = "r2") -> DataFrame:
+    """points with the areas that hold their row, within equal columns `by`, block_size and block (area_blocks()); other columns have names of their own."""
+    there, used = area_blocks(areas, first, last)
+    known = [F.lit(x).cast("bigint") for x in used or [BAND]]
+    here = points.withColumn("block_size", known[0] if len(known) == 1 else F.explode(F.array(*known))).withColumn("block", F.floor(F.col(row) / F.col("block_size")))
     return here.join(there, [*by, "block_size", "block"]).where(F.col(row).between(F.col(first), F.col(last)))
 
 

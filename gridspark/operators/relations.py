@@ -9,7 +9,7 @@ from pyspark.sql import window as W
 from gridspark.functions.addressing import cell_a1, column_letters
 from gridspark.functions.formulas import normal_form, pattern, pieces, shifted, spacing
 from gridspark.functions.lineage import cut
-from gridspark.operators.reads import BAND, bands, rows_in_areas
+from gridspark.operators.reads import BAND, area_blocks, bands, rows_in_areas
 
 #: Error tokens and what they say. Fixed values.
 ERRORS = {
@@ -207,15 +207,21 @@ def extract_relations(formulas: DataFrame, tables: DataFrame, headers: DataFrame
 def relation_tables(relations: DataFrame, tables: DataFrame) -> DataFrame:
     """relation_key and table_ids: the table that a relation names if it is known, else every table of its sheet whose bounds hold its range.
 
-    relations: relation_key, wb_id, sheet (null: any), table_id (may be null), r1, c1, r2, c2; tables: wb_id, sheet, table_id, r1, c1, r2, c2.
+    relations: relation_key (of any type, one row each), wb_id, sheet (null: any), table_id (may be null), r1, c1, r2, c2; tables:
+    wb_id, sheet, table_id, r1, c1, r2, c2. Both meet by blocks of rows (area_blocks()), where a relation's row stays one row.
     """
-    t = bands(tables.select("wb_id", F.col("sheet").alias("t_sheet"), F.col("table_id").alias("t_id"), *(F.col(x).alias(f"t_{x}") for x in ("r1", "c1", "r2", "c2"))), "t_r1", "t_r2")
-    named = relations.join(tables.select("wb_id", "table_id").distinct(), ["wb_id", "table_id"]).select("relation_key", F.col("table_id").alias("t_id"))
-    rest = bands(relations.where("r1 is not null").join(named, "relation_key", "left_anti"), "r1", "r1")
+    places = ["r1", "c1", "r2", "c2"]
+    own = ["relation_key", "wb_id", "sheet", "table_id", *places]
+    there, used = area_blocks(tables.select(F.col("wb_id").alias("t_wb"), F.col("sheet").alias("t_sheet"), F.col("table_id").alias("t_id"), *(F.col(x).alias(f"t_{x}") for x in places)), "t_r1", "t_r2")
+    names = there.select(F.col("t_wb").alias("wb_id"), F.col("t_id").alias("table_id")).distinct().withColumn("known", F.lit(True))
+    found = relations.select(*own).join(names, ["wb_id", "table_id"], "left").withColumn("held", F.array().cast("array<string>"))
     inside = (F.col("t_r1") <= F.col("r1")) & (F.col("t_r2") >= F.col("r2")) & (F.col("t_c1") <= F.col("c1")) & (F.col("t_c2") >= F.col("c2"))
-    held = rest.join(t, ["wb_id", "band"]).where(inside & (F.col("sheet").isNull() | (F.col("sheet") == F.col("t_sheet")))).select("relation_key", "t_id")
-    found = named.unionByName(held).groupBy("relation_key").agg(F.sort_array(F.collect_set("t_id")).alias("table_ids"))
-    return relations.select("relation_key").join(found, "relation_key", "left").select("relation_key", F.coalesce("table_ids", F.array().cast("array<string>")).alias("table_ids"))
+    for size in used:
+        part = there.where(F.col("block_size") == size).withColumnRenamed("block", "t_block")
+        meet = (F.col("wb_id") == F.col("t_wb")) & (F.col("block") == F.col("t_block")) & inside & F.col("known").isNull() & (F.col("sheet").isNull() | (F.col("sheet") == F.col("t_sheet")))
+        held = found.withColumn("block", F.floor(F.col("r1") / size)).join(part, meet, "left")
+        found = held.groupBy(*own, "known", "held", "block").agg(F.collect_set("t_id").alias("more")).withColumn("held", F.array_union("held", "more"))
+    return found.select("relation_key", F.when(F.col("known"), F.array("table_id")).otherwise(F.sort_array("held")).alias("table_ids"))
 
 
 def list_relations(relations: DataFrame, category: str | None = None, table_id: str | None = None) -> DataFrame:

@@ -211,10 +211,10 @@ def resolve_ranges(t: Tables):
 @query(f"""WITH {FORMULAS}, {TABLES} SELECT CAST(f.wb AS VARCHAR) || ':' || row AS relation_key, string_agg(table_id, ',' ORDER BY table_id) AS tables FROM (SELECT DISTINCT wb, row FROM f) f LEFT JOIN tb ON tb.wb = f.wb AND (CASE WHEN row % 5 = 0 THEN table_id = 't2' ELSE row BETWEEN r1 AND r2 END) GROUP BY 1""")
 def relation_table_ids(t: Tables):
     own = formulas(t).where("col = 6").select("wb_id", "row").distinct()
-    key = F.concat_ws(":", "wb_id", F.col("row").cast("string"))
-    named = own.select(key.alias("relation_key"), "wb_id", F.when(F.col("row") % 3 == 0, "lines").alias("sheet"), F.when(F.col("row") % 5 == 0, "t2").otherwise("gone").alias("table_id"), F.col("row").alias("r1"), F.lit(3).alias("c1"), F.col("row").alias("r2"), F.lit(4).alias("c2"))
+    named = own.select(F.struct("wb_id", "row").alias("relation_key"), "wb_id", F.when(F.col("row") % 3 == 0, "lines").alias("sheet"), F.when(F.col("row") % 5 == 0, "t2").otherwise("gone").alias("table_id"), F.col("row").alias("r1"), F.lit(3).alias("c1"), F.col("row").alias("r2"), F.lit(4).alias("c2"))
     found = relations.relation_tables(named, tables_of(t))
-    return found.select("relation_key", F.nullif(F.array_join("table_ids", ","), F.lit("")).alias("tables"))
+    key = F.concat_ws(":", "relation_key.wb_id", F.col("relation_key.row").cast("string"))
+    return found.select(key.alias("relation_key"), F.nullif(F.array_join("table_ids", ","), F.lit("")).alias("tables"))
 
 
 def relation_headers(t: Tables):

@@ -58,3 +58,12 @@ def test_relations_of_a_table_of_any_length(spark):
         ("t", "normal", "rel_repeat_column_formula_7_1", 7, 3, 7, 5, "=SUM(C1:C5)"), ("t", "normal", "rel_repeat_row_arithmetic_f_2", 1020, 6, 1029, 6, "=D1020*2"), ("t", "normal", "rel_repeat_row_arithmetic_f_3", last - 3, 6, last + 1, 6, f"=D{last - 3}*2"),
         *(("u", *x) for x in same), ("u", "normal", "rel_repeat_column_formula_7_1", 7, 3, 7, 5, "=SUM(C1:C5)"),
     ]
+
+
+def test_tables_of_relations_in_tables_of_any_length(spark):
+    """A known table's name wins; else tables of both block sizes that hold the range, of one sheet or of any."""
+    tables = spark.createDataFrame([("w", "s", "long", 1, 1, 10**15, 9), ("w", "s", "short", 5, 1, 90, 9), ("w", "z", "other", 1, 1, 20, 9)], "wb_id string, sheet string, table_id string, r1 bigint, c1 int, r2 bigint, c2 int")
+    asked = [("a", "w", "s", "gone", 10, 2, 12, 3), ("b", "w", None, None, 10, 2, 12, 3), ("c", "w", "s", "other", 10, 2, 12, 3), ("d", "w", "s", None, 10**14, 2, 10**14, 3), ("e", "w", "s", None, 80, 2, 91, 12), ("f", "w", "s", "gone", None, None, None, None)]
+    asked = spark.createDataFrame(asked, "relation_key string, wb_id string, sheet string, table_id string, r1 bigint, c1 int, r2 bigint, c2 int")
+    found = {r.relation_key: r.table_ids for r in relations.relation_tables(asked, tables).collect()}
+    assert found == {"a": ["long", "short"], "b": ["long", "other", "short"], "c": ["other"], "d": ["long"], "e": [], "f": []}
